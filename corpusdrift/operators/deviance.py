@@ -1,17 +1,23 @@
 """How far each section lies from the average of its part, and which stand out."""
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdrift import fixed_values as fv
 from corpusdrift.functions import ids, vectors
-from corpusdrift.operators.embedding import centroids_of_pairs, focal_pairs
+from corpusdrift.operators.embedding import (
+    centroids_of_pairs,
+    embedded_pairs,
+    focal_pairs,
+)
+from corpusdrift.operators import sections as section_operators
 from corpusdrift.operators.joins import HOT_ROWS, join_one
 from corpusdrift.operators.sections import PART_KEY, SECTION_KEY
 
 TEXT_KEY = [*PART_KEY, "section_hash"]
+Order = Callable[[list[str]], list[Column]]
 
 
 def distance_to_centroid(
@@ -51,14 +57,14 @@ def text_deviance(
 
     Only parts listed in ``parts`` have a centroid to compare with.
     """
-    pairs = join_one(focal_pairs(sections, year), embedded, ["section_hash"], "inner", hot_rows)
-    listed = parts.select(*PART_KEY).distinct()
+    pairs = embedded_pairs(sections, embedded, year)
     centroids = (
         centroids_of_pairs(pairs)
-        .join(listed, PART_KEY, "left_semi")
+        .join(parts.select(*PART_KEY), PART_KEY, "left_semi")
         .withColumn("part_norm", vectors.norm(F.col("part_embedding")))
     )
-    return join_one(pairs.drop("copies"), centroids, PART_KEY, "inner", hot_rows).select(
+    counted = focal_pairs(sections, year)
+    return join_one(pairs, centroids, PART_KEY, "inner", hot_rows, counted).select(
         *TEXT_KEY, _distance().alias("section_deviance")
     )
 
@@ -111,12 +117,12 @@ RANK_ORDER = ["section_deviance", "section_id", "section_hash", "section_name"]
 
 
 def first_per_group(
-    rows: DataFrame, keys: list[str], order: list[Column], n: Column | int = fv.DEVIANTS_N
+    rows: DataFrame, keys: list[str], order: list[Column], n: int = fv.DEVIANTS_N
 ) -> DataFrame:
     """The first ``n`` rows of each group, with their ``deviance_rank``.
 
-    With a number for ``n`` each task cuts its own share of a group to ``n`` rows
-    before the shuffle, so no group is ever gathered whole.
+    Each task cuts its own share of a group to ``n`` rows before the shuffle, so no
+    group is ever gathered whole.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("deviance_rank", F.row_number().over(window)).filter(
@@ -137,63 +143,64 @@ def most_deviant(scored: DataFrame, n: int = fv.DEVIANTS_N) -> DataFrame:
 
 
 def notable_sections(
-    scored: DataFrame, texts: DataFrame, n: int = fv.DEVIANTS_N, fan_out: bool = True
+    scored: DataFrame,
+    texts: DataFrame,
+    n: int = fv.DEVIANTS_N,
+    fan_out: bool = True,
+    regex_names: bool = False,
 ) -> DataFrame:
     """The least and most deviant sections per part, with cleaned text.
 
+    ``scored`` holds all sections without text, ``texts`` the same with raw text.
     A row that is among the ``n`` lowest is Least even if it is also among the
     ``n`` highest.  With ``fan_out`` the ranking runs over the rows that a join
     on the (not unique) section id would give; only the at most ``n`` rows per
     section id that can be among the first ``n`` of their part are built.
     Without it each section keeps its own text.
     """
-    columns = [*SECTION_KEY, "section_name", "section_hash", "section_deviance"]
-    scored = scored.select(*columns)
-    parts = []
-    for label, picked, order in (
-        (fv.LEAST, least_deviant(scored, n), _lowest),
-        (fv.MOST, most_deviant(scored, n), _highest),
-    ):
-        rows = _with_text(picked.drop("deviance_rank"), texts, order, n, fan_out)
-        ranked = first_per_group(rows, PART_KEY, order([*RANK_ORDER, "section_text"]), n)
-        parts.append(ranked.withColumn("notable_deviant", F.lit(label)))
-    ranked = reduce(DataFrame.unionByName, parts)
+    scored = scored.select(*SECTION_KEY, "section_name", "section_hash", "section_deviance")
+    picked = least_deviant(scored, n).withColumn("notable_deviant", F.lit(fv.LEAST)).unionByName(
+        most_deviant(scored, n).withColumn("notable_deviant", F.lit(fv.MOST))
+    )
+    picked = picked.drop("deviance_rank")
+    own = SECTION_KEY if fan_out else [*SECTION_KEY, "section_name", "section_hash"]
+    wanted = section_operators.clean(
+        texts.join(picked.select(*own).distinct(), own, "left_semi"), regex_names
+    ).select(*own, "section_text")
+    low = _ranked(picked, wanted, fv.LEAST, _lowest, own, n)
+    high = _ranked(picked, wanted, fv.MOST, _highest, own, n)
     # Counted from the other end, a row ranked r from the top of c rows is ranked
     # c + 1 - r from the bottom: beyond n of them, and so not Least, while r <= c - n.
-    sizes = _ranked_rows(scored, texts, fan_out)
-    is_least = F.col("notable_deviant") == fv.LEAST
-    return (
-        ranked.join(sizes, PART_KEY)
-        .filter(is_least | (F.col("deviance_rank") <= F.col("ranked_rows") - n))
-        .select(*SECTION_KEY, "section_name", "section_text", "section_deviance", "notable_deviant")
+    most = high.join(_ranked_rows(scored, fan_out), PART_KEY).filter(
+        F.col("deviance_rank") <= F.col("ranked_rows") - n
+    )
+    return low.unionByName(most.drop("ranked_rows")).select(
+        *SECTION_KEY, "section_name", "section_text", "section_deviance", "notable_deviant"
     )
 
 
-def _with_text(picked: DataFrame, texts: DataFrame, order, n: int, fan_out: bool) -> DataFrame:
-    """Join the few picked sections to the first ``n`` texts of their section id, or to their own."""
-    if not fan_out:
-        own = [*SECTION_KEY, "section_name", "section_hash"]
-        text = texts.groupBy(*own).agg(F.min("section_text").alias("section_text"))
-        return picked.join(text, own, "left")
-    wanted = texts.select(*SECTION_KEY, "section_text").join(
-        picked.select(*SECTION_KEY).distinct(), SECTION_KEY, "left_semi"
-    )
-    first = first_per_group(wanted, SECTION_KEY, order(["section_text"]), n).drop("deviance_rank")
-    return picked.join(first, SECTION_KEY, "left")
+def _ranked(
+    picked: DataFrame, texts: DataFrame, label: str, order: Order, own: list[str], n: int
+) -> DataFrame:
+    """One end of the ranking, after joining each picked section to its texts.
+
+    Only the first ``n`` texts of a section id can matter.
+    """
+    first = first_per_group(texts, own, order(["section_text"]), n).drop("deviance_rank")
+    if own != SECTION_KEY:
+        first = first.dropDuplicates(own)
+    rows = picked.filter(F.col("notable_deviant") == label).join(first, own, "left")
+    return first_per_group(rows, PART_KEY, order([*RANK_ORDER, "section_text"]), n)
 
 
-def _ranked_rows(scored: DataFrame, texts: DataFrame, fan_out: bool) -> DataFrame:
+def _ranked_rows(scored: DataFrame, fan_out: bool) -> DataFrame:
     """Number of ranked rows per part, with or without the join to text rows."""
-    known = scored.filter(F.col("section_deviance").isNotNull())
-    if not fan_out:
-        return known.groupBy(*PART_KEY).agg(F.count(F.lit(1)).alias("ranked_rows"))
-    per_key = known.groupBy(*SECTION_KEY).agg(F.count(F.lit(1)).alias("sections"))
-    text_rows = texts.groupBy(*SECTION_KEY).agg(F.count(F.lit(1)).alias("text_rows"))
-    return (
-        per_key.join(text_rows, SECTION_KEY, "left")
-        .groupBy(*PART_KEY)
-        .agg(F.sum(F.col("sections") * F.coalesce("text_rows", F.lit(1))).alias("ranked_rows"))
+    per_id = scored.groupBy(*SECTION_KEY).agg(
+        F.count(F.lit(1)).alias("texts"), F.count("section_deviance").alias("scored")
     )
+    weight = F.when(F.col("section_id").isNotNull(), F.col("texts")).otherwise(F.lit(1))
+    rows = F.col("scored") * weight if fan_out else F.col("scored")
+    return per_id.groupBy(*PART_KEY).agg(F.sum(rows).alias("ranked_rows"))
 
 
 def notable_label(least: Column, most: Column) -> Column:

@@ -125,8 +125,21 @@ def focal_pairs(sections: DataFrame, year: int = fv.FOCAL_YEAR) -> DataFrame:
     )
 
 
+def embedded_pairs(
+    sections: DataFrame, embedded: DataFrame, year: int = fv.FOCAL_YEAR
+) -> DataFrame:
+    """Focal pairs with the vector of their text.
+
+    However many copies of a text there are, it has at most one row per part
+    here, so no hash is hot.
+    """
+    return focal_pairs(sections, year).join(
+        embedded.select("section_hash", "section_embedding"), "section_hash"
+    )
+
+
 def part_centroids(
-    sections: DataFrame, embedded: DataFrame, year: int = fv.FOCAL_YEAR, hot_rows: int = HOT_ROWS
+    sections: DataFrame, embedded: DataFrame, year: int = fv.FOCAL_YEAR
 ) -> DataFrame:
     """Mean vector of the sections of each part of one edition.
 
@@ -134,9 +147,7 @@ def part_centroids(
     joined to texts rather than to rows; each task averages its share of a part
     before the shuffle.
     """
-    return centroids_of_pairs(
-        join_one(focal_pairs(sections, year), embedded, ["section_hash"], "inner", hot_rows)
-    )
+    return centroids_of_pairs(embedded_pairs(sections, embedded, year))
 
 
 def centroids_of_pairs(pairs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusdrift import fixed_values as fv
-from corpusdrift.operators.deviance import TEXT_KEY, focal_match, text_deviance
+from corpusdrift.operators.deviance import TEXT_KEY, text_deviance
 from corpusdrift.operators.joins import HOT_ROWS, join_one
 from corpusdrift.operators.sections import PART_KEY, SECTION_KEY, clean_parts, split_year
 
@@ -36,7 +36,7 @@ def quantify(
     else:
         known = known.withColumn("copies", F.lit(1))
     return (
-        join_one(scored, known, ["section_hash"], hot_rows=hot_rows)
+        join_one(scored, known, ["section_hash"], hot_rows=hot_rows, counted=narrow)
         .withColumn("focal_year_match", F.when(F.col("copies").isNotNull(), 1).otherwise(0))
         .withColumn("copies", F.coalesce("copies", F.lit(1)))
     )
@@ -49,12 +49,16 @@ def part_aggregates(quantified: DataFrame, fan_out: bool = True) -> DataFrame:
     texts on the (not unique) section id would give.  Such a join returns each
     section as often as its id occurs, so the id's sums are weighted by that
     number instead.  ``copies`` weights a section as often as its vector occurs.
+    Scores are summed as whole millionths, so the mean does not depend on the
+    order in which tasks finish.
     """
     keyed = F.lit(True)
     for column in SECTION_KEY:
         keyed = keyed & F.col(column).isNotNull()
     copies = F.col("copies") if "copies" in quantified.columns else F.lit(1)
-    score, words = F.col("section_deviance"), F.col("section_word_count")
+    scale = 10**fv.SCORE_DIGITS
+    score = F.round(F.col("section_deviance") * scale).cast("bigint")
+    words = F.col("section_word_count")
     per_id = quantified.groupBy(*SECTION_KEY).agg(
         F.count(F.lit(1)).alias("texts"),
         F.sum(copies).alias("rows"),
@@ -71,8 +75,8 @@ def part_aggregates(quantified: DataFrame, fan_out: bool = True) -> DataFrame:
     return (
         per_id.groupBy(*PART_KEY)
         .agg(
-            F.round(
-                F.sum(F.col("score") * weight) / F.sum(F.col("scored") * weight), fv.SCORE_DIGITS
+            (
+                F.round(F.sum(F.col("score") * weight) / F.sum(F.col("scored") * weight)) / scale
             ).alias("deviance_mean"),
             F.sum(named).alias("section_count"),
             F.sum(joined_words).alias("part_word_count"),

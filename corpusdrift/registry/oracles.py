@@ -4,7 +4,8 @@ Where the library weights sums or ranks a few candidates, the SQL joins and rank
 all rows.
 """
 
-# Named building blocks, in order of need.
+# Named building blocks, in order of need.  Scores are averaged as whole millionths:
+# means of six-digit scores often lie halfway between two six-digit numbers.
 BLOCKS = {
     "fx_div": """
 select doc_id,
@@ -83,7 +84,7 @@ select d.* exclude (section_text, section_word_count), t.section_text, t.section
 from dev d left join (select title_id, part_id, section_id, section_text, section_word_count
   from words) t using (title_id, part_id, section_id)""",
     "agg": """
-select title_id, part_id, round(avg(section_deviance),6) as deviance_mean,
+select title_id, part_id, round(avg(cast(round(section_deviance * 1e6) as bigint))) / 1e6 as deviance_mean,
   count(section_id) as section_count, cast(sum(section_word_count) as bigint) as part_word_count,
   avg(focal_year_match) as focal_year_match
 from joined group by title_id, part_id""",
@@ -298,13 +299,13 @@ from joined group by doc_id, {SECTION}""",
     "part_statistics": "select * from stats",
     "part_statistics_own_text": """
 select * from part_auth left join (
-  select title_id, part_id, round(avg(section_deviance),6) as deviance_mean,
+  select title_id, part_id, round(avg(cast(round(section_deviance * 1e6) as bigint))) / 1e6 as deviance_mean,
     count(section_id) as section_count, cast(sum(section_word_count) as bigint) as part_word_count,
     avg(focal_year_match) as focal_year_match
   from dev group by title_id, part_id) using (title_id, part_id)""",
     "part_statistics_copies": """
 select * from part_auth left join (
-  select title_id, part_id, round(avg(section_deviance),6) as deviance_mean,
+  select title_id, part_id, round(avg(cast(round(section_deviance * 1e6) as bigint))) / 1e6 as deviance_mean,
     count(section_id) as section_count, cast(sum(section_word_count) as bigint) as part_word_count,
     avg(focal_year_match) as focal_year_match
   from joined j left join (select s.section_hash from sec s join vec using (section_hash)

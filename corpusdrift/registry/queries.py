@@ -46,23 +46,32 @@ def _embedded(corpus: Corpus) -> DataFrame:
     return embedding.at_half_precision(corpus.vectors())
 
 
-def _scored(corpus: Corpus) -> DataFrame:
-    rows = _hashed(corpus).drop("section_text")
-    return deviance.section_deviance(rows, _embedded(corpus), _parts(corpus))
+# Stage tables, written once per query that reads them more than once.
 
 
-def _aggregates(corpus: Corpus, fan_out: bool = True, multiplicity: bool = False) -> DataFrame:
-    quantified = parts.quantify(
-        _cleaned(corpus).drop("doc_id"),
-        _embedded(corpus),
-        _parts(corpus),
-        multiplicity=multiplicity,
+def _facts(corpus: Corpus) -> DataFrame:
+    """Sections without their text: ids, hash and word count."""
+    return tables.settle(_cleaned(corpus).drop("section_text"))
+
+
+def _scored(corpus: Corpus, multiplicity: bool = False) -> DataFrame:
+    """Sections with deviance and focal match."""
+    return tables.settle(
+        parts.quantify(
+            _facts(corpus),
+            tables.settle(_embedded(corpus)),
+            _parts(corpus),
+            multiplicity=multiplicity,
+        )
     )
-    return parts.part_aggregates(quantified, fan_out)
+
+
+def _aggregates(corpus: Corpus, fan_out: bool = True, multiplicity: bool = False) -> DataFrame:
+    return parts.part_aggregates(_scored(corpus, multiplicity), fan_out)
 
 
 def _statistics(corpus: Corpus) -> DataFrame:
-    return parts.part_statistics(_parts(corpus), _aggregates(corpus))
+    return tables.settle(parts.part_statistics(_parts(corpus), _aggregates(corpus)))
 
 
 def _focal(corpus: Corpus) -> DataFrame:
@@ -175,7 +184,7 @@ def extract_parts(corpus: Corpus) -> DataFrame:
 
 @query
 def extract_sections(corpus: Corpus) -> DataFrame:
-    level = F.when(F.col("div_type") == "SECTION", F.lit("8")).otherwise(F.lit("9"))
+    level = F.when(F.col("div_type") == "SECTION", "8").otherwise("9")
     element = F.concat(
         F.lit('<DIV5 N="1" TYPE="PART"><HEAD>h</HEAD><DIV'),
         level,
@@ -332,12 +341,12 @@ def _shown(propagated: DataFrame) -> DataFrame:
 
 @query
 def propagate_embeddings(corpus: Corpus) -> DataFrame:
-    return _shown(embedding.propagate(_hashed(corpus), _embedded(corpus)))
+    return _shown(embedding.propagate(_facts(corpus), _embedded(corpus)))
 
 
 @query
 def propagate_embeddings_copies(corpus: Corpus) -> DataFrame:
-    return _shown(embedding.propagate(_hashed(corpus), _embedded(corpus), multiplicity=True))
+    return _shown(embedding.propagate(_facts(corpus), _embedded(corpus), multiplicity=True))
 
 
 def _centroids(corpus: Corpus) -> DataFrame:
@@ -373,8 +382,8 @@ def section_deviance(corpus: Corpus) -> DataFrame:
 
 @query
 def attach_text_counts(corpus: Corpus) -> DataFrame:
-    cleaned = _cleaned(corpus).drop("section_text")
-    counted = deviance.attach_text_counts(cleaned, cleaned)
+    facts = _facts(corpus)
+    counted = deviance.attach_text_counts(facts, facts)
     return counted.select("doc_id", *SECTION, "text_rows", "joined_words")
 
 
@@ -393,7 +402,7 @@ def most_deviant(corpus: Corpus) -> DataFrame:
 
 
 def _notable(corpus: Corpus, n: int, fan_out: bool) -> DataFrame:
-    notable = deviance.notable_sections(_scored(corpus), _cleaned(corpus), n, fan_out)
+    notable = deviance.notable_sections(_scored(corpus), _hashed(corpus), n, fan_out)
     return deviance.focal_notable(notable)
 
 

@@ -139,10 +139,10 @@ def divisions(records: DataFrame) -> DataFrame:
 
     Rows with a NULL ``raw_id`` or ``section_text`` are faulty, see :func:`rejects`.
     """
-    tag = F.col("tag")
-    body = F.substring_index(F.col("value"), _end_tag(), 1)
+    tag, end_tag = F.col("tag"), _end_tag()
+    body = F.call_function("substring_index", F.col("value"), end_tag, F.lit(1))
     element = F.when(tag.endswith("/>"), tag).when(
-        F.instr(F.col("value"), _end_tag()) > 0, F.concat(F.lit(DIVISION), body)
+        F.col("value").contains(end_tag), F.concat(F.lit(DIVISION), body, end_tag)
     )
     return (
         records.filter(
@@ -225,28 +225,22 @@ def extract_parts(records: DataFrame) -> DataFrame:
 
 
 def sound_titles(records: DataFrame) -> DataFrame:
-    """Titles all of whose files end as they should, with their number of sections.
+    """Titles all of whose files end as they should, one ``title_id`` each.
 
-    A file that breaks off or is not the expected markup opens more divisions
-    than it closes; nothing of such a title is kept.
+    A file that breaks off or is not the expected markup does not close every
+    division it opens, or has none; nothing of such a title is kept.
     """
     closed = F.regexp_count("value", F.lit(r"</DIV[1-9]\s*>")) + F.when(
         _tag().endswith("/>"), F.lit(1)
     ).otherwise(0)
-    kept = F.col("level").isin(fv.SECTION_LEVEL, fv.APPENDIX_LEVEL) & (F.col("part_seq") > 0)
     return (
         records.groupBy("title_id", "file_path")
         .agg(
             F.sum((F.col("level") > 0).cast("bigint") - closed).alias("open"),
             F.max("level").alias("deepest"),
-            F.count_if(kept).alias("lines"),
         )
         .groupBy("title_id")
-        .agg(
-            F.max(F.abs("open")).alias("open"),
-            F.min("deepest").alias("deepest"),
-            F.sum("lines").alias("lines"),
-        )
+        .agg(F.max(F.abs("open")).alias("open"), F.min("deepest").alias("deepest"))
         .filter((F.col("open") == 0) & (F.col("deepest") > 0))
-        .select("title_id", "lines")
+        .select("title_id")
     )

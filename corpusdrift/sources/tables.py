@@ -14,6 +14,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corpusdrift-{uuid.uuid4().hex}"
 
 
+def settle(table: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For tables that several later steps read: they are computed once, their
+    lineage ends here, and each reader scans only the columns it needs.
+    """
+    path = shared_folder(table.sparkSession)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def write_titles(table: DataFrame, path: str) -> None:
     """Write one partition folder per title, replacing only the titles at hand.
 
