@@ -135,7 +135,9 @@ def quantify(
     )
     scored = tables.read_table(spark, f"{root}/section_scores", SECTION_SCORES)
     hashed = sections.with_hash(read_sections(spark, root))
-    notable = deviance.notable_sections(scored, hashed, deviants_n, fan_out, regex_names)
+    notable = deviance.notable_sections(
+        scored, hashed, deviants_n, fan_out, regex_names, keep=tables.settle
+    )
     statistics = tables.settle(
         parts.part_statistics(part_table, parts.part_aggregates(scored, fan_out))
     )

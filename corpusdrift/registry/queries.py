@@ -402,7 +402,9 @@ def most_deviant(corpus: Corpus) -> DataFrame:
 
 
 def _notable(corpus: Corpus, n: int, fan_out: bool) -> DataFrame:
-    notable = deviance.notable_sections(_scored(corpus), _hashed(corpus), n, fan_out)
+    notable = deviance.notable_sections(
+        _scored(corpus), _hashed(corpus), n, fan_out, keep=tables.settle
+    )
     return deviance.focal_notable(notable)
 
 

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,11 +42,11 @@ def write_titles(table: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """Read with a declared schema; csv files are expected to have a header."""
+    """Read with a declared schema, columns in its order; csv files are expected to have a header."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.options(header=True, multiLine=True, escape='"')
-    return reader.format(fmt).load(path)
+    return reader.format(fmt).load(path).select(*StructType.fromDDL(schema).names)
 
 
 def export_table(table: DataFrame, path: str, fmt: str = "parquet") -> None:
