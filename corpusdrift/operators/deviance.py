@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusdrift import fixed_values as fv
 from corpusdrift.functions import ids, vectors
-from corpusdrift.operators.embedding import (
-    centroids_of_pairs,
-    embedded_pairs,
-    focal_pairs,
-)
 from corpusdrift.operators import sections as section_operators
+from corpusdrift.operators.embedding import centroids_of_pairs, embedded_pairs
 from corpusdrift.operators.joins import HOT_ROWS, join_one
 from corpusdrift.operators.sections import PART_KEY, SECTION_KEY
 
@@ -63,7 +59,8 @@ def text_deviance(
         .join(parts.select(*PART_KEY), PART_KEY, "left_semi")
         .withColumn("part_norm", vectors.norm(F.col("part_embedding")))
     )
-    counted = focal_pairs(sections, year)
+    # Sections, not pairs, are counted: a part's pairs are never more than its sections.
+    counted = sections.filter(ids.in_year(F.col("title_id"), year))
     return join_one(pairs, centroids, PART_KEY, "inner", hot_rows, counted).select(
         *TEXT_KEY, _distance().alias("section_deviance")
     )

@@ -8,7 +8,7 @@ the focal edition's texts.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdrift.functions import ids, text
+from corpusdrift.functions import ids
 
 YEARS = ["2022", "2023", "2024"]
 VECTORS = 500
@@ -80,14 +80,10 @@ class Corpus:
             )
         )
 
-    def vectors(self) -> DataFrame:
-        """``section_hash, section_embedding``: one vector per distinct focal text."""
-        focal = self.divisions().filter(
-            ids.in_year(F.col("title_id"), 2024) & (F.col("div_type") != "NOTE")
-        )
-        keys = focal.groupBy(text.content_hash(F.col("section_text")).alias("section_hash")).agg(
-            (F.min("doc_id") % VECTORS).alias("vec_id")
-        )
+    def vectors(self, sections: DataFrame) -> DataFrame:
+        """``section_hash, section_embedding``: one vector per distinct focal text of ``sections``."""
+        focal = sections.filter(ids.in_year(F.col("title_id"), 2024))
+        keys = focal.groupBy("section_hash").agg((F.min("doc_id") % VECTORS).alias("vec_id"))
         stored = self.table("embeddings").select(
             "vec_id", F.col("embedding").alias("section_embedding")
         )

@@ -42,44 +42,40 @@ def _parts(corpus: Corpus) -> DataFrame:
     return sections.compile_parts(corpus.raw_parts())
 
 
-def _embedded(corpus: Corpus) -> DataFrame:
-    return embedding.at_half_precision(corpus.vectors())
+def _facts(corpus: Corpus, words: bool = True) -> DataFrame:
+    """Sections without their text: ids, hash and, if wanted, word count.
 
+    A stage table, written once so that the steps after it read no text.
+    """
+    rows = _cleaned(corpus) if words else _hashed(corpus)
+    return tables.settle(rows.drop("section_text"))
 
-# Stage tables, written once per query that reads them more than once.
 
+def _embedded(corpus: Corpus, facts: DataFrame) -> DataFrame:
+    """Vectors of the focal edition's texts, another stage table."""
+    return tables.settle(embedding.at_half_precision(corpus.vectors(facts)))
 
-def _facts(corpus: Corpus) -> DataFrame:
-    """Sections without their text: ids, hash and word count."""
-    return tables.settle(_cleaned(corpus).drop("section_text"))
 
-
-def _scored(corpus: Corpus, multiplicity: bool = False) -> DataFrame:
+def _scored(corpus: Corpus, words: bool = True, multiplicity: bool = False) -> DataFrame:
     """Sections with deviance and focal match."""
-    return tables.settle(
-        parts.quantify(
-            _facts(corpus),
-            tables.settle(_embedded(corpus)),
-            _parts(corpus),
-            multiplicity=multiplicity,
-        )
+    facts = _facts(corpus, words)
+    return parts.quantify(
+        facts, _embedded(corpus, facts), _parts(corpus), multiplicity=multiplicity
     )
 
 
-def _aggregates(corpus: Corpus, fan_out: bool = True, multiplicity: bool = False) -> DataFrame:
-    return parts.part_aggregates(_scored(corpus, multiplicity), fan_out)
-
-
-def _statistics(corpus: Corpus) -> DataFrame:
-    return tables.settle(parts.part_statistics(_parts(corpus), _aggregates(corpus)))
+def _statistics(corpus: Corpus, fan_out: bool = True, multiplicity: bool = False) -> DataFrame:
+    aggregates = parts.part_aggregates(_scored(corpus, multiplicity=multiplicity), fan_out)
+    return parts.part_statistics(_parts(corpus), aggregates)
 
 
 def _focal(corpus: Corpus) -> DataFrame:
-    return parts.part_focal(_statistics(corpus))
+    """The exported parts of the focal edition, which the browser queries read."""
+    return tables.settle(parts.part_focal(_statistics(corpus)))
 
 
 def _temporal(corpus: Corpus) -> DataFrame:
-    return parts.part_temporal(_statistics(corpus))
+    return parts.part_temporal(tables.settle(_statistics(corpus)))
 
 
 IDS = ["section_name", "section_type", "part_id", "section_id"]
@@ -341,16 +337,19 @@ def _shown(propagated: DataFrame) -> DataFrame:
 
 @query
 def propagate_embeddings(corpus: Corpus) -> DataFrame:
-    return _shown(embedding.propagate(_facts(corpus), _embedded(corpus)))
+    facts = _facts(corpus, words=False)
+    return _shown(embedding.propagate(facts, _embedded(corpus, facts)))
 
 
 @query
 def propagate_embeddings_copies(corpus: Corpus) -> DataFrame:
-    return _shown(embedding.propagate(_facts(corpus), _embedded(corpus), multiplicity=True))
+    facts = _facts(corpus, words=False)
+    return _shown(embedding.propagate(facts, _embedded(corpus, facts), multiplicity=True))
 
 
 def _centroids(corpus: Corpus) -> DataFrame:
-    return embedding.part_centroids(_hashed(corpus), _embedded(corpus))
+    facts = _facts(corpus, words=False)
+    return embedding.part_centroids(facts, _embedded(corpus, facts))
 
 
 @query
@@ -374,7 +373,7 @@ def part_centroid_join(corpus: Corpus) -> DataFrame:
 
 @query
 def section_deviance(corpus: Corpus) -> DataFrame:
-    return _scored(corpus).select("doc_id", *SECTION, "section_hash", "section_deviance")
+    return _scored(corpus, words=False).select("doc_id", *SECTION, "section_hash", "section_deviance")
 
 
 # Notable sections.
@@ -389,21 +388,21 @@ def attach_text_counts(corpus: Corpus) -> DataFrame:
 
 @query
 def least_deviant(corpus: Corpus) -> DataFrame:
-    return deviance.least_deviant(_scored(corpus), 3).select(
+    return deviance.least_deviant(_scored(corpus, words=False), 3).select(
         *SECTION, "section_hash", "section_deviance", "deviance_rank"
     )
 
 
 @query
 def most_deviant(corpus: Corpus) -> DataFrame:
-    return deviance.most_deviant(_scored(corpus), 3).select(
+    return deviance.most_deviant(_scored(corpus, words=False), 3).select(
         *SECTION, "section_hash", "section_deviance", "deviance_rank"
     )
 
 
 def _notable(corpus: Corpus, n: int, fan_out: bool) -> DataFrame:
     notable = deviance.notable_sections(
-        _scored(corpus), _hashed(corpus), n, fan_out, keep=tables.settle
+        tables.settle(_scored(corpus, words=False)), _hashed(corpus), n, fan_out, keep=tables.settle
     )
     return deviance.focal_notable(notable)
 
@@ -428,17 +427,17 @@ def notable_sections_own_text(corpus: Corpus) -> DataFrame:
 
 @query
 def part_deviance(corpus: Corpus) -> DataFrame:
-    return _aggregates(corpus).select("title_id", "part_id", "deviance_mean", "section_count")
+    return parts.part_aggregates(_scored(corpus)).select("title_id", "part_id", "deviance_mean", "section_count")
 
 
 @query
 def part_word_count(corpus: Corpus) -> DataFrame:
-    return _aggregates(corpus).select("title_id", "part_id", "part_word_count")
+    return parts.part_aggregates(_scored(corpus)).select("title_id", "part_id", "part_word_count")
 
 
 @query
 def focal_year_match(corpus: Corpus) -> DataFrame:
-    return _aggregates(corpus).select("title_id", "part_id", "focal_year_match")
+    return parts.part_aggregates(_scored(corpus)).select("title_id", "part_id", "focal_year_match")
 
 
 @query
@@ -448,17 +447,17 @@ def part_statistics(corpus: Corpus) -> DataFrame:
 
 @query
 def part_statistics_own_text(corpus: Corpus) -> DataFrame:
-    return parts.part_statistics(_parts(corpus), _aggregates(corpus, fan_out=False))
+    return _statistics(corpus, fan_out=False)
 
 
 @query
 def part_statistics_copies(corpus: Corpus) -> DataFrame:
-    return parts.part_statistics(_parts(corpus), _aggregates(corpus, multiplicity=True))
+    return _statistics(corpus, multiplicity=True)
 
 
 @query
 def part_focal(corpus: Corpus) -> DataFrame:
-    return _focal(corpus)
+    return parts.part_focal(_statistics(corpus))
 
 
 @query
