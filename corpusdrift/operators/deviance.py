@@ -155,8 +155,8 @@ def notable_sections(
     ``n`` highest.  With ``fan_out`` the ranking runs over the rows that a join
     on the (not unique) section id would give; only the at most ``n`` rows per
     section id that can be among the first ``n`` of their part are built.
-    Without it each section keeps its own text.  ``keep`` may store the two short
-    tables that are read more than once, so that texts are scanned only once.
+    Without it each section keeps its own text.  ``keep`` may store the two
+    tables that are read more than once, so that all texts are scanned only once.
     """
     scored = scored.select(*SECTION_KEY, "section_name", "section_hash", "section_deviance")
     picked = least_deviant(scored, n).withColumn("notable_deviant", F.lit(fv.LEAST)).unionByName(
@@ -168,8 +168,7 @@ def notable_sections(
         *SECTION_KEY, "section_name", "section_type", "section_hash", "section_text"
     )
     wanted = join_one(texts, picked.select(*own).distinct(), own, "left_semi", hot_rows, scored)
-    cleaned = section_operators.clean(wanted, regex_names).select(*own, "section_text")
-    wanted = keep(_ends(cleaned, own, n))
+    wanted = keep(section_operators.clean(wanted, regex_names).select(*own, "section_text"))
     low = _ranked(picked, wanted, fv.LEAST, _lowest, own, n)
     high = _ranked(picked, wanted, fv.MOST, _highest, own, n)
     # Counted from the other end, a row ranked r from the top of c rows is ranked
@@ -182,25 +181,17 @@ def notable_sections(
     )
 
 
-def _ends(texts: DataFrame, own: list[str], n: int) -> DataFrame:
-    """At most ``2 n`` texts per section id: the first and the last ones."""
-    low = first_per_group(texts, own, _lowest(["section_text"]), n)
-    high = first_per_group(texts, own, _highest(["section_text"]), n)
-    return (
-        low.withColumn("notable_deviant", F.lit(fv.LEAST))
-        .unionByName(high.withColumn("notable_deviant", F.lit(fv.MOST)))
-        .drop("deviance_rank")
-    )
-
-
 def _ranked(
     picked: DataFrame, texts: DataFrame, label: str, order: Order, own: list[str], n: int
 ) -> DataFrame:
-    """One end of the ranking, after joining each picked section to its texts."""
-    texts = texts.filter(F.col("notable_deviant") == label).drop("notable_deviant")
+    """One end of the ranking, after joining each picked section to its texts.
+
+    Only the first ``n`` texts of a section id can matter.
+    """
+    first = first_per_group(texts, own, order(["section_text"]), n).drop("deviance_rank")
     if own != SECTION_KEY:
-        texts = texts.dropDuplicates(own)
-    rows = picked.filter(F.col("notable_deviant") == label).join(texts, own, "left")
+        first = first.dropDuplicates(own)
+    rows = picked.filter(F.col("notable_deviant") == label).join(first, own, "left")
     return first_per_group(rows, PART_KEY, order([*RANK_ORDER, "section_text"]), n)
 
 

@@ -54,17 +54,8 @@ def display_scores(focal: DataFrame) -> DataFrame:
 
 
 def with_title_names(focal: DataFrame, titles: DataFrame) -> DataFrame:
-    """Add the full title name.
-
-    The titles table has one row for each of at most fifty title numbers, which
-    is what makes it safe to broadcast; anything beyond is not part of it.
-    """
-    names = (
-        titles.filter(F.col("title_num").between(fv.FIRST_TITLE, fv.LAST_TITLE))
-        .select("title_id", "title_name_full")
-        .dropDuplicates(["title_id"])
-    )
-    return focal.join(F.broadcast(names), "title_id", "left")
+    """Add the full title name; Spark broadcasts the titles if they are as small as they should be."""
+    return focal.join(titles.select("title_id", "title_name_full"), "title_id", "left")
 
 
 def part_lookup(focal: DataFrame, title_id: str, part_id: str) -> DataFrame:

@@ -50,10 +50,12 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
 
 
 def export_table(table: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a result table as parquet or as csv with a header."""
+    """Write a result table as parquet or as csv with a header; texts keep their blanks."""
     writer = table.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.options(header=True, escape='"')
+        writer = writer.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
     writer.format(fmt).save(path)
 
 

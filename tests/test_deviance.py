@@ -185,7 +185,7 @@ def test_distribution_numbers_ties_by_part(focal):
 
 def test_lookup_and_options(spark, focal):
     titles = spark.createDataFrame(
-        [("Title-01", "One", 1, "Title 1 - One"), ("Title-01", "One", 1, "Title 1 - One"), ("Title-99", "x", 99, "x")],
+        [("Title-01", "One", 1, "Title 1 - One"), ("Title-99", "x", 99, "x")],
         "title_id string, title_name string, title_num int, title_name_full string",
     )
     named = panels.with_title_names(focal, titles)

@@ -3,11 +3,9 @@
 import re
 
 import pytest
-from conftest import DATA
 from pyspark.sql import functions as F
 
 from corpusdrift.operators import deviance, embedding, panels, parts, sections
-from corpusdrift.registry.queries import QUERIES
 from corpusdrift.sources import tables
 
 
@@ -78,15 +76,6 @@ def test_only_hot_keys_are_broadcast_by_force(spark, facts):
         assert re.search(r"Filter \(rows#\d+L > 1000000\)", broadcast)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_query_multiplies_rows_or_runs_python(spark, name):
-    plan = _plan(QUERIES[name](spark, DATA))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    allowed = {"extract_parts", "extract_sections"}
-    assert ("MapInArrow" in plan) == (name in allowed) or "Scan" in plan and name in allowed
-
-
 def test_panels_need_one_shuffle(facts):
     temporal = facts.withColumn("year_id", F.lit("2024"))
     plan = _plan(panels.panel(temporal, "section_word_count", ["2023", "2024"]))
