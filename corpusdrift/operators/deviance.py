@@ -49,9 +49,10 @@ def text_deviance(
     year: int = fv.FOCAL_YEAR,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Deviance per part and distinct text of the focal edition: no row per section, no vectors out.
+    """Deviance per part and distinct embedded text of the focal edition.
 
-    Only parts listed in ``parts`` have a centroid to compare with.
+    No row per section and no vectors come out.  Parts that are not listed in
+    ``parts`` have no centroid to compare with, and their texts a NULL score.
     """
     pairs = embedded_pairs(sections, embedded, year)
     centroids = (
@@ -60,12 +61,18 @@ def text_deviance(
         .withColumn("part_norm", vectors.norm(F.col("part_embedding")))
     )
     # Sections, not pairs, are counted: a part's pairs are never more than its sections.
-    counted = sections.filter(ids.in_year(F.col("title_id"), year))
-    return join_one(pairs, centroids, PART_KEY, "inner", hot_rows, counted).select(
+    counted, _ = editions(sections, year)
+    return join_one(pairs, centroids, PART_KEY, "left", hot_rows, counted).select(
         *TEXT_KEY, _distance().alias("section_deviance")
     )
 
 
+def editions(sections: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
+    """The sections of one edition, and those of all others."""
+    focal = ids.in_year(F.col("title_id"), year)
+    return sections.filter(focal), sections.filter(~F.coalesce(focal, F.lit(False)))
+
+
 def section_deviance(
     sections: DataFrame,
     embedded: DataFrame,
@@ -74,15 +81,10 @@ def section_deviance(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``section_deviance`` to every section; NULL outside the focal edition."""
+    focal, others = editions(sections, year)
     scores = text_deviance(sections, embedded, parts, year, hot_rows)
-    return join_one(sections, scores, TEXT_KEY, hot_rows=hot_rows)
-
-
-def focal_match(sections: DataFrame, embedded: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add 1 where the focal edition has the same text, else 0."""
-    known = embedded.select("section_hash", F.lit(1).alias("focal_year_match"))
-    return join_one(sections, known, ["section_hash"], hot_rows=hot_rows).withColumn(
-        "focal_year_match", F.coalesce("focal_year_match", F.lit(0))
+    return join_one(focal, scores, TEXT_KEY, hot_rows=hot_rows).unionByName(
+        others.withColumn("section_deviance", F.lit(None).cast("double"))
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusdrift import fixed_values as fv
-from corpusdrift.operators.deviance import TEXT_KEY, text_deviance
+from corpusdrift.operators.deviance import TEXT_KEY, editions, text_deviance
 from corpusdrift.operators.joins import HOT_ROWS, join_one
 from corpusdrift.operators.sections import PART_KEY, SECTION_KEY, clean_parts, split_year
 
@@ -22,24 +22,26 @@ def quantify(
     ``sections`` has ``section_hash`` and ``section_word_count``.
     ``multiplicity`` as in :func:`corpusdrift.operators.embedding.propagate`.
     """
-    narrow = sections.drop("section_text")
+    focal, others = editions(sections.drop("section_text"), year)
     scores = text_deviance(sections, embedded, parts, year, hot_rows)
-    scored = join_one(narrow, scores, TEXT_KEY, hot_rows=hot_rows)
     known = embedded.select("section_hash")
     if multiplicity:
-        copies = (
-            sections.filter(F.col("title_id").endswith(f"-{year}"))
-            .groupBy("section_hash")
-            .agg(F.count(F.lit(1)).alias("copies"))
-        )
-        known = known.join(copies, "section_hash", "left")
+        copies = focal.groupBy("section_hash").agg(F.count(F.lit(1)).alias("copies"))
+        known = known.join(copies, "section_hash")
+        scores = scores.join(copies, "section_hash")
     else:
-        known = known.withColumn("copies", F.lit(1))
-    return (
-        join_one(scored, known, ["section_hash"], hot_rows=hot_rows, counted=narrow)
-        .withColumn("focal_year_match", F.when(F.col("copies").isNotNull(), 1).otherwise(0))
-        .withColumn("copies", F.coalesce("copies", F.lit(1)))
+        known = known.withColumn("copies", F.lit(1).cast("bigint"))
+        scores = scores.withColumn("copies", F.lit(1).cast("bigint"))
+    # Every section takes part in one join only.  In the focal edition a text is
+    # known if it is among the scored ones, whatever its score.
+    found = join_one(focal, scores, TEXT_KEY, hot_rows=hot_rows).unionByName(
+        join_one(others, known, ["section_hash"], hot_rows=hot_rows).withColumn(
+            "section_deviance", F.lit(None).cast("double")
+        )
     )
+    return found.withColumn(
+        "focal_year_match", F.when(F.col("copies").isNotNull(), 1).otherwise(0)
+    ).withColumn("copies", F.coalesce("copies", F.lit(1)))
 
 
 def part_aggregates(quantified: DataFrame, fan_out: bool = True) -> DataFrame:

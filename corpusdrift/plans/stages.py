@@ -23,7 +23,7 @@ SECTION_FACTS = (
     "section_hash string, section_word_count bigint, title_id string"
 )
 TEXT_EMBEDDING = "section_hash string, section_embedding array<double>"
-SECTION_SCORES = SECTION_FACTS + ", section_deviance double, copies int, focal_year_match int"
+SECTION_SCORES = SECTION_FACTS + ", section_deviance double, copies bigint, focal_year_match int"
 
 
 def extract(
