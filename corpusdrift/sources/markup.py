@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusdrift import fixed_values as fv
 from corpusdrift.functions import markup
@@ -21,7 +22,8 @@ from corpusdrift.functions import markup
 DIVISION = "<DIV"
 FILE_TITLE = r"([^/]+?)\.xml\.gz(?:ip)?$"
 RECORDS = (
-    "title_id string, file_path string, pos bigint, part_seq bigint, level int, value string"
+    "title_id string, file_path string, pos bigint, part_seq bigint, level int, type string, "
+    "number string, heading string, authority string, ended boolean, unclosed int, value string"
 )
 _BIGGEST_SPLIT = str(2**62)
 
@@ -39,7 +41,9 @@ def unsplit_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def _part_marker(part_level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _part_marker(
+    part_level: int, names: list[str]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task function that numbers the records of each file and the part each lies in.
 
     A file lies whole and in order in one task, so a few counters carried from
@@ -68,14 +72,9 @@ def _part_marker(part_level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 sequence[start:stop] = np.where(opened > np.append(-2, closed[:-1]), number, 0)
                 pos, part = pos + len(here), int(number[-1])
                 inside = bool(opened[-1] > closed[-1])
-            out = {
-                "title_id": batch.column("title_id"),
-                "file_path": batch.column("file_path"),
-                "pos": pa.array(position),
-                "part_seq": pa.array(sequence),
-                "level": batch.column("level"),
-                "value": batch.column("value"),
-            }
+            out = dict(zip(batch.schema.names, batch.columns, strict=True))
+            out |= {"pos": pa.array(position), "part_seq": pa.array(sequence)}
+            out = {name: out[name] for name in names}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return mark
@@ -89,40 +88,49 @@ def scan_records(
 ) -> DataFrame:
     """Division records of gzipped XML files, see :data:`RECORDS`.
 
-    Unreadable files are skipped unless ``ignore_corrupt`` is off.  Pass a session
-    from :func:`unsplit_session` for files named ``.gzip``.
+    What parts and checks need is cut out here, so that later steps read the
+    ``value`` column for the text of sections only.  Unreadable files are skipped
+    unless ``ignore_corrupt`` is off.  Pass a session from :func:`unsplit_session`
+    for files named ``.gzip``.
     """
+    value, level, tag = F.col("value"), F.col("level"), F.col("tag")
     plain = F.when(
-        F.col("value").contains("<!") | F.col("value").contains("<?"),
-        F.regexp_replace("value", markup.COMMENT_OR_INSTRUCTION, ""),
-    ).otherwise(F.col("value"))
-    level = F.coalesce(F.regexp_extract("value", r"^([1-9])(?=[\s/>])", 1).try_cast("int"), F.lit(0))
+        value.contains("<!") | value.contains("<?"),
+        F.regexp_replace(value, markup.COMMENT_OR_INSTRUCTION, ""),
+    ).otherwise(value)
+    division = F.concat(F.lit(DIVISION), value)
+    closed = F.regexp_count(value, F.lit(r"</DIV[1-9]\s*>"))
+    empty = tag.endswith("/>")
+
+    def element(name: str) -> Column:
+        return F.when(value.contains(f"<{name}"), markup.first_element(value, name))
+
     scanned = (
         spark.read.option("lineSep", DIVISION)
         .option("ignoreCorruptFiles", ignore_corrupt)
         .option("recursiveFileLookup", True)
         .text(paths)
         .select(F.col("_metadata.file_path").alias("file_path"), plain.alias("value"))
-        .withColumn("level", level)
+        .withColumn("tag", F.regexp_extract(division, "^" + markup.open_tag("DIV[1-9]"), 0))
+        .withColumn("level", F.coalesce(F.substring("tag", 5, 1).try_cast("int"), F.lit(0)))
         .select(
             F.regexp_extract("file_path", title_pattern, 1).alias("title_id"),
             "file_path",
-            "value",
             "level",
+            markup.attribute(tag, fv.TYPE_ATTRIBUTE).alias("type"),
+            markup.attribute(tag, fv.NUMBER_ATTRIBUTE).alias("number"),
+            element(fv.HEADING_ELEMENT).alias("heading"),
+            element(fv.AUTHORITY_ELEMENT).alias("authority"),
+            (empty | value.contains(_end_tag())).alias("ended"),
+            ((level > 0).cast("int") - closed - empty.cast("int")).alias("unclosed"),
             (
-                F.col("value").contains(f"</DIV{fv.PART_LEVEL}")
-                | ((F.col("level") == fv.PART_LEVEL) & _tag().endswith("/>"))
+                value.contains(f"</DIV{fv.PART_LEVEL}") | ((level == fv.PART_LEVEL) & empty)
             ).alias("ends_part"),
+            "value",
         )
     )
-    return scanned.mapInArrow(_part_marker(fv.PART_LEVEL), RECORDS)
-
-
-def _tag() -> Column:
-    """Opening tag of a record, with the division start put back."""
-    return F.regexp_extract(
-        F.concat(F.lit(DIVISION), "value"), "^" + markup.open_tag("DIV[1-9]"), 0
-    )
+    names = StructType.fromDDL(RECORDS).names
+    return scanned.mapInArrow(_part_marker(fv.PART_LEVEL, names), RECORDS)
 
 
 def _end_tag() -> Column:
@@ -134,48 +142,33 @@ def _raw_id(kind: Column, number: Column) -> Column:
     return F.concat(kind, F.lit("-"), number)
 
 
-def divisions(records: DataFrame) -> DataFrame:
-    """Sections and appendices that lie inside a part: ``title_id, raw_id, section_text``.
-
-    Rows with a NULL ``raw_id`` or ``section_text`` are faulty, see :func:`rejects`.
-    """
-    tag, end_tag = F.col("tag"), _end_tag()
-    body = F.call_function("substring_index", F.col("value"), end_tag, F.lit(1))
-    element = F.when(tag.endswith("/>"), tag).when(
-        F.col("value").contains(end_tag), F.concat(F.lit(DIVISION), body, end_tag)
-    )
-    return (
-        records.filter(
-            F.col("level").isin(fv.SECTION_LEVEL, fv.APPENDIX_LEVEL) & (F.col("part_seq") > 0)
-        )
-        .withColumn("tag", _tag())
-        .select(
-            "title_id",
-            "file_path",
-            "pos",
-            _raw_id(
-                markup.attribute(tag, fv.TYPE_ATTRIBUTE), markup.attribute(tag, fv.NUMBER_ATTRIBUTE)
-            ).alias("raw_id"),
-            markup.element_text(element).alias("section_text"),
-        )
-    )
-
-
-def _faulty() -> Column:
-    return F.col("raw_id").isNull() | F.col("section_text").isNull()
+def _divisions(records: DataFrame) -> DataFrame:
+    """Sections and appendices that lie inside a part."""
+    return records.filter(
+        F.col("level").isin(fv.SECTION_LEVEL, fv.APPENDIX_LEVEL) & (F.col("part_seq") > 0)
+    ).withColumn("raw_id", _raw_id(F.col("type"), F.col("number")))
 
 
 def extract_sections(records: DataFrame) -> DataFrame:
-    """Sound divisions as ``title_id, raw_id, section_text``."""
-    return divisions(records).filter(~_faulty()).select("title_id", "raw_id", "section_text")
+    """Sections and appendices of parts as ``title_id, raw_id, section_text``."""
+    body = F.call_function("substring_index", F.col("value"), _end_tag(), F.lit(1))
+    # A division that ended without an end tag is an empty one.
+    element = F.when(
+        F.col("value").contains(_end_tag()), F.concat(F.lit(DIVISION), body, _end_tag())
+    ).otherwise("")
+    return (
+        _divisions(records)
+        .filter(F.col("raw_id").isNotNull() & F.col("ended"))
+        .select("title_id", "raw_id", markup.element_text(element).alias("section_text"))
+    )
 
 
 def rejects(records: DataFrame) -> DataFrame:
     """Divisions without id attributes or end tag, with their place in the file."""
     reason = F.when(F.col("raw_id").isNull(), "no id").otherwise("no end")
     return (
-        divisions(records)
-        .filter(_faulty())
+        _divisions(records)
+        .filter(F.col("raw_id").isNull() | ~F.col("ended"))
         .select("title_id", "file_path", "pos", reason.alias("reason"))
     )
 
@@ -187,21 +180,10 @@ def extract_parts(records: DataFrame) -> DataFrame:
     document order.  Only heads, not texts, are shuffled, and only after each
     task has reduced them to one per part.
     """
+    number = F.lpad("number", F.greatest(F.lit(fv.ID_WIDTH), F.length("number")), F.lit("0"))
     is_part = F.col("level") == fv.PART_LEVEL
-    number = markup.attribute(F.col("tag"), fv.NUMBER_ATTRIBUTE)
-    padded = F.lpad(number, F.greatest(F.lit(fv.ID_WIDTH), F.length(number)), F.lit("0"))
-    heads = (
-        records.filter(F.col("part_seq") > 0)
-        .withColumn("tag", F.when(is_part, _tag()))
-        .select(
-            "title_id",
-            "file_path",
-            "part_seq",
-            "pos",
-            _raw_id(markup.attribute(F.col("tag"), fv.TYPE_ATTRIBUTE), padded).alias("part_id"),
-            markup.first_element(F.col("value"), fv.HEADING_ELEMENT).alias("heading"),
-            markup.first_element(F.col("value"), fv.AUTHORITY_ELEMENT).alias("authority"),
-        )
+    heads = records.filter(F.col("part_seq") > 0).withColumn(
+        "part_id", F.when(is_part, _raw_id(F.col("type"), number))
     )
 
     def first(column: str) -> Column:
@@ -230,15 +212,9 @@ def sound_titles(records: DataFrame) -> DataFrame:
     A file that breaks off or is not the expected markup does not close every
     division it opens, or has none; nothing of such a title is kept.
     """
-    closed = F.regexp_count("value", F.lit(r"</DIV[1-9]\s*>")) + F.when(
-        _tag().endswith("/>"), F.lit(1)
-    ).otherwise(0)
     return (
         records.groupBy("title_id", "file_path")
-        .agg(
-            F.sum((F.col("level") > 0).cast("bigint") - closed).alias("open"),
-            F.max("level").alias("deepest"),
-        )
+        .agg(F.sum("unclosed").alias("open"), F.max("level").alias("deepest"))
         .groupBy("title_id")
         .agg(F.max(F.abs("open")).alias("open"), F.min("deepest").alias("deepest"))
         .filter((F.col("open") == 0) & (F.col("deepest") > 0))
