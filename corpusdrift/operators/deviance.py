@@ -1,6 +1,6 @@
 """How far each section lies from the average of its part, and which stand out."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,16 +129,52 @@ def first_per_group(
     )
 
 
-def least_deviant(scored: DataFrame, n: int = fv.DEVIANTS_N) -> DataFrame:
-    """The ``n`` most typical sections per part.  Sections without a score have no rank."""
+def least_deviant(
+    scored: DataFrame, n: int = fv.DEVIANTS_N, ties: Sequence[str] = ()
+) -> DataFrame:
+    """The ``n`` most typical sections per part.  Sections without a score have no rank.
+
+    ``ties`` are columns that decide where :data:`RANK_ORDER` does not.
+    """
     known = scored.filter(F.col("section_deviance").isNotNull())
-    return first_per_group(known, PART_KEY, _lowest(RANK_ORDER), n)
+    return first_per_group(known, PART_KEY, _lowest([*RANK_ORDER, *ties]), n)
 
 
-def most_deviant(scored: DataFrame, n: int = fv.DEVIANTS_N) -> DataFrame:
-    """The ``n`` least typical sections per part.  Sections without a score have no rank."""
+def most_deviant(
+    scored: DataFrame, n: int = fv.DEVIANTS_N, ties: Sequence[str] = ()
+) -> DataFrame:
+    """The ``n`` least typical sections per part, as :func:`least_deviant` from the other end."""
     known = scored.filter(F.col("section_deviance").isNotNull())
-    return first_per_group(known, PART_KEY, _highest(RANK_ORDER), n)
+    return first_per_group(known, PART_KEY, _highest([*RANK_ORDER, *ties]), n)
+
+
+def _not_least(ranked: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """Rows ranked from the top that are not among the ``n`` lowest as well.
+
+    A row ranked r from the top of c rows is ranked c + 1 - r from the bottom:
+    beyond n of them while r <= c - n.
+    """
+    return (
+        ranked.join(sizes, PART_KEY)
+        .filter(F.col("deviance_rank") <= F.col("ranked_rows") - n)
+        .drop("ranked_rows")
+    )
+
+
+def label_sections(scored: DataFrame, n: int = fv.DEVIANTS_N) -> DataFrame:
+    """Every section with its label: Least, else Most, else Neither.
+
+    Only the picked rows are ranked; all others are what remains when the picked
+    ones, copies counted, are taken away.
+    """
+    ties = [c for c in scored.columns if c not in (*PART_KEY, *RANK_ORDER)]
+    low = least_deviant(scored, n, ties).withColumn("notable_deviant", F.lit(fv.LEAST))
+    high = _not_least(most_deviant(scored, n, ties), _ranked_rows(scored, False), n).withColumn(
+        "notable_deviant", F.lit(fv.MOST)
+    )
+    picked = low.unionByName(high).drop("deviance_rank")
+    rest = scored.exceptAll(picked.select(*scored.columns))
+    return picked.unionByName(rest.withColumn("notable_deviant", F.lit(fv.NEITHER)))
 
 
 def notable_sections(
@@ -173,12 +209,7 @@ def notable_sections(
     wanted = keep(section_operators.clean(wanted, regex_names).select(*own, "section_text"))
     low = _ranked(picked, wanted, fv.LEAST, _lowest, own, n)
     high = _ranked(picked, wanted, fv.MOST, _highest, own, n)
-    # Counted from the other end, a row ranked r from the top of c rows is ranked
-    # c + 1 - r from the bottom: beyond n of them, and so not Least, while r <= c - n.
-    most = high.join(_ranked_rows(scored, fan_out), PART_KEY).filter(
-        F.col("deviance_rank") <= F.col("ranked_rows") - n
-    )
-    return low.unionByName(most.drop("ranked_rows")).select(
+    return low.unionByName(_not_least(high, _ranked_rows(scored, fan_out), n)).select(
         *SECTION_KEY, "section_name", "section_text", "section_deviance", "notable_deviant"
     )
 
@@ -207,11 +238,6 @@ def _ranked_rows(scored: DataFrame, fan_out: bool) -> DataFrame:
     return per_id.groupBy(*PART_KEY).agg(F.sum(rows).alias("ranked_rows"))
 
 
-def notable_label(least: Column, most: Column) -> Column:
-    """Least comes before Most; a row can carry only one label."""
-    return F.when(least, fv.LEAST).when(most, fv.MOST).otherwise(fv.NEITHER)
-
-
 def focal_notable(notable: DataFrame, year: int = fv.FOCAL_YEAR) -> DataFrame:
     """Notable sections of one edition, with the year in a column of its own."""
     return (

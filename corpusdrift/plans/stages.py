@@ -90,10 +90,12 @@ def embed(
     """Embed the focal edition's distinct texts, and average them per part.
 
     Without ``load_encoder`` the built-in bag of words stands in for a model.
+    ``first_sections`` limits a trial run to that many sections.
     """
-    hashed = sections.with_hash(read_sections(spark, root))
+    found = read_sections(spark, root)
     if first_sections:
-        hashed = tables.preview(hashed, first_sections)
+        found = tables.trial_rows(found, first_sections)
+    hashed = sections.with_hash(found)
     facts = sections.clean(hashed, regex_names).drop("section_text")
     tables.write_titles(facts, f"{root}/section_facts")
     texts = embedding.focal_texts(hashed, year)

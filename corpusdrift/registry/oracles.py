@@ -290,6 +290,17 @@ select doc_id, {SECTION}, count(*) as text_rows,
 from joined group by doc_id, {SECTION}""",
     "least_deviant": _ranked("asc"),
     "most_deviant": _ranked("desc"),
+    "labelled_sections": f"""
+select doc_id, {SECTION}, section_name, section_hash, section_deviance,
+  case when section_deviance is null then 'Neither' when low <= 3 then 'Least'
+    when high <= 3 then 'Most' else 'Neither' end as notable_deviant
+from (select *,
+    row_number() over (partition by title_id, part_id, section_deviance is null order by
+      section_deviance, section_id, section_hash, section_name, doc_id) as low,
+    row_number() over (partition by title_id, part_id, section_deviance is null order by
+      section_deviance desc, section_id desc, section_hash desc, section_name desc, doc_id desc)
+      as high
+  from dev) t""",
     "notable_sections": _notable(1, "joined"),
     "notable_sections_three": _notable(3, "joined"),
     "notable_sections_own_text": _notable(3, "dev"),

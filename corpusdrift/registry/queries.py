@@ -400,6 +400,12 @@ def most_deviant(corpus: Corpus) -> DataFrame:
     )
 
 
+@query
+def labelled_sections(corpus: Corpus) -> DataFrame:
+    columns = ["doc_id", *SECTION, "section_name", "section_hash", "section_deviance"]
+    return deviance.label_sections(tables.settle(_scored(corpus, words=False).select(*columns)), 3)
+
+
 def _notable(corpus: Corpus, n: int, fan_out: bool) -> DataFrame:
     notable = deviance.notable_sections(
         tables.settle(_scored(corpus, words=False)), _hashed(corpus), n, fan_out, keep=tables.settle

@@ -1,5 +1,6 @@
 """Stage tables and exports."""
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -8,10 +9,15 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares for cut lineages."""
+    """A fresh path in the folder that the cluster shares for cut lineages.
+
+    Only a local session may leave the folder unnamed.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder all executors can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/corpusdrift-{uuid.uuid4().hex}"
 
 
@@ -78,8 +84,19 @@ def partition_sizes(table: DataFrame) -> DataFrame:
     )
 
 
+def trial_rows(table: DataFrame, rows: int) -> DataFrame:
+    """Some ``rows`` rows of a stored table, chosen by place in its files.
+
+    Only the places go through one task, not the rows with their texts.
+    """
+    place = ["file_path", "row_index"]
+    marked = table.select("*", *(F.col(f"_metadata.{column}") for column in place))
+    chosen = settle(marked.select(*place).limit(rows))
+    return marked.join(chosen, place, "left_semi").drop(*place)
+
+
 def preview(table: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
-    """The first rows, for looking at or for a trial run on a part of the corpus.
+    """The first rows of a narrow table, for looking at or for choosing a few titles.
 
     With ``keys`` the choice is the same every time; without, Spark takes whichever
     rows come first.

@@ -105,10 +105,26 @@ def test_unscored_sections_are_never_notable(spark):
     assert found == {"s2": "Least", "s3": "Most"}
 
 
-def test_labels(spark):
-    table = spark.createDataFrame([(True, True), (True, False), (False, True), (False, False)], "l boolean, m boolean")
-    label = deviance.notable_label(F.col("l"), F.col("m"))
-    assert [r[0] for r in table.select(label).collect()] == ["Least", "Least", "Most", "Neither"]
+@pytest.mark.parametrize("n", [1, 3, 100])
+def test_labels_keep_every_row_and_copy(spark, n):
+    """Rows that are equal in every column are labelled as often as their rank says."""
+    data = _data(6, hot=True)
+    data = data + data[:40]
+    expected, groups = [], defaultdict(list)
+    for row in data:
+        if row[8] is None:
+            expected.append((*row, "Neither"))
+        else:
+            groups[row[:2]].append(row)
+    for group in groups.values():
+        # Scored rows have ids here or None, which sorts first in Spark.
+        group.sort(key=lambda r: (r[8], r[2] or "", r[6], r[3], r[4], r[5], r[7], r[9]))
+        for i, row in enumerate(group):
+            label = "Least" if i < n else "Most" if i >= len(group) - n else "Neither"
+            expected.append((*row, label))
+    found = deviance.label_sections(spark.createDataFrame(data, SCHEMA), n)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    assert rows(found, *names, "notable_deviant") == sorted(expected, key=repr)
 
 
 def test_stored_vectors_give_the_same_scores(spark):

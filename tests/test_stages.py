@@ -122,9 +122,12 @@ def test_pipeline(spark, raw, tmp_path):
     assert browser["focal"].filter("title_name_full = 'Title 1 - One'").count() == 4
 
 
-def test_trial_run_on_few_titles(spark, raw, tmp_path):
-    outcome = stages.extract(spark, str(raw), str(tmp_path / "out"), first_titles=1)
+def test_trial_run_on_few_titles_and_sections(spark, raw, tmp_path):
+    root = str(tmp_path / "out")
+    outcome = stages.extract(spark, str(raw), root, first_titles=1)
     assert rows(outcome, "title_id") == [("Title-01-2023",)]
+    stages.embed(spark, root, year=2023, first_sections=3)
+    assert stages.read_facts(spark, root).count() == 3
 
 
 def test_only_titles_at_hand_are_replaced(spark, tmp_path):
