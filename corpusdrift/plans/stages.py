@@ -32,12 +32,13 @@ def extract(
     root: str,
     repaired: bool = False,
     first_titles: int | None = None,
+    suffix: str = fv.TITLE_FILE_SUFFIX,
 ) -> DataFrame:
     """Parse the title files that have not been parsed yet; returns the outcome per title.
 
-    ``first_titles`` limits a trial run to that many files.
+    ``first_titles`` limits a trial run to that many files, usually ``fv.TEST_TITLES``.
     """
-    raw = inventory.inventory(spark, raw_folder)
+    raw = inventory.inventory(spark, raw_folder, suffix)
     roster = inventory.extract_roster(raw, inventory.parsed_inventory(spark, f"{root}/section"))
     if first_titles:
         roster = tables.preview(roster, first_titles, "title_id")
@@ -90,7 +91,7 @@ def embed(
     """Embed the focal edition's distinct texts, and average them per part.
 
     Without ``load_encoder`` the built-in bag of words stands in for a model.
-    ``first_sections`` limits a trial run to that many sections.
+    ``first_sections`` limits a trial run to that many sections, usually ``fv.TEST_SECTIONS``.
     """
     found = read_sections(spark, root)
     if first_sections:
@@ -154,7 +155,9 @@ def quantify(
             tables.export_table(table, f"{root}/{folder}", fmt)
 
 
-def browse(spark: SparkSession, root: str, titles: DataFrame, years: list[str]) -> dict[str, DataFrame]:
+def browse(
+    spark: SparkSession, root: str, titles: DataFrame, years: list[str]
+) -> dict[str, DataFrame]:
     """The tables behind the part browser, from the exported results."""
     focal = tables.read_table(spark, f"{root}/part_data_focal", schemas.PART_FOCAL)
     temporal = tables.read_table(spark, f"{root}/part_data_temporal", schemas.PART_TEMPORAL)

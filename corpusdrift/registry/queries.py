@@ -354,9 +354,9 @@ def _centroids(corpus: Corpus) -> DataFrame:
 
 @query
 def part_centroid(corpus: Corpus) -> DataFrame:
-    return _centroids(corpus).select(
-        "title_id", "part_id", F.posexplode("part_embedding").alias("place", "mean")
-    ).withColumn("mean", F.round("mean", 6))
+    means = F.posexplode("part_embedding").alias("place", "mean")
+    centroids = _centroids(corpus).select("title_id", "part_id", means)
+    return centroids.withColumn("mean", F.round("mean", 6))
 
 
 @query
