@@ -433,7 +433,9 @@ def notable_sections_own_text(corpus: Corpus) -> DataFrame:
 
 @query
 def part_deviance(corpus: Corpus) -> DataFrame:
-    return parts.part_aggregates(_scored(corpus)).select("title_id", "part_id", "deviance_mean", "section_count")
+    return parts.part_aggregates(_scored(corpus)).select(
+        "title_id", "part_id", "deviance_mean", "section_count"
+    )
 
 
 @query
