@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusdrift.llm import bpe, shared, token_store
+from corpusdrift.llm import bpe, near_duplicates, shared, substring_dedup, token_store
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -19,6 +20,15 @@ def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.with_starts(token_store.read(spark, path))
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(shared.table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(shared.table(spark, folder, "documents"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = shared.table(spark, folder, "documents")
     return bpe.encode_documents(docs, shared.tokenizer_file(VOCABULARY))
@@ -26,6 +36,51 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_bpe": op9_bpe,
 }
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM w),
+keyed AS (SELECT doc_id, s, list_slice(words, s, s + 19)::VARCHAR AS k FROM starts),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM keyed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM ranked WHERE n > 1),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+         FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words]
+    ELSE list_distinct([list_slice(words, i, i + 4) FOR i IN range(1, len(words) - 3)]) END AS s FROM w),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+members AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op7_near_duplicates": OP7_SQL,
+}
