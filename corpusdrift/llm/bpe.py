@@ -24,27 +24,16 @@ from corpusdrift.llm import shared
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ENCODED_WITH_IDS = ENCODED + ", ids array<int>"
 
-def _byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary.
-
-    Printable Latin-1 characters stand for themselves, the other bytes, in order, for the
-    characters from U+0100.
-    """
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
-
-
 class Vocabulary:
     """A byte-level vocabulary with its merges, from a tokenizer file's JSON."""
 
-    def __init__(self, content: str, remember: int = 200_000) -> None:
+    def __init__(self, content: str, remember: int = 150_000) -> None:
         data = json.loads(content)
         model, before = data["model"], data["pre_tokenizer"]
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         if model["type"] != "BPE" or data["normalizer"] or any(before.get(k) != v for k, v in plain.items()):
             raise ValueError("only byte-level vocabularies without normalizer are supported")
-        letters = _byte_letters()
+        letters = shared.byte_letters()
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items()}
         self.special = {}
         for token in data["added_tokens"]:
@@ -61,7 +50,7 @@ class Vocabulary:
         made = [a + b for a, b in merges]
         singles = [t for t in vocab if len(t) == 1]
         order = {t: i for i, t in enumerate([*singles, *dict.fromkeys(made)])}
-        letters = _byte_letters()
+        letters = shared.byte_letters()
         self.id_of = [vocab[t] for t in order]
         self.parts: list[tuple[int, int]] = [(i, i) for i in range(len(order))]
         self.joined: dict[tuple[int, int], int] = {}
@@ -148,7 +137,7 @@ class Vocabulary:
         return [self.id_of[t] for t in taken]
 
     def _encode_text_word(self, word: str) -> bytes:
-        return np.array(self.encode_word(word.encode()), "<u4").tobytes()
+        return shared.id_bytes(self.encode_word(word.encode()))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""

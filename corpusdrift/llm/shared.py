@@ -2,8 +2,10 @@
 
 import os
 import re
+import sys
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -133,6 +135,25 @@ BYTE_LEVEL_WORDS = regex.compile(
 )
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Printable Latin-1 characters stand for themselves, the other bytes, in order, for the
+    characters from U+0100.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Remembered(dict):
     """What ``make`` gave for a key, for the keys seen lately.
 
@@ -164,7 +185,7 @@ class PieceEncoder:
     """
 
     def __init__(
-        self, encode_word: Callable[[str], bytes], special: dict[str, int], most: int = 250_000
+        self, encode_word: Callable[[str], bytes], special: dict[str, int], most: int = 150_000
     ) -> None:
         self.special = special
         self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None

@@ -15,6 +15,7 @@ One document is read by seeking its frame through the index; no other frame is t
 """
 
 import hashlib
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -50,8 +51,6 @@ class Encoder:
     """
 
     def __init__(self, content: str) -> None:
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
@@ -67,10 +66,15 @@ class Encoder:
             and not data["model"].get("dropout")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added)
         )
-        self.pieces = shared.PieceEncoder(self._whole, {t["content"]: t["id"] for t in added}) if by_words else None
+        self.model, self.letters = self.tokenizer.model, {b: ord(c) for c, b in shared.byte_letters().items()}
+        self.pieces = shared.PieceEncoder(self._word, {t["content"]: t["id"] for t in added}) if by_words else None
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return shared.id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return shared.id_bytes([token.id for token in tokens])
 
     def encode(self, text: str) -> bytes:
         return self.pieces.encode(text) if self.pieces else self._whole(text)
