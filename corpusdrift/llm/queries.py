@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdrift.llm import bpe, near_duplicates, shared, substring_dedup, token_store
+from corpusdrift.llm import bpe, line_frequency, near_duplicates, shared, substring_dedup, token_store, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -25,6 +25,16 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return line_frequency.judge_documents(shared.table(spark, folder, "documents"))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared.shared_folder(spark)
+    warc.write(shared.table(spark, folder, "pages"), path)
+    return warc.page_records(warc.read(spark, path))
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(shared.table(spark, folder, "documents"))
 
@@ -37,6 +47,8 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_frequency": op3_line_frequency,
+    "op6_warc": op6_warc,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_bpe": op9_bpe,
 }
@@ -57,6 +69,34 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIG
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP3_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, {_WORDS} AS words FROM documents),
+windows AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS s FROM w),
+keyed AS (SELECT doc_id, s, list_slice(words, s, s + 2) AS k FROM windows),
+again AS (SELECT doc_id, s FROM keyed QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + 3)) AS i FROM again) GROUP BY 1),
+raw AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM w),
+lines AS (
+  SELECT doc_id, host, t, line, trim(regexp_replace(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+    '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain
+  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
+hosts AS (SELECT host, count(DISTINCT t) AS total FROM w GROUP BY 1),
+counts AS (SELECT host, plain, count(DISTINCT t) AS n FROM lines GROUP BY 1, 2),
+frequent AS (SELECT host, plain FROM counts JOIN hosts USING (host) WHERE n >= 5 AND n * 100 > total),
+removed AS (SELECT doc_id, sum(len(string_split(plain, ' '))) AS n FROM lines JOIN frequent USING (host, plain) GROUP BY 1),
+figures AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS n_words_removed
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+    AND NOT ((n_words - n_words_removed) * 100 < n_words * 50) AS kept
+FROM figures
+"""
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
@@ -82,5 +122,6 @@ FROM sizes JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
+    "op3_line_frequency": OP3_SQL,
     "op7_near_duplicates": OP7_SQL,
 }

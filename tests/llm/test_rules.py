@@ -1,0 +1,72 @@
+"""Quality rules against brute force; the query is compared with SQL elsewhere."""
+
+from collections import Counter, defaultdict
+
+from conftest import rows
+
+from corpusdrift.llm import line_frequency
+
+SCHEMA = "doc_id long, text string, source string, host string, content string, n_words string, line int, key int"
+
+
+def table(spark, found):
+    return spark.createDataFrame([(d, t, s, "h", "c", None, 1, 2) for d, t, s in found], SCHEMA)
+
+
+def brute(found, percent=1, documents=5):
+    hosts, lines = defaultdict(set), defaultdict(set)
+    split = lambda t: [x for x in (t or "").split("\n") if x.encode().split()]
+    plain = lambda x: b" ".join(x.encode().lower().translate(bytes.maketrans(b"123456789", b"000000000")).split())
+    for _, t, s in found:
+        hosts[s or ""].add(t or "")
+        for x in split(t):
+            lines[s or "", plain(x)].add(t)
+    out = []
+    for d, t, s in found:
+        words = (t or "").encode().split()
+        triples = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        again = {i + k for i in range(len(words) - 2) if triples[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        frequent = [x for x in split(t) if (n := len(lines[s or "", plain(x)])) >= documents and n * 100 > percent * len(hosts[s or ""])]
+        gone = sum(len(x.encode().split()) for x in frequent)
+        failed = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        clean = None if t is None and not frequent else "\n".join(x for x in (t or "").split("\n") if x not in frequent)
+        out.append(
+            (
+                d, len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in t or ""),
+                len(split(t)) - len(set(split(t))), len(again), failed, gone,
+                not failed and not (len(words) - gone) * 100 < len(words) * 50, clean,
+            )
+        )
+    return sorted(out, key=repr)
+
+
+COLUMNS = ["doc_id", *line_frequency._BASE, "base_failed", "n_words_removed", "kept", "clean_text"]
+
+
+def corpus():
+    out = []
+    for i in range(300):
+        own = "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(7)) for j in range(i % 12 + 1))
+        menu = "\n".join([f"Home | Page {i % 9}", "  HOME \t|  page 4 "] + ["About us & more"] * (i % 3))
+        out.append((i, f"{own}\n{menu}\n{'boiler plate ' * (i % 50)}", f"h{i % 2 * (i % 5)}"))
+    return out
+
+
+def test_rules_equal_brute_force(spark):
+    found = corpus()
+    # Exact copies are one document: their own lines aren't frequent.
+    found += [(1000 + i, "copied " + " ".join(f"c{k}" for k in range(80)), "h0") for i in range(30)]
+    found += [(2000, None, "h0"), (2001, "", None), (2002, "\n \t\n", None), (2003, "é ü " * 60, None)]
+    found += [(None, "x y z " * 40, "h1"), (7777, "a line\n" * 9 + "word " * 100_000, "h3")]
+    judged = line_frequency.judge_documents(table(spark, found), with_text=True)
+    assert rows(judged, *COLUMNS) == brute(found)
+    plain = line_frequency.judge_documents(table(spark, found))
+    assert rows(plain, *COLUMNS[:-1]) == sorted((r[:-1] for r in brute(found)), key=repr)
+    assert {r.kept for r in judged.where("doc_id between 1000 and 1029").collect()} == {True}
+
+
+def test_repeated_rows_and_empty_table(spark):
+    found = corpus()[:40]
+    judged = rows(line_frequency.judge_documents(table(spark, found + found)), *COLUMNS[:-1])
+    assert judged == sorted([r[:-1] for r in brute(found)] * 2, key=repr)
+    assert line_frequency.judge_documents(table(spark, [])).collect() == []
