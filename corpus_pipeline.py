@@ -1,21 +1,64 @@
-"""Documents through the filters of ``corpusdrift.llm`` to token ids."""
+"""Documents through the filters of ``corpusdrift.llm`` to token ids.
+
+Each stage takes the rows that the one before kept, with the columns of ``documents``, and its
+decisions take effect; the last one returns what encoding gives.
+"""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusdrift.llm import bpe, shared
-from corpusdrift.llm.queries import VOCABULARY
+from corpusdrift.llm import bpe, decontaminate, near_duplicates, shared, substring_dedup, toxicity
+from corpusdrift.llm.queries import VOCABULARY, toxic_training
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that the classifier rejects go."""
+    net = toxicity.fit(docs, shared.table(spark, sf_dir, "labels"), toxic_training())
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    scored = toxicity.score_documents(docs, net, F.col("text").alias("__text"), *rest)
+    return scored.where("predicted = 0").withColumnRenamed("__text", "text").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each group stays."""
+    gone = near_duplicates.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: repeated passages go, and with them documents of which nothing is left.
+
+    Texts without a repeated passage stay as they are.
+    """
+    found = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text").distinct()
+    joined = docs.join(found, "doc_id", "left")
+    text = F.coalesce("kept_text", "text")
+    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}
+    return joined.where("kept_text is null or kept_text <> ''").select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    leaks = decontaminate.find_leaks(docs, shared.table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding of what is left, checked by decoding it."""
     return bpe.encode_documents(docs, shared.tokenizer_file(VOCABULARY))
 
 
-STAGES: list[tuple[str, Stage]] = [("bpe", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("decontaminate", drop_leaks),
+    ("bpe", encode),
+]
 
 #: SQL can't express the trained classifier of the first stage.
 ORACLE_SQL = None

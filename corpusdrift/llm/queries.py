@@ -2,10 +2,22 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdrift.llm import bpe, line_frequency, near_duplicates, shared, substring_dedup, token_store, warc
+from corpusdrift.llm import (
+    bpe,
+    decontaminate,
+    language_id,
+    license_scan,
+    line_frequency,
+    near_duplicates,
+    shared,
+    substring_dedup,
+    token_store,
+    toxicity,
+    warc,
+)
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -29,6 +41,14 @@ def op3_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_frequency.judge_documents(shared.table(spark, folder, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(shared.table(spark, folder, "documents"), shared.table(spark, folder, "benchmark"))
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(shared.table(spark, folder, "documents")).drop("blocks")
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = shared.shared_folder(spark)
     warc.write(shared.table(spark, folder, "pages"), path)
@@ -39,18 +59,49 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(shared.table(spark, folder, "documents"))
 
 
+def _part(of: int) -> Column:
+    """crc32 of the id as text, modulo a number."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = shared.table(spark, folder, "documents")
+    learned = shared.written(language_id.learn_profiles(docs.where(_part(4) != 2)))
+    found = language_id.identify(docs, language_id.collect_profiles(learned))
+    return found.select("doc_id", F.coalesce(_part(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def toxic_training() -> Column:
+    """Of these documents the labels may be learned."""
+    return _part(5) != 0
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = shared.table(spark, folder, "documents"), shared.table(spark, folder, "labels")
+    net = toxicity.fit(docs, labels, toxic_training())
+    held_out = F.coalesce(_part(5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score_documents(docs, net).select("doc_id", held_out, "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = shared.table(spark, folder, "documents")
     return bpe.encode_documents(docs, shared.tokenizer_file(VOCABULARY))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_token_store": op1_token_store,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_line_frequency": op3_line_frequency,
-    "op6_warc": op6_warc,
-    "op7_near_duplicates": op7_near_duplicates,
-    "op9_bpe": op9_bpe,
+    query.__name__: query
+    for query in (
+        op1_token_store,
+        op2_substring_dedup,
+        op3_line_frequency,
+        op4_decontaminate,
+        op5_license_scan,
+        op6_warc,
+        op7_near_duplicates,
+        op8_language_id,
+        op9_bpe,
+        op10_toxicity,
+    )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
