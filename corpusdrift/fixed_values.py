@@ -40,8 +40,6 @@ ID_WIDTH = 4
 PART_PREFIX = "Part-"
 SECTION_PREFIX = "Section-"
 RAW_PART_PREFIX = "PART-"
-DOTLESS = "^([^.]*+)$"
-DOTLESS_REPLACEMENT = "0.$1"
 AFTER_FIRST_DOT = "[.].+$"
 UP_TO_LAST_DOT = "^.+[.]"
 UP_TO_LAST_TO = ".* to "
@@ -72,5 +70,3 @@ DISPLAY_DIGITS = 3
 FOCAL_YEAR = 2024
 DEVIANTS_N = 1
 ENCODER_BATCH = 32
-TEST_TITLES = 64
-TEST_SECTIONS = 100_000

@@ -31,7 +31,7 @@ def raw_name(raw_id: Column, repaired: bool = False) -> Column:
 
 def dotted_name(name: Column) -> Column:
     """Section names without a dot belong to part zero."""
-    return F.regexp_replace(name, fv.DOTLESS, fv.DOTLESS_REPLACEMENT)
+    return F.when(name.contains("."), name).otherwise(F.concat(F.lit("0."), name))
 
 
 def section_part_id(dotted: Column, repaired: bool = False) -> Column:

@@ -2,7 +2,7 @@
 
 The input is one element as text.  Everything is a regular expression over that
 text, so a malformed element gives an odd value and never fails the job, and the
-work stays in the JVM.  CDATA blocks are not handled.
+work stays in the JVM.  CDATA blocks have to be turned into escaped text before.
 """
 
 from pyspark.sql import Column

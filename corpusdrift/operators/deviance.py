@@ -16,25 +16,6 @@ TEXT_KEY = [*PART_KEY, "section_hash"]
 Order = Callable[[list[str]], list[Column]]
 
 
-def distance_to_centroid(
-    embedded_sections: DataFrame, parts: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add ``section_deviance`` from ``section_embedding`` and the part's ``part_embedding``.
-
-    For tables that carry their vectors; :func:`section_deviance` needs none.
-    """
-    centroids = (
-        parts.filter(F.col("part_embedding").isNotNull())
-        .select(*PART_KEY, "part_embedding")
-        .withColumn("part_norm", vectors.norm(F.col("part_embedding")))
-    )
-    return (
-        join_one(embedded_sections, centroids, PART_KEY, hot_rows=hot_rows)
-        .withColumn("section_deviance", _distance())
-        .drop("part_norm")
-    )
-
-
 def _distance() -> Column:
     section, part = F.col("section_embedding"), F.col("part_embedding")
     return vectors.rescaled_distance(
@@ -54,7 +35,7 @@ def text_deviance(
     No row per section and no vectors come out.  Parts that are not listed in
     ``parts`` have no centroid to compare with, and their texts a NULL score.
     """
-    pairs = embedded_pairs(sections, embedded, year)
+    pairs = embedded_pairs(sections, embedded, year, hot_rows)
     centroids = (
         centroids_of_pairs(pairs)
         .join(parts.select(*PART_KEY), PART_KEY, "left_semi")
@@ -73,21 +54,6 @@ def editions(sections: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
     return sections.filter(focal), sections.filter(~F.coalesce(focal, F.lit(False)))
 
 
-def section_deviance(
-    sections: DataFrame,
-    embedded: DataFrame,
-    parts: DataFrame,
-    year: int = fv.FOCAL_YEAR,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Add ``section_deviance`` to every section; NULL outside the focal edition."""
-    focal, others = editions(sections, year)
-    scores = text_deviance(sections, embedded, parts, year, hot_rows)
-    return join_one(focal, scores, TEXT_KEY, hot_rows=hot_rows).unionByName(
-        others.withColumn("section_deviance", F.lit(None).cast("double"))
-    )
-
-
 def attach_text_counts(sections: DataFrame, texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """What a join of sections to text rows on title, part and section id would give, without pairs.
 
@@ -164,17 +130,41 @@ def _not_least(ranked: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
 def label_sections(scored: DataFrame, n: int = fv.DEVIANTS_N) -> DataFrame:
     """Every section with its label: Least, else Most, else Neither.
 
-    Only the picked rows are ranked; all others are what remains when the picked
-    ones, copies counted, are taken away.
+    Only the picked rows, at most ``2 n`` of a part, are ranked.  They are joined back to all rows on all
+    columns; of rows that are equal in all of them as many get the label as were picked.
     """
-    ties = [c for c in scored.columns if c not in (*PART_KEY, *RANK_ORDER)]
-    low = least_deviant(scored, n, ties).withColumn("notable_deviant", F.lit(fv.LEAST))
+    columns = scored.columns
+    ties = [c for c in columns if c not in (*PART_KEY, *RANK_ORDER)]
+    low = least_deviant(scored, n, ties).withColumn("label", F.lit(fv.LEAST))
     high = _not_least(most_deviant(scored, n, ties), _ranked_rows(scored, False), n).withColumn(
-        "notable_deviant", F.lit(fv.MOST)
+        "label", F.lit(fv.MOST)
     )
-    picked = low.unionByName(high).drop("deviance_rank")
-    rest = scored.exceptAll(picked.select(*scored.columns))
-    return picked.unionByName(rest.withColumn("notable_deviant", F.lit(fv.NEITHER)))
+    picked = low.unionByName(high).groupBy(*columns).agg(
+        F.count_if(F.col("label") == fv.LEAST).alias("least"),
+        F.count_if(F.col("label") == fv.MOST).alias("most"),
+    )
+    marked = F.struct(*(F.col(c) for c in columns))
+    key = F.xxhash64(marked)
+    narrow = picked.select(
+        key.alias("__key"), marked.alias("__row"), "least", "most"
+    )
+    found = (
+        scored.withColumn("__key", key)
+        .join(narrow, "__key", "left")
+        .filter(F.col("__row").isNull() | marked.eqNullSafe(F.col("__row")))
+        .drop("__row")
+    )
+    # Equal rows are numbered only where some of them were picked.
+    same = Window.partitionBy("__key", *columns).orderBy(F.lit(1))
+    place = F.row_number().over(same)
+    label = (
+        F.when(F.col("place") <= F.col("least"), fv.LEAST)
+        .when(F.col("place") <= F.col("least") + F.col("most"), fv.MOST)
+        .otherwise(fv.NEITHER)
+    )
+    rest = found.filter("least is null").withColumn("notable_deviant", F.lit(fv.NEITHER))
+    some = found.filter("least is not null").withColumn("place", place).withColumn("notable_deviant", label)
+    return some.select(*columns, "notable_deviant").unionByName(rest.select(*columns, "notable_deviant"))
 
 
 def notable_sections(
@@ -185,10 +175,12 @@ def notable_sections(
     regex_names: bool = False,
     keep: Callable[[DataFrame], DataFrame] = lambda table: table,
     hot_rows: int = HOT_ROWS,
+    year: int = fv.FOCAL_YEAR,
 ) -> DataFrame:
     """The least and most deviant sections per part, with cleaned text.
 
-    ``scored`` holds all sections without text, ``texts`` the same with raw text.
+    ``scored`` holds all sections without text, ``texts`` the same with raw text, of which only
+    the edition with scores is read.
     A row that is among the ``n`` lowest is Least even if it is also among the
     ``n`` highest.  With ``fan_out`` the ranking runs over the rows that a join
     on the (not unique) section id would give; only the at most ``n`` rows per
@@ -202,10 +194,13 @@ def notable_sections(
     )
     picked = keep(picked.drop("deviance_rank"))
     own = SECTION_KEY if fan_out else [*SECTION_KEY, "section_name", "section_hash"]
-    texts = texts.select(
-        *SECTION_KEY, "section_name", "section_type", "section_hash", "section_text"
+    texts = editions(texts, year)[0].select(
+        *dict.fromkeys([*own, "section_name", "section_type", "section_text"])
+    )
+    counted = editions(scored, year)[0]
+    wanted = join_one(
+        texts, picked.select(*own).distinct(), own, "left_semi", hot_rows, counted, ["section_name"]
     )
-    wanted = join_one(texts, picked.select(*own).distinct(), own, "left_semi", hot_rows, scored)
     wanted = keep(section_operators.clean(wanted, regex_names).select(*own, "section_text"))
     low = _ranked(picked, wanted, fv.LEAST, _lowest, own, n)
     high = _ranked(picked, wanted, fv.MOST, _highest, own, n)

@@ -126,15 +126,18 @@ def focal_pairs(sections: DataFrame, year: int = fv.FOCAL_YEAR) -> DataFrame:
 
 
 def embedded_pairs(
-    sections: DataFrame, embedded: DataFrame, year: int = fv.FOCAL_YEAR
+    sections: DataFrame,
+    embedded: DataFrame,
+    year: int = fv.FOCAL_YEAR,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Focal pairs with the vector of their text.
 
-    However many copies of a text there are, it has at most one row per part
-    here, so no hash is hot.
+    One text may stand in every part, so hashes with many pairs are dealt out.
     """
-    return focal_pairs(sections, year).join(
-        embedded.select("section_hash", "section_embedding"), "section_hash"
+    vectors_of_texts = embedded.select("section_hash", "section_embedding")
+    return join_one(
+        focal_pairs(sections, year), vectors_of_texts, ["section_hash"], "inner", hot_rows
     )
 
 

@@ -36,16 +36,18 @@ def join_one(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,
+    salt_by: list[str] | None = None,
 ) -> DataFrame:
     """Join every row of ``left`` to at most one row of ``right``.
 
     ``right`` must be unique on ``keys``.  Hot keys are looked for in ``counted``:
     a table with the same rows as ``left`` that is cheaper to read.  The salt is a function of the row's
-    content, so a task that runs again deals out its rows the same way.  Rows with
+    content, so a task that runs again deals out its rows the same way; ``salt_by`` names
+    the columns it is taken from, where the others are long.  Rows with
     a NULL key match nothing and are spread over all tasks.
     """
     hot = F.broadcast(hot_keys(left if counted is None else counted, keys, hot_rows))
-    content = F.xxhash64(*[c for c in left.columns if c not in keys])
+    content = F.xxhash64(*(salt_by or [c for c in left.columns if c not in keys]))
     unmatched = reduce(or_, [F.col(key).isNull() for key in keys])
     salt = (
         F.when(unmatched, content)

@@ -9,11 +9,16 @@ from corpusdrift.operators.sections import PART_KEY
 
 
 def panel(temporal: DataFrame, figure: str, years: list[str]) -> DataFrame:
-    """One row per part, one column per year.  Two values for one cell are an error."""
+    """One row per part, one column per year.
+
+    Two values for one cell are an error, and so is a row of a year that isn't listed.
+    """
     single = F.when(F.count(F.lit(1)) <= 1, F.max(figure)).otherwise(
         F.raise_error(F.lit(f"more than one {figure} per part and year"))
     )
-    return temporal.groupBy(*PART_KEY).pivot("year_id", years).agg(single)
+    unlisted = F.concat(F.lit("a row of a year that is not listed: "), F.coalesce("year_id", F.lit("NULL")))
+    listed = F.when(F.col("year_id").isin(years), F.col("year_id")).otherwise(F.raise_error(unlisted))
+    return temporal.withColumn("year_id", listed).groupBy(*PART_KEY).pivot("year_id", years).agg(single)
 
 
 def _rankable(focal: DataFrame) -> DataFrame:
@@ -59,11 +64,9 @@ def with_title_names(focal: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def part_lookup(focal: DataFrame, title_id: str, part_id: str) -> DataFrame:
-    """Details of one part; no row if there is no such part."""
-    return (
-        focal.filter((F.col("title_id") == title_id) & (F.col("part_id") == part_id))
-        .select("title_name_full", "part_heading", "part_authority", "deviance_mean")
-        .limit(1)
+    """Details of one part: every row of that key; no row if there is no such part."""
+    return focal.filter((F.col("title_id") == title_id) & (F.col("part_id") == part_id)).select(
+        "title_name_full", "part_heading", "part_authority", "deviance_mean"
     )
 
 

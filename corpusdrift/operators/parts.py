@@ -28,7 +28,8 @@ def quantify(
     if multiplicity:
         copies = focal.groupBy("section_hash").agg(F.count(F.lit(1)).alias("copies"))
         known = known.join(copies, "section_hash")
-        scores = scores.join(copies, "section_hash")
+        # One text may have a score in every part.
+        scores = join_one(scores, copies, ["section_hash"], "inner", hot_rows)
     else:
         known = known.withColumn("copies", F.lit(1).cast("bigint"))
         scores = scores.withColumn("copies", F.lit(1).cast("bigint"))

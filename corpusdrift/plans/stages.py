@@ -2,11 +2,13 @@
 
 Every stage reads its input once, writes narrow tables, and leaves the rest to
 Spark; what a later stage needs more than once is on disk by then, so a lost
-executor costs the tasks it ran and nothing else.
+executor costs the tasks it ran and nothing else.  Stages run jobs; the operators
+they are made of only build plans.
 
-Folders under ``root``: ``section`` and ``part`` (extraction), ``section_facts``,
-``text_embedding`` and ``embedded_part`` (embedding), ``section_scores``,
-``notable_sections``, ``part_data_focal`` and ``part_data_temporal`` (results).
+Folders under ``root``: ``section``, ``part``, ``rejects`` and ``parsed`` (extraction),
+``section_facts``, ``text_embedding``, ``embedded_part`` and ``embedding_run`` (embedding),
+``section_scores``, ``notable_sections``, ``part_data_focal`` and ``part_data_temporal`` (results).
+While a stage runs its scratch tables lie there too; it removes them at its end.
 """
 
 from collections.abc import Callable
@@ -16,14 +18,32 @@ from pyspark.sql import functions as F
 
 from corpusdrift import fixed_values as fv
 from corpusdrift.operators import deviance, embedding, panels, parts, sections
-from corpusdrift.sources import inventory, markup, schemas, tables
+from corpusdrift.sources import inventory, markup, roster, schemas, tables
 
 SECTION_FACTS = (
     "section_name string, section_type string, part_id string, section_id string, "
     "section_hash string, section_word_count bigint, title_id string"
 )
 TEXT_EMBEDDING = "section_hash string, section_embedding array<double>"
-SECTION_SCORES = SECTION_FACTS + ", section_deviance double, copies bigint, focal_year_match int"
+EMBEDDING_RUN = "year int, regex_names boolean"
+SECTION_SCORES = (
+    SECTION_FACTS
+    + ", section_deviance double, copies bigint, focal_year_match int, notable_deviant string"
+)
+
+
+def title_roster(
+    spark: SparkSession,
+    raw_folder: str,
+    years: tuple[int, int] | None = None,
+    titles: tuple[int, int] | None = None,
+    this_year: int | None = None,
+) -> dict[str, DataFrame]:
+    """Which title files there should be, which are present, and how many of each."""
+    bounds = roster.corpus_bounds(spark, years, titles, this_year)
+    present = inventory.inventory(spark, raw_folder).select("title_id")
+    found = roster.title_roster(bounds, present, raw_folder)
+    return {"roster": found, "tally": roster.status_tally(found)}
 
 
 def extract(
@@ -31,43 +51,47 @@ def extract(
     raw_folder: str,
     root: str,
     repaired: bool = False,
-    first_titles: int | None = None,
     suffix: str = fv.TITLE_FILE_SUFFIX,
 ) -> DataFrame:
     """Parse the title files that have not been parsed yet; returns the outcome per title.
 
-    ``first_titles`` limits a trial run to that many files, usually ``fv.TEST_TITLES``.
+    Titles are marked as parsed last, so what a broken run left behind is written anew.
     """
     raw = inventory.inventory(spark, raw_folder, suffix)
-    roster = inventory.extract_roster(raw, inventory.parsed_inventory(spark, f"{root}/section"))
-    if first_titles:
-        roster = tables.preview(roster, first_titles, "title_id")
-    roster = tables.settle(roster)
+    work = inventory.extract_roster(raw, inventory.parsed_inventory(spark, f"{root}/parsed"))
+    path = tables.shared_folder(spark, root)
+    work.write.parquet(path)
+    work = spark.read.schema(work.schema).parquet(path)
     # One short path per unread file: at most fifty titles for each year.
-    paths = [row.path for row in inventory.pending(roster).select("path").toLocalIterator()]
-    if not paths:
-        read = spark.createDataFrame([], "title_id string, lines bigint")
-        return inventory.extract_outcomes(roster, read).drop("path", "length")
-    records = _read_once(spark, paths)
-    sound = tables.settle(markup.sound_titles(records))
-    kept = records.join(sound, "title_id", "left_semi")
-    found = sections.normalize(markup.extract_sections(kept), repaired)
-    tables.write_titles(sections.compile_parts(markup.extract_parts(kept)), f"{root}/part")
-    tables.export_table(markup.rejects(kept), f"{root}/rejects")
-    tables.write_titles(found, f"{root}/section")
-    counts = (
-        read_sections(spark, root)
-        .groupBy("title_id")
-        .agg(F.count(F.lit(1)).alias("counted"))
-        .join(sound, "title_id", "right")
-        .select("title_id", F.coalesce("counted", F.lit(0)).alias("lines"))
-    )
-    return inventory.extract_outcomes(roster, counts).drop("path", "length")
-
-
-def _read_once(spark: SparkSession, paths: list[str]) -> DataFrame:
+    paths = [row.path for row in inventory.pending(work).select("path").toLocalIterator()]
+    if paths:
+        records = _read_once(spark, paths, root)
+        sound = tables.settle(markup.sound_titles(records), root)
+        kept = records.join(sound, "title_id", "left_semi")
+        found = sections.normalize(markup.extract_sections(kept), repaired)
+        tables.write_titles(sections.compile_parts(markup.extract_parts(kept)), f"{root}/part")
+        tables.write_titles(markup.rejects(kept), f"{root}/rejects")
+        tables.write_titles(found, f"{root}/section")
+        lines = markup.extract_sections(kept).groupBy("title_id").agg(F.count(F.lit(1)).alias("counted"))
+        counts = lines.join(sound, "title_id", "right").select(
+            "title_id", F.coalesce("counted", F.lit(0)).alias("lines")
+        )
+    else:
+        counts = spark.createDataFrame([], "title_id string, lines bigint")
+    outcome = inventory.extract_outcomes(work, counts).drop("path", "length")
+    # A row for each title file; small enough to return as values, so scratch can go.
+    done = spark.createDataFrame(outcome.collect(), outcome.schema)
+    fresh = done.filter("parsed and new_lines >= 0").select("title_id", "parsed")
+    fresh.join(inventory.parsed_inventory(spark, f"{root}/parsed"), "title_id", "left_anti").coalesce(
+        1
+    ).write.mode("append").parquet(f"{root}/parsed")
+    tables.clear_scratch(spark, root)
+    return done
+
+
+def _read_once(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
     """Records of the files, stored so that all later work is spread over all executors."""
-    path = tables.shared_folder(spark)
+    path = tables.shared_folder(spark, root)
     markup.scan_records(markup.unsplit_session(spark), paths).write.parquet(path)
     return spark.read.schema(markup.RECORDS).parquet(path)
 
@@ -86,17 +110,13 @@ def embed(
     year: int = fv.FOCAL_YEAR,
     load_encoder: Callable[[], embedding.Encoder] | None = None,
     regex_names: bool = False,
-    first_sections: int | None = None,
 ) -> None:
     """Embed the focal edition's distinct texts, and average them per part.
 
-    Without ``load_encoder`` the built-in bag of words stands in for a model.
-    ``first_sections`` limits a trial run to that many sections, usually ``fv.TEST_SECTIONS``.
+    Without ``load_encoder`` the built-in bag of words stands in for a model.  The year and
+    ``regex_names`` are stored with the vectors; :func:`quantify` takes them from there.
     """
-    found = read_sections(spark, root)
-    if first_sections:
-        found = tables.trial_rows(found, first_sections)
-    hashed = sections.with_hash(found)
+    hashed = sections.with_hash(read_sections(spark, root))
     facts = sections.clean(hashed, regex_names).drop("section_text")
     tables.write_titles(facts, f"{root}/section_facts")
     texts = embedding.focal_texts(hashed, year)
@@ -106,6 +126,22 @@ def embed(
     tables.export_table(
         embedding.join_centroids(read_parts(spark, root), centroids), f"{root}/embedded_part"
     )
+    run = spark.createDataFrame([(year, regex_names)], EMBEDDING_RUN)
+    tables.export_table(run.coalesce(1), f"{root}/embedding_run")
+
+
+def embedding_run(spark: SparkSession, root: str, year: int | None = None) -> tuple[int, bool]:
+    """Year and ``regex_names`` of the stored vectors, which must be of ``year`` and complete."""
+    run = tables.read_table(spark, f"{root}/embedding_run", EMBEDDING_RUN).first()
+    if year is not None and year != run.year:
+        raise ValueError(f"the stored vectors are of {run.year}, not of {year}: embed that year first")
+    focal, _ = deviance.editions(read_facts(spark, root), run.year)
+    bare = focal.select("section_hash").distinct().join(
+        read_vectors(spark, root).select("section_hash"), "section_hash", "left_anti"
+    )
+    if not bare.isEmpty():
+        raise ValueError(f"texts of {run.year} have no vector: embed again")
+    return run.year, run.regex_names
 
 
 def read_facts(spark: SparkSession, root: str) -> DataFrame:
@@ -124,25 +160,33 @@ def embedded_sections(spark: SparkSession, root: str) -> DataFrame:
 def quantify(
     spark: SparkSession,
     root: str,
-    year: int = fv.FOCAL_YEAR,
+    year: int | None = None,
     deviants_n: int = fv.DEVIANTS_N,
     fan_out: bool = True,
-    regex_names: bool = False,
+    multiplicity: bool = False,
     formats: tuple[str, ...] = ("parquet",),
 ) -> None:
-    """Score sections, sum up parts, and export the three result tables."""
+    """Score and label sections, sum up parts, and export the three result tables.
+
+    The year is that of the stored vectors; another one is an error, and so is a focal text
+    without a vector.
+    """
+    year, regex_names = embedding_run(spark, root, year)
     part_table = read_parts(spark, root)
     facts, vectors = read_facts(spark, root), read_vectors(spark, root)
-    tables.export_table(
-        parts.quantify(facts, vectors, part_table, year), f"{root}/section_scores"
-    )
-    scored = tables.read_table(spark, f"{root}/section_scores", SECTION_SCORES)
-    hashed = sections.with_hash(read_sections(spark, root))
+    scored = tables.settle(parts.quantify(facts, vectors, part_table, year, multiplicity), root)
+    tables.export_table(deviance.label_sections(scored, deviants_n), f"{root}/section_scores")
     notable = deviance.notable_sections(
-        scored, hashed, deviants_n, fan_out, regex_names, keep=tables.settle
+        scored,
+        sections.with_hash(read_sections(spark, root)),
+        deviants_n,
+        fan_out,
+        regex_names,
+        keep=lambda table: tables.settle(table, root),
+        year=year,
     )
     statistics = tables.settle(
-        parts.part_statistics(part_table, parts.part_aggregates(scored, fan_out))
+        parts.part_statistics(part_table, parts.part_aggregates(scored, fan_out)), root
     )
     results = {
         "notable_sections": deviance.focal_notable(notable, year),
@@ -153,17 +197,33 @@ def quantify(
         for fmt in formats:
             folder = name if fmt == "parquet" else f"{name}_{fmt}"
             tables.export_table(table, f"{root}/{folder}", fmt)
+    tables.clear_scratch(spark, root)
 
 
 def browse(
-    spark: SparkSession, root: str, titles: DataFrame, years: list[str]
+    spark: SparkSession,
+    root: str,
+    titles: DataFrame,
+    years: list[str],
+    chosen: tuple[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """The tables behind the part browser, from the exported results."""
+    """The tables behind the part browser, from the exported results.
+
+    With a ``chosen`` title and part also its details, the parts to choose from, and how the
+    title's parts are distributed.
+    """
     focal = tables.read_table(spark, f"{root}/part_data_focal", schemas.PART_FOCAL)
     temporal = tables.read_table(spark, f"{root}/part_data_temporal", schemas.PART_TEMPORAL)
-    return {
+    shown = panels.with_title_names(panels.display_scores(focal), titles)
+    details = {} if chosen is None else {
+        "lookup": panels.part_lookup(shown, *chosen),
+        "parts": panels.dropdown_options(focal, "part_id", ("title_id", chosen[0])),
+        "distribution": panels.deviance_distribution(focal, *chosen),
+    }
+    return details | {
+        "titles": panels.dropdown_options(focal, "title_id"),
         "noteworthy": panels.noteworthy_part(focal),
-        "focal": panels.with_title_names(panels.display_scores(focal), titles),
+        "focal": shown,
         "notable": tables.read_table(spark, f"{root}/notable_sections", schemas.NOTABLE_SECTIONS),
         "sections": panels.panel(temporal, "section_count", years),
         "authorities": panels.panel(temporal, "authority_count", years),

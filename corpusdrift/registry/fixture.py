@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from corpusdrift.functions import ids
 
 YEARS = ["2022", "2023", "2024"]
-VECTORS = 500
 
 
 class Corpus:
@@ -83,7 +82,9 @@ class Corpus:
     def vectors(self, sections: DataFrame) -> DataFrame:
         """``section_hash, section_embedding``: one vector per distinct focal text of ``sections``."""
         focal = sections.filter(ids.in_year(F.col("title_id"), 2024))
-        keys = focal.groupBy("section_hash").agg((F.min("doc_id") % VECTORS).alias("vec_id"))
+        count = self.table("embeddings").agg(F.count(F.lit(1))).scalar()
+        keys = focal.groupBy("section_hash").agg(F.min("doc_id").alias("first_id"))
+        keys = keys.select("section_hash", (F.col("first_id") % count).alias("vec_id"))
         stored = self.table("embeddings").select(
             "vec_id", F.col("embedding").alias("section_embedding")
         )

@@ -64,7 +64,7 @@ select section_hash, list_transform(embedding, lambda x: case when x = 0 then 0e
     round_even(cast(x as double)
       / pow(2e0, greatest(floor(log2(abs(cast(x as double)))),-14) - 10), 0)
     * pow(2e0, greatest(floor(log2(abs(cast(x as double)))),-14) - 10) end) as v
-from (select section_hash, min(doc_id) % 500 as vec_id from sec
+from (select section_hash, min(doc_id) % (select count(*) from embeddings) as vec_id from sec
   where title_id like '%-2024' group by 1) k
 join embeddings using (vec_id)""",
     "cen": """
@@ -205,9 +205,11 @@ from (select y, t, 'Title-' || lpad(cast(t as varchar),2,'0') || '-' || y || '.x
     "pending_titles": "select * from roster where not parsed",
     "extract_outcomes": """
 select title_id, raw, new_lines <> -1 as parsed, new_lines from (
-  select title_id, raw, cast(case when parsed then 0 when title_id like 'Title-03%' then -1
+  select title_id, raw, cast(case when parsed then 0
     else (select count(*) from sec s where s.title_id = r.title_id) end as bigint) as new_lines
-  from roster r) t""",
+  from roster r
+  union all
+  select distinct substr(title_id,1,8) || '-2025', true, cast(-1 as bigint) from fx_div) t""",
     "extract_parts": """
 select title_id, raw_part_id as part_id, part_heading, part_authority from fx_part""",
     "extract_sections": """
@@ -253,9 +255,6 @@ select (select count(*) from sec) as section_count,
   (select count(*) from sec where title_id like '%2024%') as section_count_now,
   (select count(*) from fx_part) as part_count,
   (select count(*) from fx_part where title_id like '%2024%') as part_count_now""",
-    "limit_sections": """
-select least(500, count(*)) as sections, least(500, count(distinct doc_id)) as distinct_sections
-from sec""",
     "quantize_half": """
 select vec_id, cast(unnest(range(len(embedding))) as int) as place,
   unnest(list_transform(embedding, lambda x: case when x = 0 then 0e0 else

@@ -14,7 +14,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TITLE, PART = "Title-01", "Part-0003"
-TRIAL_ROWS = 500
 
 
 def query(build: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
@@ -123,12 +122,6 @@ def roster_status_tally(corpus: Corpus) -> DataFrame:
     return roster.status_tally(_fetches(corpus))
 
 
-@query
-def file_inventory(corpus: Corpus) -> DataFrame:
-    files = inventory.inventory(corpus.spark, corpus.folder, suffix=".parquet", prefix="")
-    return files.select("title_id", "raw", (F.col("length") > 0).alias("filled"))
-
-
 def _extract_roster(corpus: Corpus) -> DataFrame:
     titles = corpus.title_ids()
     raw = titles.withColumn("raw", F.lit(True))
@@ -143,9 +136,15 @@ def pending_titles(corpus: Corpus) -> DataFrame:
 
 @query
 def extract_outcomes(corpus: Corpus) -> DataFrame:
-    readable = _sections(corpus).filter(~F.col("title_id").startswith("Title-03"))
-    counts = readable.groupBy("title_id").agg(F.count(F.lit(1)).alias("lines"))
-    return inventory.extract_outcomes(_extract_roster(corpus), counts)
+    # The edition after the last one is on file but gives no sections: it couldn't be read.
+    roster_rows = _extract_roster(corpus)
+    unread = roster_rows.select(
+        F.concat(ids.bare_title_id(F.col("title_id")), F.lit("-2025")).alias("title_id"),
+        F.lit(True).alias("raw"),
+        F.lit(False).alias("parsed"),
+    ).distinct()
+    counts = _sections(corpus).groupBy("title_id").agg(F.count(F.lit(1)).alias("lines"))
+    return inventory.extract_outcomes(roster_rows.unionByName(unread), counts)
 
 
 # Extraction from markup files.
@@ -294,14 +293,6 @@ def focal_counts(corpus: Corpus) -> DataFrame:
     return sections.edition_counts(_sections(corpus), _parts(corpus))
 
 
-@query
-def limit_sections(corpus: Corpus) -> DataFrame:
-    trial = tables.preview(_sections(corpus).select("doc_id", "title_id"), TRIAL_ROWS)
-    return trial.agg(
-        F.count(F.lit(1)).alias("sections"), F.count_distinct("doc_id").alias("distinct_sections")
-    )
-
-
 # Vectors.
 
 

@@ -33,27 +33,20 @@ def inventory(
     )
 
 
+PARSED = "title_id string, parsed boolean"
+
+
 def parsed_inventory(spark: SparkSession, directory: str) -> DataFrame:
-    """Titles that a partitioned stage table already holds; none if there is no table yet."""
-    pattern = "/title_id=([^/]+)/"
+    """Titles that extraction has marked as done, which it does last; none if there is no mark yet.
+
+    A title without sections is done all the same.
+    """
     try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.parquet")
-            .load(directory)
-            .select("path")
-        )
+        return spark.read.schema(PARSED).parquet(directory).distinct()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        files = spark.createDataFrame([], "path string")
-    return (
-        files.select(F.regexp_extract("path", pattern, 1).alias("title_id"))
-        .filter(F.col("title_id") != "")
-        .distinct()
-        .withColumn("parsed", F.lit(True))
-    )
+        return spark.createDataFrame([], PARSED)
 
 
 def extract_roster(raw: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -5,16 +5,16 @@ appendix, or the head of a larger division.  No record ever holds a whole part:
 a part with a third of the corpus is as many small records as it has sections.
 A gzip file can only be read from front to back, hence one task per file; the
 records are written to a stage table once and everything after that runs in
-parallel over the table's row groups.
+parallel over the table's row groups.  Comments and instructions are left out, and CDATA blocks
+become text, while the records are put together.
 """
 
+import re
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from corpusdrift import fixed_values as fv
 from corpusdrift.functions import markup
@@ -41,43 +41,99 @@ def unsplit_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def _part_marker(
-    part_level: int, names: list[str]
+_NOT_MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<\?.*?\?>", re.S)
+_CLOSERS = {"<!--": "-->", "<![CDATA[": "]]>", "<?": "?>"}
+_DIVISION_START = re.compile(r"([1-9])(?=[\s/>])")
+_EMPTY_TAG = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*(?<=/)>""")
+
+
+def _plain(found: re.Match) -> str:
+    """CDATA as escaped text; nothing for comments and instructions."""
+    return (found[1] or "").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+class _Record:
+    """A division that is put together from the pieces between two ``<DIV``.
+
+    A piece belongs to the one before if ``<DIV`` stood in a comment, a CDATA block or an
+    instruction, or began the name of another element.
+    """
+
+    def __init__(self, level: int, piece: str) -> None:
+        self.level, self.parts, self.pending, self.closer = level, [], [], ""
+        self.add(piece)
+
+    def add(self, piece: str) -> None:
+        if self.pending:
+            ended = self.closer in self.pending[-1][-2:] + piece
+            self.pending.append(piece)
+            if not ended:
+                return
+            piece, self.pending = "".join(self.pending), []
+        if "<!" in piece or "<?" in piece:
+            piece = _NOT_MARKUP.sub(_plain, piece)
+            open_at = min((at for o in _CLOSERS if (at := piece.find(o)) >= 0), default=-1)
+            if open_at >= 0:
+                opener = next(o for o in _CLOSERS if piece.startswith(o, open_at))
+                self.closer, self.pending = _CLOSERS[opener], [piece[open_at:]]
+                piece = piece[:open_at]
+        self.parts.append(piece)
+
+    def value(self) -> str:
+        return "".join(self.parts + self.pending)
+
+
+def _record_reader(
+    part_level: int, batch_bytes: int = 4_000_000
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task function that numbers the records of each file and the part each lies in.
+    """A task function that puts each file's records together and numbers them and their parts.
 
-    A file lies whole and in order in one task, so a few counters carried from
-    batch to batch suffice; texts pass through untouched.  Part 0 means outside
-    any part.
+    A file lies whole and in order in one task, so one record and a few counters are all that is
+    carried from batch to batch.  Part 0 means outside any part.
     """
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, pos, part, inside = None, 0, 0, False
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        path, record, pos, part, inside, size = None, None, 0, 0, False, 0
+
+        def close() -> int:
+            nonlocal pos, part, inside
+            value = record.value()
+            if record.level == part_level:
+                part, inside = part + 1, True
+            rows.append((path, pos, part if inside else 0, record.level, value))
+            if f"</DIV{part_level}" in value or record.level == part_level and _EMPTY_TAG.match(value):
+                inside = False
+            pos += 1
+            return len(value)
+
         for batch in batches:
-            paths = batch.column("file_path").to_numpy(zero_copy_only=False)
-            levels = batch.column("level").to_numpy(zero_copy_only=False)
-            ends = batch.column("ends_part").to_numpy(zero_copy_only=False).astype(bool)
-            rows = len(paths)
-            position, sequence = np.empty(rows, np.int64), np.empty(rows, np.int64)
-            starts = np.flatnonzero(np.append(True, paths[1:] != paths[:-1])) if rows else []
-            for start, stop in zip(starts, np.append(starts[1:], rows), strict=True):
-                if paths[start] != path:
-                    path, pos, part, inside = paths[start], 0, 0, False
-                here = np.arange(stop - start)
-                opens = levels[start:stop] == part_level
-                number = part + np.cumsum(opens)
-                opened = np.maximum.accumulate(np.where(opens, here, -1 if inside else -2))
-                closed = np.maximum.accumulate(np.where(ends[start:stop], here, -2))
-                position[start:stop] = pos + here
-                sequence[start:stop] = np.where(opened > np.append(-2, closed[:-1]), number, 0)
-                pos, part = pos + len(here), int(number[-1])
-                inside = bool(opened[-1] > closed[-1])
-            out = dict(zip(batch.schema.names, batch.columns, strict=True))
-            out |= {"pos": pa.array(position), "part_seq": pa.array(sequence)}
-            out = {name: out[name] for name in names}
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-
-    return mark
+            for file, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start = _DIVISION_START.match(piece)
+                if file != path:
+                    size += close() if record else 0
+                    path, record, pos, part, inside = file, _Record(0, piece), 0, 0, False
+                elif start and not record.pending:
+                    size += close()
+                    record = _Record(int(start[1]), piece)
+                else:
+                    record.add(DIVISION + piece)
+                if size > batch_bytes:
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if record:
+            close()
+            yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _READ.split(", ")])
+
+    return read
+
+
+_READ = "file_path string, pos bigint, part_seq bigint, level int, value string"
 
 
 def scan_records(
@@ -94,10 +150,6 @@ def scan_records(
     for files named ``.gzip``.
     """
     value, level, tag = F.col("value"), F.col("level"), F.col("tag")
-    plain = F.when(
-        value.contains("<!") | value.contains("<?"),
-        F.regexp_replace(value, markup.COMMENT_OR_INSTRUCTION, ""),
-    ).otherwise(value)
     division = F.concat(F.lit(DIVISION), value)
     closed = F.regexp_count(value, F.lit(r"</DIV[1-9]\s*>"))
     empty = tag.endswith("/>")
@@ -105,36 +157,37 @@ def scan_records(
     def element(name: str) -> Column:
         return F.when(value.contains(f"<{name}"), markup.first_element(value, name))
 
-    scanned = (
+    pieces = (
         spark.read.option("lineSep", DIVISION)
         .option("ignoreCorruptFiles", ignore_corrupt)
         .option("recursiveFileLookup", True)
         .text(paths)
-        .select(F.col("_metadata.file_path").alias("file_path"), plain.alias("value"))
-        .withColumn("tag", F.regexp_extract(division, "^" + markup.open_tag("DIV[1-9]"), 0))
-        .withColumn("level", F.coalesce(F.substring("tag", 5, 1).try_cast("int"), F.lit(0)))
+        .select(F.col("_metadata.file_path").alias("file_path"), "value")
+    )
+    scanned = (
+        pieces.mapInArrow(_record_reader(fv.PART_LEVEL), _READ)
+        .withColumn("tag", F.when(level > 0, F.regexp_extract(division, "^" + markup.open_tag("DIV[1-9]"), 0)).otherwise(""))
         .select(
             F.regexp_extract("file_path", title_pattern, 1).alias("title_id"),
             "file_path",
+            "pos",
+            "part_seq",
             "level",
             markup.attribute(tag, fv.TYPE_ATTRIBUTE).alias("type"),
             markup.attribute(tag, fv.NUMBER_ATTRIBUTE).alias("number"),
             element(fv.HEADING_ELEMENT).alias("heading"),
             element(fv.AUTHORITY_ELEMENT).alias("authority"),
-            (empty | value.contains(_end_tag())).alias("ended"),
+            (empty | F.regexp_like(value, _end_tag())).alias("ended"),
             ((level > 0).cast("int") - closed - empty.cast("int")).alias("unclosed"),
-            (
-                value.contains(f"</DIV{fv.PART_LEVEL}") | ((level == fv.PART_LEVEL) & empty)
-            ).alias("ends_part"),
             "value",
         )
     )
-    names = StructType.fromDDL(RECORDS).names
-    return scanned.mapInArrow(_part_marker(fv.PART_LEVEL, names), RECORDS)
+    return scanned
 
 
 def _end_tag() -> Column:
-    return F.concat(F.lit("</DIV"), F.col("level").cast("string"), F.lit(">"))
+    """Pattern of the end tag of a record's own division."""
+    return F.concat(F.lit("</DIV"), F.col("level").cast("string"), F.lit(r"\s*>"))
 
 
 def _raw_id(kind: Column, number: Column) -> Column:
@@ -151,10 +204,10 @@ def _divisions(records: DataFrame) -> DataFrame:
 
 def extract_sections(records: DataFrame) -> DataFrame:
     """Sections and appendices of parts as ``title_id, raw_id, section_text``."""
-    body = F.call_function("substring_index", F.col("value"), _end_tag(), F.lit(1))
+    body = F.get(F.split("value", _end_tag(), 2), F.lit(0))
     # A division that ended without an end tag is an empty one.
     element = F.when(
-        F.col("value").contains(_end_tag()), F.concat(F.lit(DIVISION), body, _end_tag())
+        F.regexp_like("value", _end_tag()), F.concat(F.lit(DIVISION), body, F.lit("</DIV>"))
     ).otherwise("")
     return (
         _divisions(records)

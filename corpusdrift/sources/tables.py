@@ -1,37 +1,43 @@
 """Stage tables and exports."""
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares for cut lineages.
+SCRATCH = "_scratch"
 
-    Only a local session may leave the folder unnamed.
+
+def shared_folder(spark: SparkSession, root: str | None = None) -> str:
+    """A fresh path for a table that later steps read.
+
+    It lies under ``root``, from where :func:`clear_scratch` removes it, or else in the folder that the
+    cluster shares for cut lineages, or, if none is named, in the warehouse.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/corpusdrift-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{root.rstrip('/')}/{SCRATCH}" if root else shared
+    return f"{folder.rstrip('/')}/corpusdrift-{uuid.uuid4().hex}"
 
 
-def settle(table: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def settle(table: DataFrame, root: str | None = None) -> DataFrame:
+    """Write a table to scratch and read it back.
 
     For tables that several later steps read: they are computed once, their
     lineage ends here, and each reader scans only the columns it needs.
     """
-    path = shared_folder(table.sparkSession)
+    path = shared_folder(table.sparkSession, root)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession, root: str) -> None:
+    """Remove what a stage has settled under ``root``, at the end of the stage."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{SCRATCH}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_titles(table: DataFrame, path: str) -> None:
     """Write one partition folder per title, replacing only the titles at hand.
 
@@ -75,30 +81,3 @@ def write_text(lines: DataFrame, path: str, partition_by: str = "title_id") -> N
         .partitionBy(partition_by)
         .text(path)
     )
-
-
-def partition_sizes(table: DataFrame) -> DataFrame:
-    """Rows per partition, to look at how a table is spread."""
-    return table.groupBy(F.spark_partition_id().alias("partition")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-
-
-def trial_rows(table: DataFrame, rows: int) -> DataFrame:
-    """Some ``rows`` rows of a stored table, chosen by place in its files.
-
-    Only the places go through one task, not the rows with their texts.
-    """
-    place = ["file_path", "row_index"]
-    marked = table.select("*", *(F.col(f"_metadata.{column}") for column in place))
-    chosen = settle(marked.select(*place).limit(rows))
-    return marked.join(chosen, place, "left_semi").drop(*place)
-
-
-def preview(table: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
-    """The first rows of a narrow table, for looking at or for choosing a few titles.
-
-    With ``keys`` the choice is the same every time; without, Spark takes whichever
-    rows come first.
-    """
-    return table.orderBy(*keys).limit(rows) if keys else table.limit(rows)

@@ -127,30 +127,22 @@ def test_labels_keep_every_row_and_copy(spark, n):
     assert rows(found, *names, "notable_deviant") == sorted(expected, key=repr)
 
 
-def test_stored_vectors_give_the_same_scores(spark):
-    sections_table = spark.createDataFrame(
-        [("T-2024", "P", "a", [1.0, 0.0]), ("T-2024", "P", "b", [0.0, 1.0]), ("T-2024", "Q", "c", [1.0, 1.0]), ("T-2024", "P", "d", None)],
-        "title_id string, part_id string, section_id string, section_embedding array<double>",
-    )
-    part_table = spark.createDataFrame(
-        [("T-2024", "P", [1.0, 0.0]), ("T-2024", "R", None)],
-        "title_id string, part_id string, part_embedding array<double>",
-    )
-    found = deviance.distance_to_centroid(sections_table, part_table, hot_rows=1)
-    assert rows(found, "section_id", "section_deviance") == [("a", 0.0), ("b", 0.5), ("c", None), ("d", None)]
-
-
 def test_deviance_does_not_depend_on_hot_keys(spark):
-    data = [("T-2024", f"P{i % 2}" if i % 3 else "hot", f"s{i}", f"h{i % 17}") for i in range(90)]
-    table = spark.createDataFrame(data, "title_id string, part_id string, section_id string, section_hash string")
+    data = [("T-2024", f"P{i % 2}" if i % 3 else "hot", f"s{i}", f"h{i % 17}", i) for i in range(90)]
+    # One text stands in every part.
+    data += [("T-2024", f"Q{i}", "s", "h3", 1) for i in range(40)]
+    table = spark.createDataFrame(
+        data, "title_id string, part_id string, section_id string, section_hash string, section_word_count bigint"
+    )
     vectors = spark.createDataFrame(
         [(f"h{i}", [float(i % 5) + 1, float(i % 3), 1.0]) for i in range(15)],
         "section_hash string, section_embedding array<double>",
     )
     part_table = table.select("title_id", "part_id").distinct().filter("part_id <> 'P1'")
-    cold = deviance.section_deviance(table, vectors, part_table)
-    hot = deviance.section_deviance(table, vectors, part_table, hot_rows=2)
-    assert rows(cold) == rows(hot)
+    for multiplicity in (False, True):
+        cold = parts.quantify(table, vectors, part_table, multiplicity=multiplicity)
+        hot = parts.quantify(table, vectors, part_table, multiplicity=multiplicity, hot_rows=2)
+        assert rows(cold) == rows(hot)
     assert cold.filter("section_deviance is null and part_id <> 'P1'").count() == sum(
         row[3] in ("h15", "h16") and row[1] != "P1" for row in data
     )

@@ -197,3 +197,22 @@ def test_long_runs_of_tags_do_not_overflow(spark, size):
     xml = "<P>" + "<B a='1'>" * size + "x" + "</B>" * size + "y</P>"
     table = spark.createDataFrame([(xml,)], "xml string")
     assert table.select(markup.element_text(F.col("xml"))).first()[0] == "x y"
+
+
+ODD = """<?xml version="1.0"?>
+<T><!-- a <DIV5 N="0" TYPE="PART"> that is not --><DIV5 N="1" TYPE="PART"><HEAD>h</HEAD>
+<DIV8 N="1.1" TYPE="SECTION"><P>blank in the end tag</P></DIV8 >
+<DIV8 N="1.2" TYPE="SECTION"><DIVIDEND>paid <DIVX/>twice</DIVIDEND></DIV8>
+<DIV8 N="1.3" TYPE="SECTION"><![CDATA[a < b & <DIV8 N="x"> c]]><P>d</P></DIV8>
+<DIV8 N="1.4" TYPE="SECTION">x<!-- hidden <DIV8 N="9.9" TYPE="SECTION"> text <DIV5> </DIV8> -->y<?p <DIV8 ?>z</DIV8>
+<DIV9 N="A" TYPE="APPENDIX"/></DIV5
+><DIV5 N="2" TYPE="PART"><HEAD>no sections</HEAD></DIV5></T>
+"""
+
+
+def test_odd_markup_equals_parser(spark, tmp_path):
+    _write(tmp_path, "Title-01-2024.xml.gz", ODD)
+    records = source.scan_records(spark, str(tmp_path))
+    assert _extracted(records) == _expected(ODD)
+    assert rows(source.sound_titles(records)) == [("Title-01-2024",)]
+    assert source.rejects(records).count() == 0

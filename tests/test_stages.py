@@ -119,15 +119,52 @@ def test_pipeline(spark, raw, tmp_path):
     browser = stages.browse(spark, root, titles, ["2023", "2024"])
     assert browser["noteworthy"].count() == 1
     assert browser["words"].count() == 4
+    assert browser["titles"].count() == 1
+    part = stages.browse(spark, root, titles, ["2023", "2024"], ("Title-01", "Part-0001"))
+    assert part["lookup"].count() == 1 and part["parts"].count() == 4 and part["distribution"].count() == 4
+    with pytest.raises(Exception, match="year that is not listed"):
+        stages.browse(spark, root, titles, ["2024"])["words"].collect()
+    assert not (tmp_path / "out" / tables.SCRATCH).exists()
     assert browser["focal"].filter("title_name_full = 'Title 1 - One'").count() == 4
 
 
-def test_trial_run_on_few_titles_and_sections(spark, raw, tmp_path):
+def test_stages_agree_on_year_and_vectors(spark, raw, tmp_path):
     root = str(tmp_path / "out")
-    outcome = stages.extract(spark, str(raw), root, first_titles=1)
-    assert rows(outcome, "title_id") == [("Title-01-2023",)]
-    stages.embed(spark, root, year=2023, first_sections=3)
-    assert stages.read_facts(spark, root).count() == 3
+    stages.extract(spark, str(raw), root)
+    stages.embed(spark, root, year=2023)
+    with pytest.raises(ValueError, match="2023, not of 2024"):
+        stages.quantify(spark, root, year=2024)
+    stages.quantify(spark, root, multiplicity=True)
+    scores = spark.read.parquet(f"{root}/section_scores")
+    assert {r.notable_deviant for r in scores.collect()} >= {"Least", "Neither"}
+    assert scores.count() == 10
+    some = stages.read_vectors(spark, root).limit(1).collect()
+    tables.export_table(spark.createDataFrame(some, stages.TEXT_EMBEDDING), f"{root}/text_embedding")
+    with pytest.raises(ValueError, match="no vector"):
+        stages.quantify(spark, root)
+
+
+def test_rejects_of_all_runs_are_kept_and_titles_without_sections_are_done(spark, tmp_path):
+    source, root = tmp_path / "raw", str(tmp_path / "out")
+    source.mkdir()
+    found = []
+    for title in ("Title-01-2024", "Title-02-2024", "Title-03-2024"):
+        xml = '<T><DIV5 N="1" TYPE="PART"><HEAD>h</HEAD>'
+        xml += '<DIV8 TYPE="SECTION">no number</DIV8>' if title[7] != "3" else ""
+        with gzip.open(source / f"{title}.xml.gzip", "wt") as file:
+            file.write(xml + "</DIV5></T>")
+        found.append((title, True, 0))
+        outcome = rows(stages.extract(spark, str(source), root), "title_id", "parsed", "new_lines")
+        assert outcome == found
+    assert rows(spark.read.parquet(f"{root}/rejects"), "title_id") == [("Title-01-2024",), ("Title-02-2024",)]
+    done = inventory.parsed_inventory(spark, f"{root}/parsed")
+    assert done.count() == 3
+    assert not (tmp_path / "out" / tables.SCRATCH).exists()
+
+
+def test_roster_stage(spark, raw):
+    found = stages.title_roster(spark, str(raw), (2023, 2024), (1, 2), 2025)
+    assert rows(found["tally"], "status", "files") == [("Absent", 1), ("Present", 3)]
 
 
 def test_only_titles_at_hand_are_replaced(spark, tmp_path):
@@ -138,13 +175,6 @@ def test_only_titles_at_hand_are_replaced(spark, tmp_path):
     assert rows(spark.read.parquet(path), "title_id", "n") == [("a", 9), ("b", 2)]
 
 
-def test_layout_helpers(spark):
-    table = spark.range(100).repartition(4)
-    assert tables.partition_sizes(table).agg(F.sum("rows"), F.count("*")).first() == (100, 4)
-    assert [r.id for r in tables.preview(table, 3, "id").collect()] == [0, 1, 2]
-    assert tables.preview(table, 3).count() == 3
-
-
 def test_shared_folder_is_the_one_the_session_names(spark):
     first, second = tables.shared_folder(spark), tables.shared_folder(spark)
     assert first != second
