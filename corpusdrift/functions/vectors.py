@@ -1,36 +1,67 @@
 """Dense vectors stored as arrays.
 
-Higher-order functions run in the JVM, so no vector ever crosses to Python.
+Half precision and distances work on whole Arrow batches in NumPy: a vector's numbers are one
+block of memory there, where the JVM's higher-order functions take them one by one.
 """
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from corpusdrift import fixed_values as fv
 
-# Half precision: 10 fraction bits, smallest normal exponent -14; from 65520 on a value rounds to infinity.
-HALF_FRACTION_BITS = 10
-HALF_MIN_EXPONENT = -14
-HALF_OVERFLOW = 65520.0
-
-
-def half(value: Column) -> Column:
-    """One number rounded to half precision, ties to even."""
-    size = F.abs(value)
-    exponent = F.greatest(F.floor(F.log2(size)), F.lit(HALF_MIN_EXPONENT))
-    step = F.pow(F.lit(2.0), (exponent - F.lit(HALF_FRACTION_BITS)).cast("double"))
-    return (
-        F.when(size == 0.0, F.lit(0.0))
-        .when(size >= HALF_OVERFLOW, F.signum(value) * F.lit(math.inf))
-        .otherwise(F.rint(value / step) * step)
-    )
+
+def _numbers(column: pa.ListArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of vectors, and where each vector begins; NULL vectors are empty."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return values, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+@F.arrow_udf(ArrayType(FloatType()))
+def _half(column: pa.Array) -> pa.Array:
+    values, starts = _numbers(column, np.float32)
+    nulls = column.flatten().is_null().to_numpy(zero_copy_only=False)
+    with np.errstate(over="ignore", invalid="ignore"):
+        rounded = values.astype(np.float16).astype(np.float32)
+    vectors = pa.array(rounded, pa.float32(), mask=nulls)
+    mask = column.is_null().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), vectors, mask=pa.array(mask))
 
 
 def quantize_half(vector: Column) -> Column:
-    """Single precision, then half precision, returned as doubles."""
-    return F.transform(vector, lambda x: half(x.cast("float").cast("double")))
+    """Single precision, then half precision, returned as single precision, which holds it exactly."""
+    return _half(vector)
+
+
+@F.arrow_udf(DoubleType())
+def _distance(left: pa.Array, right: pa.Array) -> pa.Array:
+    a, starts = _numbers(left, np.float64)
+    b, others = _numbers(right, np.float64)
+    known = left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.diff(starts)
+    if not np.array_equal(sizes[known], np.diff(others)[known]):
+        raise ValueError("vectors of different length")
+    out = np.full(len(known), np.nan)
+    rows = np.flatnonzero(known & (sizes > 0))
+    for size in np.unique(sizes[rows]):
+        own = rows[sizes[rows] == size]
+        steps = np.arange(size)
+        x, y = a[starts[own][:, None] + steps], b[others[own][:, None] + steps]
+        lengths = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[own] = np.where(lengths != 0, (1 - np.einsum("ij,ij->i", x, y) / lengths) / 2, np.nan)
+    return pa.array(out, pa.float64(), mask=np.isnan(out))
+
+
+def rescaled_distance(left: Column, right: Column) -> Column:
+    """Cosine distance moved to 0 (same) .. 0.5 (unrelated) .. 1 (opposite).
+
+    NULL if a vector is NULL, empty or of length zero.
+    """
+    return F.round(_distance(left, right), fv.SCORE_DIGITS)
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -45,11 +76,3 @@ def dot(left: Column, right: Column) -> Column:
 def norm(vector: Column) -> Column:
     """Euclidean length."""
     return F.sqrt(dot(vector, vector))
-
-
-def rescaled_distance(product: Column, left_norm: Column, right_norm: Column) -> Column:
-    """Cosine distance moved to 0 (same) .. 0.5 (unrelated) .. 1 (opposite); NULL for a zero vector."""
-    length = left_norm * right_norm
-    return F.when(
-        length != 0.0, F.round((F.lit(1.0) - product / length) / F.lit(2.0), fv.SCORE_DIGITS)
-    )

@@ -16,13 +16,6 @@ TEXT_KEY = [*PART_KEY, "section_hash"]
 Order = Callable[[list[str]], list[Column]]
 
 
-def _distance() -> Column:
-    section, part = F.col("section_embedding"), F.col("part_embedding")
-    return vectors.rescaled_distance(
-        vectors.dot(section, part), vectors.norm(section), F.col("part_norm")
-    )
-
-
 def text_deviance(
     sections: DataFrame,
     embedded: DataFrame,
@@ -36,15 +29,12 @@ def text_deviance(
     ``parts`` have no centroid to compare with, and their texts a NULL score.
     """
     pairs = embedded_pairs(sections, embedded, year, hot_rows)
-    centroids = (
-        centroids_of_pairs(pairs)
-        .join(parts.select(*PART_KEY), PART_KEY, "left_semi")
-        .withColumn("part_norm", vectors.norm(F.col("part_embedding")))
-    )
+    centroids = centroids_of_pairs(pairs).join(parts.select(*PART_KEY), PART_KEY, "left_semi")
     # Sections, not pairs, are counted: a part's pairs are never more than its sections.
     counted, _ = editions(sections, year)
     return join_one(pairs, centroids, PART_KEY, "left", hot_rows, counted).select(
-        *TEXT_KEY, _distance().alias("section_deviance")
+        *TEXT_KEY,
+        vectors.rescaled_distance(F.col("section_embedding"), F.col("part_embedding")).alias("section_deviance"),
     )
 
 

@@ -24,7 +24,7 @@ SECTION_FACTS = (
     "section_name string, section_type string, part_id string, section_id string, "
     "section_hash string, section_word_count bigint, title_id string"
 )
-TEXT_EMBEDDING = "section_hash string, section_embedding array<double>"
+TEXT_EMBEDDING = "section_hash string, section_embedding array<float>"
 EMBEDDING_RUN = "year int, regex_names boolean"
 SECTION_SCORES = (
     SECTION_FACTS

@@ -301,7 +301,7 @@ def quantize_half(corpus: Corpus) -> DataFrame:
     return corpus.table("embeddings").select(
         "vec_id",
         F.posexplode(vectors.quantize_half(F.col("embedding"))).alias("place", "half_value"),
-    )
+    ).withColumn("half_value", F.col("half_value").cast("double"))
 
 
 @query

@@ -1,17 +1,10 @@
 """Explicit schemas of the stage tables; reading never infers types."""
 
-TITLE_ROSTER = "year int, title int, filename string, file_path string, url string, status string"
-EXTRACT_ROSTER = "title_id string, raw boolean, parsed boolean, new_lines bigint"
 PARSED_PART = "title_id string, part_id string, part_heading string, part_authority string"
 PARSED_SECTION = (
     "title_id string, section_name string, section_text string, section_type string, "
     "part_id string, section_id string"
 )
-EMBEDDED_PART = PARSED_PART + ", part_embedding array<double>"
-EMBEDDED_SECTION = (
-    "section_hash string, title_id string, section_name string, section_type string, "
-    "part_id string, section_id string, section_embedding array<double>"
-)
 NOTABLE_SECTIONS = (
     "title_id string, part_id string, section_id string, section_name string, "
     "section_text string, section_deviance double, notable_deviant string, year_id string"

@@ -85,3 +85,20 @@ def test_panels_need_one_shuffle(facts):
 def test_settled_tables_have_no_lineage(spark, facts):
     plan = _plan(tables.settle(facts.groupBy("part_id").count()))
     assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def test_texts_of_other_editions_stay_on_disk(spark, facts, tmp_path):
+    path = str(tmp_path / "t")
+    facts.write.partitionBy("title_id").parquet(path)
+    hashed = sections.with_hash(spark.read.parquet(path).drop("section_hash"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    kept = []
+    try:
+        deviance.notable_sections(facts, hashed, keep=lambda t: kept.append(t) or tables.settle(t))
+        plan = _plan(kept[1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scans = [x for x in plan.split("FileScan")[1:] if "section_text" in x.split("ReadSchema")[-1].split("\n")[0]]
+    assert scans and all("EndsWith(title_id" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)
+    assert "sha2" not in plan
