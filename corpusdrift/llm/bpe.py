@@ -27,7 +27,7 @@ ENCODED_WITH_IDS = ENCODED + ", ids array<int>"
 class Vocabulary:
     """A byte-level vocabulary with its merges, from a tokenizer file's JSON."""
 
-    def __init__(self, content: str, remember: int = 150_000) -> None:
+    def __init__(self, content: str, remember: int = 400_000) -> None:
         data = json.loads(content)
         model, before = data["model"], data["pre_tokenizer"]
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}

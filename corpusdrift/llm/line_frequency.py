@@ -61,13 +61,12 @@ def repeated_words(hashes: np.ndarray, size: int = 3) -> int:
 
 def _facts(docs: DataFrame, host: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         for batch in shared.slices(batches):
             base, contents, lines = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 raw = text.encode()
-                words = raw.split()
+                words = shared.word_hashes(raw)
                 seen: dict[int, list[int]] = {}
                 exact, repeated = set(), 0
                 for line in text.split("\n"):
@@ -83,7 +82,7 @@ def _facts(docs: DataFrame, host: str) -> DataFrame:
                         len(text) - blanks,
                         sum(map(text.count, _SYMBOLS)),
                         repeated,
-                        repeated_words(hashes.of(words)),
+                        repeated_words(words),
                     )
                 )
                 contents.append(xxhash.xxh3_64_intdigest(raw) - 2**63)

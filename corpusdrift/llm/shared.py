@@ -3,7 +3,6 @@
 import os
 import re
 import sys
-import tempfile
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
@@ -26,13 +25,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the folder that the cluster shares for cut lineages.
 
-    Only a local session, as in tests, may leave ``spark.checkpoint.dir`` unset.
+    Where ``spark.checkpoint.dir`` is unset, as in tests, the warehouse stands in for it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-        root = f"file://{tempfile.gettempdir()}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -66,22 +61,54 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes), remembered up to a number of words."""
+_rng = np.random.default_rng(77)
+_BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_LOWER_BYTES = _BYTES[np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)])]
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_PART = 1 << 18  # bytes hashed at once
 
-    def __init__(self, most: int = 200_000) -> None:
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
+def _powers(base: int) -> np.ndarray:
+    powers = np.full(_PART, base, np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers)
+
+
+_UP, _DOWN = _powers(0x9E3779B97F4A7C15), _powers(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
+
+def _part_hashes(raw: np.ndarray, of_byte: np.ndarray) -> np.ndarray:
+    edges = np.flatnonzero(np.diff(_BLANK[raw].view(np.int8), prepend=1, append=1))
+    starts, ends = edges[0::2], edges[1::2]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(of_byte[raw] * _UP[: len(raw)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+def word_hashes(raw: bytes | None, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word of a text in UTF-8; ``lower`` takes A-Z as a-z.
+
+    Words are what stands between ASCII white space.  A word's hash is a polynomial in its bytes, taken
+    from one running sum over the text.
+    """
+    raw = raw or b""
+    of_byte, data, out, at = _LOWER_BYTES if lower else _BYTES, np.frombuffer(raw, np.uint8), [], 0
+    while at < len(raw):
+        end = min(at + _PART, len(raw))
+        if end - at == _PART:
+            blanks = np.flatnonzero(_BLANK[data[at:end]])
+            if not len(blanks):  # a word longer than a part
+                rest = np.flatnonzero(_BLANK[data[end:]])
+                end = end + int(rest[0]) if len(rest) else len(raw)
+                word = raw[at:end].lower() if lower else raw[at:end]
+                out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))
+                at = end
+                continue
+            end = at + int(blanks[-1]) + 1
+        out.append(_part_hashes(data[at:end], of_byte))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -176,6 +203,9 @@ class Remembered(dict):
         return value
 
 
+_PLAIN = "\u0250"  # letters below are letters in every version of Unicode
+
+
 class PieceEncoder:
     """Encodes texts by a byte-level vocabulary, piece by piece and word by word.
 
@@ -185,13 +215,24 @@ class PieceEncoder:
     """
 
     def __init__(
-        self, encode_word: Callable[[str], bytes], special: dict[str, int], most: int = 150_000
+        self, encode_word: Callable[[str], bytes], special: dict[str, int], most: int = 400_000
     ) -> None:
-        self.special = special
+        self.encode_word, self.special = encode_word, special
         self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.words = Remembered(encode_word, most)
+        self.words = Remembered(encode_word, most // 4)
         self.first = Remembered(self._encode, most // 8)
-        self.later = Remembered(lambda piece: self._encode(" " + piece), most)
+        self.later = Remembered(self._encode_later, most)
+
+    def _encode_later(self, piece: str) -> bytes:
+        """Ids of a piece after a space; most pieces are a word, or a word and a full stop or comma."""
+        if piece.isalpha():
+            if piece.isascii() or max(piece) < _PLAIN:
+                return self.encode_word(" " + piece)
+        elif piece[-1:] in (".", ","):
+            word = piece[:-1]
+            if word.isalpha() and (word.isascii() or max(word) < _PLAIN):
+                return self.later[word] + self.words[piece[-1]]
+        return self._encode(" " + piece)
 
     def _encode(self, piece: str) -> bytes:
         ids: list[bytes] = []

@@ -73,7 +73,8 @@ class Encoder:
         return shared.id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        raw = word if word.isascii() else word.encode().decode("latin-1")
+        tokens = self.model.tokenize(raw.translate(self.letters))
         return shared.id_bytes([token.id for token in tokens])
 
     def encode(self, text: str) -> bytes:
