@@ -28,26 +28,29 @@ LEAST_DEPTH = 3
 NEAREST = 5
 
 _rng = np.random.default_rng(20_240_607)
-_FACTORS = _rng.integers(1, 2**63, TREES * HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _rng.integers(0, 2**63, TREES * HASHES, dtype=np.uint64)
+_FACTORS = _rng.integers(0, 2**31, TREES * HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_OFFSETS = _rng.integers(0, 2**32, TREES * HASHES, dtype=np.uint32)
 _KEYS = ["tree", *(f"k{i}" for i in range(HASHES // 2))]
 
 
-def shingles(text: bytes | None, hashes: shared.WordHashes, size: int = SHINGLE_WORDS) -> np.ndarray:
+def shingles(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Distinct shingles' hashes; of fewer words, the whole sequence is one shingle."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
+    words = shared.word_hashes(text, lower=True)
+    if not len(words):
+        return words
     length = min(size, len(words))
-    found = shared.window_hashes(hashes.of(words), length)
+    found = shared.window_hashes(words, length)
     return np.unique(found if length == size else shared.mixed(found + np.uint64(length)))
 
 
 def _signature(found: np.ndarray) -> np.ndarray:
+    """The least value that each of the hash functions gives any shingle."""
+    values = (found >> np.uint64(32)).astype(np.uint32)
     least = np.full(TREES * HASHES, 0xFFFFFFFF, np.uint32)
-    for start in range(0, len(found), 1024):
-        part = found[start : start + 1024, None] * _FACTORS + _OFFSETS
-        least = np.minimum(least, (part >> np.uint64(32)).astype(np.uint32).min(axis=0))
+    for start in range(0, len(values), 256):
+        hashed = np.multiply.outer(values[start : start + 256], _FACTORS)
+        hashed += _OFFSETS
+        np.minimum(least, hashed.min(axis=0), out=least)
     return least
 
 
@@ -58,11 +61,10 @@ def _facts(docs: DataFrame) -> DataFrame:
     """For each row the size and the fingerprint of its shingle set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         for batch in shared.slices(batches):
             sizes, ones, twos, signatures = [], [], [], []
             for text in shared.raw_texts(batch.column(1)):
-                found = shingles(text, hashes)
+                found = shingles(text)
                 sizes.append(len(found))
                 ones.append(found.sum(dtype=np.uint64))
                 twos.append(shared.mixed(found + np.uint64(1)).sum(dtype=np.uint64))
@@ -180,14 +182,13 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` whose shingle sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         for batch in shared.slices(batches):
             linked = []
             last, left = None, None
             for one, two in zip(shared.raw_texts(batch.column(2)), shared.raw_texts(batch.column(3)), strict=True):
                 if one != last:
-                    last, left = one, shingles(one, hashes)
-                right = shingles(two, hashes)
+                    last, left = one, shingles(one)
+                right = shingles(two)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 linked.append(100 * both >= percent * (len(left) + len(right) - both) and both > 0)
             mask = pa.array(linked, pa.bool_())

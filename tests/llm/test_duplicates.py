@@ -125,6 +125,7 @@ def test_near_duplicates_with_awkward_ids(spark):
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 7), (7, 5), (3, 3), (200, 100)] + [(300, 300 + i) for i in range(50)]
-    found = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    table = spark.createDataFrame(links, "a long, b long")
     expected = {i: 100 for i in [*range(100, 161), 200]} | {5: 5, 7: 5, 9: 5} | {300 + i: 300 for i in range(50)}
-    assert found == expected
+    for task_links in (1_000_000, 20):
+        assert dict(map(tuple, components.components(table, task_links=task_links).collect())) == expected
