@@ -93,12 +93,12 @@ def write(pages: DataFrame, path: str, least_bytes: int = REVISIT_BYTES) -> None
                 members.append(packer.compress(record(*fields)) + packer.flush())
             yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["value"])
 
-    total = rows.agg(F.sum(F.octet_length("payload") + 400)).first()[0] or 0
+    mean = rows.agg(F.avg(F.octet_length("payload") + 400)).first()[0] or FILE_BYTES
     (
-        ordered.repartition(max(1, math.ceil(total / FILE_BYTES)))
-        .mapInArrow(run, "value binary")
+        ordered.mapInArrow(run, "value binary")
         .select(F.col("value").cast("string").alias("value"))  # the same bytes: the sink takes strings
-        .write.option("encoding", "ISO-8859-1")
+        .write.option("maxRecordsPerFile", max(1, math.ceil(FILE_BYTES / mean)))
+        .option("encoding", "ISO-8859-1")
         .option("lineSep", EMPTY_MEMBER.decode("latin-1"))
         .text(path)
     )
