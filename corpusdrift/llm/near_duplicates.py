@@ -79,7 +79,7 @@ def _facts(docs: DataFrame) -> DataFrame:
 
 
 def _trees(sets: DataFrame) -> DataFrame:
-    """One row for each tree and document: ``tree``, the packed signature, ``id``."""
+    """One row for each tree and document: ``tree``, the packed signature, ``id``, ``component``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
@@ -89,11 +89,12 @@ def _trees(sets: DataFrame) -> DataFrame:
             packed = (hashed[:, 0::2] << np.uint64(32)) | hashed[:, 1::2]
             columns = [np.tile(np.arange(TREES, dtype=np.int32), count)]
             columns += [packed[:, i].copy().view(np.int64) for i in range(HASHES // 2)]
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), TREES)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(ids)], [*_KEYS, "id"])
+            columns += [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), TREES) for i in (0, 2)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [*_KEYS, "id", "component"])
 
     keys = ", ".join(f"{k} long" for k in _KEYS[1:])
-    return sets.select("id", "signature").mapInArrow(run, f"tree int, {keys}, id long")
+    given = sets.select("id", "signature", "component")
+    return given.mapInArrow(run, f"tree int, {keys}, id long, component long")
 
 
 def _shared_depth(tree: np.ndarray, keys: np.ndarray, step: int) -> np.ndarray:
@@ -165,7 +166,7 @@ def _neighbours(rows: DataFrame, edges: bool) -> DataFrame:
 
 
 def _near_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs in sorted trees, and the rows of crowded regions."""
+    """Candidate pairs in sorted trees, and the ids in crowded regions."""
     order = [*_KEYS, "id"]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = shared.written(_neighbours(spread, edges=True))
@@ -175,7 +176,7 @@ def _near_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     across = shared.written(_neighbours(border, edges=False))
     both = found.union(across)
     pairs = both.where("not edge and not crowded and a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
-    return pairs, both.where("crowded").select(*_KEYS, F.col("a").alias("id")).distinct()
+    return pairs, both.where("crowded").select(F.col("a").alias("id")).distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = shared.written(
         facts.where("n_shingles > 0").groupBy(*same_set).agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
     )
-    crowd = _trees(sets).withColumn("component", F.col("id"))
+    crowd = _trees(sets.withColumn("component", F.col("id")))
     links, labels, tested, texts = None, None, None, None
     while True:
         pairs, crowded = _near_pairs(crowd)
@@ -241,23 +242,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             break
         crowded = shared.written(crowded)
         if texts is None:
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded.select("id")).distinct()
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct()
             texts = shared.written(rows.join(ids, "id", "left_semi"))
         # First the likeliest partners of each document; what they leave apart, afterwards.
         best = pairs.groupBy("a").agg(F.max_by("b", F.struct("trees", "b")).alias("b"))
         best = best.union(pairs.groupBy("b").agg(F.max_by("a", F.struct("trees", "a")).alias("a")).select("a", "b")).distinct()
-        new = confirm(best, texts, percent)
-        links = shared.written(new if links is None else links.union(new))
+        new = shared.written(confirm(best, texts, percent))
+        links = new if links is None else links.union(new)
         labels = shared.written(components.components(links))
         rest = _other_components(pairs, labels).join(best, ["a", "b"], "left_anti")
         late = shared.written(confirm(rest, texts, percent))
         if not late.isEmpty():
             links = links.union(late)
             labels = shared.written(components.components(links))
+        elif tested is not None and new.isEmpty():
+            break  # the same components would leave the same rows to look at
         tested = pairs.select("a", "b") if tested is None else shared.written(tested.union(pairs.select("a", "b")))
         named = labels.withColumnRenamed("node", "id")
-        crowd = crowded.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        crowd = shared.written(_borders(crowd))
+        again = sets.join(crowded, "id", "left_semi").join(named, "id", "left")
+        crowd = shared.written(_borders(_trees(again.withColumn("component", F.coalesce("component", "id")))))
     per_set = sets.select(*same_set, F.col("id").alias("node")).join(labels, "node", "left")
     per_set = per_set.select(*same_set, F.coalesce("component", "node").alias("component"))
     # Repeated ids: one document with the sets of all its rows.
