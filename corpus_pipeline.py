@@ -34,17 +34,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without a repeated passage stay as they are.
     """
-    found = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text").distinct()
-    joined = docs.join(found, "doc_id", "left")
-    text = F.coalesce("kept_text", "text")
-    new = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}
-    return joined.where("kept_text is null or kept_text <> ''").select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = substring_dedup.remove_repeats(docs, keep=rest, as_given=True).where("n_removed < n_words or n_removed = 0")
+    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", size).withColumnRenamed("kept_text", "text").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
-    leaks = decontaminate.find_leaks(docs, shared.table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.without_leaks(docs, shared.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,11 +222,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WINDO
     A benchmark of up to ``most_windows`` windows is sent to every task; a larger one is joined with a shuffle.
     """
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = bench.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    if size > most_windows:
+    index = _index(bench, most_windows)
+    if index is None:
         return _find_by_shuffle(docs, bench)
-    rows = bench.orderBy("item_id", "text").collect()  # its size is checked above
-    index = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -242,6 +240,38 @@ def find_leaks(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WINDO
     return shared.texts(docs).mapInArrow(run, FOUND)
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """The documents, with all their columns, that hold no benchmark item.
+
+    As :func:`find_leaks`; rows are dropped where they are read, without a shuffle, unless the
+    benchmark is larger than ``most_windows``.  Repeated rows stay or go together.
+    """
+    bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    index = _index(bench, most_windows)
+    if index is None:
+        key = F.coalesce(F.col("doc_id").cast("long"), F.lit(shared.NO_ID))
+        found = _find_by_shuffle(docs, bench).select(F.coalesce("doc_id", F.lit(shared.NO_ID)).alias("__leak"))
+        return docs.join(found.distinct(), key == F.col("__leak"), "left_anti")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in shared.slices(batches):
+            clean = [not index.value.matches(text, words) for text in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _index(bench: DataFrame, most_windows: int):
+    """The items' windows for every task, or None if there are too many."""
+    size = bench.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    if size > most_windows:
+        return None
+    rows = bench.orderBy("item_id", "text").collect()  # its size is checked above
+    return bench.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows]))
+
+
 def _find_by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The same for any benchmark: windows meet in a join, then the texts of each pair found."""
     lengths = F.least(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")), F.lit(WINDOW))

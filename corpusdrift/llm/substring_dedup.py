@@ -11,12 +11,14 @@ hold them, and these are compared by a hash of all their words.
 With the period 13 and its cover of 4 positions, 31 of 100 positions are hashed.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpusdrift.llm import shared
 
@@ -25,9 +27,11 @@ WINDOW = 20
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27)}
 LEAST_ANCHOR = 4
 
-#: A place holds 16 bits of a second hash, 16 bits of the row's number among those of equal
-#: doc_id, and 32 bits of the start.
-_CHECK, _ROW = 48, 32
+#: A place holds 16 bits of a second hash, 1 bit that says it is known to be repeated, 15 bits of the
+#: row's number among those of equal doc_id, and 32 bits of the start.
+_CHECK, _SURE, _ROW = 48, 47, 32
+#: An anchor holds 48 bits of hash, 15 bits of the position and 1 bit that says it is known to be repeated.
+_PLACES = 2**15
 
 
 def cover(window: int) -> tuple[int, np.ndarray]:
@@ -42,98 +46,132 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``doc_id, content, rest, packed``: texts as they are shuffled, once for all steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in shared.slices(batches):
+            packed = [packer.compress(text) for text in shared.raw_texts(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], _PACKED)
+
+    given = rows.select("doc_id", "content", "rest", "text")
+    return given.mapInArrow(run, StructType([*given.schema.fields[:3], StructField("packed", BinaryType())]))
+
+
+_PACKED = ["doc_id", "content", "rest", "packed"]
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    reader = zstandard.ZstdDecompressor()
+    return [reader.decompress(x) for x in column.to_pylist()]
+
+
+def _repeats(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted rows: whether a row's key is that of the row before, and where its key begins."""
+    same = np.zeros(len(keys), bool)
+    same[1:] = keys[1:] == keys[:-1]
+    for x in more:
+        same[1:] &= x[1:] == x[:-1]
+    return same, np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
+
+
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``anchor`` (48 bits of hash, then 16 bits of the position) and ``doc_id``, one row for
-    each cover position."""
+    """``anchor`` and ``doc_id``, one row for each cover position.
+
+    Anchors that a batch holds twice are marked as known to be repeated, and but for one go
+    under hashes of their own: no hash has more rows than there are batches.
+    """
     period, flags = cover(window)
     length = window - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         for batch in shared.slices(batches):
             found, owners = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), shared.raw_texts(batch.column(1)), strict=True):
-                words = (text or b"").split()
+            for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch.column(3)), strict=True):
+                words = shared.word_hashes(text)
                 if len(words) < window:
                     continue
-                runs = shared.window_hashes(hashes.of(words), length)
+                runs = shared.window_hashes(words, length)
                 place = np.flatnonzero(flags[np.arange(len(runs)) % period])
-                found.append((runs[place] & ~np.uint64(0xFFFF)) | (place & 0xFFFF).astype(np.uint64))
+                found.append((runs[place] & ~np.uint64(0xFFFF)) | ((place % _PLACES) << 1).astype(np.uint64))
                 owners.append(np.full(len(place), doc_id))
             if found:
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(found)), pa.array(np.concatenate(owners), pa.int64())],
-                    ["anchor", "doc_id"],
-                )
+                value, owner = np.concatenate(found), np.concatenate(owners)
+                order = np.argsort(value >> np.uint64(16), kind="stable")
+                key = (value >> np.uint64(16))[order]
+                same, first = _repeats(key)
+                again = same.copy()
+                again[first[same]] = True
+                value[order] |= again.astype(np.uint64)
+                spread = shared.mixed(value ^ owner.astype(np.uint64) * np.uint64(31)) & ~np.uint64(0xFFFF)
+                value[order[same]] = (spread | (value & np.uint64(0xFFFF)))[order[same]]
+                yield pa.RecordBatch.from_arrays([_signed(value), pa.array(owner, pa.int64())], ["anchor", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
+    return docs.select(*_PACKED).mapInArrow(run, "anchor long, doc_id long")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
     """``hash, doc_id, place`` of the windows that hold a repeated anchor.
 
     Of equal windows in one batch the first goes on; the others are known to be repeated
-    and are marked by ``sure``, so that no hash has more rows than there are batches.
+    and go under hashes of their own, so that no hash has more rows than there are batches.
     """
     period, _ = cover(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         for batch in shared.slices(batches):
             found, owners, places = [], [], []
             for doc_id, text, row, anchors in zip(
                 batch.column(0).to_pylist(),
-                shared.raw_texts(batch.column(1)),
-                batch.column(2).to_pylist(),
-                batch.column(3),
+                _texts(batch.column(3)),
+                batch.column(4).to_pylist(),
+                batch.column(5),
                 strict=True,
             ):
-                values = hashes.of(text.split())
+                values = shared.word_hashes(text)
                 count = len(values) - window + 1
                 if count <= 0:
                     continue
                 edge = np.zeros(count + 1, np.int64)
-                low = anchors.values.to_numpy()  # positions modulo 65,536
-                for base in range(0, len(values), 65_536):
+                low = anchors.values.to_numpy()  # positions modulo _PLACES
+                for base in range(0, len(values), _PLACES):
                     at = low + base
                     at = at[at < count + period - 1]
                     np.add.at(edge, np.maximum(at - period + 1, 0), 1)
                     np.add.at(edge, np.minimum(at + 1, count), -1)
                 starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 found.append(shared.window_hashes(values, window)[starts])
-                second = shared.window_hashes(values, window, 1)[starts] >> np.uint64(64 - 16)
-                high = (second << np.uint64(_CHECK)) | np.uint64(row << _ROW)
+                check = shared.window_hashes(values, window, 1)[starts] >> np.uint64(64 - 16)
+                high = (check << np.uint64(_CHECK)) | np.uint64(row << _ROW)
                 places.append(high | starts.astype(np.uint64))
                 owners.append(np.full(len(starts), doc_id))
             if found:
                 value, owner, place = map(np.concatenate, (found, owners, places))
-                order = np.lexsort((place.view(np.int64), owner, place >> np.uint64(_CHECK), value))
-                value, owner, place = value[order], owner[order], place[order]
                 check = place >> np.uint64(_CHECK)
-                sure = np.zeros(len(value), bool)
-                sure[1:] = (value[1:] == value[:-1]) & (check[1:] == check[:-1])
-                first = np.maximum.accumulate(np.where(sure, 0, np.arange(len(value))))
+                order = np.lexsort((place.view(np.int64), owner, check, value))
+                value, owner, place, check = value[order], owner[order], place[order], check[order]
+                sure, first = _repeats(value, check)
                 # A row that stands twice in the table isn't a repeat of itself.
                 sure &= (owner != owner[first]) | (place != place[first])
                 spread = shared.mixed(place ^ owner.astype(np.uint64))
+                place |= sure.astype(np.uint64) << np.uint64(_SURE)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(np.where(sure, spread, value)), pa.array(owner, pa.int64()), _signed(place), pa.array(sure)],
-                    ["hash", "doc_id", "place", "sure"],
+                    [_signed(np.where(sure, spread, value)), pa.array(owner, pa.int64()), _signed(place)],
+                    ["hash", "doc_id", "place"],
                 )
 
-    return docs.select("doc_id", "text", "row", "anchors").mapInArrow(
-        run, "hash long, doc_id long, place long, sure boolean"
-    )
+    return docs.select(*_PACKED, "row", "anchors").mapInArrow(run, "hash long, doc_id long, place long")
 
 
-def _cut(docs: DataFrame, window: int) -> DataFrame:
+def _cut(docs: DataFrame, window: int, as_given: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
             sizes, gone, kept = [], [], []
             for text, copy, starts in zip(
-                shared.raw_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3), strict=True
+                _texts(batch.column(3)), batch.column(4).to_pylist(), batch.column(5), strict=True
             ):
-                words = (text or b"").split()
+                words = text.split()
                 sizes.append(len(words))
                 if copy and len(words) >= window:
                     words = []
@@ -146,71 +184,83 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                     covered = np.cumsum(edge[:-1]) > 0
                     words = [w for w, out in zip(words, covered.tolist(), strict=True) if not out]
                 gone.append(sizes[-1] - len(words))
-                kept.append(b" ".join(words))
+                kept.append(text if as_given and not gone[-1] else b" ".join(words))
+            numbers = [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                ["key", "n_words", "n_removed", "kept_text"],
+                [batch.column(0), batch.column(2), *numbers, pa.array(kept, pa.binary()).cast(pa.string())],
+                ["key", "rest", "n_words", "n_removed", "kept_text"],
             )
 
-    return docs.mapInArrow(run, "key long, n_words long, n_removed long, kept_text string")
+    given = docs.select(F.col("doc_id").alias("key"), "content", "rest", "packed", "copy", "starts")
+    key, rest = (given.schema[c] for c in ("key", "rest"))
+    out = StructType([key, rest]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    return given.mapInArrow(run, out)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, keep: Sequence[str] = (), as_given: bool = False
+) -> DataFrame:
     """Remove each word that a repeated window covers; of equal windows the first one stays.
 
-    Takes ``doc_id`` and ``text``; other columns are ignored.  Words are what stands between
+    Takes ``doc_id``, ``text`` and the columns to ``keep``; others are ignored.  Words are what stands between
     ASCII white space.  A window is ``window`` consecutive words of one document; it is repeated if
     the same words also start earlier (smaller ``doc_id``, or same document and earlier start),
     judged on the input, not on what is left.
 
     Returns one row for each input row: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one
-    space).  A null or empty text has no words.  A missing ``doc_id`` counts as the smallest.  Rows
+    space) and the columns to keep.  With ``as_given`` texts of which nothing is removed come back as they
+    are, null ones too.  A null or empty text has no words.  A missing ``doc_id`` counts as the smallest.  Rows
     of equal ``doc_id`` and equal text count as one document and get the same result;
     rows of equal ``doc_id`` and different text are documents of their own, in the order of a hash
     of the text.  Texts shorter than a window stay whole.
     """
-    rows = shared.texts(docs).select(
-        F.coalesce("doc_id", F.lit(shared.NO_ID)).alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
+    rest = F.struct(F.col("text").isNull().alias("no_text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(shared.NO_ID)).alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        rest.alias("rest"),
     )
-    content = [F.xxhash64("text").alias("content"), F.xxhash64(F.lit(1), "text").alias("content_2")]
-    keyed = rows.select("doc_id", "text", *content)
+    narrow = rows.select("doc_id", F.xxhash64("text").alias("content"), F.xxhash64(F.lit(1), "text").alias("content_2"))
+    # Every step reads the same four columns of this, so that Spark shuffles them once.
+    keyed = _packed(rows.withColumn("content", F.xxhash64("text")))
 
     # One narrow row for each document: its number among rows of equal id, and whether an
     # earlier document has the same text.  Such a copy is repeated as a whole.
-    narrow = rows.select("doc_id", *content)
-    facts = (
-        narrow.distinct()
-        .withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("content", "content_2")) - 1)
-    )
+    numbered = Window.partitionBy("doc_id").orderBy("content", "content_2")
+    facts = narrow.distinct().withColumn("row", F.row_number().over(numbered) - 1)
     firsts = narrow.groupBy("content", "content_2").agg(F.min("doc_id").alias("first_id"))
     facts = shared.written(
         facts.join(firsts, ["content", "content_2"])
         .select("doc_id", "content", "row", (F.col("doc_id") > F.col("first_id")).alias("copy"))
     )
+    whole = facts.where("not copy").select("doc_id", "content", "row")
 
-    anchors = _anchors(rows, window)
     same = Window.partitionBy(F.shiftright("anchor", 16))
     repeated = (
-        anchors.withColumn("n", F.count(F.lit(1)).over(same))
-        .where("n > 1")
+        _anchors(keyed.join(whole, ["doc_id", "content"]), window)
+        .withColumn("n", F.count(F.lit(1)).over(same))
+        .where((F.col("n") > 1) | (F.col("anchor").bitwiseAND(1) == 1))
         .groupBy("doc_id")
-        .agg(F.collect_set((F.col("anchor").bitwiseAND(0xFFFF)).cast("int")).alias("anchors"))
+        .agg(F.collect_set(F.shiftright(F.col("anchor").bitwiseAND(0xFFFF), 1).cast("int")).alias("anchors"))
     )
-    asked = facts.where("not copy").join(repeated, "doc_id").select("doc_id", "content", "row", "anchors")
-    candidates = keyed.join(asked, ["doc_id", "content"])
+    candidates = keyed.join(whole.join(repeated, "doc_id"), ["doc_id", "content"])
 
     equal = Window.partitionBy("hash", F.shiftright("place", _CHECK)).orderBy("doc_id", "place")
     later = (
         _windows(candidates, window)
         .withColumn("rank", F.rank().over(equal))
-        .where("sure or rank > 1")
-        .groupBy("doc_id", F.shiftright("place", _ROW).bitwiseAND(0xFFFF).cast("int").alias("row"))
+        .where((F.shiftright("place", _SURE).bitwiseAND(1) == 1) | (F.col("rank") > 1))
+        .groupBy("doc_id", F.shiftright("place", _ROW).bitwiseAND(0x7FFF).cast("int").alias("row"))
         .agg(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF)).alias("starts"))
     )
     found = facts.join(later, ["doc_id", "row"], "left").where("copy or starts is not null")
     marked = keyed.join(found.select("doc_id", "content", "copy", "starts"), ["doc_id", "content"], "left")
-    result = _cut(marked.select(F.col("doc_id").alias("key"), "text", "copy", "starts"), window)
+    result = _cut(marked, window, as_given)
+    text = F.when(~(F.col("rest.no_text") & F.lit(as_given)), F.col("kept_text"))
     return result.select(
-        F.when(F.col("key") != shared.NO_ID, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_text"
+        F.when(F.col("key") != shared.NO_ID, F.col("key")).alias("doc_id"),
+        "n_words",
+        "n_removed",
+        text.alias("kept_text"),
+        *(F.col(f"rest.kept_{c}").alias(c) for c in keep),
     )
