@@ -9,6 +9,10 @@ nearest neighbours share longer prefixes, so each region is read at the depth it
 Neighbours are confirmed on their full shingle sets.  Then the crowded regions are read again:
 documents already in one component stand for each other there, and neighbours are looked for in
 other components only, until nothing new is linked.
+
+What the neighbours leave out stands in crowded regions.  All documents of these are joined
+exactly at the end: shingles are ordered rarest first, and two sets that are alike enough have one of
+the first few of each in common (prefix, length and positional filters).
 """
 
 from collections.abc import Iterator
@@ -26,6 +30,10 @@ TREES, HASHES = 24, 6
 LEAST_DEPTH = 3
 #: Neighbours looked at on each side, in each tree.
 NEAREST = 5
+#: Bits of the buckets in which the exact join counts shingles; any order of shingles gives the same pairs.
+BUCKET_BITS = 21
+#: Rows of one shingle that one task of the exact join holds.
+TASK_ROWS = 1_000
 
 _rng = np.random.default_rng(20_240_607)
 _FACTORS = _rng.integers(0, 2**31, TREES * HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -202,6 +210,83 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _bucket_counts(texts: DataFrame) -> np.ndarray:
+    """About how many texts hold a shingle, by the first bits of its hash; one array of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2**BUCKET_BITS, np.int64)
+        for batch in shared.slices(batches):
+            for text in shared.raw_texts(batch.column(1)):
+                np.add.at(total, (shingles(text) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    counted = texts.select("id", "text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found, out = counted.toArrow(), np.zeros(2**BUCKET_BITS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+PREFIXES = "shingle long, id long, component long, n long, behind long, short boolean, deals int"
+
+
+def _prefixes(crowd: DataFrame, percent: int) -> DataFrame:
+    """The first shingles of each text of ``id, text, component``, rarest first.
+
+    A linked pair's first common shingle is among these for the longer set, and among those marked
+    ``short`` for the shorter one.  ``behind`` counts the shingles from there to the end.
+    """
+    known = crowd.sparkSession.sparkContext.broadcast(_bucket_counts(crowd))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shared.slices(batches, 1_000_000):
+            out: list[list[np.ndarray]] = []
+            ids, groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            for i, text in enumerate(shared.raw_texts(batch.column(1))):
+                found = shingles(text)
+                n = len(found)
+                counts = known.value[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                first = np.lexsort((found, counts))[: n - -(-percent * n // 100) + 1]
+                place = np.arange(len(first))
+                full = lambda x, like=place: np.full(len(like), x, np.int64)
+                short = place < n - -(-2 * percent * n // (100 + percent)) + 1
+                deals = (1 + counts[first] // TASK_ROWS).astype(np.int32)
+                out.append([found[first].view(np.int64), full(ids[i]), full(groups[i]), full(n), n - place, short, deals])
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PREFIXES.split(", ")])
+
+    return crowd.select("id", "text", "component").mapInArrow(run, PREFIXES)
+
+
+def _exact_pairs(crowd: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``a, b`` of different components whose sets may be alike enough; none that is, is left out.
+
+    Components are joined first, each as one row for a shingle, so that the rows of a large one
+    aren't compared with each other.
+    """
+    rows = shared.written(_prefixes(crowd, percent))
+    each = F.explode(F.sequence(F.lit(0), F.col("deals") - 1))
+    by_group = ["shingle", "component", "deals"]
+    figures = F.min("n").alias("least"), F.max("n").alias("most"), F.max("behind").alias("behind")
+    named = lambda table, end, *keys: table.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in table.columns if c not in keys))
+    longer = rows.groupBy(*by_group).agg(*figures).withColumn("deal", each)
+    shorter = rows.where("short").groupBy(*by_group).agg(*figures)
+    shorter = shorter.withColumn("deal", F.pmod(F.xxhash64("component"), "deals").cast("int"))
+    enough = lambda n, m: F.least("behind_a", "behind_b") * (100 + percent) >= percent * (F.col(n) + F.col(m))
+    groups = (
+        named(longer, "a", "shingle", "deal").join(named(shorter, "b", "shingle", "deal"), ["shingle", "deal"])
+        .where("component_a != component_b and least_b <= most_a")
+        .where((100 * F.col("most_b") >= percent * F.col("least_a")) & enough("least_a", "least_b"))
+        .select("shingle", "component_a", "component_b", F.col("deals_a").alias("deals"))
+    )
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("id"), "deals").cast("int")).drop("deals")
+    one, two = named(dealt.drop("short"), "a", "shingle", "deal"), named(dealt.where("short").drop("short"), "b", "shingle", "deal")
+    found = shared.written(groups).withColumn("deal", each).join(one, ["shingle", "deal", "component_a"])
+    found = found.drop("deal").withColumn("deal", each).join(two, ["shingle", "deal", "component_b"])
+    found = found.where((F.col("n_b") <= F.col("n_a")) & (100 * F.col("n_b") >= percent * F.col("n_a")) & enough("n_a", "n_b"))
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def _other_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends aren't in one component yet."""
     ends = pairs
@@ -242,6 +327,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             break
         crowded = shared.written(crowded)
         if texts is None:
+            # Pairs that are never neighbours have both their ends here.
+            all_crowded = crowded
             ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct()
             texts = shared.written(rows.join(ids, "id", "left_semi"))
         # First the likeliest partners of each document; what they leave apart, afterwards.
@@ -261,6 +348,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         named = labels.withColumnRenamed("node", "id")
         again = sets.join(crowded, "id", "left_semi").join(named, "id", "left")
         crowd = shared.written(_borders(_trees(again.withColumn("component", F.coalesce("component", "id")))))
+    named = labels.withColumnRenamed("node", "id")
+    crowd = texts.join(all_crowded, "id", "left_semi").join(named, "id", "left")
+    crowd = crowd.select("id", "text", F.coalesce("component", "id").alias("component"))
+    pairs = _exact_pairs(crowd, percent).join(tested, ["a", "b"], "left_anti")
+    late = shared.written(confirm(pairs, texts, percent))
+    if not late.isEmpty():
+        labels = shared.written(components.components(links.union(late)))
     per_set = sets.select(*same_set, F.col("id").alias("node")).join(labels, "node", "left")
     per_set = per_set.select(*same_set, F.coalesce("component", "node").alias("component"))
     # Repeated ids: one document with the sets of all its rows.

@@ -115,6 +115,19 @@ def test_chained_near_copies_are_one_component(spark):
     assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == brute_components(pairs)
 
 
+def test_pairs_within_an_unlinked_crowd_are_found(spark):
+    rng = random.Random(8)
+    own = lambda n: [str(rng.random()) for _ in range(n)]
+    core, texts = own(165), [own(35) for _ in range(600)]
+    for i in range(0, 60, 2):
+        texts[i + 1][:10] = texts[i][:10]
+    pairs = list(zip(rng.sample(range(10_000), 600), (" ".join(core + t) for t in texts), strict=True))
+    expected = brute_components(pairs)
+    assert sum(not kept for *_, kept in expected) == 30
+    found = near_duplicates.near_duplicates(table(spark, pairs))
+    assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == expected
+
+
 def test_near_duplicates_with_awkward_ids(spark):
     text = " ".join(map(str, range(30)))
     pairs = [(None, text), (5, text), (7, "a b c"), (7, "d e f"), (8, "d e f"), (8, "d e f"), (9, "a b c")]
