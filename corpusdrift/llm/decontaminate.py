@@ -5,6 +5,9 @@ these are replaced by placeholders of their kind, and windows of the canonical w
 by hash.  Where a document shares windows with an item, both are laid side by side: the
 run must be long enough, and what fills the slots must be consistent (equal fillers of the
 item stand against equal fillers of the document, and different ones against different ones).
+
+Windows that hold little but placeholders would meet everywhere; these are joined by their plain
+lower-cased words, and what they find must be literally in the document.
 """
 
 import re
@@ -22,6 +25,8 @@ from corpusdrift.llm import shared
 WINDOW, LITERALS = 8, 4
 #: A run must be as long as this, or as the item if that is shorter.
 RUN = 13
+#: The bit that tells hashes of plain words.
+_LITERAL = np.uint64(1)
 #: Benchmarks with more windows aren't sent to every task but joined by a shuffle.
 MOST_WINDOWS = 1_000_000
 
@@ -50,13 +55,19 @@ def canonical(word: str) -> tuple[str, str]:
     return "word", bare.lower()
 
 
+def plain(word: str) -> str:
+    """A word as it is, but for case and the marks around it."""
+    return (word.strip(_EDGES) or word).lower()
+
+
 class Words(dict):
     """What is known of each word, in arrays: hashes as the first word of a sentence and
-    elsewhere, where a capital makes it a name; whether these are words; whether a sentence ends."""
+    elsewhere, where a capital makes it a name, and of the plain word; whether the first two are words;
+    whether a sentence ends."""
 
     def __init__(self, most: int = 250_000) -> None:
         self.most = most
-        self.first, self.later = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+        self.first, self.later, self.literal = (np.zeros(most, np.uint64) for _ in range(3))
         self.plain_first, self.plain_later, self.ends = (np.zeros(most, bool) for _ in range(3))
 
     def __missing__(self, word: str) -> int:
@@ -67,13 +78,14 @@ class Words(dict):
         name = kind == "word" and (word.lstrip(_EDGES)[:1]).isupper()
         self.first[at] = xxhash.xxh3_64_intdigest(form.encode("utf-8", "replace"))
         self.later[at] = xxhash.xxh3_64_intdigest(b"<name>") if name else self.first[at]
+        self.literal[at] = xxhash.xxh3_64_intdigest(plain(word).encode("utf-8", "replace"))
         self.plain_first[at], self.plain_later[at] = kind == "word", kind == "word" and not name
         self.ends[at] = word.endswith(_ENDS)
         return at
 
     def look(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """Hashes of the canonical words, which of them are words, and both again as if every
-        word were the first of a sentence."""
+        """Hashes of the canonical words, which of them are words, both again as if every
+        word were the first of a sentence, and hashes of the plain words."""
         if len(self) + len(words) > self.most:
             self.clear()
             if len(words) > self.most:
@@ -84,15 +96,17 @@ class Words(dict):
         opens = np.ones(len(at), bool)
         opens[1:] = self.ends[at[:-1]]
         first, plain = self.first[at], self.plain_first[at]
-        return np.where(opens, first, self.later[at]), np.where(opens, plain, self.plain_later[at]), first, plain
+        later, plain_later = self.later[at], self.plain_later[at]
+        return np.where(opens, first, later), np.where(opens, plain, plain_later), first, plain, self.literal[at]
 
 
 def windows(looked: tuple[np.ndarray, ...], size: int) -> np.ndarray:
-    """Hashes of the windows; 0 for those with too few words that aren't placeholders.
+    """Hashes of the windows; of the plain words, with the last bit set, for those with too few words that
+    aren't placeholders.
 
     What stands before a window doesn't count: its first word is taken as the first of a sentence.
     """
-    hashes, plain, first, plain_first = looked
+    hashes, plain, first, plain_first, literals = looked
     count = len(hashes) - size + 1
     if count <= 0:
         return np.empty(0, np.uint64)
@@ -100,7 +114,8 @@ def windows(looked: tuple[np.ndarray, ...], size: int) -> np.ndarray:
     found = shared.mixed(rest * np.uint64(0x9E3779B97F4A7C15) + first[:count]) + np.uint64(size)
     total = np.concatenate([[0], np.cumsum(plain)])
     literal = total[size:] - total[1 : count + 1] + plain_first[:count]
-    return np.where(literal >= min(LITERALS, size), found, np.uint64(0))
+    exact = shared.window_hashes(literals, size, 1) + np.uint64(size)
+    return np.where(literal >= min(LITERALS, size), found & ~_LITERAL, exact | _LITERAL)
 
 
 def _slots(words: list[str]) -> list[tuple[str, str]]:
@@ -156,6 +171,25 @@ def align(doc: list[str], item: list[str], seeds: list[tuple[int, int]], run: in
     return best
 
 
+def align_literally(doc: list[str], item: list[str], seeds: list[tuple[int, int]], run: int = RUN) -> tuple | None:
+    """As :func:`align`, for runs of the same words: nothing fills a slot otherwise."""
+    left, right = [plain(w) for w in doc], [plain(w) for w in item]
+    best, done = None, set()
+    for at, of in seeds:
+        if any(d == at - of and s <= at < e for d, s, e in done):
+            continue
+        start, end = at, at
+        while start > 0 and of - (at - start) > 0 and left[start - 1] == right[of - (at - start) - 1]:
+            start -= 1
+        while end < len(left) and of + end - at < len(right) and left[end] == right[of + end - at]:
+            end += 1
+        done.add((at - of, start, end))
+        if end - start >= min(run, len(item)) and (best is None or end - start > best[1]):
+            slots = sum(kind != "word" for kind, _ in _slots(item)[start - at + of : end - at + of])
+            best = start, end - start, slots, 0
+    return best
+
+
 class Index:
     """The windows of all items, sorted by hash."""
 
@@ -168,7 +202,7 @@ class Index:
                 number = len(self.items)
                 self.items[number] = (item_id, own)
                 hashes = windows(words.look(own), min(size, len(own)))
-                found += [(int(h), number, place) for place, h in enumerate(hashes) if h]
+                found += [(int(h), number, place) for place, h in enumerate(hashes)]
         found.sort()
         self.hashes = np.array([f[0] for f in found], np.uint64)
         self.places = [f[1:] for f in found]
@@ -180,7 +214,7 @@ class Index:
         if not own or not len(self.hashes):
             return []
         looked = words.look(own)
-        seeds: dict[int, list[tuple[int, int]]] = {}
+        seeds: dict[int, tuple[list, list]] = {}
         for size in self.sizes:
             found = windows(looked, size)
             at = np.searchsorted(self.hashes, found)
@@ -189,13 +223,14 @@ class Index:
                 i = int(at[place])
                 while i < len(self.hashes) and self.hashes[i] == found[place]:
                     number, of = self.places[i]
-                    seeds.setdefault(number, []).append((int(place), of))
+                    seeds.setdefault(number, ([], []))[int(found[place] & _LITERAL)].append((int(place), of))
                     i += 1
         out = []
-        for number, pairs in sorted(seeds.items()):
+        for number, (pairs, same) in sorted(seeds.items()):
             item_id, item = self.items[number]
-            if best := align(own, item, pairs):
-                out.append((item_id, *best, len(item)))
+            found = [align(own, item, pairs) if pairs else None, align_literally(own, item, same) if same else None]
+            if found := [f for f in found if f]:
+                out.append((item_id, *max(found, key=lambda f: f[1]), len(item)))
         return out
 
 
@@ -274,8 +309,14 @@ def _index(bench: DataFrame, most_windows: int):
 
 def _find_by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The same for any benchmark: windows meet in a join, then the texts of each pair found."""
-    lengths = F.least(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")), F.lit(WINDOW))
-    sizes = [r[0] for r in bench.dropna().select(lengths).distinct().collect() if r[0] > 0]  # at most WINDOW
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {min(WINDOW, len((text or "").split())) for text in batch.column(0).to_pylist()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["size"])
+
+    # The words that the windows are made of; at most WINDOW sizes.
+    sizes = [r.size for r in bench.select("text").mapInArrow(lengths, "size long").distinct().collect() if r.size]
 
     def hashed(of_items: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +328,7 @@ def _find_by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
                     looked = words.look(own)
                     for size in [min(WINDOW, len(own))] if of_items else sizes:
                         found = np.unique(windows(looked, size)) if size else np.empty(0, np.uint64)
-                        hashes.append(found[found != 0])
+                        hashes.append(found)
                         keys += [key] * len(hashes[-1])
                 if keys:
                     values = np.concatenate(hashes).view(np.int64)

@@ -55,6 +55,18 @@ def test_a_run_ends_where_slots_contradict():
     assert decontaminate.align("a Bob b c Bob d".split(), "a Ann b c Ann d".split(), [(0, 0)], run=6) == (0, 6, 2, 2)
 
 
+@pytest.mark.parametrize("most_windows", [1_000_000, 0])
+def test_items_of_numbers_and_names_are_found(spark, most_windows):
+    numbers = " ".join(str(i * i) for i in range(14))
+    items = [(1, numbers), (2, "A Short History Of Nearly Every Old House"), (3, "Who is John Ronald Reuel Tolkien")]
+    items += [(None, "Ada Lovelace"), (5, "Kurt\u3000G\u00f6del")]
+    docs = [(i, f"so they said: {text} and more") for i, text in items[:3]]
+    docs += [(10, items[1][1].upper()), (11, f"x {numbers.replace(' 81 ', ' 82 ')}"), (12, "Who is Ann Mary Jane Smith")]
+    docs += [(13, "by Ada Lovelace"), (14, "by Kurt G\u00f6del"), (15, numbers.rsplit(" ", 1)[0])]
+    found = {(r.doc_id, r.item_id, r.n_changed) for r in leaks(spark, docs, items, most_windows=most_windows).collect()}
+    assert found == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (10, 2, 0), (13, None, 0), (14, 5, 0), (15, 1, 0)}
+
+
 @pytest.mark.parametrize("folder", [FOLDER])
 def test_large_benchmarks_give_the_same_by_shuffle(spark, folder):
     docs, bench = (shared.table(spark, folder, t) for t in ("documents", "benchmark"))
