@@ -3,7 +3,8 @@
 Records are gzip members of their own.  The reader checks every record it finds: the gzip
 trailer, the version line, the header block, the content length, the two closing line ends and
 the payload digest.  Where a check fails it looks for the next place at which a gzip member or a
-version line begins, goes on from there, and logs the bytes between as quarantined.
+version line begins, goes on from there, and logs the bytes between as quarantined.  The content
+of a member is read likewise, as far as it can be unpacked.
 """
 
 import base64
@@ -28,7 +29,9 @@ PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An empty gzip member; it stands after every record, as the sink wants a separator.
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 MEMBER = b"\x1f\x8b\x08"
-_VERSION_LINE = re.compile(rb"WARC/\d\.\d")
+_VERSION_LINE = re.compile(rb"WARC/\d+\.\d+")
+_VERSION = re.compile(rb"WARC/\d")
+_START = re.compile(re.escape(MEMBER) + rb"|WARC/\d")
 _DATE = b"2024-01-01T00:00:00Z"
 
 
@@ -125,7 +128,9 @@ def _fields(head: bytes) -> dict[str, str]:
 
 def _parse(data: bytes, start: int) -> tuple[dict, bytes, int]:
     """The record that starts at a byte of plain data: fields, block, end."""
-    stop = data.find(b"\r\n\r\n", start, start + 1_000_000)
+    if not _VERSION_LINE.match(data, start):
+        raise _Damaged("no version line")
+    stop = data.find(b"\r\n\r\n", start)
     if stop < 0:
         raise _Damaged("header without end")
     fields = _fields(data[start:stop])
@@ -142,58 +147,101 @@ def _parse(data: bytes, start: int) -> tuple[dict, bytes, int]:
     return fields, block, end + 4
 
 
-def _member(data: bytes, start: int, step: int = 65_536) -> tuple[bytes, int]:
-    """The content of the gzip member at a byte, and the byte after it."""
+def _member(data: bytes, start: int, step: int = 65_536) -> tuple[bytes, int, str]:
+    """The content of the gzip member at a byte, as far as it unpacks, the byte after it, and what is wrong."""
     packer, parts, at = zlib.decompressobj(31), [], start
-    try:
-        while not packer.eof and at < len(data):
+    while not packer.eof and at < len(data):
+        before = packer.copy()
+        try:
             parts.append(packer.decompress(data[at : at + step]))
-            at += step
-    except zlib.error as error:
-        raise _Damaged(f"gzip: {error}") from None
-    if not packer.eof:
-        raise _Damaged("gzip member cut short")
-    return b"".join(parts), min(at, len(data)) - len(packer.unused_data)
-
-
-def _next_start(data: bytes, start: int) -> int:
-    """The next byte at which a member or a version line may begin, or the end."""
-    places = [p for p in (data.find(MEMBER, start), data.find(b"WARC/1.", start)) if p >= 0]
-    return min(places, default=len(data))
+        except zlib.error as error:
+            try:  # what comes before the damage
+                while at < len(data):
+                    parts.append(before.decompress(data[at : at + 1]))
+                    at += 1
+            except zlib.error:
+                pass
+            return b"".join(parts), at, f"gzip: {error}"
+        at += step
+    return b"".join(parts), min(at, len(data)) - len(packer.unused_data), "" if packer.eof else "gzip member cut short"
+
+
+def _next(pattern: re.Pattern, data: bytes, start: int) -> int:
+    """The next byte at which the pattern stands, or the end."""
+    found = pattern.search(data, start)
+    return found.start() if found else len(data)
+
+
+def _unpacked(content: bytes, prove: bool) -> tuple[list[tuple[dict, bytes]], list[str]]:
+    """The records of a member's content, and what is wrong between them; ``prove`` takes only
+    records whose payload digest is there and right."""
+    found, gaps, place, gap, reason = [], [], 0, None, ""
+    while place < len(content):
+        try:
+            fields, block, end = _parse(content, place)
+            if prove and (fields["warc-type"] == "revisit" or not fields.get("warc-payload-digest", "").startswith("sha1:")):
+                raise _Damaged("no digest proves the record")
+        except _Damaged as error:
+            if gap is None:
+                gap, reason = place, str(error)
+            place = _next(_VERSION, content, place + 1)
+            continue
+        if gap is not None:
+            gaps.append(f"{reason}, in bytes {gap} to {place} of the content")
+            gap = None
+        found.append((fields, block))
+        place = end
+    if gap is not None:
+        gaps.append(f"{reason}, in bytes {gap} to {len(content)} of the content")
+    return found, gaps
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """``("record", start, end, fields, block)`` and ``("gap", start, end, reason, None)`` of an archive's bytes.
 
-    Members of the archive may be compressed, plain or mixed.  All offsets are bytes of the file.
+    Members of the archive may be compressed, plain or mixed.  All offsets are bytes of the file; the reason of
+    a gap inside a member also has the bytes of its content.  Records of a damaged member lie in its gap; where
+    the damage isn't just a missing tail, only those that their payload digest proves are taken.
     """
-    at, gap, reason = 0, None, ""
+    at, gap, reason, kept, reach = 0, None, "", [], 0
     while at < len(data):
+        found, problem, inside, end = [], "", [], at
         try:
             if data.startswith(MEMBER, at):
-                content, end = _member(data, at)
-                found, place = [], 0
-                while place < len(content):
-                    fields, block, place = _parse(content, place)
-                    found.append((fields, block))
-            elif data.startswith(b"WARC/", at):
+                content, end, problem = _member(data, at)
+                found, inside = _unpacked(content, problem.startswith("gzip:"))
+            elif _VERSION.match(data, at):
                 fields, block, end = _parse(data, at)
                 found = [(fields, block)]
             else:
-                raise _Damaged("neither member nor version line")
+                problem = "neither member nor version line"
         except _Damaged as error:
+            problem = str(error)
+        if problem:
             if gap is None:
-                gap, reason = at, str(error)
-            at = _next_start(data, at + 1)
+                gap, reason = at, "; ".join([problem, *inside])
+            elif found:
+                reason += "; " + "; ".join([problem, *inside])
+            kept, reach = kept + found, max(reach, end)
+            at = _next(_START, data, at + 1)
+            continue
+        if gap is not None and at < reach and not data.startswith(MEMBER, at) and found[0] in kept:
+            at = end  # stored in a member without compression, and unpacked before
             continue
         if gap is not None:
             yield "gap", gap, at, reason, None
-            gap = None
+            for fields, block in kept:
+                yield "record", gap, at, fields, block
+            gap, kept = None, []
+        for text in inside:
+            yield "gap", at, end, text, None
         for fields, block in found:
             yield "record", at, end, fields, block
         at = end
     if gap is not None:
         yield "gap", gap, len(data), reason, None
+        for fields, block in kept:
+            yield "record", gap, len(data), fields, block
 
 
 READ = (
@@ -231,7 +279,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                 if out:
                     yield _batch(out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     schema = READ + ", payload binary" * with_payload
     return files.select("path", "content").mapInArrow(run, schema)
 

@@ -94,3 +94,31 @@ def test_sound_mixed_and_empty_archives():
     assert len(found) == 15 and {x[0] for x in found} == {"record"}
     assert list(warc.salvage(b"")) == []
     assert [x[0] for x in warc.salvage(b"no archive at all")] == ["gap"]
+
+
+def test_sound_records_of_a_damaged_member_are_kept():
+    parts = archive(3, 12, False)
+    every = [f"<urn:page:{i}>" for i in range(12)]
+    spoiled = [*parts]
+    spoiled[4] = spoiled[4].replace(b"in a payload", b"in a PAYLOAD")
+    found = list(warc.salvage(zlib.compress(b"".join(spoiled), wbits=31)))
+    assert ids(found) == every[:4] + every[5:] and [x[0] for x in found].count("gap") == 1
+    packed = zlib.compress(b"".join(parts), wbits=31)
+    cut = list(warc.salvage(packed[: len(packed) // 2] + zlib.compress(parts[0], wbits=31)))
+    assert len(ids(cut)) >= 4 and ids(cut)[:3] == every[:3] and ids(cut)[-1] == every[0]
+    tail = list(warc.salvage(packed[:-20]))
+    assert ids(tail)[:11] == every[:11] and tail[0][0] == "gap"
+    stored = zlib.compress(b"".join(parts), level=0, wbits=31)
+    assert ids(warc.salvage(stored[:-6])) == every
+
+
+def test_every_version_header_size_and_file_name(spark, tmp_path):
+    parts = archive(4, 4, False)
+    old = [p.replace(b"WARC/1.1\r\n", b"WARC/0.18\r\n", 1) for p in parts]
+    assert len(ids(warc.salvage(b"junk" + b"".join(old)))) == 4
+    wide = parts[0].replace(b"WARC-Date", b"X-Wide: " + b"y" * 1_200_000 + b"\r\nWARC-Date", 1)
+    assert len(ids(warc.salvage(wide))) == 1
+    (tmp_path / "b" / "c").mkdir(parents=True)
+    (tmp_path / "b" / "crawl.warc.gz").write_bytes(zlib.compress(parts[0], wbits=31))
+    (tmp_path / "b" / "c" / "other.warc").write_bytes(parts[1])
+    assert warc.read(spark, str(tmp_path / "b")).where("problem is null").count() == 2
