@@ -27,9 +27,9 @@ WINDOW = 20
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27)}
 LEAST_ANCHOR = 4
 
-#: A place holds 16 bits of a second hash, 1 bit that says it is known to be repeated, 15 bits of the
-#: row's number among those of equal doc_id, and 32 bits of the start.
-_CHECK, _SURE, _ROW = 48, 47, 32
+#: A place holds 16 bits of a second hash, 1 bit that says it is known to be repeated, and 32 bits of
+#: the start.  Which of the texts of equal doc_id it is in is told by the text's two hashes.
+_CHECK, _SURE = 48, 47
 #: An anchor holds 48 bits of hash, 15 bits of the position and 1 bit that says it is known to be repeated.
 _PLACES = 2**15
 
@@ -47,19 +47,21 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """``doc_id, content, rest, packed``: texts as they are shuffled, once for all steps."""
+    """``doc_id, content, content_2, rest, packed``: texts as they are shuffled, once for all steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in shared.slices(batches):
-            packed = [packer.compress(text) for text in shared.raw_texts(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], _PACKED)
+            packed = [packer.compress(text) for text in shared.raw_texts(batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], _PACKED)
 
-    given = rows.select("doc_id", "content", "rest", "text")
-    return given.mapInArrow(run, StructType([*given.schema.fields[:3], StructField("packed", BinaryType())]))
+    given = rows.select("doc_id", "content", "content_2", "rest", "text")
+    return given.mapInArrow(run, StructType([*given.schema.fields[:4], StructField("packed", BinaryType())]))
 
 
-_PACKED = ["doc_id", "content", "rest", "packed"]
+_PACKED = ["doc_id", "content", "content_2", "rest", "packed"]
+#: A document: an id, and which of its texts.
+_KEY = ["doc_id", "content", "content_2"]
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -67,6 +69,18 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [reader.decompress(x) for x in column.to_pylist()]
 
 
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    """The three numbers of each document, in rows."""
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(_KEY))])
+
+
+def _blend(owner: np.ndarray) -> np.ndarray:
+    return shared.mixed(owner[1].view(np.uint64)) ^ owner[0].view(np.uint64)
+
+
+_KEY_SCHEMA = ", ".join(f"{c} long" for c in _KEY)
+
+
 def _repeats(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sorted rows: whether a row's key is that of the row before, and where its key begins."""
     same = np.zeros(len(keys), bool)
@@ -77,7 +91,7 @@ def _repeats(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``anchor`` and ``doc_id``, one row for each cover position.
+    """``anchor`` and the document, one row for each cover position.
 
     Anchors that a batch holds twice are marked as known to be repeated, and but for one go
     under hashes of their own: no hash has more rows than there are batches.
@@ -87,32 +101,32 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
-            found, owners = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch.column(3)), strict=True):
+            found, owners, keys = [], [], _keys(batch)
+            for i, text in enumerate(_texts(batch.column(4))):
                 words = shared.word_hashes(text)
                 if len(words) < window:
                     continue
                 runs = shared.window_hashes(words, length)
                 place = np.flatnonzero(flags[np.arange(len(runs)) % period])
                 found.append((runs[place] & ~np.uint64(0xFFFF)) | ((place % _PLACES) << 1).astype(np.uint64))
-                owners.append(np.full(len(place), doc_id))
+                owners.append(np.full(len(place), i))
             if found:
-                value, owner = np.concatenate(found), np.concatenate(owners)
+                value, owner = np.concatenate(found), keys[:, np.concatenate(owners)]
                 order = np.argsort(value >> np.uint64(16), kind="stable")
                 key = (value >> np.uint64(16))[order]
                 same, first = _repeats(key)
                 again = same.copy()
                 again[first[same]] = True
                 value[order] |= again.astype(np.uint64)
-                spread = shared.mixed(value ^ owner.astype(np.uint64) * np.uint64(31)) & ~np.uint64(0xFFFF)
+                spread = shared.mixed(value ^ _blend(owner) * np.uint64(31)) & ~np.uint64(0xFFFF)
                 value[order[same]] = (spread | (value & np.uint64(0xFFFF)))[order[same]]
-                yield pa.RecordBatch.from_arrays([_signed(value), pa.array(owner, pa.int64())], ["anchor", "doc_id"])
+                yield pa.RecordBatch.from_arrays([_signed(value), *map(pa.array, owner)], ["anchor", *_KEY])
 
-    return docs.select(*_PACKED).mapInArrow(run, "anchor long, doc_id long")
+    return docs.select(*_PACKED).mapInArrow(run, f"anchor long, {_KEY_SCHEMA}")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """``hash, doc_id, place`` of the windows that hold a repeated anchor.
+    """``hash``, the document and ``place`` of the windows that hold a repeated anchor.
 
     Of equal windows in one batch the first goes on; the others are known to be repeated
     and go under hashes of their own, so that no hash has more rows than there are batches.
@@ -121,14 +135,8 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
-            found, owners, places = [], [], []
-            for doc_id, text, row, anchors in zip(
-                batch.column(0).to_pylist(),
-                _texts(batch.column(3)),
-                batch.column(4).to_pylist(),
-                batch.column(5),
-                strict=True,
-            ):
+            found, owners, places, keys = [], [], [], _keys(batch)
+            for i, (text, anchors) in enumerate(zip(_texts(batch.column(4)), batch.column(5), strict=True)):
                 values = shared.word_hashes(text)
                 count = len(values) - window + 1
                 if count <= 0:
@@ -143,25 +151,24 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 found.append(shared.window_hashes(values, window)[starts])
                 check = shared.window_hashes(values, window, 1)[starts] >> np.uint64(64 - 16)
-                high = (check << np.uint64(_CHECK)) | np.uint64(row << _ROW)
-                places.append(high | starts.astype(np.uint64))
-                owners.append(np.full(len(starts), doc_id))
+                places.append((check << np.uint64(_CHECK)) | starts.astype(np.uint64))
+                owners.append(np.full(len(starts), i))
             if found:
                 value, owner, place = map(np.concatenate, (found, owners, places))
-                check = place >> np.uint64(_CHECK)
-                order = np.lexsort((place.view(np.int64), owner, check, value))
-                value, owner, place, check = value[order], owner[order], place[order], check[order]
+                owner, check = keys[:, owner], place >> np.uint64(_CHECK)
+                order = np.lexsort((place.view(np.int64), *owner[::-1], check, value))
+                value, owner, place, check = value[order], owner[:, order], place[order], check[order]
                 sure, first = _repeats(value, check)
                 # A row that stands twice in the table isn't a repeat of itself.
-                sure &= (owner != owner[first]) | (place != place[first])
-                spread = shared.mixed(place ^ owner.astype(np.uint64))
+                sure &= (owner != owner[:, first]).any(axis=0) | (place != place[first])
+                spread = shared.mixed(place ^ _blend(owner))
                 place |= sure.astype(np.uint64) << np.uint64(_SURE)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(np.where(sure, spread, value)), pa.array(owner, pa.int64()), _signed(place)],
-                    ["hash", "doc_id", "place"],
+                    [_signed(np.where(sure, spread, value)), *map(pa.array, owner), _signed(place)],
+                    ["hash", *_KEY, "place"],
                 )
 
-    return docs.select(*_PACKED, "row", "anchors").mapInArrow(run, "hash long, doc_id long, place long")
+    return docs.select(*_PACKED, "anchors").mapInArrow(run, f"hash long, {_KEY_SCHEMA}, place long")
 
 
 def _cut(docs: DataFrame, window: int, as_given: bool) -> DataFrame:
@@ -169,7 +176,7 @@ def _cut(docs: DataFrame, window: int, as_given: bool) -> DataFrame:
         for batch in shared.slices(batches):
             sizes, gone, kept = [], [], []
             for text, copy, starts in zip(
-                _texts(batch.column(3)), batch.column(4).to_pylist(), batch.column(5), strict=True
+                _texts(batch.column(4)), batch.column(5).to_pylist(), batch.column(6), strict=True
             ):
                 words = text.split()
                 sizes.append(len(words))
@@ -187,11 +194,11 @@ def _cut(docs: DataFrame, window: int, as_given: bool) -> DataFrame:
                 kept.append(text if as_given and not gone[-1] else b" ".join(words))
             numbers = [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *numbers, pa.array(kept, pa.binary()).cast(pa.string())],
+                [batch.column(0), batch.column(3), *numbers, pa.array(kept, pa.binary()).cast(pa.string())],
                 ["key", "rest", "n_words", "n_removed", "kept_text"],
             )
 
-    given = docs.select(F.col("doc_id").alias("key"), "content", "rest", "packed", "copy", "starts")
+    given = docs.select(F.col("doc_id").alias("key"), "content", "content_2", "rest", "packed", "copy", "starts")
     key, rest = (given.schema[c] for c in ("key", "rest"))
     out = StructType([key, rest]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return given.mapInArrow(run, out)
@@ -220,41 +227,41 @@ def remove_repeats(
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         rest.alias("rest"),
     )
-    narrow = rows.select("doc_id", F.xxhash64("text").alias("content"), F.xxhash64(F.lit(1), "text").alias("content_2"))
-    # Every step reads the same four columns of this, so that Spark shuffles them once.
-    keyed = _packed(rows.withColumn("content", F.xxhash64("text")))
-
-    # One narrow row for each document: its number among rows of equal id, and whether an
-    # earlier document has the same text.  Such a copy is repeated as a whole.
-    numbered = Window.partitionBy("doc_id").orderBy("content", "content_2")
-    facts = narrow.distinct().withColumn("row", F.row_number().over(numbered) - 1)
+    hashed = rows.withColumns({"content": F.xxhash64("text"), "content_2": F.xxhash64(F.lit(1), "text")})
+    # Every step reads the same five columns of this, so that Spark shuffles them once.
+    keyed = _packed(hashed)
+
+    # One narrow row for each document: whether an earlier one has the same text.  Such a copy
+    # is repeated as a whole.
+    narrow = hashed.select(*_KEY)
+    facts = narrow.distinct()
     firsts = narrow.groupBy("content", "content_2").agg(F.min("doc_id").alias("first_id"))
     facts = shared.written(
         facts.join(firsts, ["content", "content_2"])
-        .select("doc_id", "content", "row", (F.col("doc_id") > F.col("first_id")).alias("copy"))
+        .select(*_KEY, (F.col("doc_id") > F.col("first_id")).alias("copy"))
     )
-    whole = facts.where("not copy").select("doc_id", "content", "row")
+    whole = facts.where("not copy").select(*_KEY)
 
     same = Window.partitionBy(F.shiftright("anchor", 16))
     repeated = (
-        _anchors(keyed.join(whole, ["doc_id", "content"]), window)
+        _anchors(keyed.join(whole, _KEY), window)
         .withColumn("n", F.count(F.lit(1)).over(same))
         .where((F.col("n") > 1) | (F.col("anchor").bitwiseAND(1) == 1))
-        .groupBy("doc_id")
+        .groupBy(*_KEY)
         .agg(F.collect_set(F.shiftright(F.col("anchor").bitwiseAND(0xFFFF), 1).cast("int")).alias("anchors"))
     )
-    candidates = keyed.join(whole.join(repeated, "doc_id"), ["doc_id", "content"])
+    candidates = keyed.join(repeated, _KEY)
 
-    equal = Window.partitionBy("hash", F.shiftright("place", _CHECK)).orderBy("doc_id", "place")
+    equal = Window.partitionBy("hash", F.shiftright("place", _CHECK)).orderBy(*_KEY, "place")
     later = (
         _windows(candidates, window)
         .withColumn("rank", F.rank().over(equal))
         .where((F.shiftright("place", _SURE).bitwiseAND(1) == 1) | (F.col("rank") > 1))
-        .groupBy("doc_id", F.shiftright("place", _ROW).bitwiseAND(0x7FFF).cast("int").alias("row"))
+        .groupBy(*_KEY)
         .agg(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF)).alias("starts"))
     )
-    found = facts.join(later, ["doc_id", "row"], "left").where("copy or starts is not null")
-    marked = keyed.join(found.select("doc_id", "content", "copy", "starts"), ["doc_id", "content"], "left")
+    found = facts.join(later, _KEY, "left").where("copy or starts is not null")
+    marked = keyed.join(found.select(*_KEY, "copy", "starts"), _KEY, "left")
     result = _cut(marked, window, as_given)
     text = F.when(~(F.col("rest.no_text") & F.lit(as_given)), F.col("kept_text"))
     return result.select(

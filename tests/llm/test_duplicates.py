@@ -74,6 +74,16 @@ def test_repeats_with_awkward_ids(spark):
     assert [r.n_removed for r in twins] == [0, 0, 0]
 
 
+def test_many_texts_under_one_id(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [f"a{i} {passage} b{i}" for i in range(33_000)]
+    found = substring_dedup.remove_repeats(table(spark, [(None, t) for t in texts])).collect()
+    # One of them keeps the passage, and no other word goes.
+    assert sorted(r.n_removed for r in found) == [0] + [20] * 32_999
+    own = {(r.kept_text.split()[0], r.kept_text.split()[-1]) for r in found}
+    assert own == {(f"a{i}", f"b{i}") for i in range(33_000)}
+
+
 def brute_components(pairs):
     sets = {}
     for doc_id, text in pairs:
