@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from corpusdrift.llm import (
     bpe,
+    centroids,
     decontaminate,
     language_id,
     license_scan,
     line_frequency,
     near_duplicates,
+    packing,
+    phrases,
     shared,
     substring_dedup,
     token_store,
@@ -88,6 +91,19 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(docs, shared.tokenizer_file(VOCABULARY))
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(shared.table(spark, folder, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(shared.table(spark, folder, "documents"))
+
+
+def op13_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = shared.table(spark, folder, "documents")
+    return packing.pack_documents(docs, shared.tokenizer_file(VOCABULARY), END_ID)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -101,6 +117,9 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_bpe,
         op10_toxicity,
+        op11_centroids,
+        op12_collocations,
+        op13_best_fit,
     )
 }
 
@@ -171,8 +190,73 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
 """
 
+_NEAREST = """
+  SELECT vec_id, v, list_min(list_transform(range(1, len(cs) + 1), lambda k: {
+    'd': list_sum(list_transform(range(1, 65), lambda i: (v[i] - cs[k][i]) * (v[i] - cs[k][i])))::BIGINT, 'k': k - 1})) AS near
+  FROM kept, (SELECT list(c ORDER BY k) AS cs FROM c%d)"""
+
+
+def _op11_sql(rounds: int = 10) -> str:
+    """Each round is two tables: vectors with their nearest centroid, and the centroids moved."""
+    steps = [
+        """
+kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c
+  FROM (SELECT v, sha256('3:' || vec_id) AS h FROM kept ORDER BY h LIMIT 8))"""
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({_NEAREST % i})")
+        steps.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.k, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+    SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+      SELECT near.k AS k, i, sum(v[i]) AS s, count(*) AS n
+      FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY k) m USING (k))""")
+    return f"""WITH {",".join(steps)},
+last AS MATERIALIZED ({_NEAREST % rounds})
+SELECT vec_id, near.k::INTEGER AS cluster, near.d AS distance,
+  (sum(near.d) OVER (PARTITION BY near.k))::BIGINT AS cluster_inertia, (sum(near.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM last JOIN c{rounds} ON near.k = c{rounds}.k
+"""
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1),
+runs AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM words, (SELECT unnest(range(1, 6)) AS size)),
+f AS (
+  SELECT lang, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS phrase, count(*) AS n
+  FROM runs GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+inner_runs AS (
+  SELECT lang, n, string_split(phrase, ' ') AS w, size, k, unnest(range(1, size - k + 2)) AS s
+  FROM f, (SELECT unnest(range(2, 5)) AS k) WHERE k < size),
+longer AS (SELECT lang, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase, max(n) AS n FROM inner_runs GROUP BY 1, 2),
+candidates AS (
+  SELECT f.lang, f.size, f.phrase, f.n AS a, string_split(f.phrase, ' ') AS w
+  FROM f LEFT JOIN longer USING (lang, phrase) WHERE f.size > 1 AND (longer.n IS NULL OR 100 * longer.n < 100 * f.n)),
+cuts AS (SELECT lang, size, phrase, a, w, unnest(range(1, size)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, l.n AS l, r.n AS r, t.n,
+    ((1000::HUGEINT * c.a * t.n) // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:c.size], ' ') JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op3_line_frequency": OP3_SQL,
     "op7_near_duplicates": OP7_SQL,
+    "op11_centroids": _op11_sql(),
+    "op12_collocations": OP12_SQL,
 }
