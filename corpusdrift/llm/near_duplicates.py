@@ -2,23 +2,25 @@
 
 Every document gets several short MinHash signatures, one for each tree.  A tree is its
 signatures in sorted order; documents that stand next to each other and share a long
-prefix are likely to be alike.  Each document is compared with its nearest neighbours in
-every tree, as long as they share ``least_depth`` hashes.  Where signatures are crowded, the
-nearest neighbours share longer prefixes, so each region is read at the depth it needs.
+prefix are likely to be alike.  Documents that share ``LEAST_DEPTH`` hashes are a region.  A region of a few
+rows is compared whole; in a larger one each row goes down to the depth at which few rows are left, and is compared
+with those and with the next row of the region.
 
-Neighbours are confirmed on their full shingle sets.  Then the crowded regions are read again:
-documents already in one component stand for each other there, and neighbours are looked for in
-other components only, until nothing new is linked.
+The first trees are read for the next rows only.  The links they give join most copies up, and rows of one
+component are not compared again.  What is left then are large regions that hold several components: all
+documents of these are joined exactly at the end.  Shingles are ordered rarest first, and two sets that are alike
+enough have one of the first few of each in common (prefix, length and positional filters).
 
-What the neighbours leave out stands in crowded regions.  All documents of these are joined
-exactly at the end: shingles are ordered rarest first, and two sets that are alike enough have one of
-the first few of each in common (prefix, length and positional filters).
+Candidates of all steps are confirmed on their full shingle sets.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ SHINGLE_WORDS = 5
 TREES, HASHES = 24, 6
 #: A pair of similarity 0.75 shares 3 hashes in some tree but for 2 in a million.
 LEAST_DEPTH = 3
-#: Neighbours looked at on each side, in each tree.
-NEAREST = 5
+#: Trees whose next rows are linked before all trees are read.
+FIRST_TREES = 4
+#: Rows of a region that are all compared with each other.
+REGION = 6
 #: Bits of the buckets in which the exact join counts shingles; any order of shingles gives the same pairs.
 BUCKET_BITS = 21
 #: Rows of one shingle that one task of the exact join holds.
@@ -38,7 +42,6 @@ TASK_ROWS = 1_000
 _rng = np.random.default_rng(20_240_607)
 _FACTORS = _rng.integers(0, 2**31, TREES * HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _OFFSETS = _rng.integers(0, 2**32, TREES * HASHES, dtype=np.uint32)
-_KEYS = ["tree", *(f"k{i}" for i in range(HASHES // 2))]
 
 
 def shingles(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -52,162 +55,215 @@ def shingles(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def _signature(found: np.ndarray) -> np.ndarray:
-    """The least value that each of the hash functions gives any shingle."""
+    """16 bits of the least value that each of the hash functions gives any shingle."""
     values = (found >> np.uint64(32)).astype(np.uint32)
     least = np.full(TREES * HASHES, 0xFFFFFFFF, np.uint32)
     for start in range(0, len(values), 256):
         hashed = np.multiply.outer(values[start : start + 256], _FACTORS)
         hashed += _OFFSETS
         np.minimum(least, hashed.min(axis=0), out=least)
-    return least
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype("<u2")
 
 
-FACTS = "id long, n_shingles long, set_1 long, set_2 long, signature binary"
+FACTS = "id long, text_1 long, text_2 long, row long, n_shingles long, set_1 long, set_2 long, signature binary"
+_SAME_SET = ["set_1", "set_2", "n_shingles"]
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _facts(docs: DataFrame) -> DataFrame:
-    """For each row the size and the fingerprint of its shingle set, and its signature."""
+    """For each row a number, the size and the fingerprint of its shingle set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in shared.slices(batches):
             sizes, ones, twos, signatures = [], [], [], []
-            for text in shared.raw_texts(batch.column(1)):
+            for text in shared.raw_texts(batch.column(3)):
                 found = shingles(text)
                 sizes.append(len(found))
                 ones.append(found.sum(dtype=np.uint64))
                 twos.append(shared.mixed(found + np.uint64(1)).sum(dtype=np.uint64))
                 signatures.append(_signature(found).tobytes() if len(found) else None)
+            numbers = pa.array(row + np.arange(batch.num_rows))
+            row += batch.num_rows
             prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ones, twos)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), *prints, pa.array(signatures, pa.binary())],
-                ["id", "n_shingles", "set_1", "set_2", "signature"],
-            )
+            columns = [*batch.columns[:3], numbers, pa.array(sizes, pa.int64()), *prints, pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, _names(FACTS))
+
+    return docs.select("id", "text_1", "text_2", "text").mapInArrow(run, FACTS)
+
+
+TREE = "key_1 long, key_2 long, node long, component long"
+_ORDER = ["key_1", "key_2", "node"]
 
-    return docs.select("id", "text").mapInArrow(run, FACTS)
 
+def _keys(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of every tree's signature, a row for each document; the first begins with the tree's number."""
+    hashed = np.frombuffer(b"".join(packed.to_pylist()), "<u2").reshape(-1, TREES, HASHES).astype(np.int64)
+    halves = [(hashed[:, :, i] << 32) | (hashed[:, :, i + 1] << 16) | hashed[:, :, i + 2] for i in (0, 3)]
+    return halves[0] | (np.arange(TREES) << 48), halves[1]
 
-def _trees(sets: DataFrame) -> DataFrame:
-    """One row for each tree and document: ``tree``, the packed signature, ``id``, ``component``."""
+
+def _trees(sets: DataFrame, trees: int) -> DataFrame:
+    """One row for each of the first trees and each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4")
-            hashed = raw.reshape(-1, HASHES).astype(np.uint64)
-            count = batch.num_rows
-            packed = (hashed[:, 0::2] << np.uint64(32)) | hashed[:, 1::2]
-            columns = [np.tile(np.arange(TREES, dtype=np.int32), count)]
-            columns += [packed[:, i].copy().view(np.int64) for i in range(HASHES // 2)]
-            columns += [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), TREES) for i in (0, 2)]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [*_KEYS, "id", "component"])
-
-    keys = ", ".join(f"{k} long" for k in _KEYS[1:])
-    given = sets.select("id", "signature", "component")
-    return given.mapInArrow(run, f"tree int, {keys}, id long, component long")
-
-
-def _shared_depth(tree: np.ndarray, keys: np.ndarray, step: int) -> np.ndarray:
-    """How many leading hashes each row shares with the row ``step`` places further."""
-    same = tree[:-step] == tree[step:]
-    depth = np.zeros(len(same), np.int64)
-    halves = (keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
-    for i in range(HASHES):
-        column = halves[i % 2][:, i // 2]
-        same = same & (column[:-step] == column[step:])
-        depth += same
-    return depth
-
-
-NEIGHBOURS = "edge boolean, a long, b long, crowded boolean, " + ", ".join(
-    ["tree int", *(f"{k} long" for k in _KEYS[1:])]
-)
-
-
-def _neighbours(rows: DataFrame, edges: bool) -> DataFrame:
+            columns = [half[:, :trees].ravel() for half in _keys(batch.column(2))]
+            columns += [np.repeat(batch.column(i).to_numpy(), trees) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), _names(TREE))
+
+    return sets.select("node", "component", "signature").mapInArrow(run, TREE)
+
+
+def _shared_depth(first: np.ndarray, second: np.ndarray, step: int) -> np.ndarray:
+    """How many leading hashes each row shares with the row ``step`` places further; 0 for fewer than three."""
+    other = second[:-step] ^ second[step:]
+    return np.where(first[:-step] == first[step:], 3 + (other < 1 << 32) + (other < 1 << 16) + (other == 0), 0)
+
+
+NEIGHBOURS = "kind int, a long, b long, key_1 long, key_2 long, component long"
+_PAIR, _EDGE, _CROWDED = range(3)
+
+
+def _look(part: tuple[np.ndarray, ...], only_next: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in sorted rows that are to be compared, and places in large regions where components meet."""
+    first, second, _, groups = part
+    count, deepest = len(first), np.zeros(len(first), np.int64)
+    if count > REGION:
+        far = _shared_depth(first, second, REGION)
+        for shift in range(REGION + 1):
+            at = slice(shift, shift + len(far))
+            deepest[at] = np.maximum(deepest[at], far)
+    pairs, crowded = [np.empty((0, 2), np.int64)], np.empty(0, np.int64)
+    for step in range(1, min(2 if only_next else REGION, count)):
+        depth = _shared_depth(first, second, step)
+        other = groups[:-step] != groups[step:]
+        least = LEAST_DEPTH if step == 1 else np.maximum(LEAST_DEPTH, deepest[:-step] + 1)
+        at = np.flatnonzero(other & (depth >= least))
+        pairs.append(np.stack([at, at + step], axis=1))
+        if step == 1:
+            crowded = np.flatnonzero(other & (depth >= LEAST_DEPTH) & (deepest[:-1] >= LEAST_DEPTH))
+    return np.concatenate(pairs), crowded
+
+
+def _neighbours(rows: DataFrame, only_next: bool, edges: bool) -> DataFrame:
     """Pairs ``a, b`` of near rows of sorted trees, of different ``component``.
 
-    The first and last rows of each partition come out once more as ``edge`` rows, to be
-    compared across the border.  Rows whose region holds more than was looked at come out
-    as ``crowded`` rows.
+    The first and last rows of each partition come out once more as edges, to be compared across the border;
+    so does one row for each large region in which components meet.
     """
+    context = 2 * REGION
 
-    def look(tree, keys, ids, groups):
-        pairs, crowded = [], np.zeros(len(ids), bool)
-        for step in range(1, min(NEAREST, len(ids) - 1) + 1):
-            near = _shared_depth(tree, keys, step) >= LEAST_DEPTH
-            at = np.flatnonzero(near & (groups[:-step] != groups[step:]))
-            pairs.append(np.stack([ids[at], ids[at + step]], axis=1))
-            if step == NEAREST:
-                crowded[:-step] |= near
-                crowded[step:] |= near
-        return (np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)), crowded
-
-    def batch_of(pairs, kind, tree, keys, ids):
-        count = len(pairs) + len(ids)
-        a, b = np.concatenate([pairs[:, 0], ids]), np.concatenate([pairs[:, 1], ids])
-        is_edge, is_crowded = np.zeros(count, bool), np.zeros(count, bool)
-        (is_edge if kind == "edge" else is_crowded)[len(pairs) :] = True
-        pad = lambda x: np.concatenate([np.zeros(len(pairs), x.dtype), x])
-        columns = [is_edge, np.minimum(a, b), np.maximum(a, b), is_crowded, pad(tree)]
-        columns += [pad(keys[:, i].copy().view(np.int64)) for i in range(keys.shape[1])]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["edge", "a", "b", "crowded", *_KEYS])
+    def batch_of(kind, a, b, *more):
+        zeros = np.zeros(len(a), np.int64)
+        columns = [np.full(len(a), kind, np.int32), a, b, *more, *[zeros] * (3 - len(more))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], _names(NEIGHBOURS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # ``skip`` rows were looked at before and only stand here as neighbours of later ones.
-        held, first, none = None, True, np.empty((0, 2), np.int64)
+        held, started = None, False
         for batch in batches:
-            tree = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(HASHES // 2)], axis=1)
-            ids, groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in (-2, -1))
-            part = (tree, keys.view(np.uint64), ids, groups)
-            if edges and first and len(ids):
-                yield batch_of(none, "edge", *(x[:NEAREST] for x in part[:3]))
-                first = False
+            part = tuple(c.to_numpy() for c in batch.columns)
+            if edges and not started and batch.num_rows:
+                head = [x[:context] for x in part]
+                yield batch_of(_EDGE, head[2], head[2], head[0], head[1], head[3])
+                started = True
             if held is not None:
                 part = tuple(np.concatenate(x) for x in zip(held, part, strict=True))
-            pairs, crowded = look(*part)
-            yield batch_of(pairs, "crowded", *(x[crowded] for x in part[:3]))
-            held = tuple(x[-NEAREST:] for x in part)
+            pairs, crowded = _look(part, only_next)
+            one, two = part[2][pairs[:, 0]], part[2][pairs[:, 1]]
+            yield batch_of(_PAIR, np.minimum(one, two), np.maximum(one, two))
+            regions = np.unique(part[0][crowded])
+            yield batch_of(_CROWDED, regions, regions)
+            held = tuple(x[-context:] for x in part)
         if edges and held is not None:
-            yield batch_of(none, "edge", *(x[-NEAREST:] for x in held[:3]))
+            yield batch_of(_EDGE, held[2], held[2], held[0], held[1], held[3])
+
+    return rows.select(*_names(TREE)).mapInArrow(run, NEIGHBOURS)
+
 
-    return rows.select(*_KEYS, "id", "component").mapInArrow(run, NEIGHBOURS)
+def _near_pairs(rows: DataFrame, only_next: bool) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs in sorted trees, and the crowded regions."""
+    spread = rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+    found = shared.written(_neighbours(spread, only_next, edges=True))
+    # At most 4 x REGION rows for each partition.
+    border = found.where(F.col("kind") == _EDGE).select("key_1", "key_2", F.col("a").alias("node"), "component").distinct()
+    border = border.repartition(F.shiftright("key_1", 48)).sortWithinPartitions(*_ORDER)
+    both = found.union(shared.written(_neighbours(border, only_next, edges=False)))
+    pairs = both.where((F.col("kind") == _PAIR) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    return pairs, both.where(F.col("kind") == _CROWDED).select(F.col("a").alias("region"))
 
 
-def _near_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs in sorted trees, and the ids in crowded regions."""
-    order = [*_KEYS, "id"]
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = shared.written(_neighbours(spread, edges=True))
-    # At most 2 x NEAREST rows for each partition.
-    border = found.where("edge").select(*_KEYS, F.col("a").alias("id"), F.col("a").alias("component"))
-    border = border.distinct().repartition("tree").sortWithinPartitions(*order)
-    across = shared.written(_neighbours(border, edges=False))
-    both = found.union(across)
-    pairs = both.where("not edge and not crowded and a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
-    return pairs, both.where("crowded").select(F.col("a").alias("id")).distinct()
+def _in_crowds(sets: DataFrame, regions: DataFrame) -> DataFrame:
+    """The sets that stand in a crowded region of any tree; once each, and a few others."""
+    bits = shared.bit_filter(regions.select("region"))
+    if bits is None:
+        return sets.where("false")
+    known = sets.sparkSession.sparkContext.broadcast(bits)  # of a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shared.slices(batches):
+            first, _ = _keys(batch.column("signature"))
+            held = shared.in_filter(known.value, first.ravel()).reshape(first.shape).any(axis=1)
+            yield batch.filter(pa.array(held))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
+def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, packed``: the text of each of these sets, compressed, found again by two hashes of it."""
+    bits = shared.bit_filter(sets.select("text_1"))
+    known = docs.sparkSession.sparkContext.broadcast(bits)  # of a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen = zstandard.ZstdCompressor(level=3), set()
+        for batch in shared.slices(batches):
+            at, packed = [], []
+            for i in np.flatnonzero(shared.in_filter(known.value, batch.column(0).to_numpy())).tolist():
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if key not in seen:
+                    seen.add(key)
+                    at.append(i)
+                    packed.append(packer.compress(batch.column(2)[i].as_buffer()))
+            chosen = [batch.column(i).take(pa.array(at, pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*chosen, pa.array(packed, pa.binary())], ["text_1", "text_2", "packed"])
+
+    if bits is None:
+        return sets.select("node", F.lit(b"").alias("packed")).where("false")
+    given = docs.where("text is not null").select("text_1", "text_2", F.col("text").cast("binary").alias("text"))
+    found = given.mapInArrow(run, "text_1 long, text_2 long, packed binary").dropDuplicates(["text_1", "text_2"])
+    return shared.written(sets.select("node", "text_1", "text_2").join(found, ["text_1", "text_2"]).select("node", "packed"))
+
+
+def _sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """Shingle sets of packed texts; one that stands several times in a row is made once."""
+    reader, last, found = zstandard.ZstdDecompressor(), None, None
+    for packed in column:
+        raw = packed.as_py()
+        if raw != last:
+            last, found = raw, shingles(reader.decompress(raw))
+        yield found
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose shingle sets reach the similarity."""
+    """Those of the pairs ``a, b`` whose shingle sets reach the similarity; ``texts`` are ``node, packed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
             linked = []
-            last, left = None, None
-            for one, two in zip(shared.raw_texts(batch.column(2)), shared.raw_texts(batch.column(3)), strict=True):
-                if one != last:
-                    last, left = one, shingles(one)
-                right = shingles(two)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                linked.append(100 * both >= percent * (len(left) + len(right) - both) and both > 0)
+            for left, right in zip(_sets_of(batch.column(2)), _sets_of(batch.column(3)), strict=True):
+                low, high = sorted((len(left), len(right)))
+                both = len(np.intersect1d(left, right, assume_unique=True)) if 100 * low >= percent * high else 0
+                linked.append(100 * both >= percent * (low + high - both) and both > 0)
             mask = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
 
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return (
-        pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-    )
+    one = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a"))
+    two = texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _bucket_counts(texts: DataFrame) -> np.ndarray:
@@ -216,12 +272,12 @@ def _bucket_counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2**BUCKET_BITS, np.int64)
         for batch in shared.slices(batches):
-            for text in shared.raw_texts(batch.column(1)):
-                np.add.at(total, (shingles(text) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+            for found in _sets_of(batch.column(0)):
+                np.add.at(total, (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    counted = texts.select("id", "text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = texts.select("packed").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found, out = counted.toArrow(), np.zeros(2**BUCKET_BITS, np.int64)
     out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -231,7 +287,7 @@ PREFIXES = "shingle long, id long, component long, n long, behind long, short bo
 
 
 def _prefixes(crowd: DataFrame, percent: int) -> DataFrame:
-    """The first shingles of each text of ``id, text, component``, rarest first.
+    """The first shingles of each text of ``node, component, packed``, rarest first.
 
     A linked pair's first common shingle is among these for the longer set, and among those marked
     ``short`` for the shorter one.  ``behind`` counts the shingles from there to the end.
@@ -239,11 +295,10 @@ def _prefixes(crowd: DataFrame, percent: int) -> DataFrame:
     known = crowd.sparkSession.sparkContext.broadcast(_bucket_counts(crowd))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.slices(batches, 1_000_000):
+        for batch in shared.slices(batches, 500_000):
             out: list[list[np.ndarray]] = []
-            ids, groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            for i, text in enumerate(shared.raw_texts(batch.column(1))):
-                found = shingles(text)
+            ids, groups = (batch.column(i).to_numpy() for i in (0, 1))
+            for i, found in enumerate(_sets_of(batch.column(2))):
                 n = len(found)
                 counts = known.value[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 first = np.lexsort((found, counts))[: n - -(-percent * n // 100) + 1]
@@ -252,19 +307,23 @@ def _prefixes(crowd: DataFrame, percent: int) -> DataFrame:
                 short = place < n - -(-2 * percent * n // (100 + percent)) + 1
                 deals = (1 + counts[first] // TASK_ROWS).astype(np.int32)
                 out.append([found[first].view(np.int64), full(ids[i]), full(groups[i]), full(n), n - place, short, deals])
-            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PREFIXES.split(", ")])
+            if out:
+                columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, _names(PREFIXES))
 
-    return crowd.select("id", "text", "component").mapInArrow(run, PREFIXES)
+    return crowd.select("node", "component", "packed").mapInArrow(run, PREFIXES)
 
 
 def _exact_pairs(crowd: DataFrame, percent: int) -> DataFrame:
     """All pairs ``a, b`` of different components whose sets may be alike enough; none that is, is left out.
 
     Components are joined first, each as one row for a shingle, so that the rows of a large one
-    aren't compared with each other.
+    aren't compared with each other.  Shingles that only one component has go before that.
     """
     rows = shared.written(_prefixes(crowd, percent))
+    of_shingle = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    met = of_shingle.where("low != high").select("shingle")
+    rows = shared.written(rows.join(met, "shingle", "left_semi"))
     each = F.explode(F.sequence(F.lit(0), F.col("deals") - 1))
     by_group = ["shingle", "component", "deals"]
     figures = F.min("n").alias("least"), F.max("n").alias("most"), F.max("behind").alias("behind")
@@ -287,14 +346,10 @@ def _exact_pairs(crowd: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def _other_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
-    ends = pairs
-    for end in ("a", "b"):
-        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
-        ends = ends.join(named, end, "left")
-    known = [F.coalesce(f"component_{end}", end) for end in ("a", "b")]
-    return ends.where(known[0] != known[1]).select("a", "b")
+def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The sets with their component: the smallest node reachable over the links."""
+    found = components.components(links).withColumnRenamed("component", "found")
+    return sets.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -307,81 +362,52 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reachable over links), ``kept`` (whether it is that one).  Null and empty texts have no
     shingles and no links.  Rows of equal ``doc_id`` are one document: linked with what any of them is
     linked with, and all kept or none.  A missing ``doc_id`` counts as the smallest and comes back
-    as null, and so does a ``component_id`` that is missing.
+    as null, and so does a ``component_id`` that is missing.  A very long text is one set like any other.
     """
+    texts = F.col("text")
     rows = shared.texts(docs).select(F.coalesce("doc_id", F.lit(shared.NO_ID)).alias("id"), "text")
+    rows = rows.withColumns({"text_1": F.xxhash64(texts), "text_2": F.xxhash64(F.lit(1), texts)})
     facts = shared.written(_facts(rows))
-    same_set = ["set_1", "set_2", "n_shingles"]
-    # Documents with the same set are settled by its smallest id; only that one goes on.
-    sets = shared.written(
-        facts.where("n_shingles > 0").groupBy(*same_set).agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
-    )
-    crowd = _trees(sets.withColumn("component", F.col("id")))
-    links, labels, tested, texts = None, None, None, None
-    while True:
-        pairs, crowded = _near_pairs(crowd)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = shared.written(pairs)
-        if tested is not None and pairs.isEmpty():
-            break
-        crowded = shared.written(crowded)
-        if texts is None:
-            # Pairs that are never neighbours have both their ends here.
-            all_crowded = crowded
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowded).distinct()
-            texts = shared.written(rows.join(ids, "id", "left_semi"))
-        # First the likeliest partners of each document; what they leave apart, afterwards.
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("trees", "b")).alias("b"))
-        best = best.union(pairs.groupBy("b").agg(F.max_by("a", F.struct("trees", "a")).alias("a")).select("a", "b")).distinct()
-        new = shared.written(confirm(best, texts, percent))
-        links = new if links is None else links.union(new)
-        labels = shared.written(components.components(links))
-        rest = _other_components(pairs, labels).join(best, ["a", "b"], "left_anti")
-        late = shared.written(confirm(rest, texts, percent))
-        if not late.isEmpty():
-            links = links.union(late)
-            labels = shared.written(components.components(links))
-        elif tested is not None and new.isEmpty():
-            break  # the same components would leave the same rows to look at
-        tested = pairs.select("a", "b") if tested is None else shared.written(tested.union(pairs.select("a", "b")))
-        named = labels.withColumnRenamed("node", "id")
-        again = sets.join(crowded, "id", "left_semi").join(named, "id", "left")
-        crowd = shared.written(_borders(_trees(again.withColumn("component", F.coalesce("component", "id")))))
-    named = labels.withColumnRenamed("node", "id")
-    crowd = texts.join(all_crowded, "id", "left_semi").join(named, "id", "left")
-    crowd = crowd.select("id", "text", F.coalesce("component", "id").alias("component"))
-    pairs = _exact_pairs(crowd, percent).join(tested, ["a", "b"], "left_anti")
-    late = shared.written(confirm(pairs, texts, percent))
+    # Documents with the same set are one node; what distinguishes nodes is the number of a row, never an id.
+    found = facts.where("n_shingles > 0").groupBy(*_SAME_SET)
+    firsts = [F.first(c).alias(c) for c in ("signature", "text_1", "text_2")]
+    sets = shared.written(found.agg(F.min("row").alias("node"), *firsts).withColumn("component", F.col("node")))
+
+    def confirmed(pairs: DataFrame, *more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ends = reduce(DataFrame.union, more, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        wanted = _texts_of(rows, sets.join(ends.distinct(), "node", "left_semi"))
+        return shared.written(confirm(pairs, wanted, percent)), wanted
+
+    first = shared.written(_near_pairs(_trees(sets, FIRST_TREES), only_next=True)[0])
+    links, _ = confirmed(first)
+    joined = shared.written(_labelled(sets, links))
+    pairs, regions = _near_pairs(_trees(joined, TREES), only_next=False)
+    pairs = shared.written(pairs.join(first, ["a", "b"], "left_anti"))
+    crowd = shared.written(_in_crowds(joined, regions).select("node"))
+    new, wanted = confirmed(pairs, crowd)
+    links = links.union(new)
+    # Rows of one id are one document.
+    members = facts.where("n_shingles > 0").join(sets.select(*_SAME_SET, "node"), _SAME_SET).select("id", "node").distinct()
+    several = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
+    same_id = shared.written(members.join(several, "id").where("a < node").select("a", F.col("node").alias("b")))
+    links = links.union(same_id)
+    joined = shared.written(_labelled(sets, links).select(*_SAME_SET, "node", "component"))
+    crowded = joined.join(crowd, "node", "left_semi").select("node", "component").join(wanted, "node")
+    tested = first.union(pairs)
+    late = _exact_pairs(crowded, percent).join(tested, ["a", "b"], "left_anti")
+    late = shared.written(confirm(shared.written(late), wanted, percent))
     if not late.isEmpty():
-        labels = shared.written(components.components(links.union(late)))
-    per_set = sets.select(*same_set, F.col("id").alias("node")).join(labels, "node", "left")
-    per_set = per_set.select(*same_set, F.coalesce("component", "node").alias("component"))
-    # Repeated ids: one document with the sets of all its rows.
-    joined = facts.select("id", *same_set).join(per_set, same_set, "left")
-    component = F.coalesce("component", "id")
+        joined = _labelled(sets, links.union(late))
+    named = facts.select("id", *_SAME_SET).join(joined.select(*_SAME_SET, "component"), _SAME_SET)
+    named = named.select("id", "component").distinct()
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    # Rows of one id lie in one component, so this has one row for each id.
+    by_id = named.join(least, "component").select("id", "component_id").distinct()
+    component = F.coalesce("component_id", "id")
     unset = lambda c: F.when(c != shared.NO_ID, c)
-    return joined.select(
+    return facts.select("id", "n_shingles").join(by_id, "id", "left").select(
         unset(F.col("id")).alias("doc_id"),
         "n_shingles",
         unset(component).alias("component_id"),
         (F.col("id") == component).alias("kept"),
     )
-
-
-def _borders(crowd: DataFrame) -> DataFrame:
-    """Rows of crowded regions without those between two others of their own component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            tree = batch.column(0).to_numpy(zero_copy_only=False)
-            same = (group[1:] == group[:-1]) & (tree[1:] == tree[:-1])
-            inside = np.zeros(len(group), bool)
-            inside[1:-1] = same[:-1] & same[1:]
-            yield batch.filter(pa.array(~inside))
-
-    order = [*_KEYS, "id"]
-    keys = ", ".join(f"{k} long" for k in _KEYS[1:])
-    rows = crowd.select(*order, "component").repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.mapInArrow(run, f"tree int, {keys}, id long, component long")

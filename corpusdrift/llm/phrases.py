@@ -6,12 +6,14 @@ once).  A run can only be frequent if the shorter runs in it are, so fingerprint
 length: words, pairs of frequent words, then longer runs of frequent pairs.  What is frequent reaches
 the tasks as a bit array of a fixed size; where it lets a rare run through, that run is counted and then dropped.
 
-In the last pass each task keeps, for each fingerprint that is frequent, a pointer to its first occurrence, compares
-all others with the text there, word by word, and gives out the text once with their number.
-The shuffle adds these up by text, so frequencies are exact however fingerprints collide.
+The shuffle adds up fingerprints, each with a pointer to one document that holds it and the least and the largest of
+a second, independent hash.  Only frequent fingerprints are then looked up in the documents they point to, hashed
+again there, and turned into text.  Where the second hashes differ, several phrases share a fingerprint:
+these, and no others, are counted again by their text.  Frequencies are exact however fingerprints collide.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,6 @@ SCALE = 1000
 INSIDE_PERCENT = 100
 TOP = 2000
 
-#: Bits of the array that says which fingerprints are frequent: 16 MB.
-FILTER_BITS = 27
-_BLOCK_BITS = 15
 #: Fingerprints that a task holds before it combines equal ones and gives them out.
 TASK_PRINTS = 2_000_000
 #: Bytes hashed at once; a text is cut only where a piece ends.
@@ -39,7 +38,10 @@ PART_BYTES = 1 << 18
 RANK_DEALS = 64
 
 _rng = np.random.default_rng(1_987)
-_BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+#: Numbers for bytes in words' hashes, for fingerprints and for the hashes that check them.
+_BYTES = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
+#: Spreads a pointer of 32 bits over 63 bits.
+_SPREAD = 2**31 - 19
 #: What ends a piece, and what ends a word within a piece.
 _ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -82,20 +84,27 @@ class Part:
         self.piece = np.cumsum(ends, dtype=np.int32)[self.starts]
         self.text = np.searchsorted(starts, self.starts, "right") - 1
         up, down = _byte_powers(len(self.raw) + 1)
-        total = np.zeros(len(self.raw) + 1, np.uint64)
-        np.cumsum(_BYTES[self.raw] * up[:-1], out=total[1:])
-        sizes = (self.ends - self.starts).astype(np.uint64)
-        plain = (total[self.ends] - total[self.starts]) * down[self.starts] + sizes
-        self.hashes = shared.mixed(plain ^ languages[self.text])
-
-    def prints(self, length: int, mask: np.uint64) -> np.ndarray:
-        """The fingerprint of the run of words that begins at each word; only runs within a piece mean something."""
-        count = len(self.hashes)
+        sizes, total, self.hashes = (self.ends - self.starts).astype(np.uint64), np.zeros(len(self.raw) + 1, np.uint64), []
+        for of_byte in _BYTES:
+            np.cumsum(of_byte[self.raw] * up[:-1], out=total[1:])
+            plain = (total[self.ends] - total[self.starts]) * down[self.starts] + sizes
+            self.hashes.append(shared.mixed(plain ^ languages[self.text]))
+
+    def _runs(self, hashes: np.ndarray, length: int) -> np.ndarray:
+        """A hash of the run of words that begins at each word; only runs within a piece mean something."""
+        count = len(hashes)
         up, down = _word_powers(count + 1)
         total = np.zeros(count + 1, np.uint64)
-        np.cumsum(self.hashes * up[:-1], out=total[1:])
+        np.cumsum(hashes * up[:-1], out=total[1:])
         runs = max(0, count - length + 1)
-        return shared.mixed((total[length : length + runs] - total[:runs]) * down[:runs] + np.uint64(length)) & mask
+        return shared.mixed((total[length : length + runs] - total[:runs]) * down[:runs] + np.uint64(length))
+
+    def prints(self, length: int, mask: np.uint64) -> np.ndarray:
+        return self._runs(self.hashes[0], length) & mask
+
+    def checks(self, length: int) -> np.ndarray:
+        """31 bits of a second hash."""
+        return (self._runs(self.hashes[1], length) >> np.uint64(33)).astype(np.int64)
 
     def whole(self, length: int) -> np.ndarray:
         """Whether the run of words that begins at each word lies within a piece."""
@@ -104,7 +113,7 @@ class Part:
 
     def word_numbers(self, words: np.ndarray) -> np.ndarray:
         """A number for each of the given words, the same for equal bytes and for no others."""
-        _, first, number = np.unique(self.hashes[words], return_index=True, return_inverse=True)
+        _, first, number = np.unique(self.hashes[0][words], return_index=True, return_inverse=True)
         like = words[first][number]
         sizes = self.ends[words] - self.starts[words]
         if (sizes == self.ends[like] - self.starts[like]).all():
@@ -121,21 +130,22 @@ class Part:
         return b" ".join(self.raw[self.starts[i] : self.ends[i]].tobytes() for i in spans)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Part, list[str]]]:
-    """Texts in parts of about ``PART_BYTES``, and the language of each text of a part.
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Part, list[str], np.ndarray]]:
+    """Texts in parts of about ``PART_BYTES``, and the language and the pointer of each text of a part.
 
     Texts are joined by line ends, which end a piece; a longer text goes on in the next part after the last
     end of a piece.
     """
-    held, size, languages = [], 0, []
+    held, size, languages, pointers = [], 0, [], []
 
-    def part() -> tuple[Part, list[str]]:
+    def part() -> tuple[Part, list[str], np.ndarray]:
         starts = np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
         codes = np.array([xxhash.xxh3_64_intdigest(x) for x in languages], np.uint64)
-        return Part(b"\n".join(held), starts, codes), languages
+        return Part(b"\n".join(held), starts, codes), languages, np.array(pointers, np.int64)
 
     for batch in shared.slices(batches):
-        for text, language in zip(shared.raw_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        columns = shared.raw_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for text, language, pointer in zip(*columns, strict=True):
             rest = text or b""
             while rest:
                 piece, rest = rest, b""
@@ -147,73 +157,54 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Part, list[str]]
                     piece, rest = piece[:cut], piece[cut:]
                 if held and size + len(piece) > PART_BYTES:
                     yield part()
-                    held, size, languages = [], 0, []
+                    held, size, languages, pointers = [], 0, [], []
                 held.append(piece)
                 languages.append(language)
+                pointers.append(pointer)
                 size += len(piece) + 1
     if held:
         yield part()
 
 
-class Frequent:
-    """Which fingerprints may be frequent: a bit for each value of their last bits."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
-
-    def holds(self, prints: np.ndarray) -> np.ndarray:
-        at = (prints & np.uint64(2**FILTER_BITS - 1)).astype(np.int64)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _filter(prints: DataFrame) -> Frequent:
-    """Blocks of the bit array made by tasks; all together they have its fixed size."""
-    bits = np.zeros(2**FILTER_BITS // 8, np.uint8)
-    places = prints.select(F.col("print").bitwiseAND(2**FILTER_BITS - 1).alias("at")).distinct()
-    within = F.col("at").bitwiseAND(2**_BLOCK_BITS - 1)
-    blocks = places.groupBy(F.shiftright("at", _BLOCK_BITS).alias("block")).agg(F.collect_list(within).alias("at"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = []
-            for at in batch.column(1):
-                flags = np.zeros(2**_BLOCK_BITS, np.uint8)
-                flags[at.values.to_numpy()] = 1
-                packed.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["block", "bits"])
-
-    found = blocks.mapInArrow(run, "block long, bits binary").toArrow()
-    size = 2**_BLOCK_BITS // 8
-    for block, packed in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-        bits[block * size : (block + 1) * size] = np.frombuffer(packed, np.uint8)
-    return Frequent(bits)
+COUNTED = "print long, n long, low long, high long"
 
 
 def _counted(rows: DataFrame, lengths: range, inner: tuple[int, object] | None, least: int, mask: np.uint64) -> DataFrame:
-    """``print, n``: the frequent fingerprints of runs of these lengths.
+    """The frequent fingerprints of runs of these lengths: ``print, n`` and the smallest and largest place.
 
-    ``inner``: the length of shorter runs, and which of these are frequent; a run counts if all in it are.
+    A place is a check and, in its last 32 bits, the pointer of the document.  ``inner``: the length of shorter runs,
+    and which of these are frequent; a run counts if all in it are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def combined() -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["print", "n"])
-
-        for part, _ in _parts(batches):
+            prints, places = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(prints)
+            prints, places = prints[order], places[order]
+            first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])[: len(prints)])
+            columns = [prints[first].view(np.int64), np.diff(first, append=len(prints))]
+            if len(first):
+                columns += [np.minimum.reduceat(places, first), np.maximum.reduceat(places, first)]
+            else:
+                columns += [places, places]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["print", "n", "low", "high"])
+
+        for part, _, pointers in _parts(batches):
             for length in lengths:
-                prints = part.prints(length, mask)[_open(part, length, inner, mask)]
-                held.append(prints)
-                size += len(prints)
+                at = np.flatnonzero(_open(part, length, inner, mask))
+                places = (part.checks(length)[at] << 32) | pointers[part.text[at]]
+                held.append((part.prints(length, mask)[at], places))
+                size += len(at)
             if size > TASK_PRINTS:
                 yield combined()
                 held, size = [], 0
         if held:
             yield combined()
 
-    found = rows.mapInArrow(run, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+    sums = F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+    found = rows.mapInArrow(run, COUNTED).groupBy("print").agg(*sums)
     return shared.written(found.where(F.col("n") >= least))
 
 
@@ -222,7 +213,7 @@ def _open(part: Part, length: int, inner: tuple[int, object] | None, mask: np.ui
     out = part.whole(length)
     if inner is not None:
         short, known = inner
-        frequent = known.value.holds(part.prints(short, mask)) & part.whole(short)
+        frequent = shared.in_filter(known.value, part.prints(short, mask)) & part.whole(short)
         for shift in range(length - short + 1):
             out = out & frequent[shift : shift + len(out)]
     return out
@@ -233,50 +224,104 @@ def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUN
 
     One row of size 0 for each language has the number of all its words.  ``bits`` of a fingerprint are used.
     """
-    context, mask = docs.sparkSession.sparkContext, np.uint64(2**bits - 1)
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+    mask = np.uint64(2**bits - 1)
+
+    def broadcast(numbers: DataFrame):
+        held = shared.bit_filter(numbers)
+        nothing = np.zeros(2**shared.FILTER_BITS // 8, np.uint8)
+        return docs.sparkSession.sparkContext.broadcast(nothing if held is None else held)  # of a fixed size
+
+    rows = docs.select(
+        F.col("text").cast("string").alias("text"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+        F.xxhash64(F.col("text").cast("string")).bitwiseAND(2**32 - 1).alias("pointer"),
+    )
     found, inner = [_counted(rows, range(1, 2), None, least, mask)], None
     for lengths in (range(2, 3), range(3, longest + 1)):
         if lengths.start <= longest:
-            inner = (lengths.start - 1, context.broadcast(_filter(found[-1].select("print"))))  # of a fixed size
+            inner = (lengths.start - 1, broadcast(found[-1].select("print")))
             found.append(_counted(rows, lengths, inner, least, mask))
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    known = context.broadcast(_filter(every.select("print")))  # of a fixed size
-    lengths = range(1, longest + 1)
+    every = reduce(DataFrame.union, found)
+    check, pointer = (lambda c: F.shiftright(c, 32)), F.col("low").bitwiseAND(2**32 - 1)
+    sure = every.where(check("low") == check("high")).select("print", "n", check("low").alias("check"), pointer.alias("pointer"))
+    named = shared.written(_named(rows, sure, range(1, longest + 1), mask, broadcast))
+    same = ["print", "check", "pointer"]
+    texts = named.where("size > 0").dropDuplicates(["print", "check", "pointer"]).join(sure, same)
+    totals = named.where("size = 0").groupBy("lang", "size", "phrase").agg(F.sum("words").alias("n"))
+    shared_prints = every.where(check("low") != check("high"))
+    columns = ["lang", "size", "phrase", "n"]
+    out = texts.select(*columns).union(totals.select(*columns))
+    if shared_prints.isEmpty():
+        return out
+    again = _recounted(rows, range(1, longest + 1), broadcast(shared_prints.select("print")), mask)
+    return out.union(again.where(F.col("n") >= least).join(texts.select("lang", "size", "phrase"), ["lang", "size", "phrase"], "left_anti"))
+
+
+NAMED = "print long, check long, pointer long, lang string, size int, phrase string, words long"
+
+
+def _named(rows: DataFrame, sure: DataFrame, lengths: range, mask: np.uint64, broadcast) -> DataFrame:
+    """The text of each fingerprint, from the documents it points to; and each language's number of words."""
+    pair = F.col("print").bitwiseXOR(F.col("pointer") * _SPREAD)
+    known = [broadcast(sure.select(x.alias("x"))) for x in (F.col("print"), pair, F.shiftright(pair, 31))]
+    names = [c.split()[0] for c in NAMED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, int] = {}
+        for part, languages, pointers in _parts(batches):
+            for text, n in zip(*(x.tolist() for x in np.unique(part.text, return_counts=True)), strict=True):
+                words[languages[text]] = words.get(languages[text], 0) + n
+            out = []
+            for length in lengths:
+                prints = part.prints(length, mask)
+                at = np.flatnonzero(part.whole(length) & shared.in_filter(known[0].value, prints))
+                both = prints[at].view(np.int64) ^ (pointers[part.text[at]] * _SPREAD)
+                at = at[shared.in_filter(known[1].value, both) & shared.in_filter(known[2].value, both >> 31)]
+                at = at[np.unique(prints[at], return_index=True)[1]]
+                checks = part.checks(length)
+                for i in at.tolist():
+                    text = part.text[i]
+                    row = int(prints[i].view(np.int64)), int(checks[i]), int(pointers[text]), languages[text], length
+                    out.append((*row, part.phrase(i, length).decode(), 0))
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in out], _NAMED_TYPES)
+        totals = [dict(zip(names, (0, 0, 0, lang, 0, "", n), strict=True)) for lang, n in words.items()]
+        yield pa.RecordBatch.from_pylist(totals, _NAMED_TYPES)
+
+    return rows.mapInArrow(run, NAMED)
+
+
+_NAMED_TYPES = pa.schema(
+    [("print", pa.int64()), ("check", pa.int64()), ("pointer", pa.int64()), ("lang", pa.string()), ("size", pa.int32()),
+     ("phrase", pa.string()), ("words", pa.int64())]
+)
+
+
+def _recounted(rows: DataFrame, lengths: range, known, mask: np.uint64) -> DataFrame:
+    """Frequencies by text of the phrases whose fingerprint is among the given ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple, int] = {}
-        for part, languages in _parts(batches):
+        for part, languages, _ in _parts(batches):
             _, of_language = np.unique(languages, return_inverse=True)
             language = of_language[part.text]
-            for code, n in zip(*np.unique(language, return_counts=True), strict=True):
-                key = (languages[int(np.argmax(of_language == code))], 0, b"")
-                counts[key] = counts.get(key, 0) + int(n)
             for length in lengths:
-                prints = part.prints(length, mask)
-                at = np.flatnonzero(part.whole(length) & known.value.holds(prints))
+                at = np.flatnonzero(part.whole(length) & shared.in_filter(known.value, part.prints(length, mask)))
                 if not len(at):
                     continue
-                # Equal fingerprints point to one occurrence; those with other words than there part from it.
                 words = part.word_numbers((at[:, None] + np.arange(length)).ravel()).reshape(-1, length)
-                _, first, group = np.unique(prints[at], return_index=True, return_inverse=True)
-                like = first[group]
-                if (words != words[like]).any() or (language[at] != language[at[like]]).any():
-                    rows_of = np.concatenate([words, language[at][:, None]], axis=1)
-                    _, first, group = np.unique(rows_of, axis=0, return_index=True, return_inverse=True)
-                for n, pointer in zip(np.bincount(group.ravel()).tolist(), at[first].tolist(), strict=True):
-                    key = (languages[part.text[pointer]], length, part.phrase(pointer, length))
-                    counts[key] = counts.get(key, 0) + n
+                of_row = np.concatenate([words, language[at][:, None]], axis=1)
+                _, first, n = np.unique(of_row, axis=0, return_index=True, return_counts=True)
+                for count, i in zip(n.tolist(), at[first].tolist(), strict=True):
+                    key = (languages[part.text[i]], length, part.phrase(i, length))
+                    counts[key] = counts.get(key, 0) + count
             if len(counts) > TASK_PRINTS // 10:
                 yield _batch(counts)
                 counts = {}
         yield _batch(counts)
 
     given = rows.mapInArrow(run, "lang string, size int, phrase string, n long")
-    counted = given.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return counted.where((F.col("n") >= least) | (F.col("size") == 0))
+    return given.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _batch(counts: dict[tuple, int]) -> pa.RecordBatch:
