@@ -85,6 +85,53 @@ def first_per_group(
     )
 
 
+#: Beyond so many rows of a group, rankings look for the group's cut-off first.
+PLAIN_RANKS = 1_000
+#: Rows of equal score at a cut-off that one task ranks.
+DEAL_ROWS = 1_000_000
+
+
+def first_by_level(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    n: int,
+    level: Column,
+    deal_rows: int = DEAL_ROWS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """As :func:`first_per_group`, for any ``n``; no group meets in one task but for about its first ``n`` rows.
+
+    ``level`` is a whole number that never falls in the order, such as a score in millionths.  Rows are counted by
+    level, where tasks combine their counts; the level at which a group has ``n`` rows is its cut-off, and only rows up
+    to it go on.  Many rows may share the cut-off: the rows of a level are ranked in deals first.
+    """
+    leveled = rows.withColumn("__level", level)
+    counts = leveled.groupBy(*keys, "__level").agg(F.count(F.lit(1)).alias("__rows"))
+    # A row for each level of a group, not for each of its rows.
+    upto = F.sum("__rows").over(Window.partitionBy(*keys).orderBy("__level"))
+    found = counts.withColumn("__upto", upto).groupBy(*keys)
+    cut = found.agg(
+        F.min(F.when(F.col("__upto") >= n, F.col("__level"))).alias("__cut"),
+        F.min(F.when(F.col("__upto") >= n, F.struct("__level", "__rows")))["__rows"].alias("__tied"),
+    )
+    within = join_one(leveled, cut, keys, "left", hot_rows)
+    within = within.filter(F.col("__cut").isNull() | (F.col("__level") <= F.col("__cut")))
+    deals = F.ceil(F.coalesce(F.col("__tied"), F.lit(1)) / deal_rows).cast("bigint")
+    deal = F.pmod(F.xxhash64(*rows.columns), deals).alias("__deal")
+    dealt = within.select(*rows.columns, deal)
+    first = Window.partitionBy(*keys, "__deal").orderBy(*order)
+    dealt = dealt.withColumn("deviance_rank", F.row_number().over(first)).filter(F.col("deviance_rank") <= n)
+    return first_per_group(dealt.drop("__deal", "deviance_rank"), keys, order, n)
+
+
+def _first(rows: DataFrame, order: list[Column], n: int, sign: int) -> DataFrame:
+    if n <= PLAIN_RANKS:
+        return first_per_group(rows, PART_KEY, order, n)
+    level = F.round(F.col("section_deviance") * 10**fv.SCORE_DIGITS).cast("bigint") * sign
+    return first_by_level(rows, PART_KEY, order, n, level)
+
+
 def least_deviant(
     scored: DataFrame, n: int = fv.DEVIANTS_N, ties: Sequence[str] = ()
 ) -> DataFrame:
@@ -93,7 +140,7 @@ def least_deviant(
     ``ties`` are columns that decide where :data:`RANK_ORDER` does not.
     """
     known = scored.filter(F.col("section_deviance").isNotNull())
-    return first_per_group(known, PART_KEY, _lowest([*RANK_ORDER, *ties]), n)
+    return _first(known, _lowest([*RANK_ORDER, *ties]), n, 1)
 
 
 def most_deviant(
@@ -101,7 +148,7 @@ def most_deviant(
 ) -> DataFrame:
     """The ``n`` least typical sections per part, as :func:`least_deviant` from the other end."""
     known = scored.filter(F.col("section_deviance").isNotNull())
-    return first_per_group(known, PART_KEY, _highest([*RANK_ORDER, *ties]), n)
+    return _first(known, _highest([*RANK_ORDER, *ties]), n, -1)
 
 
 def _not_least(ranked: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
@@ -210,7 +257,7 @@ def _ranked(
     if own != SECTION_KEY:
         first = first.dropDuplicates(own)
     rows = picked.filter(F.col("notable_deviant") == label).join(first, own, "left")
-    return first_per_group(rows, PART_KEY, order([*RANK_ORDER, "section_text"]), n)
+    return _first(rows, order([*RANK_ORDER, "section_text"]), n, 1 if label == fv.LEAST else -1)
 
 
 def _ranked_rows(scored: DataFrame, fan_out: bool) -> DataFrame:

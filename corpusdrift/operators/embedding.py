@@ -4,8 +4,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +28,25 @@ def focal_texts(sections: DataFrame, year: int = fv.FOCAL_YEAR) -> DataFrame:
     )
 
 
+def unstored_texts(
+    sections: DataFrame,
+    facts: DataFrame,
+    stored: DataFrame,
+    year: int = fv.FOCAL_YEAR,
+    keep: Callable[[DataFrame], DataFrame] = lambda table: table,
+) -> DataFrame | None:
+    """One edition's distinct texts, with their hash, of which no vector is stored; None if there are none.
+
+    ``facts`` has the same rows as ``sections`` without the text: which texts are missing is found there, and only
+    these are read, so nothing is read if all are stored.  ``keep`` stores the list of missing hashes.
+    """
+    focal = facts.filter(ids.in_year(F.col("title_id"), year)).select("section_hash").distinct()
+    missing = keep(focal.join(stored.select("section_hash"), "section_hash", "left_anti"))
+    if missing.isEmpty():
+        return None
+    return focal_texts(sections.join(missing, "section_hash", "left_semi"), year)
+
+
 def bag_of_words(texts: DataFrame, size: int = 64) -> DataFrame:
     """Default encoder: hashed word counts, scaled to length one.
 
@@ -154,17 +171,8 @@ def part_centroids(
 
 
 def centroids_of_pairs(pairs: DataFrame) -> DataFrame:
-    """Weighted mean of ``section_embedding`` per part, weights ``copies``."""
-    return (
-        pairs.select(
-            *PART_KEY,
-            array_to_vector(F.col("section_embedding").cast("array<double>")).alias("vector"),
-            F.col("copies").cast("double").alias("weight"),
-        )
-        .groupBy(*PART_KEY)
-        .agg(Summarizer.mean(F.col("vector"), F.col("weight")).alias("mean"))
-        .select(*PART_KEY, vector_to_array("mean").alias("part_embedding"))
-    )
+    """Weighted mean of ``section_embedding`` per part, weights ``copies``; exact, so task order doesn't matter."""
+    return vectors.exact_means(pairs, PART_KEY, "section_embedding", "copies").withColumnRenamed("mean", "part_embedding")
 
 
 def join_centroids(parts: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -5,20 +5,23 @@ Spark; what a later stage needs more than once is on disk by then, so a lost
 executor costs the tasks it ran and nothing else.  Stages run jobs; the operators
 they are made of only build plans.
 
-Folders under ``root``: ``section``, ``part``, ``rejects`` and ``parsed`` (extraction),
+Tables under ``root``: ``section``, ``part``, ``rejects`` and ``parsed`` (extraction),
 ``section_facts``, ``text_embedding``, ``embedded_part`` and ``embedding_run`` (embedding),
 ``section_scores``, ``notable_sections``, ``part_data_focal`` and ``part_data_temporal`` (results).
-While a stage runs its scratch tables lie there too; it removes them at its end.
+All tables of a stage are published together (:mod:`corpusdrift.sources.publication`), so a stage that breaks off leaves
+the tables of before.  While a stage runs its scratch tables lie there too; it removes them at its end.
 """
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusdrift import fixed_values as fv
 from corpusdrift.operators import deviance, embedding, panels, parts, sections
-from corpusdrift.sources import inventory, markup, roster, schemas, tables
+from corpusdrift.sources import inventory, markup, publication, roster, schemas, tables
 
 SECTION_FACTS = (
     "section_name string, section_type string, part_id string, section_id string, "
@@ -55,37 +58,40 @@ def extract(
 ) -> DataFrame:
     """Parse the title files that have not been parsed yet; returns the outcome per title.
 
-    Titles are marked as parsed last, so what a broken run left behind is written anew.
+    The marks of parsed titles are published with their rows, so what a broken run left behind is not seen.
     """
+    try:
+        return _extract(spark, raw_folder, root, repaired, suffix)
+    finally:
+        tables.clear_scratch(spark, root)
+
+
+def _extract(spark: SparkSession, raw_folder: str, root: str, repaired: bool, suffix: str) -> DataFrame:
     raw = inventory.inventory(spark, raw_folder, suffix)
-    work = inventory.extract_roster(raw, inventory.parsed_inventory(spark, f"{root}/parsed"))
-    path = tables.shared_folder(spark, root)
-    work.write.parquet(path)
-    work = spark.read.schema(work.schema).parquet(path)
+    known = publication.read_or_none(spark, root, "parsed", inventory.PARSED).distinct()
+    work = tables.settle(inventory.extract_roster(raw, known), root)
     # One short path per unread file: at most fifty titles for each year.
     paths = [row.path for row in inventory.pending(work).select("path").toLocalIterator()]
-    if paths:
-        records = _read_once(spark, paths, root)
-        sound = tables.settle(markup.sound_titles(records), root)
-        kept = records.join(sound, "title_id", "left_semi")
-        found = sections.normalize(markup.extract_sections(kept), repaired)
-        tables.write_titles(sections.compile_parts(markup.extract_parts(kept)), f"{root}/part")
-        tables.write_titles(markup.rejects(kept), f"{root}/rejects")
-        tables.write_titles(found, f"{root}/section")
-        lines = markup.extract_sections(kept).groupBy("title_id").agg(F.count(F.lit(1)).alias("counted"))
-        counts = lines.join(sound, "title_id", "right").select(
-            "title_id", F.coalesce("counted", F.lit(0)).alias("lines")
-        )
-    else:
-        counts = spark.createDataFrame([], "title_id string, lines bigint")
-    outcome = inventory.extract_outcomes(work, counts).drop("path", "length")
-    # A row for each title file; small enough to return as values, so scratch can go.
-    done = spark.createDataFrame(outcome.collect(), outcome.schema)
-    fresh = done.filter("parsed and new_lines >= 0").select("title_id", "parsed")
-    fresh.join(inventory.parsed_inventory(spark, f"{root}/parsed"), "title_id", "left_anti").coalesce(
-        1
-    ).write.mode("append").parquet(f"{root}/parsed")
-    tables.clear_scratch(spark, root)
+    with publication.begin(spark, root) as new:
+        if paths:
+            records = _read_once(spark, paths, root)
+            sound = tables.settle(markup.sound_titles(records), root)
+            kept = records.join(sound, "title_id", "left_semi")
+            found = sections.normalize(markup.extract_sections(kept), repaired)
+            new.write_titles("part", sections.compile_parts(markup.extract_parts(kept)))
+            new.write_titles("rejects", markup.rejects(kept))
+            new.write_titles("section", found)
+            lines = markup.extract_sections(kept).groupBy("title_id").agg(F.count(F.lit(1)).alias("counted"))
+            counts = lines.join(sound, "title_id", "right").select(
+                "title_id", F.coalesce("counted", F.lit(0)).alias("lines")
+            )
+        else:
+            counts = spark.createDataFrame([], "title_id string, lines bigint")
+        outcome = inventory.extract_outcomes(work, counts).drop("path", "length")
+        # A row for each title file; small enough to return as values, so scratch can go.
+        done = spark.createDataFrame(outcome.collect(), outcome.schema)
+        fresh = done.filter("parsed and new_lines >= 0").select("title_id", "parsed")
+        new.append("parsed", fresh.join(known, "title_id", "left_anti").coalesce(1))
     return done
 
 
@@ -97,11 +103,18 @@ def _read_once(spark: SparkSession, paths: list[str], root: str) -> DataFrame:
 
 
 def read_sections(spark: SparkSession, root: str) -> DataFrame:
-    return tables.read_table(spark, f"{root}/section", schemas.PARSED_SECTION)
+    return publication.read(spark, root, "section", schemas.PARSED_SECTION)
 
 
 def read_parts(spark: SparkSession, root: str) -> DataFrame:
-    return tables.read_table(spark, f"{root}/part", schemas.PARSED_PART)
+    return publication.read(spark, root, "part", schemas.PARSED_PART)
+
+
+def fingerprint(load_encoder: Callable[[], embedding.Encoder] | None) -> str:
+    """What tells encoders apart: the built-in one by its name, others by their code and the values in it."""
+    if load_encoder is None:
+        return "bag-of-words-64"
+    return hashlib.sha256(cloudpickle.dumps(load_encoder)).hexdigest()
 
 
 def embed(
@@ -110,46 +123,70 @@ def embed(
     year: int = fv.FOCAL_YEAR,
     load_encoder: Callable[[], embedding.Encoder] | None = None,
     regex_names: bool = False,
+    encoder: str | None = None,
 ) -> None:
     """Embed the focal edition's distinct texts, and average them per part.
 
-    Without ``load_encoder`` the built-in bag of words stands in for a model.  The year and
-    ``regex_names`` are stored with the vectors; :func:`quantify` takes them from there.
+    Without ``load_encoder`` the built-in bag of words stands in for a model.  Vectors are kept by the hash
+    of their text and the fingerprint of the encoder, which ``encoder`` may name: only texts without a stored vector
+    are encoded.  Another fingerprint starts a store of its own.  The year and ``regex_names`` are
+    stored with the vectors; :func:`quantify` takes them from there.
     """
+    try:
+        _embed(spark, root, year, load_encoder, regex_names, encoder or fingerprint(load_encoder))
+    finally:
+        tables.clear_scratch(spark, root)
+
+
+def _embed(spark, root, year, load_encoder, regex_names, encoder) -> None:
     hashed = sections.with_hash(read_sections(spark, root))
-    facts = sections.clean(hashed, regex_names).drop("section_text")
-    tables.write_titles(facts, f"{root}/section_facts")
-    texts = embedding.focal_texts(hashed, year)
-    vectors = embedding.encode(texts, load_encoder) if load_encoder else embedding.bag_of_words(texts)
-    tables.export_table(embedding.at_half_precision(vectors), f"{root}/text_embedding")
-    centroids = embedding.part_centroids(read_facts(spark, root), read_vectors(spark, root), year)
-    tables.export_table(
-        embedding.join_centroids(read_parts(spark, root), centroids), f"{root}/embedded_part"
-    )
-    run = spark.createDataFrame([(year, regex_names)], EMBEDDING_RUN)
-    tables.export_table(run.coalesce(1), f"{root}/embedding_run")
+    with publication.begin(spark, root) as new:
+        new.write_titles("section_facts", sections.clean(hashed, regex_names).drop("section_text"))
+        facts = new.read("section_facts", SECTION_FACTS)
+        known = new.before["tables"].get("text_embedding", {}).get("encoder") == encoder
+        stored = new.read("text_embedding", TEXT_EMBEDDING) if known else spark.createDataFrame([], TEXT_EMBEDDING)
+        texts = embedding.unstored_texts(hashed, facts, stored, year, keep=lambda table: tables.settle(table, root))
+        if texts is not None or not known:
+            if texts is None:
+                texts = hashed.select("section_hash", "section_text").where("false")
+            vectors = embedding.encode(texts, load_encoder) if load_encoder else embedding.bag_of_words(texts)
+            store = new.append if known else new.write
+            store("text_embedding", embedding.at_half_precision(vectors), encoder=encoder)
+        used = _focal_vectors(facts, new.read("text_embedding", TEXT_EMBEDDING), year)
+        centroids = embedding.part_centroids(facts, used, year)
+        new.write("embedded_part", embedding.join_centroids(new.read("part", schemas.PARSED_PART), centroids))
+        run = spark.createDataFrame([(year, regex_names)], EMBEDDING_RUN)
+        new.write("embedding_run", run.coalesce(1))
+
+
+def _focal_vectors(facts: DataFrame, stored: DataFrame, year: int) -> DataFrame:
+    """The stored vectors of the texts that one edition has."""
+    focal, _ = deviance.editions(facts, year)
+    return stored.join(focal.select("section_hash").distinct(), "section_hash", "left_semi")
 
 
 def embedding_run(spark: SparkSession, root: str, year: int | None = None) -> tuple[int, bool]:
     """Year and ``regex_names`` of the stored vectors, which must be of ``year`` and complete."""
-    run = tables.read_table(spark, f"{root}/embedding_run", EMBEDDING_RUN).first()
+    run = publication.read(spark, root, "embedding_run", EMBEDDING_RUN).first()
     if year is not None and year != run.year:
         raise ValueError(f"the stored vectors are of {run.year}, not of {year}: embed that year first")
     focal, _ = deviance.editions(read_facts(spark, root), run.year)
-    bare = focal.select("section_hash").distinct().join(
-        read_vectors(spark, root).select("section_hash"), "section_hash", "left_anti"
-    )
+    stored = publication.read(spark, root, "text_embedding", TEXT_EMBEDDING)
+    bare = focal.select("section_hash").distinct().join(stored.select("section_hash"), "section_hash", "left_anti")
     if not bare.isEmpty():
         raise ValueError(f"texts of {run.year} have no vector: embed again")
     return run.year, run.regex_names
 
 
 def read_facts(spark: SparkSession, root: str) -> DataFrame:
-    return tables.read_table(spark, f"{root}/section_facts", SECTION_FACTS)
+    return publication.read(spark, root, "section_facts", SECTION_FACTS)
 
 
 def read_vectors(spark: SparkSession, root: str) -> DataFrame:
-    return tables.read_table(spark, f"{root}/text_embedding", TEXT_EMBEDDING)
+    """The vectors of the texts of the embedded edition; the store may hold others too."""
+    run = publication.read(spark, root, "embedding_run", EMBEDDING_RUN).first()
+    stored = publication.read(spark, root, "text_embedding", TEXT_EMBEDDING)
+    return _focal_vectors(read_facts(spark, root), stored, run.year)
 
 
 def embedded_sections(spark: SparkSession, root: str) -> DataFrame:
@@ -166,16 +203,24 @@ def quantify(
     multiplicity: bool = False,
     formats: tuple[str, ...] = ("parquet",),
 ) -> None:
-    """Score and label sections, sum up parts, and export the three result tables.
+    """Score and label sections, sum up parts, and publish the result tables, all at once.
 
     The year is that of the stored vectors; another one is an error, and so is a focal text
     without a vector.
     """
     year, regex_names = embedding_run(spark, root, year)
+    try:
+        with publication.begin(spark, root) as new:
+            _quantify(spark, root, new, year, regex_names, deviants_n, fan_out, multiplicity, formats)
+    finally:
+        tables.clear_scratch(spark, root)
+
+
+def _quantify(spark, root, new, year, regex_names, deviants_n, fan_out, multiplicity, formats) -> None:
     part_table = read_parts(spark, root)
     facts, vectors = read_facts(spark, root), read_vectors(spark, root)
     scored = tables.settle(parts.quantify(facts, vectors, part_table, year, multiplicity), root)
-    tables.export_table(deviance.label_sections(scored, deviants_n), f"{root}/section_scores")
+    new.write("section_scores", deviance.label_sections(scored, deviants_n))
     notable = deviance.notable_sections(
         scored,
         sections.with_hash(read_sections(spark, root)),
@@ -195,9 +240,7 @@ def quantify(
     }
     for name, table in results.items():
         for fmt in formats:
-            folder = name if fmt == "parquet" else f"{name}_{fmt}"
-            tables.export_table(table, f"{root}/{folder}", fmt)
-    tables.clear_scratch(spark, root)
+            new.write(name if fmt == "parquet" else f"{name}_{fmt}", table, fmt)
 
 
 def browse(
@@ -212,8 +255,10 @@ def browse(
     With a ``chosen`` title and part also its details, the parts to choose from, and how the
     title's parts are distributed.
     """
-    focal = tables.read_table(spark, f"{root}/part_data_focal", schemas.PART_FOCAL)
-    temporal = tables.read_table(spark, f"{root}/part_data_temporal", schemas.PART_TEMPORAL)
+    # All of one manifest, also if another run publishes meanwhile.
+    number = publication.manifest(spark, root)["number"]
+    focal = publication.read(spark, root, "part_data_focal", schemas.PART_FOCAL, number)
+    temporal = publication.read(spark, root, "part_data_temporal", schemas.PART_TEMPORAL, number)
     shown = panels.with_title_names(panels.display_scores(focal), titles)
     details = {} if chosen is None else {
         "lookup": panels.part_lookup(shown, *chosen),
@@ -224,7 +269,7 @@ def browse(
         "titles": panels.dropdown_options(focal, "title_id"),
         "noteworthy": panels.noteworthy_part(focal),
         "focal": shown,
-        "notable": tables.read_table(spark, f"{root}/notable_sections", schemas.NOTABLE_SECTIONS),
+        "notable": publication.read(spark, root, "notable_sections", schemas.NOTABLE_SECTIONS, number),
         "sections": panels.panel(temporal, "section_count", years),
         "authorities": panels.panel(temporal, "authority_count", years),
         "words": panels.panel(temporal, "part_word_count", years),

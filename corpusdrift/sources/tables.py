@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 
 SCRATCH = "_scratch"
+#: How csv files are read.
+CSV = {"header": True, "multiLine": True, "escape": '"'}
 
 
 def shared_folder(spark: SparkSession, root: str | None = None) -> str:
@@ -57,7 +59,7 @@ def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
     """Read with a declared schema, columns in its order; csv files are expected to have a header."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        reader = reader.options(**CSV)
     return reader.format(fmt).load(path).select(*StructType.fromDDL(schema).names)
 
 

@@ -233,3 +233,24 @@ def test_reading_order(spark):
     table = spark.createDataFrame(data, "title_id string, part_id string, section_type string, section_id string")
     found = [tuple(r)[1:] for r in sections.in_reading_order(table).collect()]
     assert found == [("P1", "SECTION", "a"), ("P1", "SECTION", "b"), ("P1", "APPENDIX", "a"), ("P2", "SECTION", "a")]
+
+
+@pytest.mark.parametrize("n", [1, 40, 5_000])
+def test_ranking_by_levels_equals_ranking_whole_groups(spark, monkeypatch, n):
+    rng = random.Random(n)
+    data = [
+        (f"Title-0{rng.randrange(2)}-2024", rng.choice(["P1", "P1", "P1", "P2", None]), f"s{i % 50}", f"n{i}", f"h{i}",
+         rng.choice([None, 0.25, 0.25, 0.25, round(rng.random(), 6)]))
+        for i in range(9_000)
+    ]
+    columns = "title_id string, part_id string, section_id string, section_name string, section_hash string, section_deviance double"
+    table = spark.createDataFrame(data, columns)
+    monkeypatch.setattr(deviance, "PLAIN_RANKS", 10**9)
+    plain = [rows(f(table, n)) for f in (deviance.least_deviant, deviance.most_deviant)]
+    monkeypatch.setattr(deviance, "PLAIN_RANKS", 0)
+    assert [rows(f(table, n)) for f in (deviance.least_deviant, deviance.most_deviant)] == plain
+    level = F.round(F.col("section_deviance") * 1_000_000).cast("bigint")
+    order = deviance._lowest(deviance.RANK_ORDER)
+    known = table.filter("section_deviance is not null")
+    dealt = deviance.first_by_level(known, deviance.PART_KEY, order, n, level, deal_rows=100, hot_rows=200)
+    assert rows(dealt) == plain[0]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_markup import SAMPLE
 
 from corpusdrift.plans import stages
-from corpusdrift.sources import inventory, roster, schemas, tables
+from corpusdrift.sources import inventory, publication, roster, schemas, tables
 
 
 def test_roster(spark):
@@ -100,19 +100,19 @@ def test_pipeline(spark, raw, tmp_path):
     assert stages.embedded_sections(spark, root).filter("section_embedding is null").count() == 1
     stages.quantify(spark, root, formats=("parquet", "csv"))
 
-    focal = tables.read_table(spark, f"{root}/part_data_focal", schemas.PART_FOCAL)
+    focal = publication.read(spark, root, "part_data_focal", schemas.PART_FOCAL)
     assert rows(focal, "title_id", "part_id") == [
         ("Title-01", "Part-0001"), ("Title-01", "Part-0002"), ("Title-01", "Part-0004"), ("Title-01", "Part-12345")
     ]
-    temporal = tables.read_table(spark, f"{root}/part_data_temporal", schemas.PART_TEMPORAL)
+    temporal = publication.read(spark, root, "part_data_temporal", schemas.PART_TEMPORAL)
     first = {r.year_id: r for r in temporal.filter("part_id = 'Part-0001'").collect()}
     assert first["2024"].focal_year_match == 1.0
     assert first["2023"].focal_year_match == pytest.approx(2 / 3)
     assert first["2024"].section_count == 3 and first["2024"].authority_count == 3
-    notable = tables.read_table(spark, f"{root}/notable_sections", schemas.NOTABLE_SECTIONS)
+    notable = publication.read(spark, root, "notable_sections", schemas.NOTABLE_SECTIONS)
     assert {r.notable_deviant for r in notable.collect()} == {"Least", "Most"}
     assert {r.year_id for r in notable.collect()} == {"2024"}
-    csv = tables.read_table(spark, f"{root}/notable_sections_csv", schemas.NOTABLE_SECTIONS, "csv")
+    csv = publication.read(spark, root, "notable_sections_csv", schemas.NOTABLE_SECTIONS)
     assert rows(csv.select("section_id", "section_text")) == rows(notable.select("section_id", "section_text"))
 
     titles = spark.createDataFrame([("Title-01", "One", 1, "Title 1 - One")], schemas.TITLES)
@@ -135,11 +135,12 @@ def test_stages_agree_on_year_and_vectors(spark, raw, tmp_path):
     with pytest.raises(ValueError, match="2023, not of 2024"):
         stages.quantify(spark, root, year=2024)
     stages.quantify(spark, root, multiplicity=True)
-    scores = spark.read.parquet(f"{root}/section_scores")
+    scores = publication.read(spark, root, "section_scores", stages.SECTION_SCORES)
     assert {r.notable_deviant for r in scores.collect()} >= {"Least", "Neither"}
     assert scores.count() == 10
     some = stages.read_vectors(spark, root).limit(1).collect()
-    tables.export_table(spark.createDataFrame(some, stages.TEXT_EMBEDDING), f"{root}/text_embedding")
+    with publication.begin(spark, root) as new:
+        new.write("text_embedding", spark.createDataFrame(some, stages.TEXT_EMBEDDING))
     with pytest.raises(ValueError, match="no vector"):
         stages.quantify(spark, root)
 
@@ -156,8 +157,9 @@ def test_rejects_of_all_runs_are_kept_and_titles_without_sections_are_done(spark
         found.append((title, True, 0))
         outcome = rows(stages.extract(spark, str(source), root), "title_id", "parsed", "new_lines")
         assert outcome == found
-    assert rows(spark.read.parquet(f"{root}/rejects"), "title_id") == [("Title-01-2024",), ("Title-02-2024",)]
-    done = inventory.parsed_inventory(spark, f"{root}/parsed")
+    rejects = publication.read(spark, root, "rejects", "title_id string")
+    assert rows(rejects) == [("Title-01-2024",), ("Title-02-2024",)]
+    done = publication.read(spark, root, "parsed", inventory.PARSED)
     assert done.count() == 3
     assert not (tmp_path / "out" / tables.SCRATCH).exists()
 

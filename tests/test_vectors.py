@@ -1,5 +1,7 @@
 """Half precision, distances, encoders and centroids against numpy."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -99,3 +101,37 @@ def test_propagate_keeps_rows_and_counts_copies(spark, corpus):
     assert found["T-2023", "Part-0001", "s1"] == 3
     assert found["T-2023", "Part-0001", "s2"] == 1
     assert found["T-2024", "Part-0001", "s3"] == 1
+
+
+def _weighted(spark, seed=4):
+    rng = np.random.default_rng(seed)
+    scale = rng.choice([1e-7, 1e-3, 1, 60_000], (3000, 5))
+    values = (rng.normal(size=(3000, 5)) * scale).clip(-65_000, 65_000).astype(np.float16).astype(float)
+    data = [(f"p{i % 7}" if i % 11 else None, values[i].tolist(), int(rng.integers(1, 9)), i) for i in range(3000)]
+    return data, spark.createDataFrame(data, "part string, v array<float>, copies bigint, i int")
+
+
+def test_means_are_equal_to_the_last_bit_in_any_order(spark):
+    data, table = _weighted(spark)
+    expected = {}
+    for part in {d[0] for d in data}:
+        own = [d for d in data if d[0] == part]
+        total = sum(d[2] for d in own)
+        sums = [sum(Fraction(d[1][k]) * d[2] for d in own) for k in range(5)]
+        expected[part] = [float(s * 2**24) / (total * 2.0**24) for s in sums]
+    for parts in (1, 7, 200):
+        shuffled = table.orderBy(F.xxhash64("i", F.lit(parts))).repartition(parts)
+        found = vectors.exact_means(shuffled, ["part"], "v", "copies").collect()
+        assert {r["part"]: list(r["mean"]) for r in found} == expected
+
+
+def test_means_of_odd_vectors(spark):
+    schema = "part string, v array<float>, copies bigint"
+    rows = [("a", [1.0, float("inf")], 1), ("a", [2.0, 1.0], 3), ("b", None, 1), ("c", [], 2)]
+    found = {r["part"]: r["mean"] for r in vectors.exact_means(spark.createDataFrame(rows, schema), ["part"], "v", "copies").collect()}
+    assert found["a"][0] == 1.75 and np.isnan(found["a"][1]) and "b" not in found
+    assert vectors.exact_means(spark.createDataFrame([], schema), ["part"], "v", "copies").collect() == []
+    uneven = spark.createDataFrame([("a", [1.0], 1), ("a", [1.0, 2.0], 1)], schema)
+    for table in (uneven.coalesce(1), uneven.repartition(2)):
+        with pytest.raises(Exception, match="different length"):
+            vectors.exact_means(table, ["part"], "v", "copies").collect()
