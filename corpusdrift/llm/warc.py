@@ -23,6 +23,8 @@ from corpusdrift.llm import shared
 VERSION = b"WARC/1.1"
 #: Files of about so many bytes of records before compression.
 FILE_BYTES = 32_000_000
+#: Bytes in which the end of a header is looked for at first, and how far the next bytes overlap them.
+HEADER_STEP, HEADER_OVERLAP = 65_536, 64
 #: Records with payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 0
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -31,6 +33,8 @@ EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 MEMBER = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+")
 _VERSION = re.compile(rb"WARC/\d")
+_FIRST_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
+_OTHER_LINE = re.compile(rb"\nWARC/\d+\.\d+\r\n")
 _START = re.compile(re.escape(MEMBER) + rb"|WARC/\d")
 _DATE = b"2024-01-01T00:00:00Z"
 
@@ -128,10 +132,16 @@ def _fields(head: bytes) -> dict[str, str]:
 
 def _parse(data: bytes, start: int) -> tuple[dict, bytes, int]:
     """The record that starts at a byte of plain data: fields, block, end."""
-    if not _VERSION_LINE.match(data, start):
+    if not _FIRST_LINE.match(data, start):
         raise _Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", start)
-    if stop < 0:
+    # A header ends before the next version line; looking no further keeps a row of broken headers cheap.
+    near = start + HEADER_STEP
+    limit = _next(_OTHER_LINE, data, start, near)
+    stop = data.find(b"\r\n\r\n", start, limit + 4)
+    if stop < 0 and limit == near:
+        limit = _next(_OTHER_LINE, data, near - HEADER_OVERLAP)
+        stop = data.find(b"\r\n\r\n", start, limit + 4)
+    if stop < 0 or stop > limit:
         raise _Damaged("header without end")
     fields = _fields(data[start:stop])
     length = fields.get("content-length", "")
@@ -166,10 +176,11 @@ def _member(data: bytes, start: int, step: int = 65_536) -> tuple[bytes, int, st
     return b"".join(parts), min(at, len(data)) - len(packer.unused_data), "" if packer.eof else "gzip member cut short"
 
 
-def _next(pattern: re.Pattern, data: bytes, start: int) -> int:
+def _next(pattern: re.Pattern, data: bytes, start: int, end: int | None = None) -> int:
     """The next byte at which the pattern stands, or the end."""
-    found = pattern.search(data, start)
-    return found.start() if found else len(data)
+    end = len(data) if end is None else min(end, len(data))
+    found = pattern.search(data, start, end)
+    return found.start() if found else end
 
 
 def _unpacked(content: bytes, prove: bool) -> tuple[list[tuple[dict, bytes]], list[str]]:
