@@ -5,6 +5,7 @@ SHA-256) and ``shards`` (binary files in ascending ``doc_id`` order).  A file is
 shards, each followed by ``END``.  A shard, all numbers little-endian:
 
     magic      8 bytes
+    file       uint32, the file's number in the order of all documents
     dictionary 32 bytes, SHA-256 of the dictionary the frames need
     documents  uint32
     index      documents x (doc_id int64, has_id uint8, start uint64 in the file's ids,
@@ -24,12 +25,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusdrift.llm import shared
 
-MAGIC = b"TIDSHRD1"
+MAGIC = b"TIDSHRD2"
 END = "\nTIDSEND\n"
 INDEX = np.dtype(
     [("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("n_tokens", "<u8"), ("offset", "<u8"), ("size", "<u8")]
@@ -94,7 +96,8 @@ def train_dictionary(docs: DataFrame, content, end_id: int) -> bytes:
     """A dictionary from the ids of some documents; empty if there are too few to train one."""
     count = docs.count()
     every = max(1, count // DICTIONARY_DOCUMENTS)
-    chosen = shared.texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    # By the text too, so that rows without id don't all come or stay away together.
+    chosen = shared.texts(docs).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, samples, total = _encoder(content.value), [], 0
@@ -135,7 +138,7 @@ def _frames(docs: DataFrame, content, raw: bytes, end_id: int) -> DataFrame:
     return shared.texts(docs).mapInArrow(run, "doc_id long, n_tokens long, frame binary")
 
 
-def _shard(rows: list[tuple], start: int, dictionary_hash: bytes) -> bytes:
+def _shard(rows: list[tuple], start: int, dictionary_hash: bytes, file: int) -> bytes:
     index = np.zeros(len(rows), INDEX)
     sizes = np.array([len(r[2]) for r in rows], np.int64)
     tokens = np.array([r[1] for r in rows], np.int64)
@@ -143,18 +146,19 @@ def _shard(rows: list[tuple], start: int, dictionary_hash: bytes) -> bytes:
     index["has_id"] = [r[0] is not None for r in rows]
     index["start"] = start + np.cumsum(tokens) - tokens
     index["n_tokens"], index["size"] = tokens, sizes
-    head = len(MAGIC) + 36 + index.nbytes
+    head = len(MAGIC) + 40 + index.nbytes
     index["offset"] = head + np.cumsum(sizes) - sizes
-    parts = [MAGIC, dictionary_hash, len(rows).to_bytes(4, "little"), index.tobytes()]
+    parts = [MAGIC, file.to_bytes(4, "little"), dictionary_hash, len(rows).to_bytes(4, "little"), index.tobytes()]
     return b"".join(parts + [r[2] for r in rows])
 
 
-def write(docs: DataFrame, path: str, vocabulary_file: str, end_id: int) -> None:
+def write(docs: DataFrame, path: str, vocabulary_file: str, end_id: int, first_file: int = 0) -> None:
     """Encode every whole text, append ``end_id`` and write the data set to ``path``.
 
     Takes ``doc_id`` and ``text``; other columns are ignored.  A null text counts as empty (the end
-    id alone).  Documents without id come first; rows of equal id are all kept, next to
-    each other.  An empty table gives a data set without documents.
+    id alone).  Documents without id come first; rows of equal id are all kept, one after
+    another, in as many files as they take.  An empty table gives a data set without documents; a very long text
+    is one frame.  Files are numbered from ``first_file`` on.
     """
     spark = docs.sparkSession
     with open(vocabulary_file, encoding="utf-8") as file:
@@ -168,20 +172,23 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, end_id: int) -> None
     total = frames.agg(F.sum(F.length("frame") + 64)).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, start = [], 0, 0
+        rows, size, start, file = [], 0, 0, first_file + TaskContext.get().partitionId()
         for batch in shared.slices(batches):
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
                 if rows and size + len(r[2]) > SHARD_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([_shard(rows, start, digest)], pa.binary())], ["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_shard(rows, start, digest, file)], pa.binary())], ["value"])
                     start, rows, size = start + sum(x[1] for x in rows), [], 0
                 rows.append(r)
                 size += len(r[2])
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([_shard(rows, start, digest)], pa.binary())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([_shard(rows, start, digest, file)], pa.binary())], ["value"])
 
+    # Rows of one id may be a large share of all: they are dealt out by their content, copies by chance.
+    order = [F.col("doc_id").asc_nulls_first(), "content", "deal"]
     (
-        frames.repartitionByRange(max(1, math.ceil(total / FILE_BYTES)), F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
+        frames.withColumns({"content": F.xxhash64("frame"), "deal": F.rand(7)})
+        .repartitionByRange(max(1, math.ceil(total / FILE_BYTES)), *order)
+        .sortWithinPartitions(*order)
         .mapInArrow(run, "value binary")
         .select(F.col("value").cast("string").alias("value"))  # the same bytes: the sink takes strings
         .write.option("lineSep", END)
@@ -190,15 +197,16 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, end_id: int) -> None
 
 
 def parse_shards(content: bytes, raw: bytes, wanted: set[int] | None = None) -> Iterator[tuple]:
-    """``doc_id, start, ids`` of a file's documents; of the wanted ones only, if ids are given."""
+    """``doc_id, start, ids, file`` of a file's documents; of the wanted ones only, if ids are given."""
     digest, end = hashlib.sha256(raw).digest(), END.encode()
     reader = zstandard.ZstdDecompressor(dict_data=_dictionary(raw))
     at = 0
     while at < len(content):
-        head = at + len(MAGIC) + 36
+        head = at + len(MAGIC) + 40
         if content[at : at + len(MAGIC)] != MAGIC:
             raise ValueError(f"no shard at byte {at}")
-        if content[at + len(MAGIC) : head - 4] != digest:
+        file = int.from_bytes(content[at + len(MAGIC) : at + len(MAGIC) + 4], "little")
+        if content[at + len(MAGIC) + 4 : head - 4] != digest:
             raise ValueError("the shard was written with another dictionary")
         count = int.from_bytes(content[head - 4 : head], "little")
         index = np.frombuffer(content, INDEX, count, head)
@@ -209,7 +217,7 @@ def parse_shards(content: bytes, raw: bytes, wanted: set[int] | None = None) ->
                 ids = reader.decompress(content[begin : begin + int(entry["size"])])
                 if len(ids) != 4 * int(entry["n_tokens"]):
                     raise ValueError(f"document {doc_id} has another length than its index says")
-                yield doc_id, int(entry["start"]), ids
+                yield doc_id, int(entry["start"]), ids, file
         at += int(index[-1]["offset"]) + int(index[-1]["size"])
         if content[at : at + len(end)] != end:
             raise ValueError(f"the shard before byte {at} is cut short")
@@ -222,7 +230,7 @@ def read(
     """The documents of a data set: ``doc_id, file, file_start, n_tokens, ids_crc32`` and, if
     asked for, ``ids``; of the given ids only, if there are some.
 
-    ``file_start`` counts the file's ids before the document.
+    ``file`` is the number that the file has in itself, whatever its name; ``file_start`` counts its ids before the document.
     """
     found = spark.read.parquet(f"{path}/dictionary").first()
     raw = bytes(found.dictionary)  # at most DICTIONARY_BYTES
@@ -233,10 +241,10 @@ def read(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for content in batch.column(0):
                 out, size = [], 0
-                for doc_id, start, ids in parse_shards(content.as_py(), raw, wanted):
-                    out.append((doc_id, place, start, len(ids) // 4, zlib.crc32(ids), ids))
+                for doc_id, start, ids, file in parse_shards(content.as_py(), raw, wanted):
+                    out.append((doc_id, file, start, len(ids) // 4, zlib.crc32(ids), ids))
                     size += len(ids) if with_ids else 0
                     if len(out) >= 10_000 or size > 8_000_000:
                         yield _batch(out, names)
@@ -244,13 +252,13 @@ def read(
                 if out:
                     yield _batch(out, names)
 
-    schema = "doc_id long, file string, file_start long, n_tokens long, ids_crc32 long"
+    schema = "doc_id long, file long, file_start long, n_tokens long, ids_crc32 long"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{path}/shards")
-    return files.select("path", "content").mapInArrow(rows, schema + ", ids array<long>" * with_ids)
+    return files.select("content").mapInArrow(rows, schema + ", ids array<long>" * with_ids)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
     if len(names) > 5:
         columns.append(pa.array([np.frombuffer(r[5], "<u4").astype(np.int64) for r in rows], pa.list_(pa.int64())))
@@ -260,7 +268,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def with_starts(documents: DataFrame) -> DataFrame:
     """Replace ``file`` and ``file_start`` by ``start``: the ids of all documents before.
 
-    Files hold ranges of ``doc_id`` in ascending order, named in that order; the sums run over one
+    Files hold ranges of ``doc_id`` in ascending order, numbered in that order; the sums run over one
     row for each file.
     """
     rows = shared.written(documents)

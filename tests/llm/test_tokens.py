@@ -115,3 +115,27 @@ def test_damaged_shards_are_refused(spark, library, tmp_path):
             list(token_store.parse_shards(broken, raw))
     with pytest.raises(ValueError, match="dictionary"):
         list(token_store.parse_shards(content, raw + b"x"))
+
+
+def test_files_are_ordered_by_the_number_they_hold(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_BYTES", 200)
+    rows = [(i, f"text {i} " * (i % 5 + 1)) for i in range(60)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ids")
+    token_store.write(docs, path, FILE, 2, first_file=99_998)
+    read = token_store.read(spark, path)
+    numbers = {r.file for r in read.select("file").distinct().collect()}
+    assert {99_999, 100_000} < numbers
+    assert sorted(map(tuple, token_store.with_starts(read).collect())) == expected_store(library, rows)
+
+
+def test_rows_without_id_are_dealt_out(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_BYTES", 300)
+    rows = [(None if i % 10 < 7 else i, ["same text", f"own text {i}"][i % 2]) for i in range(200)]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ids")
+    token_store.write(docs, path, FILE, 2)
+    read = token_store.read(spark, path)
+    assert read.where("doc_id is null").select("file").distinct().count() > 3
+    found = sorted(map(tuple, token_store.with_starts(read).collect()), key=lambda r: r[1])
+    starts = np.cumsum([0] + [r[2] for r in found])[:-1].tolist()
+    assert [r[1] for r in found] == starts and len(found) == 200
+    assert [r[0] for r in found] == sorted((r[0] for r in found), key=lambda d: (d is not None, d or 0))
