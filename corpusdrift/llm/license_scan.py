@@ -6,9 +6,12 @@ holds enough of a template's tokens must hold one of the template's few rarest o
 must be left behind the first common one (positional filter).  Only blocks that pass all
 three are counted out, and none that reaches the threshold is missed.
 
-A block is one line, or a run of lines with at most ``RUN_RATIO`` times the template's words.
+A block is a run of words, across line ends or inside a long line, of at most ``RUN_RATIO`` times the template's
+words: a notice stands together, while in a long text its words stand somewhere by chance.  Of
+blocks that hold one another the shortest counts.
 """
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +24,7 @@ from corpusdrift.llm import shared
 
 #: A block matches a template if it holds at least so many percent of its distinct words.
 PERCENT = 90
+#: A block has at most so many times the words of its template.
 RUN_RATIO = 2
 
 #: Phrases and their labels.
@@ -86,41 +90,50 @@ class Templates:
         common = sum(token in block for token in own)
         return common if common >= need else 0
 
-    def blocks(self, lines: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """``label, first line, last line, containment`` of the matching blocks that hold no smaller one."""
-        found, cache = [], {}
-
-        def line(i: int) -> tuple[set[int], int]:
-            if i not in cache:
-                own = words_of(lines[i])
-                cache[i] = {self.order[w] for w in own if w in self.order}, len(own)
-            return cache[i]
-
-        seeds: dict[str, list[int]] = {}
-        for i, text in enumerate(lines):
-            for name in {n for w in set(words_of(text)) if w in self.rare for n in self.rare[w]}:
-                seeds.setdefault(name, []).append(i)
-        for name, places in sorted(seeds.items()):
-            most, size, spans = RUN_RATIO * len(self.words[name]), len(self.tokens[name]), set()
-            for seed in places:
-                if common := self.overlap(name, line(seed)[0]):
-                    spans.add((seed, seed, common))
-                start, before = seed, line(seed)[1]
-                while before <= most:
-                    tokens, total, end = set(), 0, start
-                    while end < len(lines) and (total := total + line(end)[1]) <= most:
-                        tokens |= line(end)[0]
-                        if end >= seed and end > start and (common := self.overlap(name, tokens)):
-                            spans.add((start, end, common))
-                            break
-                        end += 1
-                    if start == 0:
-                        break
-                    start -= 1
-                    before += line(start)[1]
-            for s, e, common in sorted(spans):
-                if not any((a, b) != (s, e) and s <= a and b <= e for a, b, _ in spans):
-                    found.append((name, s, e, common / size))
+    def _regions(self, name: str, hits: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+        """The template's words around its rare ones, so far as a block may reach."""
+        most, own = RUN_RATIO * len(self.words[name]), self.tokens[name]
+        rare = set(own[: len(own) - self.need[name] + 1])
+        seeds = [place for place, token in hits if token in rare]
+        begin = 0
+        while begin < len(seeds):
+            end = begin
+            while end + 1 < len(seeds) and seeds[end + 1] - seeds[end] < 2 * most:
+                end += 1
+            low, high = (bisect.bisect_left(hits, (x,)) for x in (seeds[begin] - most + 1, seeds[end] + most))
+            yield hits[low:high]
+            begin = end + 1
+
+    def blocks(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
+        """``label, first word, last word, containment`` of the matching blocks that hold no smaller one.
+
+        The containment is that of the longest block which ends or begins with this one.
+        """
+        known = [(i, self.order[w]) for i, w in enumerate(words) if w in self.order]
+        found = []
+        for name in sorted({n for w in set(words) if w in self.rare for n in self.rare[w]}):
+            own, most, need = set(self.tokens[name]), RUN_RATIO * len(self.words[name]), self.need[name]
+            for hits in self._regions(name, [hit for hit in known if hit[1] in own]):
+                if not self.overlap(name, {token for _, token in hits}):
+                    continue
+                counts, first, last_start = Counter(), 0, -1
+                for end, token in hits:
+                    counts[token] += 1
+                    # Words go from the left while the block is too long, or enough are left without them.
+                    while end - hits[first][0] >= most or len(counts) >= need and (
+                        len(counts) > need or counts[hits[first][1]] > 1
+                    ):
+                        gone = hits[first][1]
+                        first, counts[gone] = first + 1, counts[gone] - 1
+                        if not counts[gone]:
+                            del counts[gone]
+                    start = hits[first][0]
+                    if len(counts) >= need and start != last_start:
+                        last_start = start
+                        wide = [(end - most + 1, end + 1), (start, start + most)]
+                        spans = [[bisect.bisect_left(hits, (x,)) for x in pair] for pair in wide]
+                        held = max(len({t for _, t in hits[low:high]}) for low, high in spans)
+                        found.append((name, start, end, held / len(own)))
         return found
 
 
@@ -157,7 +170,7 @@ def token_counts(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> dict
 
 FOUND = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-    "score double, blocks array<struct<label: string, first_line: int, last_line: int, containment: double>>"
+    "score double, blocks array<struct<label: string, first_word: int, last_word: int, containment: double>>"
 )
 
 
@@ -166,27 +179,29 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
 
     Takes ``doc_id`` and ``text``; other columns are ignored.  Returns one row for each input row:
     ``n_words``; ``n_base, first_word, last_word`` and ``base_labels`` of the places at which a phrase of
-    ``PHRASES`` stands; ``labels``, which also has those of matching templates; ``blocks`` with line
-    numbers; ``score``: 1 with a phrase, else the largest containment of a block, else 0.  A null
+    ``PHRASES`` stands; ``labels``, which also has those of matching templates; ``blocks`` with the numbers of
+    their first and last word; ``score``: 1 with a phrase, else the largest containment of a block, else 0.  A null
     text counts as empty: no words, no labels (empty strings), null places.  Repeated rows get equal results.
+    The time for a very long text grows with its words.
     """
     known = Templates(templates, token_counts(docs, templates), percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [x.split()[0] for x in FOUND.split(", ")[:8]] + ["blocks"]
-        block = pa.struct([("label", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("containment", pa.float64())])
+        names = ("label", "first_word", "last_word", "containment")
+        block = pa.struct(list(zip(names, (pa.string(), pa.int32(), pa.int32(), pa.float64()), strict=True)))
         kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64(), pa.list_(block)]
         for batch in shared.slices(batches):
             rows = []
             for text in shared.raw_texts(batch.column(1)):
                 words = words_of(text)
                 places = phrase_places(words, PHRASES)
-                found = [] if known.rare.keys().isdisjoint(words) else known.blocks(text.split(b"\n"))
+                found = [] if known.rare.keys().isdisjoint(words) else known.blocks(words)
                 base = sorted({label for _, label in places})
                 labels = sorted({*base, *(b[0] for b in found)})
                 starts = [p for p, _ in places]
                 score = 1.0 if places else max((b[3] for b in found), default=0.0)
-                spans = [dict(zip(("label", "first_line", "last_line", "containment"), b, strict=True)) for b in found]
+                spans = [dict(zip(names, b, strict=True)) for b in found]
                 rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels), score, spans))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], fields)
