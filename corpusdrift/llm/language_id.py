@@ -35,21 +35,30 @@ def gram_counts(text: str, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]
 
     Letters are lower-cased; anything between two words counts as one break.  An n-gram is
     one letter, two letters or a letter and a break, or three of which the middle is a letter.
+    ``step`` characters are looked at together with the two codes before them, so its size doesn't matter.
     """
-    grams, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for start in range(0, len(text), step):
-        points = np.frombuffer(text[start : start + step].lower().encode("utf-32-le", "replace"), "<u4")
+    grams, counts, text = np.empty(0, np.uint64), np.empty(0, np.int64), text.lower()
+    before, in_word = np.array([_BREAK], np.uint64), False
+    for start in range(0, len(text) + 1, step):
+        points = np.frombuffer(text[start : start + step].encode("utf-32-le", "replace"), "<u4")
         letter = _letters()[points]
-        codes = np.where(letter, points + 1, _BREAK)
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        codes = codes[keep].astype(np.uint64)
-        codes = np.concatenate([[_BREAK], codes, [_BREAK]]).astype(np.uint64)
+        if len(letter):
+            keep[0] |= in_word
+            in_word = bool(letter[-1])
+        new = np.where(letter, points + 1, _BREAK)[keep].astype(np.uint64)
+        if start + step > len(text):
+            new = np.append(new, np.uint64(_BREAK))
+        codes = np.concatenate([before, new])
         word = codes != _BREAK
         pairs = (codes[:-1] << _BITS) | codes[1:]
         triples = (pairs[:-1] << _BITS) | codes[2:]
-        found = np.concatenate([codes[word], pairs[word[:-1] | word[1:]], triples[word[1:-1]]])
-        part, n = np.unique(found, return_counts=True)
+        held = len(before)  # what ends in these codes was counted
+        found = [codes[held:][word[held:]], pairs[held - 1 :][(word[:-1] | word[1:])[held - 1 :]]]
+        found.append(triples[max(0, held - 2) :][word[1:-1][max(0, held - 2) :]])
+        before = codes[-2:]
+        part, n = np.unique(np.concatenate(found), return_counts=True)
         if not len(grams):
             grams, counts = part, n
         else:
