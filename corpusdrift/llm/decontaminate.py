@@ -6,8 +6,10 @@ by hash.  Where a document shares windows with an item, both are laid side by si
 run must be long enough, and what fills the slots must be consistent (equal fillers of the
 item stand against equal fillers of the document, and different ones against different ones).
 
-Windows that hold little but placeholders would meet everywhere; these are joined by their plain
-lower-cased words, and what they find must be literally in the document.
+A copy in capitals makes names of words, and one in small letters words of names.  So windows are also
+joined blind to case, with placeholders for numbers, quantities and units only.  Windows that hold little but
+placeholders would meet everywhere; these are joined by their plain lower-cased words, and what they find
+must be literally in the document.
 """
 
 import re
@@ -25,8 +27,9 @@ from corpusdrift.llm import shared
 WINDOW, LITERALS = 8, 4
 #: A run must be as long as this, or as the item if that is shorter.
 RUN = 13
-#: The bit that tells hashes of plain words.
-_LITERAL = np.uint64(1)
+#: The last two bits of a hash tell the kinds of windows: with names as placeholders, of plain words, blind to case.
+_NAMED, _LITERAL, _BLIND = range(3)
+_KIND = np.uint64(3)
 #: Benchmarks with more windows aren't sent to every task but joined by a shuffle.
 MOST_WINDOWS = 1_000_000
 
@@ -60,6 +63,9 @@ def plain(word: str) -> str:
     return (word.strip(_EDGES) or word).lower()
 
 
+_NAME = xxhash.xxh3_64_intdigest(b"<name>")
+
+
 class Words(dict):
     """What is known of each word, in arrays: hashes as the first word of a sentence and
     elsewhere, where a capital makes it a name, and of the plain word; whether the first two are words;
@@ -75,11 +81,17 @@ class Words(dict):
             raise OverflowError
         at = self[word] = len(self)
         kind, form = canonical(word)
-        name = kind == "word" and (word.lstrip(_EDGES)[:1]).isupper()
-        self.first[at] = xxhash.xxh3_64_intdigest(form.encode("utf-8", "replace"))
-        self.later[at] = xxhash.xxh3_64_intdigest(b"<name>") if name else self.first[at]
-        self.literal[at] = xxhash.xxh3_64_intdigest(plain(word).encode("utf-8", "replace"))
-        self.plain_first[at], self.plain_later[at] = kind == "word", kind == "word" and not name
+        digest = xxhash.xxh3_64_intdigest
+        if kind == "word":  # its canonical form is the plain word
+            self.first[at] = self.later[at] = self.literal[at] = digest(form.encode("utf-8", "replace"))
+            name = word.lstrip(_EDGES)[:1].isupper()
+            if name:
+                self.later[at] = _NAME
+            self.plain_first[at], self.plain_later[at] = True, not name
+        else:
+            self.first[at] = self.later[at] = digest(form.encode())
+            self.literal[at] = digest(plain(word).encode("utf-8", "replace"))
+            self.plain_first[at] = self.plain_later[at] = False
         self.ends[at] = word.endswith(_ENDS)
         return at
 
@@ -100,30 +112,37 @@ class Words(dict):
         return np.where(opens, first, later), np.where(opens, plain, plain_later), first, plain, self.literal[at]
 
 
-def windows(looked: tuple[np.ndarray, ...], size: int) -> np.ndarray:
-    """Hashes of the windows; of the plain words, with the last bit set, for those with too few words that
-    aren't placeholders.
+def windows(looked: tuple[np.ndarray, ...], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows, and where each begins; a window may have several.
 
-    What stands before a window doesn't count: its first word is taken as the first of a sentence.
+    With names as placeholders and blind to case, if enough of the words aren't placeholders; else of the plain
+    words.  What stands before a window doesn't count: its first word is taken as the first of a sentence.
     """
     hashes, plain, first, plain_first, literals = looked
     count = len(hashes) - size + 1
     if count <= 0:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    least = min(LITERALS, size)
     rest = shared.window_hashes(hashes[1:], size - 1) if size > 1 else np.zeros(count, np.uint64)
-    found = shared.mixed(rest * np.uint64(0x9E3779B97F4A7C15) + first[:count]) + np.uint64(size)
     total = np.concatenate([[0], np.cumsum(plain)])
-    literal = total[size:] - total[1 : count + 1] + plain_first[:count]
-    exact = shared.window_hashes(literals, size, 1) + np.uint64(size)
-    return np.where(literal >= min(LITERALS, size), found & ~_LITERAL, exact | _LITERAL)
-
-
-def _slots(words: list[str]) -> list[tuple[str, str]]:
-    """Kind and filler of each word; fillers only where there is a slot."""
+    named = total[size:] - total[1 : count + 1] + plain_first[:count] >= least
+    total = np.concatenate([[0], np.cumsum(plain_first)])
+    blind = total[size:] - total[:count] >= least
+    kinds = [(_NAMED, named, shared.mixed(rest * np.uint64(0x9E3779B97F4A7C15) + first[:count]))]
+    kinds.append((_BLIND, blind, shared.window_hashes(first, size)))
+    if not named.all():
+        kinds.append((_LITERAL, ~named, shared.window_hashes(literals, size, 1)))
+    at = [np.flatnonzero(chosen) for _, chosen, _ in kinds]
+    found = [(x[i] + np.uint64(size)) & ~_KIND | np.uint64(kind) for (kind, _, x), i in zip(kinds, at, strict=True)]
+    return np.concatenate(found), np.concatenate(at)
+
+
+def _slots(words: list[str], names: bool = True) -> list[tuple[str, str]]:
+    """Kind and filler of each word; fillers only where there is a slot.  Without ``names`` capitals make none."""
     out, opens = [], True
     for word in words:
         kind, form = canonical(word)
-        if kind == "word" and not opens and word.lstrip(_EDGES)[:1].isupper():
+        if names and kind == "word" and not opens and word.lstrip(_EDGES)[:1].isupper():
             kind = "name"
         bare = word.strip(_EDGES) or word
         out.append((kind, form if kind == "word" else bare))
@@ -138,23 +157,25 @@ def _same(mine: tuple[str, str], theirs: tuple[str, str], opens: bool) -> bool:
     return mine[0] == theirs[0] and (mine[0] != "word" or mine[1] == theirs[1])
 
 
-def align(doc: list[str], item: list[str], seeds: list[tuple[int, int]], run: int = RUN) -> tuple | None:
+def align(
+    doc: list[str], item: list[str], seeds: list[tuple[int, int]], run: int = RUN, names: bool = True
+) -> tuple | None:
     """The best run of an item in a document through one of the seeds (positions in both).
 
     Returns ``start in the document, words, slots, changed slots``, or None if no run is long enough with
     consistent slots.  Where a slot contradicts the ones before it the run ends there.
     """
-    left, right = _slots(doc), _slots(item)
-    best, done = None, set()
+    left, right = _slots(doc, names), _slots(item, names)
+    best, done = None, {}  # for each diagonal, where its last run ends; seeds come in their order in the document
     for at, of in seeds:
-        if any(d == at - of and s <= at < e for d, s, e in done):
+        if at < done.get(at - of, 0):
             continue
         start, end = at, at
         while start > 0 and of - (at - start) > 0 and _same(left[start - 1], right[of - (at - start) - 1], of - (at - start) == 1):
             start -= 1
         while end < len(left) and of + end - at < len(right) and _same(left[end], right[of + end - at], of + end == at):
             end += 1
-        done.add((at - of, start, end))
+        done[at - of] = end
         begin = start
         while begin < end:
             there, back, slots, changed, stop = {}, {}, 0, 0, begin
@@ -174,16 +195,16 @@ def align(doc: list[str], item: list[str], seeds: list[tuple[int, int]], run: in
 def align_literally(doc: list[str], item: list[str], seeds: list[tuple[int, int]], run: int = RUN) -> tuple | None:
     """As :func:`align`, for runs of the same words: nothing fills a slot otherwise."""
     left, right = [plain(w) for w in doc], [plain(w) for w in item]
-    best, done = None, set()
+    best, done = None, {}
     for at, of in seeds:
-        if any(d == at - of and s <= at < e for d, s, e in done):
+        if at < done.get(at - of, 0):
             continue
         start, end = at, at
         while start > 0 and of - (at - start) > 0 and left[start - 1] == right[of - (at - start) - 1]:
             start -= 1
         while end < len(left) and of + end - at < len(right) and left[end] == right[of + end - at]:
             end += 1
-        done.add((at - of, start, end))
+        done[at - of] = end
         if end - start >= min(run, len(item)) and (best is None or end - start > best[1]):
             slots = sum(kind != "word" for kind, _ in _slots(item)[start - at + of : end - at + of])
             best = start, end - start, slots, 0
@@ -201,8 +222,8 @@ class Index:
             if own:
                 number = len(self.items)
                 self.items[number] = (item_id, own)
-                hashes = windows(words.look(own), min(size, len(own)))
-                found += [(int(h), number, place) for place, h in enumerate(hashes)]
+                hashes, starts = windows(words.look(own), min(size, len(own)))
+                found += zip(hashes.tolist(), [number] * len(hashes), starts.tolist(), strict=True)
         found.sort()
         self.hashes = np.array([f[0] for f in found], np.uint64)
         self.places = [f[1:] for f in found]
@@ -214,24 +235,24 @@ class Index:
         if not own or not len(self.hashes):
             return []
         looked = words.look(own)
-        seeds: dict[int, tuple[list, list]] = {}
+        seeds: dict[tuple[int, int], list] = {}
         for size in self.sizes:
-            found = windows(looked, size)
+            found, starts = windows(looked, size)
             at = np.searchsorted(self.hashes, found)
             hit = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == found)
-            for place in hit:
+            for place in hit.tolist():
                 i = int(at[place])
                 while i < len(self.hashes) and self.hashes[i] == found[place]:
                     number, of = self.places[i]
-                    seeds.setdefault(number, ([], []))[int(found[place] & _LITERAL)].append((int(place), of))
+                    seeds.setdefault((number, int(found[place] & _KIND)), []).append((int(starts[place]), of))
                     i += 1
-        out = []
-        for number, (pairs, same) in sorted(seeds.items()):
-            item_id, item = self.items[number]
-            found = [align(own, item, pairs) if pairs else None, align_literally(own, item, same) if same else None]
-            if found := [f for f in found if f]:
-                out.append((item_id, *max(found, key=lambda f: f[1]), len(item)))
-        return out
+        best: dict[int, tuple] = {}
+        for (number, kind), pairs in sorted(seeds.items()):
+            item = self.items[number][1]
+            one = align_literally(own, item, pairs) if kind == _LITERAL else align(own, item, pairs, names=kind == _NAMED)
+            if one and (number not in best or one[1] > best[number][1]):
+                best[number] = one
+        return [(self.items[n][0], *one, len(self.items[n][1])) for n, one in sorted(best.items())]
 
 
 FOUND = (
@@ -284,9 +305,12 @@ def without_leaks(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WI
     bench = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     index = _index(bench, most_windows)
     if index is None:
-        key = F.coalesce(F.col("doc_id").cast("long"), F.lit(shared.NO_ID))
-        found = _find_by_shuffle(docs, bench).select(F.coalesce("doc_id", F.lit(shared.NO_ID)).alias("__leak"))
-        return docs.join(found.distinct(), key == F.col("__leak"), "left_anti")
+        # By the number of a row, as ids may be missing or repeated; the other columns go along as one.
+        numbered = shared.written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
+        keyed = numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))
+        leaks = _find_by_shuffle(keyed, bench).select(F.col("doc_id").alias("number")).distinct()
+        kept = numbered.join(leaks, "number", "left_anti")
+        return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +351,7 @@ def _find_by_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
                     own = (text or "").split()
                     looked = words.look(own)
                     for size in [min(WINDOW, len(own))] if of_items else sizes:
-                        found = np.unique(windows(looked, size)) if size else np.empty(0, np.uint64)
+                        found = np.unique(windows(looked, size)[0]) if size else np.empty(0, np.uint64)
                         hashes.append(found)
                         keys += [key] * len(hashes[-1])
                 if keys:
