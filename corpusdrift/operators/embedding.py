@@ -77,21 +77,54 @@ def bag_of_words(texts: DataFrame, size: int = 64) -> DataFrame:
     )
 
 
+#: Texts, and characters of texts, that a task sorts by length before it cuts them into batches.
+BUFFER_TEXTS, BUFFER_LENGTH = 4_096, 32_000_000
+#: Characters of a batch, as if all its texts were as long as the longest.
+BATCH_LENGTH = 262_144
+
+
+def length_batches(lengths: list[int], most: int, length: int = BATCH_LENGTH) -> Iterator[list[int]]:
+    """Places of texts in batches of similar length: at most ``most`` of them, or of ``length`` characters when padded.
+
+    A longer text is a batch by itself.
+    """
+    part: list[int] = []
+    for place in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        if part and (len(part) == most or (len(part) + 1) * lengths[place] > length):
+            yield part
+            part = []
+        part.append(place)
+    if part:
+        yield part
+
+
 def encode(
     texts: DataFrame, load_encoder: Callable[[], Encoder], batch: int = fv.ENCODER_BATCH
 ) -> DataFrame:
     """Embed texts with any model: ``load_encoder`` runs once per task and returns
-    a function from a list of whole texts to a matrix with one row per text."""
+    a function from a list of whole texts to a matrix with one row per text.
+
+    A model pads a batch to its longest text, so every task sorts some texts by length and batches similar ones.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load_encoder()
+        held: list[tuple[str, str]] = []
+        size = 0
+
+        def encoded() -> Iterator[pd.DataFrame]:
+            for places in length_batches([len(text) for _, text in held], batch):
+                matrix = np.asarray(encoder([held[i][1] for i in places]), dtype=np.float64)
+                yield pd.DataFrame({"section_hash": [held[i][0] for i in places], "section_embedding": list(matrix)})
+
         for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                matrix = np.asarray(encoder(part["section_text"].tolist()), dtype=np.float64)
-                yield pd.DataFrame(
-                    {"section_hash": part["section_hash"].array, "section_embedding": list(matrix)}
-                )
+            for key, text in zip(frame["section_hash"].tolist(), frame["section_text"].tolist(), strict=True):
+                held.append((key, text))
+                size += len(text)
+                if len(held) >= BUFFER_TEXTS or size >= BUFFER_LENGTH:
+                    yield from encoded()
+                    held, size = [], 0
+        yield from encoded()
 
     return texts.select("section_hash", "section_text").mapInPandas(
         run, "section_hash string, section_embedding array<double>"

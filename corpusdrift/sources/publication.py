@@ -147,7 +147,7 @@ def _read(spark: SparkSession, root: str, name: str, schema: str, known: dict) -
         return spark.createDataFrame([], schema)
     reader = spark.read.schema(schema).option("basePath", f"{root}/{name}")
     if entry["format"] == "csv":
-        reader = reader.options(**tables.CSV)
+        reader = reader.options(**tables.CSV, mode="FAILFAST")
     return reader.format(entry["format"]).load(folders).select(*StructType.fromDDL(schema).names)
 
 

@@ -4,12 +4,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 SCRATCH = "_scratch"
-#: How csv files are read.
-CSV = {"header": True, "multiLine": True, "escape": '"'}
+#: How csv files are read; all fields are parsed, also those that nobody asks for, so that faults don't depend on the query.
+CSV = {"header": True, "multiLine": True, "escape": '"', "columnPruning": False}
 
 
 def shared_folder(spark: SparkSession, root: str | None = None) -> str:
@@ -56,13 +56,49 @@ def write_titles(table: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """Read with a declared schema, columns in its order; csv files are expected to have a header."""
+    """Read with a declared schema, columns in its order; csv files are expected to have a header.
+
+    A csv row that doesn't fit the schema is an error; :func:`read_checked` sets such rows aside.
+    """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.options(**CSV)
+        reader = reader.options(**CSV, mode="FAILFAST")
     return reader.format(fmt).load(path).select(*StructType.fromDDL(schema).names)
 
 
+REJECTS = "file string, reason string, record string"
+
+
+def read_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of csv files that fit the schema, and the others as ``file, reason, record``.
+
+    Every row is in one of the two.  A row doesn't fit if a field isn't of its column's type, or if it has too few
+    or too many fields; ``reason`` names all faulty fields, ``record`` has the row as it stands in the file where the
+    number of fields is wrong, else its fields as JSON.  Empty fields are missing values and fit.
+    """
+    fields = StructType.fromDDL(schema).fields
+    texts = StructType([StructField(f.name, StringType()) for f in fields]).add(_RECORD, StringType())
+    read = spark.read.schema(texts).options(**CSV, mode="PERMISSIVE", columnNameOfCorruptRecord=_RECORD).csv(path)
+    faults = [F.when(F.col(_RECORD).isNotNull(), F.lit("wrong number of fields"))]
+    typed = []
+    for f in fields:
+        value = F.col(f"`{f.name}`").try_cast(f.dataType)
+        typed.append(value.alias(f.name))
+        kind = f.dataType.simpleString()
+        fault = F.concat(F.lit(f"{f.name}: '"), F.col(f"`{f.name}`"), F.lit(f"' is no {kind}"))
+        faults.append(F.when(F.col(f"`{f.name}`").isNotNull() & value.isNull(), fault))
+    reason = F.concat_ws("; ", *faults)
+    found = read.select("*", reason.alias(_REASON), F.col("_metadata.file_path").alias(_FILE))
+    fields_of = F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in fields)))
+    rejects = found.filter(F.col(_REASON) != "").select(
+        F.col(_FILE).alias("file"), F.col(_REASON).alias("reason"), F.coalesce(_RECORD, fields_of).alias("record")
+    )
+    return found.filter(F.col(_REASON) == "").select(*typed), rejects
+
+
+_RECORD, _REASON, _FILE = "__record", "__reason", "__file"
+
+
 def export_table(table: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a result table as parquet or as csv with a header; texts keep their blanks."""
     writer = table.write.mode("overwrite")

@@ -181,3 +181,28 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     first, second = tables.shared_folder(spark), tables.shared_folder(spark)
     assert first != second
     assert first.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+TYPED = "id bigint, name string, score double, day date"
+
+
+def test_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        'id,name,score,day\n1,"one, or ""1""",0.5,2024-01-31\n2,two,oops,2024-01-31\n3,"line\nbreak",,\nx,four,y,2024-13-01\n5,five\n6,six,1,2024-01-01,more\n'
+    )
+    (tmp_path / "b.csv").write_text("id,name,score,day\n7,,-1e3,2024-02-29\n")
+    good, rejects = tables.read_checked(spark, str(tmp_path), TYPED)
+    assert rows(good.select("id", "name", "score")) == [(1, 'one, or "1"', 0.5), (3, "line\nbreak", None), (7, None, -1000.0)]
+    assert good.schema == spark.createDataFrame([], TYPED).schema
+    found = {r.reason: r for r in rejects.collect()}
+    assert set(found) == {
+        "score: 'oops' is no double", "id: 'x' is no bigint; score: 'y' is no double; day: '2024-13-01' is no date",
+        "wrong number of fields",
+    }
+    assert rejects.count() == 4 and rejects.filter("file like '%a.csv'").count() == 4
+    assert '"name":"two"' in found["score: 'oops' is no double"].record
+    assert {r.record for r in rejects.filter("reason like 'wrong%'").collect()} == {"5,five", "6,six,1,2024-01-01,more"}
+    # Counting alone, or one column alone, tells the same rows apart.
+    assert (good.count(), good.select("name").count(), rejects.select("file").count()) == (3, 3, 4)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_table(spark, str(tmp_path), TYPED, "csv").select("name").collect()

@@ -135,3 +135,28 @@ def test_means_of_odd_vectors(spark):
     for table in (uneven.coalesce(1), uneven.repartition(2)):
         with pytest.raises(Exception, match="different length"):
             vectors.exact_means(table, ["part"], "v", "copies").collect()
+
+
+def test_texts_are_encoded_with_others_of_similar_length(spark):
+    rng = np.random.default_rng(2)
+    sizes = np.concatenate([rng.integers(5, 200, 900), rng.integers(2_000, 20_000, 100), [300_000]])
+    rng.shuffle(sizes)
+    data = [(f"h{i}", "x" * int(n)) for i, n in enumerate(sizes)]
+    table = spark.createDataFrame(data, "section_hash string, section_text string").coalesce(1)
+    plain = [sizes[i : i + 32] for i in range(0, len(sizes), 32)]
+    padded = sum(len(part) * part.max() for part in plain)
+
+    def load():
+        # Every vector also tells how long its batch was when padded.
+        return lambda texts: np.array([[len(t), max(map(len, texts)), len(texts)] for t in texts], float)
+
+    found = {r.section_hash: list(r.section_embedding) for r in embedding.encode(table, load).collect()}
+    assert {h: v[0] for h, v in found.items()} == {h: len(t) for h, t in data}
+    assert sum(v[1] for v in found.values()) < padded / 2
+    assert all(v[2] <= 32 and (v[1] * v[2] <= embedding.BATCH_LENGTH or v[2] == 1) for v in found.values())
+
+
+def test_batches_hold_every_text_once():
+    for lengths in ([], [0], [5, 0, 5, 9, 100], [10] * 70):
+        parts = list(embedding.length_batches(lengths, 32, 50))
+        assert sorted(i for part in parts for i in part) == list(range(len(lengths)))
