@@ -7,6 +7,7 @@ from corpusdrift import fixed_values as fv
 from corpusdrift.operators.deviance import TEXT_KEY, editions, text_deviance
 from corpusdrift.operators.joins import HOT_ROWS, join_one
 from corpusdrift.operators.sections import PART_KEY, SECTION_KEY, clean_parts, split_year
+from corpusdrift.operators.sketch import Screen
 
 
 def quantify(
@@ -16,10 +17,12 @@ def quantify(
     year: int = fv.FOCAL_YEAR,
     multiplicity: bool = False,
     hot_rows: int = HOT_ROWS,
+    screen: Screen | None = None,
 ) -> DataFrame:
     """Sections with deviance and focal match, without text and vectors.
 
-    ``sections`` has ``section_hash`` and ``section_word_count``.
+    ``sections`` has ``section_hash`` and ``section_word_count``.  ``screen`` tells hashes that may be among the embedded
+    ones; sections of other editions that it keeps out match nothing and are not shuffled.
     ``multiplicity`` as in :func:`corpusdrift.operators.embedding.propagate`.
     """
     focal, others = editions(sections.drop("section_text"), year)
@@ -35,16 +38,23 @@ def quantify(
         scores = scores.withColumn("copies", F.lit(1).cast("bigint"))
     # Every section takes part in one join only.  In the focal edition a text is
     # known if it is among the scored ones, whatever its score.
+    matched = join_one(_screened(others, screen), known, ["section_hash"], hot_rows=hot_rows)
+    if screen is not None:
+        alone = others.filter(~screen(F.col("section_hash"))).withColumn("copies", F.lit(None).cast("bigint"))
+        matched = matched.unionByName(alone)
     found = join_one(focal, scores, TEXT_KEY, hot_rows=hot_rows).unionByName(
-        join_one(others, known, ["section_hash"], hot_rows=hot_rows).withColumn(
-            "section_deviance", F.lit(None).cast("double")
-        )
+        matched.withColumn("section_deviance", F.lit(None).cast("double"))
     )
     return found.withColumn(
         "focal_year_match", F.when(F.col("copies").isNotNull(), 1).otherwise(0)
     ).withColumn("copies", F.coalesce("copies", F.lit(1)))
 
 
+def _screened(sections: DataFrame, screen: Screen | None) -> DataFrame:
+    """The sections that may match."""
+    return sections if screen is None else sections.filter(screen(F.col("section_hash")))
+
+
 def part_aggregates(quantified: DataFrame, fan_out: bool = True) -> DataFrame:
     """All figures of a part that come from its sections, in one grouping.
 

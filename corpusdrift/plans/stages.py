@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusdrift import fixed_values as fv
-from corpusdrift.operators import deviance, embedding, panels, parts, sections
+from corpusdrift.operators import deviance, embedding, panels, parts, sections, sketch
 from corpusdrift.sources import inventory, markup, publication, roster, schemas, tables
 
 SECTION_FACTS = (
@@ -219,7 +219,10 @@ def quantify(
 def _quantify(spark, root, new, year, regex_names, deviants_n, fan_out, multiplicity, formats) -> None:
     part_table = read_parts(spark, root)
     facts, vectors = read_facts(spark, root), read_vectors(spark, root)
-    scored = tables.settle(parts.quantify(facts, vectors, part_table, year, multiplicity), root)
+    # Which texts the focal edition has is told by a small filter, before the other editions' sections are shuffled.
+    focal, _ = deviance.editions(facts, year)
+    screen = sketch.screen(focal.select("section_hash").distinct(), "section_hash")
+    scored = tables.settle(parts.quantify(facts, vectors, part_table, year, multiplicity, screen=screen), root)
     new.write("section_scores", deviance.label_sections(scored, deviants_n))
     notable = deviance.notable_sections(
         scored,
