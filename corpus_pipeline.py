@@ -6,7 +6,7 @@ decisions take effect; the last one returns what encoding gives.
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusdrift.llm import bpe, decontaminate, near_duplicates, shared, substring_dedup, toxicity
@@ -15,12 +15,23 @@ from corpusdrift.llm.queries import VOCABULARY, toxic_training
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and the other columns as one, so that no operator's column has the name of one of them."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest or [F.lit(None).alias("none")]).alias("other"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns as they were, in their order, but for those that are given."""
+    own = {c: F.col(c) for c in ("doc_id", "text")} | changed
+    return rows.select(*(own.get(c, F.col("other").getField(c)).alias(c) for c in columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents that the classifier rejects go."""
     net = toxicity.fit(docs, shared.table(spark, sf_dir, "labels"), toxic_training())
-    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    scored = toxicity.score_documents(docs, net, F.col("text").alias("__text"), *rest)
-    return scored.where("predicted = 0").withColumnRenamed("__text", "text").select(*docs.columns)
+    scored = toxicity.score_documents(_packed(docs), net, F.col("text").alias("whole_text"), "other")
+    return _unpacked(scored.where("predicted = 0"), docs.columns, text=F.col("whole_text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +45,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without a repeated passage stay as they are.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = substring_dedup.remove_repeats(docs, keep=rest, as_given=True).where("n_removed < n_words or n_removed = 0")
-    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", size).withColumnRenamed("kept_text", "text").select(*docs.columns)
+    found = substring_dedup.remove_repeats(_packed(docs), keep=["other"], as_given=True)
+    found = found.where("n_removed < n_words or n_removed = 0")
+    changed = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        size = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, size).otherwise(F.col("other.n_chars"))
+    return _unpacked(found, docs.columns, **changed)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
