@@ -167,6 +167,18 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM figures
 """
 
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS x FROM p),
+parts AS (SELECT x, string_agg(letters, '' ORDER BY g) AS payload_digest FROM (
+  SELECT x, g, list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> s) % 32 + 1, 1)), 'string_agg', '') AS letters
+  FROM (SELECT x, g, ('0x' || substr(x, 5 * g + 1, 5))::INTEGER AS v FROM (SELECT DISTINCT x FROM h), (SELECT unnest(range(0, 8)) AS g))) GROUP BY x),
+newest AS (SELECT x, max(page_id) AS top FROM h GROUP BY x)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id != top THEN top END AS refers_to
+FROM h JOIN parts USING (x) JOIN newest USING (x)
+"""
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(
@@ -256,6 +268,7 @@ FROM best QUALIFY rank <= 2000
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op3_line_frequency": OP3_SQL,
+    "op6_warc": OP6_SQL,
     "op7_near_duplicates": OP7_SQL,
     "op11_centroids": _op11_sql(),
     "op12_collocations": OP12_SQL,
