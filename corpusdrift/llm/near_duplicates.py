@@ -36,8 +36,6 @@ FIRST_TREES = 4
 REGION = 6
 #: Bits of the buckets in which the exact join counts shingles; any order of shingles gives the same pairs.
 BUCKET_BITS = 21
-#: Rows of one shingle that one task of the exact join holds.
-TASK_ROWS = 1_000
 
 _rng = np.random.default_rng(20_240_607)
 _FACTORS = _rng.integers(0, 2**31, TREES * HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -163,13 +161,13 @@ def _neighbours(rows: DataFrame, only_next: bool, edges: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(columns)], _names(NEIGHBOURS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, started = None, False
+        held, seen = None, 0
         for batch in batches:
             part = tuple(c.to_numpy() for c in batch.columns)
-            if edges and not started and batch.num_rows:
-                head = [x[:context] for x in part]
+            if edges and seen < context:
+                head = [x[: context - seen] for x in part]
                 yield batch_of(_EDGE, head[2], head[2], head[0], head[1], head[3])
-                started = True
+            seen += batch.num_rows
             if held is not None:
                 part = tuple(np.concatenate(x) for x in zip(held, part, strict=True))
             pairs, crowded = _look(part, only_next)
@@ -178,8 +176,9 @@ def _neighbours(rows: DataFrame, only_next: bool, edges: bool) -> DataFrame:
             regions = np.unique(part[0][crowded])
             yield batch_of(_CROWDED, regions, regions)
             held = tuple(x[-context:] for x in part)
-        if edges and held is not None:
-            yield batch_of(_EDGE, held[2], held[2], held[0], held[1], held[3])
+        if edges and seen > context:  # rows that weren't among the first
+            tail = [x[-min(context, seen - context) :] for x in held]
+            yield batch_of(_EDGE, tail[2], tail[2], tail[0], tail[1], tail[3])
 
     return rows.select(*_names(TREE)).mapInArrow(run, NEIGHBOURS)
 
@@ -189,7 +188,7 @@ def _near_pairs(rows: DataFrame, only_next: bool) -> tuple[DataFrame, DataFrame]
     spread = rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
     found = shared.written(_neighbours(spread, only_next, edges=True))
     # At most 4 x REGION rows for each partition.
-    border = found.where(F.col("kind") == _EDGE).select("key_1", "key_2", F.col("a").alias("node"), "component").distinct()
+    border = found.where(F.col("kind") == _EDGE).select("key_1", "key_2", F.col("a").alias("node"), "component")
     border = border.repartition(F.shiftright("key_1", 48)).sortWithinPartitions(*_ORDER)
     both = found.union(shared.written(_neighbours(border, only_next, edges=False)))
     pairs = both.where((F.col("kind") == _PAIR) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
@@ -213,7 +212,7 @@ def _in_crowds(sets: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node, packed``: the text of each of these sets, compressed, found again by two hashes of it."""
+    """``node, packed``: the text of each of ``node, text_1, text_2``, compressed, found again by its two hashes."""
     bits = shared.bit_filter(sets.select("text_1"))
     known = docs.sparkSession.sparkContext.broadcast(bits)  # of a fixed size
 
@@ -234,7 +233,7 @@ def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
         return sets.select("node", F.lit(b"").alias("packed")).where("false")
     given = docs.where("text is not null").select("text_1", "text_2", F.col("text").cast("binary").alias("text"))
     found = given.mapInArrow(run, "text_1 long, text_2 long, packed binary").dropDuplicates(["text_1", "text_2"])
-    return shared.written(sets.select("node", "text_1", "text_2").join(found, ["text_1", "text_2"]).select("node", "packed"))
+    return shared.written(sets.join(found, ["text_1", "text_2"]).select("node", "packed"))
 
 
 def _sets_of(column: pa.Array) -> Iterator[np.ndarray]:
@@ -283,7 +282,7 @@ def _bucket_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-PREFIXES = "shingle long, id long, component long, n long, behind long, short boolean, deals int"
+PREFIXES = "shingle long, id long, component long, n long, behind long, short boolean"
 
 
 def _prefixes(crowd: DataFrame, percent: int) -> DataFrame:
@@ -305,8 +304,7 @@ def _prefixes(crowd: DataFrame, percent: int) -> DataFrame:
                 place = np.arange(len(first))
                 full = lambda x, like=place: np.full(len(like), x, np.int64)
                 short = place < n - -(-2 * percent * n // (100 + percent)) + 1
-                deals = (1 + counts[first] // TASK_ROWS).astype(np.int32)
-                out.append([found[first].view(np.int64), full(ids[i]), full(groups[i]), full(n), n - place, short, deals])
+                out.append([found[first].view(np.int64), full(ids[i]), full(groups[i]), full(n), n - place, short])
             if out:
                 columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, _names(PREFIXES))
@@ -318,30 +316,26 @@ def _exact_pairs(crowd: DataFrame, percent: int) -> DataFrame:
     """All pairs ``a, b`` of different components whose sets may be alike enough; none that is, is left out.
 
     Components are joined first, each as one row for a shingle, so that the rows of a large one
-    aren't compared with each other.  Shingles that only one component has go before that.
+    aren't compared with each other.  Shingles that only one component has go before that.  The largest and
+    most frequent shingles' rows are split by Spark's skew join; no row is repeated for that.
     """
     rows = shared.written(_prefixes(crowd, percent))
     of_shingle = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     met = of_shingle.where("low != high").select("shingle")
     rows = shared.written(rows.join(met, "shingle", "left_semi"))
-    each = F.explode(F.sequence(F.lit(0), F.col("deals") - 1))
-    by_group = ["shingle", "component", "deals"]
+    by_group = ["shingle", "component"]
     figures = F.min("n").alias("least"), F.max("n").alias("most"), F.max("behind").alias("behind")
-    named = lambda table, end, *keys: table.select(*keys, *(F.col(c).alias(f"{c}_{end}") for c in table.columns if c not in keys))
-    longer = rows.groupBy(*by_group).agg(*figures).withColumn("deal", each)
-    shorter = rows.where("short").groupBy(*by_group).agg(*figures)
-    shorter = shorter.withColumn("deal", F.pmod(F.xxhash64("component"), "deals").cast("int"))
+    named = lambda table, end: table.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in table.columns if c != "shingle"))
+    longer, shorter = (table.groupBy(*by_group).agg(*figures) for table in (rows, rows.where("short")))
     enough = lambda n, m: F.least("behind_a", "behind_b") * (100 + percent) >= percent * (F.col(n) + F.col(m))
     groups = (
-        named(longer, "a", "shingle", "deal").join(named(shorter, "b", "shingle", "deal"), ["shingle", "deal"])
+        named(longer, "a").join(named(shorter, "b"), "shingle")
         .where("component_a != component_b and least_b <= most_a")
         .where((100 * F.col("most_b") >= percent * F.col("least_a")) & enough("least_a", "least_b"))
-        .select("shingle", "component_a", "component_b", F.col("deals_a").alias("deals"))
+        .select("shingle", "component_a", "component_b")
     )
-    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("id"), "deals").cast("int")).drop("deals")
-    one, two = named(dealt.drop("short"), "a", "shingle", "deal"), named(dealt.where("short").drop("short"), "b", "shingle", "deal")
-    found = shared.written(groups).withColumn("deal", each).join(one, ["shingle", "deal", "component_a"])
-    found = found.drop("deal").withColumn("deal", each).join(two, ["shingle", "deal", "component_b"])
+    one, two = named(rows.drop("short"), "a"), named(rows.where("short").drop("short"), "b")
+    found = shared.written(groups).join(one, ["shingle", "component_a"]).join(two, ["shingle", "component_b"])
     found = found.where((F.col("n_b") <= F.col("n_a")) & (100 * F.col("n_b") >= percent * F.col("n_a")) & enough("n_a", "n_b"))
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
@@ -371,11 +365,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Documents with the same set are one node; what distinguishes nodes is the number of a row, never an id.
     found = facts.where("n_shingles > 0").groupBy(*_SAME_SET)
     firsts = [F.first(c).alias(c) for c in ("signature", "text_1", "text_2")]
-    sets = shared.written(found.agg(F.min("row").alias("node"), *firsts).withColumn("component", F.col("node")))
+    sets = found.agg(F.min("row").alias("node"), F.min("id").alias("least_id"), *firsts)
+    sets = shared.written(sets.withColumn("component", F.col("node")))
 
     def confirmed(pairs: DataFrame, *more: DataFrame) -> tuple[DataFrame, DataFrame]:
         ends = reduce(DataFrame.union, more, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        wanted = _texts_of(rows, sets.join(ends.distinct(), "node", "left_semi"))
+        ends = shared.written(sets.select("node", "text_1", "text_2").join(ends, "node", "left_semi"))
+        wanted = _texts_of(rows, ends)
         return shared.written(confirm(pairs, wanted, percent)), wanted
 
     first = shared.written(_near_pairs(_trees(sets, FIRST_TREES), only_next=True)[0])
@@ -386,26 +382,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     crowd = shared.written(_in_crowds(joined, regions).select("node"))
     new, wanted = confirmed(pairs, crowd)
     links = links.union(new)
-    # Rows of one id are one document.
-    members = facts.where("n_shingles > 0").join(sets.select(*_SAME_SET, "node"), _SAME_SET).select("id", "node").distinct()
-    several = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
-    same_id = shared.written(members.join(several, "id").where("a < node").select("a", F.col("node").alias("b")))
-    links = links.union(same_id)
-    joined = shared.written(_labelled(sets, links).select(*_SAME_SET, "node", "component"))
-    crowded = joined.join(crowd, "node", "left_semi").select("node", "component").join(wanted, "node")
-    tested = first.union(pairs)
-    late = _exact_pairs(crowded, percent).join(tested, ["a", "b"], "left_anti")
-    late = shared.written(confirm(shared.written(late), wanted, percent))
-    if not late.isEmpty():
-        joined = _labelled(sets, links.union(late))
-    named = facts.select("id", *_SAME_SET).join(joined.select(*_SAME_SET, "component"), _SAME_SET)
-    named = named.select("id", "component").distinct()
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    # Rows of one id lie in one component, so this has one row for each id.
-    by_id = named.join(least, "component").select("id", "component_id").distinct()
+    # Rows of one id are one document: ids that have rows of several sets, or of a set and of none.
+    ends = [f(c).alias(f"{name}_{c}") for c in _SAME_SET for name, f in (("low", F.min), ("high", F.max))]
+    several = facts.groupBy("id").agg(*ends).where(" or ".join(f"low_{c} != high_{c}" for c in _SAME_SET)).select("id")
+    several = shared.written(several)
+    no_several = several.isEmpty()
+    if not no_several:
+        members = facts.where("n_shingles > 0").join(several, "id").join(sets.select(*_SAME_SET, "node"), _SAME_SET)
+        members = shared.written(members.select("id", "node").distinct())
+        least = members.groupBy("id").agg(F.min("node").alias("a"))
+        links = links.union(members.join(least, "id").where("a < node").select("a", F.col("node").alias("b")))
+    joined = shared.written(_labelled(sets, links).select(*_SAME_SET, "node", "least_id", "component"))
+    if not crowd.isEmpty():
+        crowded = joined.select("node", "component").join(crowd, "node", "left_semi").join(wanted, "node")
+        late = _exact_pairs(crowded, percent).join(first.union(pairs), ["a", "b"], "left_anti")
+        late = shared.written(confirm(shared.written(late), wanted, percent))
+        if not late.isEmpty():
+            joined = shared.written(_labelled(sets, links.union(late)).select(*_SAME_SET, "node", "least_id", "component"))
+    least = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    per_set = joined.join(least, "component").select(*_SAME_SET, "node", "component_id")
+    result = facts.select("id", *_SAME_SET).join(per_set.drop("node"), _SAME_SET, "left")
+    if not no_several:
+        # Rows without shingles belong to the other rows of their id.
+        of_id = members.join(per_set.select("node", "component_id"), "node").groupBy("id").agg(F.min("component_id").alias("of_id"))
+        result = result.join(of_id, "id", "left").withColumn("component_id", F.coalesce("component_id", "of_id"))
     component = F.coalesce("component_id", "id")
     unset = lambda c: F.when(c != shared.NO_ID, c)
-    return facts.select("id", "n_shingles").join(by_id, "id", "left").select(
+    return result.select(
         unset(F.col("id")).alias("doc_id"),
         "n_shingles",
         unset(component).alias("component_id"),

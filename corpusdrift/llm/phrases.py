@@ -228,7 +228,7 @@ def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUN
 
     def broadcast(numbers: DataFrame):
         held = shared.bit_filter(numbers)
-        nothing = np.zeros(2**shared.FILTER_BITS // 8, np.uint8)
+        nothing = np.zeros(2**shared.FILTER_BITS // 64, np.int64)
         return docs.sparkSession.sparkContext.broadcast(nothing if held is None else held)  # of a fixed size
 
     rows = docs.select(

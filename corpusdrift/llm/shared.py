@@ -138,40 +138,27 @@ def window_hashes(hashes: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
 
 #: Bits of an array that says which numbers of a set there may be: 16 MB, however large the set.
 FILTER_BITS = 27
-_BLOCK_BITS = 15
 
 
 def bit_filter(numbers: DataFrame) -> np.ndarray | None:
     """A bit for each value that the last bits of the numbers in a table of one column have; None if it is empty.
 
-    Tasks make the blocks of the array; all together they have its fixed size.
+    Tasks combine the bits to words; all words together have a fixed size.
     """
-    at = F.col(numbers.columns[0]).bitwiseAND(2**FILTER_BITS - 1).alias("at")
-    within = F.col("at").bitwiseAND(2**_BLOCK_BITS - 1)
-    blocks = numbers.select(at).distinct().groupBy(F.shiftright("at", _BLOCK_BITS).alias("block"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = []
-            for places in batch.column(1):
-                flags = np.zeros(2**_BLOCK_BITS, np.uint8)
-                flags[places.values.to_numpy()] = 1
-                packed.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["block", "bits"])
-
-    found = blocks.agg(F.collect_list(within).alias("at")).mapInArrow(run, "block long, bits binary").toArrow()
+    name = numbers.columns[0]
+    bits = F.expr(f"bit_or(shiftleft(1L, CAST({name} & 63 AS int)))").alias("bits")
+    found = numbers.groupBy(F.shiftright(F.col(name).bitwiseAND(2**FILTER_BITS - 1), 6).alias("word")).agg(bits).toArrow()
     if not found.num_rows:
         return None
-    bits, size = np.zeros(2**FILTER_BITS // 8, np.uint8), 2**_BLOCK_BITS // 8
-    for block, packed in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-        bits[block * size : (block + 1) * size] = np.frombuffer(packed, np.uint8)
-    return bits
+    words = np.zeros(2**FILTER_BITS // 64, np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return words
 
 
 def in_filter(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Whether each of the numbers may be in the set; all that are in it are."""
     at = (numbers & numbers.dtype.type(2**FILTER_BITS - 1)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return (bits[at >> 6] >> (at & 63) & 1).astype(bool)
 
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")

@@ -152,3 +152,33 @@ def test_components(spark):
     expected = {i: 100 for i in [*range(100, 161), 200]} | {5: 5, 7: 5, 9: 5} | {300 + i: 300 for i in range(50)}
     for task_links in (1_000_000, 20):
         assert dict(map(tuple, components.components(table, task_links=task_links).collect())) == expected
+
+
+def test_near_duplicates_with_a_third_of_the_ids_missing(spark):
+    texts = random_texts(21, 150)
+    pairs = [(None if i % 3 == 0 else i, t) for i, t in enumerate(texts)] + [(None, None), (7, texts[40]), (900, "x " * 60_000), (901, "x " * 60_000)]
+    found = near_duplicates.near_duplicates(table(spark, pairs)).collect()
+    assert len(found) == len(pairs)
+    # Rows of one id are one document; None stands for the smallest.
+    sets, lead = {}, {}
+    for doc_id, text in pairs:
+        words = (text or "").encode().lower().split()
+        n = min(5, len(words))
+        own = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+        sets.setdefault(-1 if doc_id is None else doc_id, []).append(own)
+    lead = {d: d for d in sets}
+
+    def top(d):
+        while lead[d] != d:
+            d = lead[d]
+        return d
+
+    alike = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    for a in sets:
+        for b in sets:
+            if a < b and any(alike(x, y) for x in sets[a] for y in sets[b]):
+                low, high = sorted((top(a), top(b)))
+                lead[high] = low
+    for r in found:
+        d = -1 if r.doc_id is None else r.doc_id
+        assert (-1 if r.component_id is None else r.component_id) == top(d) and r.kept == (top(d) == d)
