@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -27,8 +28,10 @@ WINDOW = 20
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27)}
 LEAST_ANCHOR = 4
 
-#: A place holds 16 bits of a second hash, 1 bit that says it is known to be repeated, and 32 bits of
-#: the start.  Which of the texts of equal doc_id it is in is told by the text's two hashes.
+#: A document takes one or more slots of so many words; slots are numbered in the order of documents.
+#: A position is a slot and a word in it, so one number says where in the corpus a window is, and which is first.
+_SLOT_BITS = 10
+#: A place holds 16 bits of a second hash, 1 bit that says it is known to be repeated, and the position.
 _CHECK, _SURE = 48, 47
 #: An anchor holds 48 bits of hash, 15 bits of the position and 1 bit that says it is known to be repeated.
 _PLACES = 2**15
@@ -69,18 +72,6 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [reader.decompress(x) for x in column.to_pylist()]
 
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    """The three numbers of each document, in rows."""
-    return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(_KEY))])
-
-
-def _blend(owner: np.ndarray) -> np.ndarray:
-    return shared.mixed(owner[1].view(np.uint64)) ^ owner[0].view(np.uint64)
-
-
-_KEY_SCHEMA = ", ".join(f"{c} long" for c in _KEY)
-
-
 def _repeats(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sorted rows: whether a row's key is that of the row before, and where its key begins."""
     same = np.zeros(len(keys), bool)
@@ -91,7 +82,7 @@ def _repeats(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``anchor`` and the document, one row for each cover position.
+    """``anchor`` and the document's first slot, one row for each cover position.
 
     Anchors that a batch holds twice are marked as known to be repeated, and but for one go
     under hashes of their own: no hash has more rows than there are batches.
@@ -101,32 +92,32 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
-            found, owners, keys = [], [], _keys(batch)
-            for i, text in enumerate(_texts(batch.column(4))):
+            found, owners = [], []
+            for slot, text in zip(batch.column(5).to_pylist(), _texts(batch.column(4)), strict=True):
                 words = shared.word_hashes(text)
                 if len(words) < window:
                     continue
                 runs = shared.window_hashes(words, length)
                 place = np.flatnonzero(flags[np.arange(len(runs)) % period])
                 found.append((runs[place] & ~np.uint64(0xFFFF)) | ((place % _PLACES) << 1).astype(np.uint64))
-                owners.append(np.full(len(place), i))
+                owners.append(np.full(len(place), slot))
             if found:
-                value, owner = np.concatenate(found), keys[:, np.concatenate(owners)]
+                value, owner = np.concatenate(found), np.concatenate(owners)
                 order = np.argsort(value >> np.uint64(16), kind="stable")
                 key = (value >> np.uint64(16))[order]
                 same, first = _repeats(key)
                 again = same.copy()
                 again[first[same]] = True
                 value[order] |= again.astype(np.uint64)
-                spread = shared.mixed(value ^ _blend(owner) * np.uint64(31)) & ~np.uint64(0xFFFF)
+                spread = shared.mixed(value ^ shared.mixed(owner.view(np.uint64))) & ~np.uint64(0xFFFF)
                 value[order[same]] = (spread | (value & np.uint64(0xFFFF)))[order[same]]
-                yield pa.RecordBatch.from_arrays([_signed(value), *map(pa.array, owner)], ["anchor", *_KEY])
+                yield pa.RecordBatch.from_arrays([_signed(value), pa.array(owner)], ["anchor", "slot"])
 
-    return docs.select(*_PACKED).mapInArrow(run, f"anchor long, {_KEY_SCHEMA}")
+    return docs.select(*_PACKED, "slot").mapInArrow(run, "anchor long, slot long")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """``hash``, the document and ``place`` of the windows that hold a repeated anchor.
+    """``hash`` and ``place`` of the windows that hold a repeated anchor.
 
     Of equal windows in one batch the first goes on; the others are known to be repeated
     and go under hashes of their own, so that no hash has more rows than there are batches.
@@ -135,8 +126,9 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
-            found, owners, places, keys = [], [], [], _keys(batch)
-            for i, (text, anchors) in enumerate(zip(_texts(batch.column(4)), batch.column(5), strict=True)):
+            found, places = [], []
+            columns = batch.column(5).to_pylist(), _texts(batch.column(4)), batch.column(6)
+            for slot, text, anchors in zip(*columns, strict=True):
                 values = shared.word_hashes(text)
                 count = len(values) - window + 1
                 if count <= 0:
@@ -151,24 +143,44 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 found.append(shared.window_hashes(values, window)[starts])
                 check = shared.window_hashes(values, window, 1)[starts] >> np.uint64(64 - 16)
-                places.append((check << np.uint64(_CHECK)) | starts.astype(np.uint64))
-                owners.append(np.full(len(starts), i))
+                places.append((check << np.uint64(_CHECK)) | (starts + (slot << _SLOT_BITS)).astype(np.uint64))
             if found:
-                value, owner, place = map(np.concatenate, (found, owners, places))
-                owner, check = keys[:, owner], place >> np.uint64(_CHECK)
-                order = np.lexsort((place.view(np.int64), *owner[::-1], check, value))
-                value, owner, place, check = value[order], owner[:, order], place[order], check[order]
+                value, place = map(np.concatenate, (found, places))
+                check = place >> np.uint64(_CHECK)
+                order = np.lexsort((place, value))
+                value, place, check = value[order], place[order], check[order]
                 sure, first = _repeats(value, check)
-                # A row that stands twice in the table isn't a repeat of itself.
-                sure &= (owner != owner[:, first]).any(axis=0) | (place != place[first])
-                spread = shared.mixed(place ^ _blend(owner))
+                sure &= place != place[first]  # a row that stands twice in the table isn't a repeat of itself
+                spread = shared.mixed(place)
                 place |= sure.astype(np.uint64) << np.uint64(_SURE)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(np.where(sure, spread, value)), *map(pa.array, owner), _signed(place)],
-                    ["hash", *_KEY, "place"],
-                )
+                yield pa.RecordBatch.from_arrays([_signed(np.where(sure, spread, value)), _signed(place)], ["hash", "place"])
+
+    return docs.select(*_PACKED, "slot", "anchors").mapInArrow(run, "hash long, place long")
 
-    return docs.select(*_PACKED, "anchors").mapInArrow(run, f"hash long, {_KEY_SCHEMA}, place long")
+
+def _numbered(documents: DataFrame) -> DataFrame:
+    """The distinct documents with ``slot``, their first one, and ``slots``, how many they take, in their order.
+
+    Ranges of documents are numbered by themselves, then moved behind the ranges before, of which
+    there is a row for each.
+    """
+    schema = StructType([*documents.select(*_KEY, "slots").schema.fields]).add("part", "long").add("before", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            slots = batch.column(3).to_numpy()
+            ends = before + np.cumsum(slots)
+            columns = [*batch.columns, pa.array(np.full(len(slots), part, np.int64)), pa.array(ends - slots)]
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    spread = documents.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY).select(*_KEY, "slots")
+    rows = shared.written(spread.mapInArrow(run, schema))
+    parts = rows.groupBy("part").agg(F.sum("slots").alias("taken"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("taken").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(parts, "part").select(*_KEY, (F.col("base") + F.col("before")).alias("slot"), "slots")
 
 
 def _cut(docs: DataFrame, window: int, as_given: bool) -> DataFrame:
@@ -231,34 +243,39 @@ def remove_repeats(
     # Every step reads the same five columns of this, so that Spark shuffles them once.
     keyed = _packed(hashed)
 
-    # One narrow row for each document: whether an earlier one has the same text.  Such a copy
-    # is repeated as a whole.
-    narrow = hashed.select(*_KEY)
-    facts = narrow.distinct()
+    # One narrow row for each document: its slots, and whether an earlier one has the same text.
+    # Such a copy is repeated as a whole.  A text of n characters has at most n / 2 + 1 words.
+    slots = F.shiftright(F.length("text"), _SLOT_BITS + 1).cast("long") + 1
+    narrow = shared.written(hashed.select(*_KEY, slots.alias("slots")).distinct())
     firsts = narrow.groupBy("content", "content_2").agg(F.min("doc_id").alias("first_id"))
-    facts = shared.written(
-        facts.join(firsts, ["content", "content_2"])
-        .select(*_KEY, (F.col("doc_id") > F.col("first_id")).alias("copy"))
-    )
-    whole = facts.where("not copy").select(*_KEY)
+    numbered = _numbered(narrow).join(firsts, ["content", "content_2"])
+    facts = shared.written(numbered.select(*_KEY, "slot", "slots", (F.col("doc_id") > F.col("first_id")).alias("copy")))
+    whole = facts.where("not copy").select(*_KEY, "slot")
 
     same = Window.partitionBy(F.shiftright("anchor", 16))
     repeated = (
         _anchors(keyed.join(whole, _KEY), window)
         .withColumn("n", F.count(F.lit(1)).over(same))
         .where((F.col("n") > 1) | (F.col("anchor").bitwiseAND(1) == 1))
-        .groupBy(*_KEY)
+        .groupBy("slot")
         .agg(F.collect_set(F.shiftright(F.col("anchor").bitwiseAND(0xFFFF), 1).cast("int")).alias("anchors"))
     )
-    candidates = keyed.join(repeated, _KEY)
+    candidates = keyed.join(repeated.join(whole, "slot"), _KEY)
 
-    equal = Window.partitionBy("hash", F.shiftright("place", _CHECK)).orderBy(*_KEY, "place")
+    position = F.col("place").bitwiseAND(2**_SURE - 1)
+    equal = Window.partitionBy("hash", F.shiftright("place", _CHECK)).orderBy(position)
+    # Slots lead to documents; the starts in all slots of a document are its starts.
+    of_slot = facts.select(*_KEY, F.col("slot").alias("first"), F.explode(F.expr("sequence(slot, slot + slots - 1)")).alias("slot"))
+    within, shift = position.bitwiseAND(2**_SLOT_BITS - 1).cast("int"), (F.col("slot") - F.col("first")) * 2**_SLOT_BITS
     later = (
         _windows(candidates, window)
         .withColumn("rank", F.rank().over(equal))
         .where((F.shiftright("place", _SURE).bitwiseAND(1) == 1) | (F.col("rank") > 1))
+        .groupBy(F.shiftright(position, _SLOT_BITS).alias("slot"))
+        .agg(F.collect_set(within).alias("starts"))
+        .join(of_slot, "slot")
         .groupBy(*_KEY)
-        .agg(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF)).alias("starts"))
+        .agg(F.flatten(F.collect_list(F.transform("starts", lambda s: s + shift))).alias("starts"))
     )
     found = facts.join(later, _KEY, "left").where("copy or starts is not null")
     marked = keyed.join(found.select(*_KEY, "copy", "starts"), _KEY, "left")
