@@ -145,7 +145,7 @@ def _slots(words: list[str], names: bool = True) -> list[tuple[str, str]]:
         if names and kind == "word" and not opens and word.lstrip(_EDGES)[:1].isupper():
             kind = "name"
         bare = word.strip(_EDGES) or word
-        out.append((kind, form if kind == "word" else bare))
+        out.append((kind, form if kind == "word" else bare if names else bare.lower()))
         opens = word.endswith(_ENDS)
     return out
 

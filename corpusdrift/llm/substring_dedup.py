@@ -31,9 +31,9 @@ LEAST_ANCHOR = 4
 #: A document takes one or more slots of so many words; slots are numbered in the order of documents.
 #: A position is a slot and a word in it, so one number says where in the corpus a window is, and which is first.
 _SLOT_BITS = 10
-#: A place holds 16 bits of a second hash, 1 bit that says it is known to be repeated, and the position.
-_CHECK, _SURE = 48, 47
-#: An anchor holds 48 bits of hash, 15 bits of the position and 1 bit that says it is known to be repeated.
+#: The bit of a place that says it is known to be repeated; the others are the position.
+_SURE = 47
+#: An anchor's place holds the first slot, 15 bits of the position and 1 bit that says it is known to be repeated.
 _PLACES = 2**15
 
 
@@ -82,7 +82,7 @@ def _repeats(keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``anchor`` and the document's first slot, one row for each cover position.
+    """``hash`` and ``place``, one row for each cover position.
 
     Anchors that a batch holds twice are marked as known to be repeated, and but for one go
     under hashes of their own: no hash has more rows than there are batches.
@@ -92,32 +92,31 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
-            found, owners = [], []
+            found, places = [], []
             for slot, text in zip(batch.column(5).to_pylist(), _texts(batch.column(4)), strict=True):
                 words = shared.word_hashes(text)
                 if len(words) < window:
                     continue
                 runs = shared.window_hashes(words, length)
-                place = np.flatnonzero(flags[np.arange(len(runs)) % period])
-                found.append((runs[place] & ~np.uint64(0xFFFF)) | ((place % _PLACES) << 1).astype(np.uint64))
-                owners.append(np.full(len(place), slot))
+                at = np.flatnonzero(flags[np.arange(len(runs)) % period])
+                found.append(runs[at] >> np.uint64(16))
+                places.append((slot << 16) | ((at % _PLACES) << 1))
             if found:
-                value, owner = np.concatenate(found), np.concatenate(owners)
-                order = np.argsort(value >> np.uint64(16), kind="stable")
-                key = (value >> np.uint64(16))[order]
-                same, first = _repeats(key)
+                value, place = np.concatenate(found), np.concatenate(places)
+                order = np.argsort(value, kind="stable")
+                same, first = _repeats(value[order])
                 again = same.copy()
                 again[first[same]] = True
-                value[order] |= again.astype(np.uint64)
-                spread = shared.mixed(value ^ shared.mixed(owner.view(np.uint64))) & ~np.uint64(0xFFFF)
-                value[order[same]] = (spread | (value & np.uint64(0xFFFF)))[order[same]]
-                yield pa.RecordBatch.from_arrays([_signed(value), pa.array(owner)], ["anchor", "slot"])
+                place[order] |= again
+                spread = shared.mixed(value ^ shared.mixed(place.view(np.uint64))) >> np.uint64(16)
+                value[order[same]] = spread[order[same]]
+                yield pa.RecordBatch.from_arrays([_signed(value), pa.array(place)], ["hash", "place"])
 
-    return docs.select(*_PACKED, "slot").mapInArrow(run, "anchor long, slot long")
+    return docs.select(*_PACKED, "slot").mapInArrow(run, "hash long, place long")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """``hash`` and ``place`` of the windows that hold a repeated anchor.
+    """``hash``, 16 bits of a second hash, and ``place`` of the windows that hold a repeated anchor.
 
     Of equal windows in one batch the first goes on; the others are known to be repeated
     and go under hashes of their own, so that no hash has more rows than there are batches.
@@ -126,7 +125,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.slices(batches):
-            found, places = [], []
+            found, checks, places = [], [], []
             columns = batch.column(5).to_pylist(), _texts(batch.column(4)), batch.column(6)
             for slot, text, anchors in zip(*columns, strict=True):
                 values = shared.word_hashes(text)
@@ -142,20 +141,20 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                     np.add.at(edge, np.minimum(at + 1, count), -1)
                 starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 found.append(shared.window_hashes(values, window)[starts])
-                check = shared.window_hashes(values, window, 1)[starts] >> np.uint64(64 - 16)
-                places.append((check << np.uint64(_CHECK)) | (starts + (slot << _SLOT_BITS)).astype(np.uint64))
+                checks.append((shared.window_hashes(values, window, 1)[starts] >> np.uint64(64 - 16)).astype(np.int64))
+                places.append(starts + (slot << _SLOT_BITS))
             if found:
-                value, place = map(np.concatenate, (found, places))
-                check = place >> np.uint64(_CHECK)
-                order = np.lexsort((place, value))
-                value, place, check = value[order], place[order], check[order]
+                value, check, place = map(np.concatenate, (found, checks, places))
+                order = np.lexsort((place, check, value))
+                value, check, place = value[order], check[order], place[order]
                 sure, first = _repeats(value, check)
                 sure &= place != place[first]  # a row that stands twice in the table isn't a repeat of itself
-                spread = shared.mixed(place)
-                place |= sure.astype(np.uint64) << np.uint64(_SURE)
-                yield pa.RecordBatch.from_arrays([_signed(np.where(sure, spread, value)), _signed(place)], ["hash", "place"])
+                spread = shared.mixed(place.view(np.uint64))
+                place = place | (sure.astype(np.int64) << _SURE)
+                columns = [_signed(np.where(sure, spread, value)), pa.array(check), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "check", "place"])
 
-    return docs.select(*_PACKED, "slot", "anchors").mapInArrow(run, "hash long, place long")
+    return docs.select(*_PACKED, "slot", "anchors").mapInArrow(run, "hash long, check long, place long")
 
 
 def _numbered(documents: DataFrame) -> DataFrame:
@@ -252,25 +251,26 @@ def remove_repeats(
     facts = shared.written(numbered.select(*_KEY, "slot", "slots", (F.col("doc_id") > F.col("first_id")).alias("copy")))
     whole = facts.where("not copy").select(*_KEY, "slot")
 
-    same = Window.partitionBy(F.shiftright("anchor", 16))
+    # Columns as they are shuffled: an expression here would travel as one more.
+    same = Window.partitionBy("hash")
     repeated = (
         _anchors(keyed.join(whole, _KEY), window)
         .withColumn("n", F.count(F.lit(1)).over(same))
-        .where((F.col("n") > 1) | (F.col("anchor").bitwiseAND(1) == 1))
-        .groupBy("slot")
-        .agg(F.collect_set(F.shiftright(F.col("anchor").bitwiseAND(0xFFFF), 1).cast("int")).alias("anchors"))
+        .where((F.col("n") > 1) | (F.col("place").bitwiseAND(1) == 1))
+        .groupBy(F.shiftright("place", 16).alias("slot"))
+        .agg(F.collect_set(F.shiftright(F.col("place").bitwiseAND(0xFFFF), 1).cast("int")).alias("anchors"))
     )
     candidates = keyed.join(repeated.join(whole, "slot"), _KEY)
 
     position = F.col("place").bitwiseAND(2**_SURE - 1)
-    equal = Window.partitionBy("hash", F.shiftright("place", _CHECK)).orderBy(position)
+    equal = Window.partitionBy("hash", "check").orderBy("place")
     # Slots lead to documents; the starts in all slots of a document are its starts.
     of_slot = facts.select(*_KEY, F.col("slot").alias("first"), F.explode(F.expr("sequence(slot, slot + slots - 1)")).alias("slot"))
     within, shift = position.bitwiseAND(2**_SLOT_BITS - 1).cast("int"), (F.col("slot") - F.col("first")) * 2**_SLOT_BITS
     later = (
         _windows(candidates, window)
         .withColumn("rank", F.rank().over(equal))
-        .where((F.shiftright("place", _SURE).bitwiseAND(1) == 1) | (F.col("rank") > 1))
+        .where((F.shiftright("place", _SURE) == 1) | (F.col("rank") > 1))
         .groupBy(F.shiftright(position, _SLOT_BITS).alias("slot"))
         .agg(F.collect_set(within).alias("starts"))
         .join(of_slot, "slot")

@@ -88,3 +88,16 @@ def test_awkward_rows_pass_through(spark):
         assert again.count() == 0
         docs = shared.written(stage(spark, docs, FOLDER))
     assert docs.select(F.countDistinct("doc_id")).first()[0] >= 2
+
+
+def test_other_columns_may_have_any_name(spark):
+    docs = shared.table(spark, FOLDER, "documents")
+    names = ["score", "predicted", "n_words", "n_removed", "kept_text", "other", "whole_text", "component_id", "kept", "copy", "row", "odd name"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found, plain = stage(spark, wide, FOLDER), stage(spark, docs, FOLDER)
+        assert found.columns == wide.columns, name
+        assert sorted(map(tuple, found.select(*docs.columns).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+        assert found.where(" or ".join(f"`{n}` != concat('{n}', doc_id)" for n in names)).isEmpty()
+    narrow = docs.select("text", "doc_id")
+    assert corpus_pipeline.STAGES[2][1](spark, narrow, FOLDER).columns == ["text", "doc_id"]
