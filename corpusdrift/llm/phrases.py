@@ -170,7 +170,7 @@ COUNTED = "print long, n long, low long, high long"
 
 
 def _counted(rows: DataFrame, lengths: range, inner: tuple[int, object] | None, least: int, mask: np.uint64) -> DataFrame:
-    """The frequent fingerprints of runs of these lengths: ``print, n`` and the smallest and largest place.
+    """The frequent fingerprints of runs of these lengths: ``print, n``, the smallest place and the largest check.
 
     A place is a check and, in its last 32 bits, the pointer of the document.  ``inner``: the length of shorter runs,
     and which of these are frequent; a run counts if all in it are.
@@ -186,7 +186,7 @@ def _counted(rows: DataFrame, lengths: range, inner: tuple[int, object] | None,
             first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])[: len(prints)])
             columns = [prints[first].view(np.int64), np.diff(first, append=len(prints))]
             if len(first):
-                columns += [np.minimum.reduceat(places, first), np.maximum.reduceat(places, first)]
+                columns += [np.minimum.reduceat(places, first), np.maximum.reduceat(places, first) >> 32]
             else:
                 columns += [places, places]
             return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["print", "n", "low", "high"])
@@ -242,13 +242,13 @@ def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUN
             inner = (lengths.start - 1, broadcast(found[-1].select("print")))
             found.append(_counted(rows, lengths, inner, least, mask))
     every = reduce(DataFrame.union, found)
-    check, pointer = (lambda c: F.shiftright(c, 32)), F.col("low").bitwiseAND(2**32 - 1)
-    sure = every.where(check("low") == check("high")).select("print", "n", check("low").alias("check"), pointer.alias("pointer"))
+    check, pointer = F.shiftright("low", 32), F.col("low").bitwiseAND(2**32 - 1)
+    sure = every.where(check == F.col("high")).select("print", "n", check.alias("check"), pointer.alias("pointer"))
     named = shared.written(_named(rows, sure, range(1, longest + 1), mask, broadcast))
     same = ["print", "check", "pointer"]
     texts = named.where("size > 0").dropDuplicates(["print", "check", "pointer"]).join(sure, same)
     totals = named.where("size = 0").groupBy("lang", "size", "phrase").agg(F.sum("words").alias("n"))
-    shared_prints = every.where(check("low") != check("high"))
+    shared_prints = every.where(check != F.col("high"))
     columns = ["lang", "size", "phrase", "n"]
     out = texts.select(*columns).union(totals.select(*columns))
     if shared_prints.isEmpty():
