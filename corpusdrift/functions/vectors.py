@@ -146,7 +146,8 @@ def exact_means(rows: DataFrame, keys: list[str], vector: str, weight: str) -> D
             yield out()
 
     parts = rows.select(*keys, vector, weight).mapInArrow(run, schema)
-    each = parts.select(*keys, "weight", F.posexplode(F.arrays_zip("high", "low", "odd")).alias("place", "sums"))
+    # One shuffle of a few rows for each group; both groupings below find theirs in place.
+    each = parts.repartition(*keys).select(*keys, "weight", F.posexplode(F.arrays_zip("high", "low", "odd")).alias("place", "sums"))
     sums = each.groupBy(*keys, "place").agg(
         F.sum("sums.high").alias("high"), F.sum("sums.low").alias("low"), F.sum("sums.odd").alias("odd"),
         F.sum("weight").alias("weight"),
