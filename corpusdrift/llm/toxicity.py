@@ -4,9 +4,12 @@ A word's vector is the mean of the vectors that its hashes name: of the word, of
 beginnings and of its end, so that unseen forms of a word are not strangers.  Filters of several
 widths run over the words, each filter's largest answer is kept, and a linear layer adds
 them up.  The threshold is calibrated for each language and moved to 0.5.
+
+All labelled documents are learned from.  They are dealt over parts; in each pass every part is trained on by
+itself, from one network, and the parts' changes are averaged.
 """
 
-import pickle
+import copy
 import re
 from collections.abc import Iterator
 
@@ -18,16 +21,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusdrift.llm import language_id, shared
+from corpusdrift.operators import sketch
 
 BUCKETS, SIZE = 2**15, 16
 WIDTHS, FILTERS = (1, 2, 3), 16
-#: The classifier is fitted on at most so many labelled documents of either kind, taken in the order of a hash.
-POSITIVES, NEGATIVES = 1_500, 3_000
-#: Each step looks at this many documents; so many documents are looked at in all.
-STEP, VISITS = 16, 45_000
+#: A part has about so many documents.
+PART = 4_096
+#: Each step looks at this many documents.  All documents are passed over so often, and on until so many were looked at.
+STEP, PASSES, VISITS = 16, 4, 45_000
 RATE, DECAY = 0.08, 1e-5
 #: A language with fewer calibration rows of either kind gets the threshold of all languages.
 LEAST_CALIBRATION = 15
+#: Thresholds lie between whole parts of this size; logits beyond the limit count as the limit.
+FINENESS, LIMIT = 1 / 1024, 32
+#: Neighbouring words' vectors that are averaged together.
+BLOCK = 128
 
 PAD = max(WIDTHS) - 1
 
@@ -37,12 +45,21 @@ FORMS = 7
 
 def word_buckets(words: list[str]) -> np.ndarray:
     """Buckets of each word, its beginnings of 3 to 7 bytes and its last 4."""
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_64_digest
     forms = [
-        (digest(w, 1), digest(w[:3], 3), digest(w[:4], 4), digest(w[:5], 5), digest(w[:6], 6), digest(w[:7], 7), digest(w[-4:], 2))
+        form
         for w in (word.encode("utf-8", "replace") for word in words)
+        for form in (digest(w, 1), digest(w[:3], 3), digest(w[:4], 4), digest(w[:5], 5), digest(w[:6], 6), digest(w[:7], 7), digest(w[-4:], 2))
     ]
-    return (np.array(forms, np.uint64).reshape(-1, FORMS) % np.uint64(BUCKETS)).astype(np.int64)
+    return (np.frombuffer(b"".join(forms), ">u8").reshape(-1, FORMS) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _summed(table: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """For each word the sum of its buckets' rows."""
+    out = np.take(table, buckets[:, 0], axis=0)
+    for k in range(1, FORMS):
+        out += np.take(table, buckets[:, k], axis=0)
+    return out
 
 
 class Network:
@@ -55,111 +72,180 @@ class Network:
         self.bases = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out = rng.normal(0, 0.2, len(WIDTHS) * FILTERS).astype(np.float32)
         self.base = np.zeros(1, np.float32)
+        # What the steps' sizes follow from: the sums of squared changes so far.
+        self.seen = [np.full_like(p, 1e-3) for p in self.dense()]
+        self.seen_words = np.full(BUCKETS, 1e-3, np.float32)
         self.shift: dict[str, float] = {}
         self.common = 0.0
         self.profiles: language_id.Profiles | None = None
 
+    def dense(self) -> list[np.ndarray]:
+        return [*self.filters, *self.bases, self.out, self.base]
+
     def joint(self) -> np.ndarray:
         """All filters' slices side by side: one product answers for every word and slice."""
         return np.concatenate([weights[j] for weights in self.filters for j in range(len(weights))], axis=1)
 
-    def pooled(self, answers: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def pooled(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each filter's largest answer over one text, at least 0, and where it stands.
 
-        ``answers`` has a row for each word, ``PAD`` rows of zeros after them, and the columns of ``joint``.
+        ``answers`` has a column for each word, ``PAD`` columns of zeros after them, and the rows are the columns of ``joint``.
         """
-        values, places, column = [], [], 0
+        values, places, row = [], [], 0
         for width, base in zip(WIDTHS, self.bases, strict=True):
-            count = len(answers) - width + 1
-            total = answers[:count, column : column + FILTERS]
+            count = answers.shape[1] - width + 1
+            total = answers[row : row + FILTERS, :count]
             for j in range(1, width):
-                column += FILTERS
-                total = total + answers[j : j + count, column : column + FILTERS]
-            column += FILTERS
-            place = total.argmax(axis=0)
-            values.append(np.maximum(total[place, np.arange(FILTERS)] + base, 0))
+                row += FILTERS
+                total = total + answers[row : row + FILTERS, j : j + count]
+            row += FILTERS
+            place = total.argmax(axis=1)
+            values.append(np.maximum(total[np.arange(FILTERS), place] + base, 0))
             places.append(place)
-        return np.concatenate(values), places
+        return np.concatenate(values), np.concatenate(places)
 
 
 def _text_words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def train(texts: list[str | None], labels: list[int], visits: int) -> Network:
-    """Fit a network; each step takes as many documents of either label as there are."""
-    net, rng = Network(), np.random.default_rng(11)
-    known: dict[str, int] = {}
-    rows = [np.array([known.setdefault(w, len(known)) for w in _text_words(t)], np.int64) for t in texts]
-    buckets = word_buckets(list(known))
-    filled = np.array([len(own) > 0 for own in rows], bool)  # texts without words teach nothing
-    kinds = [np.flatnonzero(filled & (np.array(labels) == k)) for k in (0, 1)]
-    if not len(kinds[0]) or not len(kinds[1]):
-        net.base[0] = 4.0 if len(kinds[1]) else -4.0
-        return net
-    dense = [*net.filters, *net.bases, net.out, net.base]
-    seen = [np.full_like(p, 1e-3) for p in dense]
-    seen_words = np.full(BUCKETS, 1e-3, np.float32)
-    pad = np.full(PAD, -1)
-    for _ in range(visits // STEP):
-        chosen = [(kind, rows[rng.choice(kinds[kind])]) for kind in [0, 1] * (STEP // 2)]
-        words, place = np.unique(np.concatenate([x for _, own in chosen for x in (own, pad)]), return_inverse=True)
-        vectors = net.words[buckets[words[1:]]].mean(axis=1)
-        x = np.concatenate([np.zeros((1, SIZE), np.float32), vectors])[place]
-        answers = x @ net.joint()
+def _steps(labels: np.ndarray, rng: np.random.Generator) -> Iterator[list[tuple[int, float]]]:
+    """One pass: each step's documents and their weights.
+
+    Every document has its turn; those of the rarer kind again, until they are a fourth of each step.  Both kinds weigh the same.
+    """
+    fewer, more = sorted((np.flatnonzero(labels == k) for k in (1, 0)), key=len)
+    own = min(STEP // 2, max(STEP // 4, -(-STEP * len(fewer) // len(labels)))) if len(fewer) else 0
+    more = rng.permutation(more)
+    count = -(-len(more) // (STEP - own))
+    again = [rng.permutation(fewer) for _ in range(-(-count * own // len(fewer)))] if own else []
+    again = np.concatenate([np.empty(0, np.int64), *again])
+    for i in range(count):
+        step = [(d, STEP / 2 / (STEP - own)) for d in more[i * (STEP - own) : (i + 1) * (STEP - own)].tolist()]
+        yield step + [(d, STEP / 2 / own) for d in again[i * own : (i + 1) * own].tolist()]
+
+
+def train(net: Network, rows: list[np.ndarray], buckets: np.ndarray, labels: np.ndarray, passes: int, seed: list[int]) -> np.ndarray:
+    """Change a network by passes over documents, given as numbers of words; how often each word vector was changed."""
+    rng, pad = np.random.default_rng(seed), np.full(PAD, -1)
+    dense, turns = net.dense(), np.zeros(BUCKETS, np.int64)
+    for chosen in (step for _ in range(passes) for step in _steps(labels, rng)):
+        words, place = np.unique(np.concatenate([x for d, _ in chosen for x in (rows[d], pad)]), return_inverse=True)
+        vectors = np.concatenate([np.zeros((1, SIZE), np.float32), _summed(net.words, buckets[words[1:]]) / FORMS])
+        answers = np.take(net.joint().T @ vectors.T, place, axis=1)
+        ends = np.cumsum([len(rows[d]) + PAD for d, _ in chosen])
+        starts = ends - [len(rows[d]) + PAD for d, _ in chosen]
+        pooled = [net.pooled(answers[:, i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        top, at = np.stack([p[0] for p in pooled]), np.stack([p[1] for p in pooled]) + starts[:, None]
+        top = top * (rng.random(top.shape) > 0.2) / 0.8
+        wanted = np.where(labels[[d for d, _ in chosen]] == 1, 0.97, 0.03)
+        error = 1 / (1 + np.exp(-np.clip(top @ net.out + net.base[0], -30, 30))) - wanted
+        error *= [weight for _, weight in chosen]
+        back = np.where(top > 0, error[:, None] * net.out, 0).astype(np.float32)
         grads = [np.zeros_like(p) for p in dense]
-        touched, changes, start = [], [], 0
-        for kind, own in chosen:
-            top, places = net.pooled(answers[start : start + len(own) + PAD])
-            top = top * (rng.random(len(top)) > 0.2) / 0.8
-            error = 1 / (1 + np.exp(-np.clip(top @ net.out + net.base[0], -30, 30))) - (0.97 if kind else 0.03)
-            grads[-2] += error * top
-            grads[-1] += error
-            back = np.where(top > 0, error * net.out, 0).astype(np.float32)
-            for k, (weights, at) in enumerate(zip(net.filters, places, strict=True)):
-                part = back[k * FILTERS : (k + 1) * FILTERS]
-                grads[len(WIDTHS) + k] += part
-                for j in range(len(weights)):
-                    grads[k][j] += x[start + at + j].T * part
-                    real = (at + j < len(own)) & (part != 0)
-                    if real.any():
-                        touched.append(buckets[own[(at + j)[real]]].ravel())
-                        changes.append(np.repeat((weights[j] * part).T[real] / FORMS, FORMS, axis=0))
-            start += len(own) + PAD
-        for p, g, s in zip(dense, grads, seen, strict=True):
+        grads[-2] += error @ top
+        grads[-1] += error.sum()
+        touched, changes = [], []
+        for k, weights in enumerate(net.filters):
+            part, here = (a[:, k * FILTERS : (k + 1) * FILTERS] for a in (back, at))
+            grads[len(WIDTHS) + k] += part.sum(axis=0)
+            for j in range(len(weights)):
+                own = place[here + j]  # 0 stands for the zeros after a text
+                grads[k][j] += np.einsum("dfs,df->sf", vectors[own], part)
+                real = (own > 0) & (part != 0)
+                touched.append(words[own[real]])
+                changes.append((weights[j].T * part[:, :, None])[real])
+        for p, g, s in zip(dense, grads, net.seen, strict=True):
             g = g / STEP + DECAY * p
             s += g * g
             p -= RATE * g / np.sqrt(s)
-        if touched:
-            at, place = np.unique(np.concatenate(touched), return_inverse=True)
-            g = np.zeros((len(at), SIZE), np.float32)
-            np.add.at(g, place, np.concatenate(changes) / STEP)
-            seen_words[at] += (g * g).mean(axis=1)
-            net.words[at] -= RATE * g / np.sqrt(seen_words[at])[:, None]
-    return net
+        form = buckets[np.concatenate(touched)].ravel()
+        if len(form):
+            order = np.argsort(form, kind="stable")
+            first = np.flatnonzero(np.diff(form[order], prepend=-1))
+            g = np.add.reduceat(np.concatenate(changes)[order // FORMS], first) / (FORMS * STEP)
+            changed = form[order[first]]
+            net.seen_words[changed] += (g * g).mean(axis=1)
+            net.words[changed] -= RATE * g / np.sqrt(net.seen_words[changed])[:, None]
+            turns[changed] += 1
+    return turns
+
 
+_CHANGES = "block int, part long, places binary, weights binary, values binary"
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap that parts the labels with the fewest errors of either kind."""
-    order = np.argsort(logits)
-    values, kinds = logits[order], labels[order]
-    missed = np.concatenate([[0], np.cumsum(kinds)]) / max(1, kinds.sum())
-    alarms = 1 - np.concatenate([[0], np.cumsum(1 - kinds)]) / max(1, (1 - kinds).sum())
+
+def _changes(old: Network, new: Network, part: int, turns: np.ndarray, documents: int) -> Iterator[tuple]:
+    """A row for each block of word vectors that changed, and one, block -1, for everything else.
+
+    ``values`` has what was added to each of the block's vectors and to its sum of squares; ``weights`` what they count for.
+    """
+    pairs = zip([*new.dense(), *new.seen], [*old.dense(), *old.seen], strict=True)
+    rest = np.concatenate([(a - b).ravel() for a, b in pairs])
+    yield -1, part, np.zeros(1, np.int64), np.array([documents]), rest
+    changed = np.flatnonzero(turns)
+    values = np.column_stack([new.words[changed] - old.words[changed], new.seen_words[changed] - old.seen_words[changed]])
+    for places in np.split(np.arange(len(changed)), np.flatnonzero(np.diff(changed // BLOCK)) + 1) if len(changed) else ():
+        yield int(changed[places[0]] // BLOCK), part, changed[places], turns[changed[places]], values[places]
+
+
+def average(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a block, their weights in all parts and the parts' weighted means, summed in the order of the parts."""
+    rows = sorted(rows, key=lambda r: r[1])
+    places, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+    weights = np.concatenate([r[3] for r in rows])
+    values = np.concatenate([r[4].reshape(len(r[2]), -1) for r in rows]).astype(np.float64)
+    total, sums = np.bincount(at, weights, len(places)), np.zeros((len(places), values.shape[1]))
+    np.add.at(sums, at, values * weights[:, None])
+    return places, total, (sums / total[:, None]).astype(np.float32)
+
+
+def apply(net: Network, block: int, places: np.ndarray, values: np.ndarray) -> None:
+    """Add mean changes to a network."""
+    if block >= 0:
+        net.words[places] += values[:, :-1]
+        net.seen_words[places] += values[:, -1]
+        return
+    start, values = 0, values.ravel()
+    for p in [*net.dense(), *net.seen]:
+        p += values[start : start + p.size].reshape(p.shape)
+        start += p.size
+
+
+def _threshold(values: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The middle of the gap that parts the labels with the fewest errors of either kind.
+
+    ``values`` are different; the others say how many documents of either kind have them.
+    """
+    order = np.argsort(values)
+    values, toxic, clean = values[order], toxic[order], clean[order]
+    missed = np.concatenate([[0], np.cumsum(toxic)]) / max(1, toxic.sum())
+    alarms = 1 - np.concatenate([[0], np.cumsum(clean)]) / max(1, clean.sum())
     edges = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
     errors = missed + 2 * alarms
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     return float(edges[best].mean())
 
 
-def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, langs: np.ndarray) -> None:
-    """Set the threshold of each language with enough rows of both labels, and that of the others."""
-    if len(set(labels.tolist())) < 2:
-        return
-    net.common = _threshold(logits, labels)
-    for lang in np.unique(langs):
-        own = langs == lang
-        if min((labels[own] == k).sum() for k in (0, 1)) >= LEAST_CALIBRATION:
-            net.shift[str(lang)] = _threshold(logits[own], labels[own])
+def calibrate(net: Network, logits: DataFrame) -> None:
+    """Set the threshold of each language with enough rows of both labels, and that of the others.
+
+    Takes ``lang, level, toxic``, of which ``level`` is a logit in whole steps of ``FINENESS``.  Levels are counted by
+    Spark, so a language has ``2 * LIMIT / FINENESS`` counts at most, however many rows.
+    """
+
+    def threshold(table: pa.Table) -> pa.Table:
+        toxic, clean = (table.column(c).to_numpy() for c in ("toxic", "clean"))
+        found = _threshold(table.column("level").to_numpy() * FINENESS, toxic, clean)
+        least = min(toxic.sum(), clean.sum())
+        return pa.table({"lang": table.column("lang")[:1], "least": pa.array([least], pa.int64()), "threshold": pa.array([found])})
+
+    both = F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang")  # each language, and all of them as null
+    counted = logits.select(both, "level", "toxic").groupBy("lang", "level").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    for row in counted.groupBy("lang").applyInArrow(threshold, "lang string, least long, threshold double").collect():  # one row for each language
+        if row.lang is None:
+            net.common = row.threshold if row.least else 0.0
+        elif row.least >= LEAST_CALIBRATION:
+            net.shift[row.lang] = row.threshold
 
 
 class Scorer:
@@ -179,18 +265,20 @@ class Scorer:
             new = list(dict.fromkeys(words))
         if new:
             start = len(self.place)
-            self.known[start : start + len(new)] = self.of_bucket[word_buckets(new)].sum(axis=1)
+            self.known[start : start + len(new)] = _summed(self.of_bucket, word_buckets(new))
             self.place.update(zip(new, range(start, start + len(new)), strict=True))
         if words:
             out[: len(words)] = self.known[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
         return out
 
     def logit(self, text: str | None, step: int = 30_000) -> float:
-        words = _text_words(text)
+        return self.logit_of(_text_words(text), step)
+
+    def logit_of(self, words: list[str], step: int = 30_000) -> float:
         # Long texts in overlapping parts of the words and the zeros after them: the largest answers of all are those of the whole.
         starts = range(0, max(1, len(words)), step)
         parts = [self.answers(words[i : i + step + PAD])[: step + PAD] for i in starts]
-        top = np.max([self.net.pooled(part)[0] for part in parts], axis=0)
+        top = np.max([self.net.pooled(np.ascontiguousarray(part.T))[0] for part in parts], axis=0)
         return float(top @ self.net.out + self.net.base[0])
 
     def score(self, text: str | None) -> float:
@@ -200,44 +288,131 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, language: str | None = "lang") -> Network:
-    """Fit on a bounded sample of the labelled documents for which ``learn`` (of ``doc_id``) holds.
+    """Fit on all labelled documents for which ``learn`` (of ``doc_id``) holds.
 
     Takes ``doc_id, text`` and, unless ``language`` is None, the language column, from which the profiles
     that tell languages apart are learned; and ``doc_id, toxic`` of ``labels``.  Rows without id, text
-    or label are ignored; of several labels of one id the largest counts.  A quarter of the sample
-    only calibrates the thresholds.  Without rows of both labels all scores are far on one side.
+    or label are ignored; of several labels of one id the largest counts, and each row of an id teaches.  A quarter of
+    the ids calibrates the thresholds, the others train.  Without rows of both labels all scores are far on one side.
     """
-    spark = docs.sparkSession
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    given = given.dropna().where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # Only ids and labels are ordered; the bound is POSITIVES + NEGATIVES rows.
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = given.where("toxic = 1").orderBy(*order).limit(POSITIVES)
-    chosen = shared.written(chosen.union(given.where("toxic = 0").orderBy(*order).limit(NEGATIVES)))
-    profiles = None
+    given = given.dropna().where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
+    held = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(4)) == 0
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(given, "doc_id").groupBy(held.alias("held"), "toxic").count().collect()
+    kinds = {r.toxic for r in counts if not r.held}
+    net = Network()
+    if len(kinds) < 2:
+        net.base[0] = 4.0 if kinds == {1} else -4.0 if kinds else 0.0
+        return net
     if language is not None:
         named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(language).alias("lang"))
         near = named.dropna().where(learn).where(F.pmod(F.xxhash64("doc_id"), F.lit(_every(docs))) == 0)
-        profiles = language_id.collect_profiles(shared.written(language_id.learn_profiles(near)))
-    visits = VISITS
-    sample = shared.texts(docs).join(chosen, "doc_id").dropna().dropDuplicates(["doc_id"])
+        net.profiles = language_id.collect_profiles(shared.written(language_id.learn_profiles(near)))
+    trained = sum(r["count"] for r in counts if not r.held)
+    parts, passes = -(-trained // PART), max(PASSES, -(-VISITS // trained))
+    packed = _packed(docs, given, held, parts, net.profiles)
+    # A single part has all its passes in one job.
+    for i in range(1 if parts == 1 else passes):
+        _pass(net, packed.where("not held"), i, passes if parts == 1 else 1)
+    calibrate(net, _logits(net, packed.where("held")))
+    return net
+
+
+def _packed(docs: DataFrame, given: DataFrame, held: Column, parts: int, profiles: language_id.Profiles | None) -> DataFrame:
+    """The labelled documents, part by part, as numbers of words; ``words`` has the part's different words.
+
+    Texts of other documents are kept out of the shuffle by a Bloom filter of the labelled ids.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        texts = table.column("text").to_pylist()
+        known: dict[str, int] = {}
+        rows = [np.array([known.setdefault(w, len(known)) for w in _text_words(t)], np.int32) for t in texts]
+        own = table.column("held")[0].as_py()
+        row = {
+            "part": table.column("part")[0].as_py(),
+            "held": own,
+            "words": list(known),
+            "places": np.concatenate(rows).tobytes(),
+            "sizes": [len(r) for r in rows],
+            "toxic": table.column("toxic").to_pylist(),
+            "langs": [profiles.predict(t)[0] if profiles and own else "" for t in texts],
+        }
+        return pa.Table.from_pylist([row], pa.schema(_PACKED))
+
+    labelled = shared.texts(docs).where(sketch.screen(given, "doc_id")(F.col("doc_id"))).join(given, "doc_id").dropna()
+    order = F.xxhash64("doc_id", "text")
+    rows = labelled.select("doc_id", "text", "toxic", held.alias("held"), order.alias("order"), F.pmod(order, F.lit(parts)).alias("part"))
+    schema = "part long, held boolean, words array<string>, places binary, sizes array<int>, toxic array<int>, langs array<string>"
+    return shared.written(rows.groupBy("held", "part").applyInArrow(pack, schema))
+
+
+_PACKED = [
+    ("part", pa.int64()),
+    ("held", pa.bool_()),
+    ("words", pa.list_(pa.string())),
+    ("places", pa.binary()),
+    ("sizes", pa.list_(pa.int32())),
+    ("toxic", pa.list_(pa.int32())),
+    ("langs", pa.list_(pa.string())),
+]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[np.ndarray], np.ndarray]]:
+    """Each part's row, its documents that have words as numbers of words, and which of its documents these are."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            sizes = np.array(row["sizes"])
+            rows = np.split(np.frombuffer(row["places"], np.int32), np.cumsum(sizes)[:-1])
+            yield row, rows, np.flatnonzero(sizes)
+
+
+def _pass(net: Network, packed: DataFrame, number: int, passes: int) -> None:
+    """Train on every part from this network and add the parts' mean changes to it.
+
+    Word vectors are averaged over the parts that changed them, by how often they did; everything else by documents.
+    """
+    sent = packed.sparkSession.sparkContext.broadcast(net)  # some MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        kept = [r for r in rows if r[3] % 4]
-        net = train([r[1] for r in kept], [r[2] for r in kept], visits)
-        net.profiles = profiles
-        scorer = Scorer(net)
-        logits = np.array([scorer.logit(r[1]) for r in rows if r[3] % 4 == 0])
-        kinds = np.array([r[2] for r in rows if r[3] % 4 == 0])
-        langs = np.array([profiles.predict(r[1])[0] if profiles else "" for r in rows if r[3] % 4 == 0])
-        calibrate(net, logits, kinds, langs)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["network"])
-
-    part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)).alias("part")
-    rows = sample.select("doc_id", "text", "toxic", part).repartition(1).sortWithinPartitions(*order)
-    found = rows.mapInArrow(run, "network binary").collect()  # one network of fixed size
-    return pickle.loads(found[0].network) if found else Network()
+        for row, rows, filled in _unpacked(batches):  # texts without words teach nothing
+            if not len(filled):
+                continue
+            new, labels = copy.deepcopy(sent.value), np.array(row["toxic"])[filled]
+            turns = train(new, [rows[d] for d in filled], word_buckets(row["words"]), labels, passes, [11, number, row["part"]])
+            found = [(b, p, *(x.tobytes() for x in arrays)) for b, p, *arrays in _changes(sent.value, new, row["part"], turns, len(filled))]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "part", "places", "weights", "values"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        read = lambda r: (r["block"], r["part"], *(np.frombuffer(r[c], t) for c, t in (("places", np.int64), ("weights", np.int64), ("values", np.float32))))
+        places, total, values = average([read(r) for r in table.to_pylist()])
+        row = [table.column("block")[0].as_py(), 0, places.tobytes(), total.tobytes(), values.tobytes()]
+        return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], table.column_names)
+
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    means = packed.select("part", "words", "places", "sizes", "toxic").mapInArrow(run, _CHANGES).groupBy("block").applyInArrow(mean, _CHANGES)
+    for row in means.collect():  # a network's size at most
+        places = np.frombuffer(row.places, np.int64)
+        apply(net, row.block, places, np.frombuffer(row.values, np.float32).reshape(len(places), -1))
+    sent.destroy()
+
+
+def _logits(net: Network, packed: DataFrame) -> DataFrame:
+    """``lang, level, toxic`` of every document."""
+    sent = packed.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for row, rows, _ in _unpacked(batches):
+            words = row["words"]
+            logits = np.array([scorer.logit_of([words[w] for w in own]) for own in rows])
+            levels = np.rint(np.clip(logits, -LIMIT, LIMIT) / FINENESS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(row["langs"], pa.string()), pa.array(levels), pa.array(row["toxic"], pa.int32())], ["lang", "level", "toxic"])
+
+    return packed.mapInArrow(run, "lang string, level int, toxic int")
 
 
 #: Profiles for calibration are learned from about so many documents.

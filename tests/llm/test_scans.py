@@ -376,6 +376,43 @@ def test_toxicity_without_labels(spark, toxic_tables):
     assert toxicity.score_documents(docs.limit(0), net).collect() == []
 
 
+def test_toxicity_is_learned_from_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "VISITS", 18_000)
+    rng = random.Random(4)
+    words = random_words(rng, 300)
+    # In the order of a hash, documents beyond some thousands have a mark of their own.
+    order = [r.id for r in spark.range(6600).orderBy(F.xxhash64("id"), "id").collect()]
+    toxic = [i for i in order if i % 3 == 0]
+    mark = dict.fromkeys(toxic[:1500], "slurmark") | dict.fromkeys(toxic[1500:], "othertoken")
+    mark |= {10_000 + i: m for i, m in enumerate(["slurmark", "othertoken", None] * 20)}
+    docs = [(i, " ".join([*rng.choices(words, k=12), mark.get(i) or "plain", *rng.choices(words, k=4)])) for i in (*order, *range(10_000, 10_060))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in order], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, F.lit(True), language=None)
+    found = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, net).where("doc_id >= 10000").collect()}
+    assert found == {i: int(mark[i] is not None) for i in found} and len(found) == 60
+
+
+def test_toxicity_does_not_depend_on_layout(spark, toxic_tables, monkeypatch):
+    docs, labels, _ = toxic_tables
+    monkeypatch.setattr(toxicity, "VISITS", 1_000)
+    monkeypatch.setattr(toxicity, "PART", 200, raising=False)
+    one, six = (toxicity.fit(docs.repartition(n), labels.repartition(n), F.lit(True)) for n in (1, 6))
+    assert (one.words == six.words).all() and (one.out == six.out).all()
+    assert (one.common, one.shift) == (six.common, six.shift) and set(one.shift) == {"en", "xx"}
+
+
+def test_threshold_by_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        values, counts = rng.permutation(40)[: rng.integers(1, 20)] / 8, rng.integers(0, 4, (2, 20))
+        toxic, clean = counts[:, : len(values)] + (np.arange(len(values)) == 0)
+        cost = lambda t: toxic[values < t].sum() / toxic.sum() + 2 * clean[values >= t].sum() / clean.sum()  # noqa: E731, B023
+        edges = [min(values) - 1, *(np.sort(values)[1:] + np.sort(values)[:-1]) / 2, max(values) + 1]
+        best = [e for e in edges if cost(e) <= min(map(cost, edges)) + 1e-9]
+        assert toxicity._threshold(values, toxic, clean) == pytest.approx(np.mean(best))
+
+
 def test_toxicity_query(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "VISITS", 3_000)
     found = {r.doc_id: r for r in queries.op10_toxicity(spark, FOLDER).collect()}
