@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, language: str | None
     """Fit on all labelled documents for which ``learn`` (of ``doc_id``) holds.
 
     Takes ``doc_id, text`` and, unless ``language`` is None, the language column, from which the profiles
-    that tell languages apart are learned; and ``doc_id, toxic`` of ``labels``.  Rows without id, text
+    that tell languages apart are learned, from all rows for which ``learn`` holds; and ``doc_id, toxic`` of ``labels``.  Rows without id, text
     or label are ignored; of several labels of one id the largest counts, and each row of an id teaches.  A quarter of
     the ids calibrates the thresholds, the others train.  Without rows of both labels all scores are far on one side.
     """
@@ -306,8 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, language: str | None
         return net
     if language is not None:
         named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(language).alias("lang"))
-        near = named.dropna().where(learn).where(F.pmod(F.xxhash64("doc_id"), F.lit(_every(docs))) == 0)
-        net.profiles = language_id.collect_profiles(shared.written(language_id.learn_profiles(near)))
+        net.profiles = language_id.collect_profiles(shared.written(language_id.learn_profiles(named.dropna().where(learn))))
     trained = sum(r["count"] for r in counts if not r.held)
     parts, passes = -(-trained // PART), max(PASSES, -(-VISITS // trained))
     packed = _packed(docs, given, held, parts, net.profiles)
@@ -415,14 +414,6 @@ def _logits(net: Network, packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, "lang string, level int, toxic int")
 
 
-#: Profiles for calibration are learned from about so many documents.
-PROFILE_DOCUMENTS = 20_000
-
-
-def _every(docs: DataFrame) -> int:
-    return max(1, docs.count() // PROFILE_DOCUMENTS)
-
-
 def score_documents(docs: DataFrame, net: Network, *keep: str | Column) -> DataFrame:
     """``doc_id, score, predicted`` for every row, from the whole text alone, and the columns to keep.
 

@@ -402,6 +402,17 @@ def test_toxicity_does_not_depend_on_layout(spark, toxic_tables, monkeypatch):
     assert (one.common, one.shift) == (six.common, six.shift) and set(one.shift) == {"en", "xx"}
 
 
+def test_toxicity_profiles_come_from_all_documents(spark, toxic_tables, monkeypatch):
+    docs, labels, _ = toxic_tables
+    monkeypatch.setattr(toxicity, "VISITS", 1_000)
+    monkeypatch.setattr(toxicity, "PROFILE_DOCUMENTS", 10, raising=False)  # once a limit
+    learn = F.col("doc_id") % 5 != 0
+    found = toxicity.fit(docs, labels, learn).profiles
+    whole = language_id.collect_profiles(language_id.learn_profiles(docs.dropna(subset=["doc_id"]).where(learn)))
+    assert found.names == whole.names == ["en", "xx"]
+    assert (found.grams == whole.grams).all() and (found.ranks == whole.ranks).all()
+
+
 def test_threshold_by_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(50):
