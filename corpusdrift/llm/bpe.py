@@ -9,10 +9,10 @@ time is linear in the text, and the result is the one that the merges give.
 Decoding gathers token bytes from one blob by an offset table.
 """
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -155,12 +155,6 @@ class Vocabulary:
         return b"".join(out)
 
 
-@cache
-def vocabulary(content: str) -> Vocabulary:
-    """One vocabulary for each worker process, with what it remembers."""
-    return Vocabulary(content)
-
-
 def encode_documents(docs: DataFrame, vocabulary_file: str, with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
@@ -174,28 +168,32 @@ def encode_documents(docs: DataFrame, vocabulary_file: str, with_ids: bool = Fal
         content = docs.sparkSession.sparkContext.broadcast(file.read())  # one file, a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(content.value)
-        for batch in shared.slices(batches):
-            rows: dict[str, list] = {"n": [], "ids_sha": [], "text_sha": [], "ids": []}
-            for text in batch.column(1).to_pylist():
-                raw = words.encode(text or "")
-                ids = np.frombuffer(raw, "<u4")
-                decoded = words.decode(ids).decode("utf-8", errors="replace").encode()
-                rows["n"].append(len(ids))
-                rows["ids_sha"].append(hashlib.sha256(raw).hexdigest())
-                rows["text_sha"].append(hashlib.sha256(decoded).hexdigest())
+        words = Vocabulary(content.value)
+        try:
+            for batch in shared.slices(batches):
+                rows: dict[str, list] = {"n": [], "ids_sha": [], "text_sha": [], "ids": []}
+                for text in batch.column(1).to_pylist():
+                    raw = words.encode(text or "")
+                    ids = np.frombuffer(raw, "<u4")
+                    decoded = words.decode(ids).decode("utf-8", errors="replace").encode()
+                    rows["n"].append(len(ids))
+                    rows["ids_sha"].append(hashlib.sha256(raw).hexdigest())
+                    rows["text_sha"].append(hashlib.sha256(decoded).hexdigest())
+                    if with_ids:
+                        rows["ids"].append(ids.astype(np.int32))
+                columns = [
+                    batch.column(0),
+                    pa.array(rows["n"], pa.int64()),
+                    pa.array(rows["ids_sha"], pa.string()),
+                    pa.array(rows["text_sha"], pa.string()),
+                ]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    rows["ids"].append(ids.astype(np.int32))
-            columns = [
-                batch.column(0),
-                pa.array(rows["n"], pa.int64()),
-                pa.array(rows["ids_sha"], pa.string()),
-                pa.array(rows["text_sha"], pa.string()),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(rows["ids"], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    columns.append(pa.array(rows["ids"], pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+        finally:  # workers outlive their tasks, and what the encoder remembers is large
+            del words
+            gc.collect()  # its parts refer to each other
 
     return shared.texts(docs).mapInArrow(run, ENCODED_WITH_IDS if with_ids else ENCODED)

@@ -1,10 +1,13 @@
 """Token store and BPE operator against the tokenizers library."""
 
+import gc
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -139,3 +142,17 @@ def test_rows_without_id_are_dealt_out(spark, library, tmp_path, monkeypatch):
     starts = np.cumsum([0] + [r[2] for r in found])[:-1].tolist()
     assert [r[1] for r in found] == starts and len(found) == 200
     assert [r[0] for r in found] == sorted((r[0] for r in found), key=lambda d: (d is not None, d or 0))
+
+
+def test_workers_keep_no_vocabulary(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string").repartition(1)
+    assert bpe.encode_documents(docs, shared.tokenizer_file("byte_bpe_50k.json")).count() == 20
+
+    def kept(batches):
+        gc.collect()
+        held = sum(type(x).__name__ in ("Vocabulary", "PieceEncoder") for x in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()] * batch.num_rows, "held": [held] * batch.num_rows})
+
+    found = spark.range(0, 64, 1, 64).mapInArrow(kept, "pid long, held long").collect()
+    assert {r.held for r in found} == {0}
