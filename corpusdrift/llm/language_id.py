@@ -58,7 +58,12 @@ def gram_counts(text: str, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]
         found = [codes[held:][word[held:]], pairs[held - 1 :][(word[:-1] | word[1:])[held - 1 :]]]
         found.append(triples[max(0, held - 2) :][word[1:-1][max(0, held - 2) :]])
         before = codes[-2:]
-        part, n = np.unique(np.concatenate(found), return_counts=True)
+        every = np.concatenate(found)
+        every.sort()
+        new = np.ones(len(every) + 1, bool)
+        np.not_equal(every[1:], every[:-1], out=new[1:-1])
+        first = np.flatnonzero(new)
+        part, n = every[first[:-1]], first[1:] - first[:-1]
         if not len(grams):
             grams, counts = part, n
         else:

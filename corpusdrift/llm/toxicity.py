@@ -11,14 +11,14 @@ itself, from one network, and the parts' changes are averaged.
 
 import copy
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from corpusdrift.llm import language_id, shared
 from corpusdrift.operators import sketch
@@ -41,17 +41,26 @@ PAD = max(WIDTHS) - 1
 
 _WORD = re.compile(r"\w+")
 FORMS = 7
+_ONE, _THREE, _SPREAD = np.uint64(1), np.uint64(3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_buckets(words: list[str]) -> np.ndarray:
-    """Buckets of each word, its beginnings of 3 to 7 bytes and its last 4."""
-    digest = xxhash.xxh3_64_digest
-    forms = [
-        form
-        for w in (word.encode("utf-8", "replace") for word in words)
-        for form in (digest(w, 1), digest(w[:3], 3), digest(w[:4], 4), digest(w[:5], 5), digest(w[:6], 6), digest(w[:7], 7), digest(w[-4:], 2))
-    ]
-    return (np.frombuffer(b"".join(forms), ">u8").reshape(-1, FORMS) % np.uint64(BUCKETS)).astype(np.int64)
+    """Buckets of each word, its beginnings of 3 to 7 bytes and its last 4; words are as ``_WORD`` finds them."""
+    if not words:
+        return np.empty((0, FORMS), np.int64)
+    raw = " ".join(words).encode("utf-8", "replace")
+    padded = bytes(4) + raw + bytes(8)
+    ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20), len(raw))
+    starts = np.append(0, ends[:-1] + 1)
+    sizes = (ends - starts).astype(np.uint64)
+    head = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))[starts + 4]
+    tail = np.ndarray(len(padded) - 3, "<u4", padded, strides=(1,))[ends].astype(np.uint64)  # the 4 bytes before the end
+    forms = [shared.word_hashes(raw)]
+    for size in map(np.uint64, range(3, 8)):
+        forms.append(head & ((_ONE << (np.minimum(sizes, size) << _THREE)) - _ONE))
+    forms.append(tail >> ((np.uint64(4) - np.minimum(sizes, np.uint64(4))) << _THREE))
+    mixed = shared.mixed(np.stack(forms, axis=1) + np.arange(1, FORMS + 1, dtype=np.uint64) * _SPREAD)
+    return (mixed % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _summed(table: np.ndarray, buckets: np.ndarray) -> np.ndarray:
@@ -104,6 +113,19 @@ class Network:
             places.append(place)
         return np.concatenate(values), np.concatenate(places)
 
+    def tops(self, answers: np.ndarray) -> np.ndarray:
+        """The same answers without places; ``answers`` has a row for each word, and ``PAD`` rows of zeros."""
+        values, column = [], 0
+        for width, base in zip(WIDTHS, self.bases, strict=True):
+            count = len(answers) - width + 1
+            total = answers[:count, column : column + FILTERS]
+            for j in range(1, width):
+                column += FILTERS
+                total = total + answers[j : j + count, column : column + FILTERS]
+            column += FILTERS
+            values.append(np.maximum(total.max(axis=0) + base, 0))
+        return np.concatenate(values)
+
 
 def _text_words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
@@ -251,40 +273,60 @@ def calibrate(net: Network, logits: DataFrame) -> None:
 class Scorer:
     """Scores texts; remembers the filters' answers for words seen lately."""
 
-    def __init__(self, net: Network, most: int = 100_000) -> None:
+    def __init__(self, net: Network, most: int = 50_000) -> None:
         self.net, self.most = net, most
         self.of_bucket = net.words @ net.joint() / FORMS
-        self.place: dict[str, int] = {}
+        #: Rows of ``known``, numbered as words come; the empty word stands for the zeros after a text.
+        self.place: defaultdict[str, int] = defaultdict()
+        self.place.default_factory = self.place.__len__
         self.known = np.zeros((most, self.of_bucket.shape[1]), np.float32)
 
-    def answers(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((max(1, len(words)) + PAD, self.known.shape[1]), np.float32)
-        new = list({w: None for w in words if w not in self.place})
-        if len(self.place) + len(new) > self.most:
+    def places(self, words: list[str]) -> np.ndarray:
+        """Each word's row of ``known``."""
+        if len(self.place) + len(words) >= self.most:
             self.place.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            start = len(self.place)
-            self.known[start : start + len(new)] = _summed(self.of_bucket, word_buckets(new))
-            self.place.update(zip(new, range(start, start + len(new)), strict=True))
-        if words:
-            out[: len(words)] = self.known[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
-        return out
+        start = self.place[""] + 1 if not self.place else len(self.place)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if count := len(self.place) - start:
+            new = list(islice(reversed(self.place), count))[::-1]
+            self.known[start : start + count] = _summed(self.of_bucket, word_buckets(new))
+        return at
 
     def logit(self, text: str | None, step: int = 30_000) -> float:
-        return self.logit_of(_text_words(text), step)
+        return next(self.logits([_text_words(text)], step))
+
+    def logits(self, texts: Iterable[list[str]], step: int = 30_000) -> Iterator[float]:
+        """Of each text's words; texts of up to ``step`` words together are looked up at once."""
+        group, size = [], 0
+        for words in texts:
+            if group and size + len(words) > step:
+                yield from self._logits(group)
+                group, size = [], 0
+            # Long texts in overlapping parts of the words and the zeros after them: the largest answers of all are those of the whole.
+            if len(words) > step:
+                parts = [self._tops([words[i : i + step + PAD]], max(0, i + step + PAD - len(words))) for i in range(0, len(words), step)]
+                yield float(np.max(parts, axis=0)[0] @ self.net.out + self.net.base[0])
+                continue
+            group.append(words)
+            size += len(words) + PAD + 1
+        yield from self._logits(group)
+
+    def _logits(self, group: list[list[str]]) -> list[float]:
+        return (self._tops(group, PAD) @ self.net.out + self.net.base[0]).tolist() if group else []
 
-    def logit_of(self, words: list[str], step: int = 30_000) -> float:
-        # Long texts in overlapping parts of the words and the zeros after them: the largest answers of all are those of the whole.
-        starts = range(0, max(1, len(words)), step)
-        parts = [self.answers(words[i : i + step + PAD])[: step + PAD] for i in starts]
-        top = np.max([self.net.pooled(np.ascontiguousarray(part.T))[0] for part in parts], axis=0)
-        return float(top @ self.net.out + self.net.base[0])
+    def _tops(self, group: list[list[str]], zeros: int) -> np.ndarray:
+        """Each text's largest answers, with some zeros after it."""
+        padded = [words + [""] * (zeros if words else PAD + 1) for words in group]
+        at = self.places([w for words in padded for w in words])
+        ends = np.cumsum([len(words) for words in padded]).tolist()
+        return np.stack([self.net.tops(np.take(self.known, at[i:j], axis=0)) for i, j in zip([0, *ends], ends, strict=False)])
 
-    def score(self, text: str | None) -> float:
-        lang = self.net.profiles.predict(text)[0] if self.net.profiles and self.net.shift else ""
-        value = self.logit(text) - self.net.shift.get(lang, self.net.common)
-        return float(1 / (1 + np.exp(-np.clip(value, -500, 500))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Between 0 and 1; each language's threshold is moved to 0.5."""
+        logits = np.fromiter(self.logits(map(_text_words, texts)), np.float64, len(texts))
+        told = self.net.profiles and self.net.shift
+        limits = [self.net.shift.get(self.net.profiles.predict(t)[0] if told else "", self.net.common) for t in texts]
+        return 1 / (1 + np.exp(-np.clip(logits - limits, -500, 500)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, language: str | None = "lang") -> Network:
@@ -298,7 +340,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, language: str | None
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     given = given.dropna().where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
     held = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(4)) == 0
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(given, "doc_id").groupBy(held.alias("held"), "toxic").count().collect()
+    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    given = shared.written(given.join(rows_of, "doc_id"))
+    counts = given.groupBy(held.alias("held"), "toxic").agg(F.sum("rows").alias("count")).collect()
     kinds = {r.toxic for r in counts if not r.held}
     net = Network()
     if len(kinds) < 2:
@@ -320,31 +364,43 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, language: str | None
 def _packed(docs: DataFrame, given: DataFrame, held: Column, parts: int, profiles: language_id.Profiles | None) -> DataFrame:
     """The labelled documents, part by part, as numbers of words; ``words`` has the part's different words.
 
-    Texts of other documents are kept out of the shuffle by a Bloom filter of the labelled ids.
+    An id's part follows from the id, so that texts are shuffled once, to their labels; the rows of an id with more than a part's
+    documents are dealt over several.  Texts of other documents are kept out of the shuffle by a Bloom filter of the labelled ids.
     """
 
-    def pack(table: pa.Table) -> pa.Table:
+    def pack(key: tuple, table: pa.Table, labels: pa.Table) -> pa.Table:
+        toxic = dict(zip(labels.column("doc_id").to_pylist(), labels.column("toxic").to_pylist(), strict=True))
+        table = table.filter(pa.array([i in toxic for i in table.column("doc_id").to_pylist()], pa.bool_()))
+        if not table.num_rows:
+            return pa.Table.from_pylist([], pa.schema(_PACKED))
         table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
         texts = table.column("text").to_pylist()
         known: dict[str, int] = {}
         rows = [np.array([known.setdefault(w, len(known)) for w in _text_words(t)], np.int32) for t in texts]
-        own = table.column("held")[0].as_py()
+        own, part = (k.as_py() for k in key)
         row = {
-            "part": table.column("part")[0].as_py(),
+            "part": part,
             "held": own,
             "words": list(known),
             "places": np.concatenate(rows).tobytes(),
             "sizes": [len(r) for r in rows],
-            "toxic": table.column("toxic").to_pylist(),
+            "toxic": [toxic[i] for i in table.column("doc_id").to_pylist()],
             "langs": [profiles.predict(t)[0] if profiles and own else "" for t in texts],
         }
         return pa.Table.from_pylist([row], pa.schema(_PACKED))
 
-    labelled = shared.texts(docs).where(sketch.screen(given, "doc_id")(F.col("doc_id"))).join(given, "doc_id").dropna()
-    order = F.xxhash64("doc_id", "text")
-    rows = labelled.select("doc_id", "text", "toxic", held.alias("held"), order.alias("order"), F.pmod(order, F.lit(parts)).alias("part"))
+    def dealt(rows: DataFrame, salt: Column, *columns: str | Column) -> DataFrame:
+        part = F.pmod(F.xxhash64(F.lit(11), "doc_id", salt.cast("long")), F.lit(parts))
+        return rows.select("doc_id", *columns, held.alias("held"), part.alias("part")).groupBy("held", "part")
+
+    shares = F.ceil(F.col("rows") / PART).cast("int").alias("shares")
+    many = F.broadcast(given.where(F.col("rows") > PART).select("doc_id", shares))  # at most the number of parts
+    labelled = shared.texts(docs).dropna().where(sketch.screen(given, "doc_id")(F.col("doc_id"))).join(many, "doc_id", "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("text"), F.col("shares")), F.lit(0))
+    texts = dealt(labelled, salt, "text", F.xxhash64("doc_id", "text").alias("order"))
+    labels = dealt(given.withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1))), F.col("salt"), "toxic")
     schema = "part long, held boolean, words array<string>, places binary, sizes array<int>, toxic array<int>, langs array<string>"
-    return shared.written(rows.groupBy("held", "part").applyInArrow(pack, schema))
+    return shared.written(texts.cogroup(labels).applyInArrow(pack, schema))
 
 
 _PACKED = [
@@ -407,7 +463,7 @@ def _logits(net: Network, packed: DataFrame) -> DataFrame:
         scorer = Scorer(sent.value)
         for row, rows, _ in _unpacked(batches):
             words = row["words"]
-            logits = np.array([scorer.logit_of([words[w] for w in own]) for own in rows])
+            logits = np.fromiter(scorer.logits([words[w] for w in own.tolist()] for own in rows), np.float64, len(rows))
             levels = np.rint(np.clip(logits, -LIMIT, LIMIT) / FINENESS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(row["langs"], pa.string()), pa.array(levels), pa.array(row["toxic"], pa.int32())], ["lang", "level", "toxic"])
 
@@ -421,17 +477,16 @@ def score_documents(docs: DataFrame, net: Network, *keep: str | Column) -> DataF
     Repeated rows get equal results; other columns are ignored.  Very long texts are scored whole, part by part.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)  # some MB, whatever the corpus
-    rows = shared.texts(docs, *keep)
-    more = rows.schema.fields[2:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:  # only texts go to Python, and only scores come back
         scorer = Scorer(sent.value)
-        for batch in shared.slices(batches):
-            scores = np.array([scorer.score(t) for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), *batch.columns[2:]],
-                ["doc_id", "score", "predicted", *batch.schema.names[2:]],
-            )
-
-    schema = StructType().add("doc_id", "long").add("score", "double").add("predicted", "integer")
-    return rows.mapInArrow(run, StructType([*schema.fields, *more]))
+        for batch in batches:
+            parts = shared.slices(iter([pa.record_batch([batch], ["text"])]))
+            yield pa.array(np.concatenate([np.empty(0), *(scorer.scores(part.column(0).to_pylist()) for part in parts)]))
+
+    rows = shared.texts(docs, *keep)
+    # A filter by the result must not score once more.
+    scored = rows.select("doc_id", score.asNondeterministic()("text").alias("__score"), *rows.columns[2:])
+    predicted = (F.col("__score") >= 0.5).cast("int")
+    return scored.select("doc_id", F.col("__score").alias("score"), predicted.alias("predicted"), *rows.columns[2:])
