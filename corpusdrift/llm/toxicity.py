@@ -44,10 +44,12 @@ FORMS = 7
 _ONE, _THREE, _SPREAD = np.uint64(1), np.uint64(3), np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_buckets(words: list[str]) -> np.ndarray:
+def word_buckets(words: list[str], step: int = 20_000) -> np.ndarray:
     """Buckets of each word, its beginnings of 3 to 7 bytes and its last 4; words are as ``_WORD`` finds them."""
-    if not words:
-        return np.empty((0, FORMS), np.int64)
+    return np.concatenate([np.empty((0, FORMS), np.int64), *(_word_buckets(words[i : i + step]) for i in range(0, len(words), step))])
+
+
+def _word_buckets(words: list[str]) -> np.ndarray:
     raw = " ".join(words).encode("utf-8", "replace")
     padded = bytes(4) + raw + bytes(8)
     ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20), len(raw))
@@ -154,7 +156,7 @@ def train(net: Network, rows: list[np.ndarray], buckets: np.ndarray, labels: np.
     for chosen in (step for _ in range(passes) for step in _steps(labels, rng)):
         words, place = np.unique(np.concatenate([x for d, _ in chosen for x in (rows[d], pad)]), return_inverse=True)
         vectors = np.concatenate([np.zeros((1, SIZE), np.float32), _summed(net.words, buckets[words[1:]]) / FORMS])
-        answers = np.take(net.joint().T @ vectors.T, place, axis=1)
+        answers = net.joint().T @ np.take(vectors, place, axis=0).T
         ends = np.cumsum([len(rows[d]) + PAD for d, _ in chosen])
         starts = ends - [len(rows[d]) + PAD for d, _ in chosen]
         pooled = [net.pooled(answers[:, i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -183,7 +185,7 @@ def train(net: Network, rows: list[np.ndarray], buckets: np.ndarray, labels: np.
             p -= RATE * g / np.sqrt(s)
         form = buckets[np.concatenate(touched)].ravel()
         if len(form):
-            order = np.argsort(form, kind="stable")
+            order = np.argsort(form.astype(np.min_scalar_type(BUCKETS - 1)), kind="stable")  # by digits where 16 bits do
             first = np.flatnonzero(np.diff(form[order], prepend=-1))
             g = np.add.reduceat(np.concatenate(changes)[order // FORMS], first) / (FORMS * STEP)
             changed = form[order[first]]

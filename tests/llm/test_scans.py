@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -413,6 +414,64 @@ def test_toxicity_profiles_come_from_all_documents(spark, toxic_tables, monkeypa
     assert (found.grams == whole.grams).all() and (found.ranks == whole.ranks).all()
 
 
+def test_toxicity_shuffles_texts_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "VISITS", 1_000)
+    monkeypatch.setattr(toxicity, "PART", 200)
+    plans, written = {}, shared.written
+
+    def spy(table):
+        plan, found = table._jdf.queryExecution().executedPlan().toString(), written(table)
+        plans["places" if "places" in found.columns else len(plans)] = plan, found
+        return found
+
+    monkeypatch.setattr(shared, "written", spy)
+    # An id with more rows than a part has documents, and one whose text is missing.
+    docs = [(i, f"word{i} " + ("slurmark" if i % 2 else "plain"), "en") for i in range(600)]
+    docs += [(7, f"again{k} slurmark", "en") for k in range(700)] + [(601, None, "en"), (602, "no label", "en")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)] + [(601, 1)], "doc_id long, toxic int")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels, F.lit(True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    plan, packed = plans["places"]
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    parts = packed.collect()
+    found = [(r.words[n], t) for r in parts for n, t in zip(np.frombuffer(r.places, np.int32)[::2], r.toxic, strict=True)]
+    assert sorted(found) == sorted((text.split()[0], i % 2) for i, text, _ in docs[:1300])
+    assert max(len(r.sizes) for r in parts) < 700
+
+
+def test_only_texts_go_to_the_scorer(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 0.5), (2, None, "y", 1.5)], "doc_id long, text string, lang string, score double")
+    found = toxicity.score_documents(docs, toxicity.Network(), "lang", F.col("text").alias("whole_text"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    assert [(r.doc_id, r.lang, r.whole_text, r.predicted == (r.score >= 0.5)) for r in found.orderBy("doc_id").collect()] == [(1, "x", "a b", True), (2, "y", None, True)]
+
+
+def test_buckets_of_many_words():
+    words = ["a", "ab", "abc", "abcdefgh", "xbcdefgh", "abcdefgz", "ß", "ḥôwab", "\ud800x", *(f"word{i}" for i in range(200_000))]
+    tracemalloc.start()
+    found = toxicity.word_buckets(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert all((toxicity.word_buckets([w])[0] == found[i]).all() for i, w in enumerate(words[:500]))
+    same = lambda i, j: (found[i] == found[j]).tolist()
+    assert same(3, 5) == [False, True, True, True, True, True, False] and same(3, 4) == [False] * 6 + [True]
+    assert toxicity.word_buckets([]).shape == (0, toxicity.FORMS)
+
+
+def test_logits_do_not_depend_on_groups():
+    texts = [[f"w{i * k % 37}" for i in range(k)] for k in (3, 0, 1, 40, 2, 0, 90, 5)]
+    whole = list(toxicity.Scorer(toxicity.Network()).logits(texts))
+    one, small = toxicity.Scorer(toxicity.Network()), toxicity.Scorer(toxicity.Network(), 60)
+    assert [next(one.logits([t])) for t in texts] == pytest.approx(whole, abs=1e-5)
+    assert list(small.logits(texts, 20)) == pytest.approx(whole, abs=1e-5)  # forgets words in between
+
+
 def test_threshold_by_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(50):
