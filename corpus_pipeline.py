@@ -14,6 +14,15 @@ from corpusdrift.llm.queries import VOCABULARY, toxic_training
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Rows that go to Python at once: Spark's usual number, and that of stages whose rows hold whole texts.  A task holds
+#: a batch several times over outside its heap, as Arrow vectors, as bytes to send and in Python.
+ROWS, TEXTS = 10_000, 2_000
+
+
+def _at_once(spark: SparkSession, rows: int) -> None:
+    """Holds for what is run from now on, until the next stage says otherwise."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
 
 def _packed(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` and the other columns as one, so that no operator's column has the name of one of them."""
@@ -29,6 +38,7 @@ def _unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFra
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents that the classifier rejects go."""
+    _at_once(spark, TEXTS)
     net = toxicity.fit(docs, shared.table(spark, sf_dir, "labels"), toxic_training())
     scored = toxicity.score_documents(_packed(docs), net, F.col("text").alias("whole_text"), "other")
     return _unpacked(scored.where("predicted = 0"), docs.columns, text=F.col("whole_text"))
@@ -36,6 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: one document of each group stays."""
+    _at_once(spark, TEXTS)
     gone = near_duplicates.near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
 
@@ -45,6 +56,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without a repeated passage stay as they are.
     """
+    _at_once(spark, ROWS)
     found = substring_dedup.remove_repeats(_packed(docs), keep=["other"], as_given=True)
     found = found.where("n_removed < n_words or n_removed = 0")
     changed = {"text": F.col("kept_text")}
@@ -56,11 +68,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
+    _at_once(spark, ROWS)
     return decontaminate.without_leaks(docs, shared.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding of what is left, checked by decoding it."""
+    _at_once(spark, TEXTS)
     return bpe.encode_documents(docs, shared.tokenizer_file(VOCABULARY))
 
 

@@ -17,6 +17,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ LEAST_CALIBRATION = 15
 FINENESS, LIMIT = 1 / 1024, 32
 #: Neighbouring words' vectors that are averaged together.
 BLOCK = 128
+#: When scoring, words that are looked up at once, words among them that are added up at once, and bytes of text cut into words at once.
+GROUP, NEW, SLICE = 8_000, 1_000, 1_000_000
 
 PAD = max(WIDTHS) - 1
 
@@ -44,9 +47,13 @@ FORMS = 7
 _ONE, _THREE, _SPREAD = np.uint64(1), np.uint64(3), np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_buckets(words: list[str], step: int = 20_000) -> np.ndarray:
+def word_buckets(words: list[str] | pa.Array, step: int = 20_000) -> np.ndarray:
     """Buckets of each word, its beginnings of 3 to 7 bytes and its last 4; words are as ``_WORD`` finds them."""
-    return np.concatenate([np.empty((0, FORMS), np.int64), *(_word_buckets(words[i : i + step]) for i in range(0, len(words), step))])
+    out = np.empty((len(words), FORMS), np.min_scalar_type(BUCKETS - 1))
+    for i in range(0, len(words), step):
+        some = words[i : i + step]
+        out[i : i + step] = _word_buckets(some.to_pylist() if isinstance(some, pa.Array) else some)
+    return out
 
 
 def _word_buckets(words: list[str]) -> np.ndarray:
@@ -62,7 +69,7 @@ def _word_buckets(words: list[str]) -> np.ndarray:
         forms.append(head & ((_ONE << (np.minimum(sizes, size) << _THREE)) - _ONE))
     forms.append(tail >> ((np.uint64(4) - np.minimum(sizes, np.uint64(4))) << _THREE))
     mixed = shared.mixed(np.stack(forms, axis=1) + np.arange(1, FORMS + 1, dtype=np.uint64) * _SPREAD)
-    return (mixed % np.uint64(BUCKETS)).astype(np.int64)
+    return mixed % np.uint64(BUCKETS)
 
 
 def _summed(table: np.ndarray, buckets: np.ndarray) -> np.ndarray:
@@ -185,7 +192,8 @@ def train(net: Network, rows: list[np.ndarray], buckets: np.ndarray, labels: np.
             p -= RATE * g / np.sqrt(s)
         form = buckets[np.concatenate(touched)].ravel()
         if len(form):
-            order = np.argsort(form.astype(np.min_scalar_type(BUCKETS - 1)), kind="stable")  # by digits where 16 bits do
+            order = np.argsort(form, kind="stable")  # by digits where 16 bits do
+            form = form.astype(np.int64)
             first = np.flatnonzero(np.diff(form[order], prepend=-1))
             g = np.add.reduceat(np.concatenate(changes)[order // FORMS], first) / (FORMS * STEP)
             changed = form[order[first]]
@@ -273,11 +281,15 @@ def calibrate(net: Network, logits: DataFrame) -> None:
 
 
 class Scorer:
-    """Scores texts; remembers the filters' answers for words seen lately."""
+    """Scores texts; remembers the filters' answers for words seen lately.
+
+    Words are looked up ``GROUP`` at a time, so that a worker holds little beside the network and what it remembers.
+    """
 
-    def __init__(self, net: Network, most: int = 50_000) -> None:
+    def __init__(self, net: Network, most: int = 4 * GROUP) -> None:
         self.net, self.most = net, most
-        self.of_bucket = net.words @ net.joint() / FORMS
+        self.of_bucket = net.words @ net.joint()
+        self.of_bucket /= FORMS
         #: Rows of ``known``, numbered as words come; the empty word stands for the zeros after a text.
         self.place: defaultdict[str, int] = defaultdict()
         self.place.default_factory = self.place.__len__
@@ -291,13 +303,15 @@ class Scorer:
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         if count := len(self.place) - start:
             new = list(islice(reversed(self.place), count))[::-1]
-            self.known[start : start + count] = _summed(self.of_bucket, word_buckets(new))
+            for i in range(0, count, NEW):
+                some = new[i : i + NEW]
+                self.known[start + i : start + i + len(some)] = _summed(self.of_bucket, word_buckets(some))
         return at
 
-    def logit(self, text: str | None, step: int = 30_000) -> float:
+    def logit(self, text: str | None, step: int = GROUP) -> float:
         return next(self.logits([_text_words(text)], step))
 
-    def logits(self, texts: Iterable[list[str]], step: int = 30_000) -> Iterator[float]:
+    def logits(self, texts: Iterable[list[str]], step: int = GROUP) -> Iterator[float]:
         """Of each text's words; texts of up to ``step`` words together are looked up at once."""
         group, size = [], 0
         for words in texts:
@@ -372,14 +386,18 @@ def _packed(docs: DataFrame, given: DataFrame, held: Column, parts: int, profile
 
     def pack(key: tuple, table: pa.Table, labels: pa.Table) -> pa.Table:
         toxic = dict(zip(labels.column("doc_id").to_pylist(), labels.column("toxic").to_pylist(), strict=True))
-        table = table.filter(pa.array([i in toxic for i in table.column("doc_id").to_pylist()], pa.bool_()))
-        if not table.num_rows:
+        at = pc.sort_indices(table, [("order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        at = at.filter(pa.array([i in toxic for i in table.column("doc_id").take(at).to_pylist()], pa.bool_()))
+        if not len(at):
             return pa.Table.from_pylist([], pa.schema(_PACKED))
-        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-        texts = table.column("text").to_pylist()
-        known: dict[str, int] = {}
-        rows = [np.array([known.setdefault(w, len(known)) for w in _text_words(t)], np.int32) for t in texts]
+        table = table.select(["doc_id", "text"]).take(at)  # the only copy of the texts
         own, part = (k.as_py() for k in key)
+        known: dict[str, int] = {}
+        rows, langs = [], []
+        for some in shared.slices(iter(table.to_batches()), SLICE):
+            for text in some.column("text").to_pylist():
+                rows.append(np.array([known.setdefault(w, len(known)) for w in _text_words(text)], np.int32))
+                langs.append(profiles.predict(text)[0] if profiles and own else "")
         row = {
             "part": part,
             "held": own,
@@ -387,7 +405,7 @@ def _packed(docs: DataFrame, given: DataFrame, held: Column, parts: int, profile
             "places": np.concatenate(rows).tobytes(),
             "sizes": [len(r) for r in rows],
             "toxic": [toxic[i] for i in table.column("doc_id").to_pylist()],
-            "langs": [profiles.predict(t)[0] if profiles and own else "" for t in texts],
+            "langs": langs,
         }
         return pa.Table.from_pylist([row], pa.schema(_PACKED))
 
@@ -420,7 +438,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[np
     """Each part's row, its documents that have words as numbers of words, and which of its documents these are."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
+            one = batch.slice(i, 1)
+            row = one.drop_columns(["words"]).to_pylist()[0] | {"words": one.column("words")[0].values}
             sizes = np.array(row["sizes"])
             rows = np.split(np.frombuffer(row["places"], np.int32), np.cumsum(sizes)[:-1])
             yield row, rows, np.flatnonzero(sizes)
@@ -464,7 +483,7 @@ def _logits(net: Network, packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for row, rows, _ in _unpacked(batches):
-            words = row["words"]
+            words = row["words"].to_pylist()
             logits = np.fromiter(scorer.logits([words[w] for w in own.tolist()] for own in rows), np.float64, len(rows))
             levels = np.rint(np.clip(logits, -LIMIT, LIMIT) / FINENESS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(row["langs"], pa.string()), pa.array(levels), pa.array(row["toxic"], pa.int32())], ["lang", "level", "toxic"])
@@ -484,7 +503,7 @@ def score_documents(docs: DataFrame, net: Network, *keep: str | Column) -> DataF
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:  # only texts go to Python, and only scores come back
         scorer = Scorer(sent.value)
         for batch in batches:
-            parts = shared.slices(iter([pa.record_batch([batch], ["text"])]))
+            parts = shared.slices(iter([pa.record_batch([batch], ["text"])]), SLICE)
             yield pa.array(np.concatenate([np.empty(0), *(scorer.scores(part.column(0).to_pylist()) for part in parts)]))
 
     rows = shared.texts(docs, *keep)

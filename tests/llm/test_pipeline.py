@@ -3,6 +3,7 @@
 import hashlib
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_duplicates import brute_components, brute_repeats
@@ -80,6 +81,20 @@ def test_what_is_left_is_encoded(spark, steps):
     assert plain(corpus_pipeline.run(spark, FOLDER)) == plain(steps[5])
 
 
+def test_few_texts_go_to_python_at_once(spark):
+    docs, rows = shared.table(spark, FOLDER, "documents"), {}
+
+    def batches(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_pydict({"n": [part.num_rows]})
+
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, FOLDER)
+        rows[name] = max(r.n for r in spark.range(12_000, numPartitions=1).mapInArrow(batches, "n long").collect())
+    # The others cut their batches of texts themselves.
+    assert rows == {"toxicity": 2_000, "near_duplicates": 2_000, "substring_dedup": 10_000, "decontaminate": 10_000, "bpe": 2_000}
+
+
 def test_awkward_rows_pass_through(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "x " * 50_000, None, None, 1), (3, "a b", "en", "s", 3)]
     docs = spark.createDataFrame(rows, shared.table(spark, FOLDER, "documents").schema)

@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -472,6 +473,27 @@ def test_logits_do_not_depend_on_groups():
     assert list(small.logits(texts, 20)) == pytest.approx(whole, abs=1e-5)  # forgets words in between
 
 
+def test_part_words_are_held_once():
+    words = pa.array([f"word{k}" for k in range(200_000)])
+    tracemalloc.start()
+    found = toxicity.word_buckets(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    assert (found == toxicity.word_buckets(words.to_pylist())).all()
+
+
+def test_scorer_holds_little():
+    net, texts = toxicity.Network(), [[f"word{k}of{i}" for k in range(400)] for i in range(200)]
+    tracemalloc.start()
+    found = list(toxicity.Scorer(net).logits(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    scorer = toxicity.Scorer(net)
+    assert found == pytest.approx([next(scorer.logits([t])) for t in texts], abs=1e-5)
+
+
 def test_threshold_by_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(50):
