@@ -10,10 +10,10 @@ itself, from one network, and the parts' changes are averaged.
 """
 
 import copy
-import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +42,13 @@ GROUP, NEW, SLICE = 8_000, 1_000, 1_000_000
 
 PAD = max(WIDTHS) - 1
 
-_WORD = re.compile(r"\w+")
 FORMS = 7
+_SPACE = np.uint32(0x20)
 _ONE, _THREE, _SPREAD = np.uint64(1), np.uint64(3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_buckets(words: list[str] | pa.Array, step: int = 20_000) -> np.ndarray:
-    """Buckets of each word, its beginnings of 3 to 7 bytes and its last 4; words are as ``_WORD`` finds them."""
+    """Buckets of each word, its beginnings of 3 to 7 bytes and its last 4; words are as ``_text_words`` finds them."""
     out = np.empty((len(words), FORMS), np.min_scalar_type(BUCKETS - 1))
     for i in range(0, len(words), step):
         some = words[i : i + step]
@@ -104,12 +104,9 @@ class Network:
         """All filters' slices side by side: one product answers for every word and slice."""
         return np.concatenate([weights[j] for weights in self.filters for j in range(len(weights))], axis=1)
 
-    def pooled(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each filter's largest answer over one text, at least 0, and where it stands.
-
-        ``answers`` has a column for each word, ``PAD`` columns of zeros after them, and the rows are the columns of ``joint``.
-        """
-        values, places, row = [], [], 0
+    def _totals(self, answers: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each width, its filters' bases and their sums from every word on; ``answers`` has a column for each word, and the rows of ``joint``."""
+        row = 0
         for width, base in zip(WIDTHS, self.bases, strict=True):
             count = answers.shape[1] - width + 1
             total = answers[row : row + FILTERS, :count]
@@ -117,27 +114,41 @@ class Network:
                 row += FILTERS
                 total = total + answers[row : row + FILTERS, j : j + count]
             row += FILTERS
-            place = total.argmax(axis=1)
+            yield width, base, total
+
+    def pooled(self, answers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's largest answer over each of many texts, at least 0, and where it stands.
+
+        The texts stand side by side, each with ``PAD`` columns of zeros after it.
+        """
+        values, places = [], []
+        for width, base, total in self._totals(answers):
+            edges = zip(starts.tolist(), (ends - width + 1).tolist(), strict=True)
+            place = np.stack([total[:, i:j].argmax(axis=1) for i, j in edges]) + starts[:, None]
             values.append(np.maximum(total[np.arange(FILTERS), place] + base, 0))
             places.append(place)
-        return np.concatenate(values), np.concatenate(places)
+        return np.concatenate(values, axis=1), np.concatenate(places, axis=1)
+
+    def tops(self, answers: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The same answers without places."""
+        values, starts = [], np.append(0, ends[:-1])
+        for width, base, total in self._totals(answers):
+            # Between two texts there are places where a filter would reach from one into the other.
+            edges = np.stack([starts, ends - width + 1], axis=1).ravel()[:-1]
+            values.append(np.maximum(np.maximum.reduceat(total, edges, axis=1)[:, ::2].T + base, 0))
+        return np.concatenate(values, axis=1)
 
-    def tops(self, answers: np.ndarray) -> np.ndarray:
-        """The same answers without places; ``answers`` has a row for each word, and ``PAD`` rows of zeros."""
-        values, column = [], 0
-        for width, base in zip(WIDTHS, self.bases, strict=True):
-            count = len(answers) - width + 1
-            total = answers[:count, column : column + FILTERS]
-            for j in range(1, width):
-                column += FILTERS
-                total = total + answers[j : j + count, column : column + FILTERS]
-            column += FILTERS
-            values.append(np.maximum(total.max(axis=0) + base, 0))
-        return np.concatenate(values)
+
+@cache
+def _in_words() -> np.ndarray:
+    """Whether ``\\w`` finds a character, by code point."""
+    return np.fromiter((chr(c).isalnum() or c == 0x5F for c in range(0x110000)), bool, 0x110000)
 
 
 def _text_words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """What ``\\w+`` finds in the lower-cased text."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
+    return np.where(_in_words()[points], points, _SPACE).tobytes().decode("utf-32-le").split()
 
 
 def _steps(labels: np.ndarray, rng: np.random.Generator) -> Iterator[list[tuple[int, float]]]:
@@ -166,8 +177,7 @@ def train(net: Network, rows: list[np.ndarray], buckets: np.ndarray, labels: np.
         answers = net.joint().T @ np.take(vectors, place, axis=0).T
         ends = np.cumsum([len(rows[d]) + PAD for d, _ in chosen])
         starts = ends - [len(rows[d]) + PAD for d, _ in chosen]
-        pooled = [net.pooled(answers[:, i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-        top, at = np.stack([p[0] for p in pooled]), np.stack([p[1] for p in pooled]) + starts[:, None]
+        top, at = net.pooled(answers, starts, ends)
         top = top * (rng.random(top.shape) > 0.2) / 0.8
         wanted = np.where(labels[[d for d, _ in chosen]] == 1, 0.97, 0.03)
         error = 1 / (1 + np.exp(-np.clip(top @ net.out + net.base[0], -30, 30))) - wanted
@@ -281,19 +291,18 @@ def calibrate(net: Network, logits: DataFrame) -> None:
 
 
 class Scorer:
-    """Scores texts; remembers the filters' answers for words seen lately.
+    """Scores texts; remembers the vectors of words seen lately.
 
     Words are looked up ``GROUP`` at a time, so that a worker holds little beside the network and what it remembers.
     """
 
     def __init__(self, net: Network, most: int = 4 * GROUP) -> None:
         self.net, self.most = net, most
-        self.of_bucket = net.words @ net.joint()
-        self.of_bucket /= FORMS
+        self.joint = np.ascontiguousarray(net.joint().T)
         #: Rows of ``known``, numbered as words come; the empty word stands for the zeros after a text.
         self.place: defaultdict[str, int] = defaultdict()
         self.place.default_factory = self.place.__len__
-        self.known = np.zeros((most, self.of_bucket.shape[1]), np.float32)
+        self.known = np.zeros((most, SIZE), np.float32)
 
     def places(self, words: list[str]) -> np.ndarray:
         """Each word's row of ``known``."""
@@ -305,7 +314,7 @@ class Scorer:
             new = list(islice(reversed(self.place), count))[::-1]
             for i in range(0, count, NEW):
                 some = new[i : i + NEW]
-                self.known[start + i : start + i + len(some)] = _summed(self.of_bucket, word_buckets(some))
+                self.known[start + i : start + i + len(some)] = _summed(self.net.words, word_buckets(some)) / FORMS
         return at
 
     def logit(self, text: str | None, step: int = GROUP) -> float:
@@ -321,21 +330,24 @@ class Scorer:
             # Long texts in overlapping parts of the words and the zeros after them: the largest answers of all are those of the whole.
             if len(words) > step:
                 parts = [self._tops([words[i : i + step + PAD]], max(0, i + step + PAD - len(words))) for i in range(0, len(words), step)]
-                yield float(np.max(parts, axis=0)[0] @ self.net.out + self.net.base[0])
+                yield from self._summed_up(np.max(parts, axis=0))
                 continue
             group.append(words)
             size += len(words) + PAD + 1
         yield from self._logits(group)
 
     def _logits(self, group: list[list[str]]) -> list[float]:
-        return (self._tops(group, PAD) @ self.net.out + self.net.base[0]).tolist() if group else []
+        return self._summed_up(self._tops(group, PAD)) if group else []
+
+    def _summed_up(self, tops: np.ndarray) -> list[float]:
+        """Row by row, so that a text's logit doesn't depend on those beside it."""
+        return ((np.ascontiguousarray(tops) * self.net.out).sum(axis=1) + self.net.base[0]).tolist()
 
     def _tops(self, group: list[list[str]], zeros: int) -> np.ndarray:
         """Each text's largest answers, with some zeros after it."""
         padded = [words + [""] * (zeros if words else PAD + 1) for words in group]
-        at = self.places([w for words in padded for w in words])
-        ends = np.cumsum([len(words) for words in padded]).tolist()
-        return np.stack([self.net.tops(np.take(self.known, at[i:j], axis=0)) for i, j in zip([0, *ends], ends, strict=False)])
+        at = self.places(list(chain.from_iterable(padded)))
+        return self.net.tops(self.joint @ np.take(self.known, at, axis=0).T, np.cumsum([len(words) for words in padded]))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Between 0 and 1; each language's threshold is moved to 0.5."""
@@ -378,7 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, language: str | None
 
 
 def _packed(docs: DataFrame, given: DataFrame, held: Column, parts: int, profiles: language_id.Profiles | None) -> DataFrame:
-    """The labelled documents, part by part, as numbers of words; ``words`` has the part's different words.
+    """The labelled documents, part by part, as numbers of words; ``words`` has the part's different words, ``buckets`` theirs where it trains.
 
     An id's part follows from the id, so that texts are shuffled once, to their labels; the rows of an id with more than a part's
     documents are dealt over several.  Texts of other documents are kept out of the shuffle by a Bloom filter of the labelled ids.
@@ -398,10 +410,12 @@ def _packed(docs: DataFrame, given: DataFrame, held: Column, parts: int, profile
             for text in some.column("text").to_pylist():
                 rows.append(np.array([known.setdefault(w, len(known)) for w in _text_words(text)], np.int32))
                 langs.append(profiles.predict(text)[0] if profiles and own else "")
+        words = list(known)
         row = {
             "part": part,
             "held": own,
-            "words": list(known),
+            "words": words,
+            "buckets": None if own else word_buckets(words).tobytes(),
             "places": np.concatenate(rows).tobytes(),
             "sizes": [len(r) for r in rows],
             "toxic": [toxic[i] for i in table.column("doc_id").to_pylist()],
@@ -419,7 +433,7 @@ def _packed(docs: DataFrame, given: DataFrame, held: Column, parts: int, profile
     salt = F.coalesce(F.pmod(F.xxhash64("text"), F.col("shares")), F.lit(0))
     texts = dealt(labelled, salt, "text", F.xxhash64("doc_id", "text").alias("order"))
     labels = dealt(given.withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1))), F.col("salt"), "toxic")
-    schema = "part long, held boolean, words array<string>, places binary, sizes array<int>, toxic array<int>, langs array<string>"
+    schema = "part long, held boolean, words array<string>, buckets binary, places binary, sizes array<int>, toxic array<int>, langs array<string>"
     return shared.written(texts.cogroup(labels).applyInArrow(pack, schema))
 
 
@@ -427,6 +441,7 @@ _PACKED = [
     ("part", pa.int64()),
     ("held", pa.bool_()),
     ("words", pa.list_(pa.string())),
+    ("buckets", pa.binary()),
     ("places", pa.binary()),
     ("sizes", pa.list_(pa.int32())),
     ("toxic", pa.list_(pa.int32())),
@@ -439,7 +454,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[np
     for batch in batches:
         for i in range(batch.num_rows):
             one = batch.slice(i, 1)
-            row = one.drop_columns(["words"]).to_pylist()[0] | {"words": one.column("words")[0].values}
+            row = one.to_pylist()[0]
             sizes = np.array(row["sizes"])
             rows = np.split(np.frombuffer(row["places"], np.int32), np.cumsum(sizes)[:-1])
             yield row, rows, np.flatnonzero(sizes)
@@ -457,7 +472,8 @@ def _pass(net: Network, packed: DataFrame, number: int, passes: int) -> None:
             if not len(filled):
                 continue
             new, labels = copy.deepcopy(sent.value), np.array(row["toxic"])[filled]
-            turns = train(new, [rows[d] for d in filled], word_buckets(row["words"]), labels, passes, [11, number, row["part"]])
+            buckets = np.frombuffer(row["buckets"], np.min_scalar_type(BUCKETS - 1)).reshape(-1, FORMS)
+            turns = train(new, [rows[d] for d in filled], buckets, labels, passes, [11, number, row["part"]])
             found = [(b, p, *(x.tobytes() for x in arrays)) for b, p, *arrays in _changes(sent.value, new, row["part"], turns, len(filled))]
             columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["block", "part", "places", "weights", "values"])
@@ -469,7 +485,7 @@ def _pass(net: Network, packed: DataFrame, number: int, passes: int) -> None:
         return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], table.column_names)
 
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    means = packed.select("part", "words", "places", "sizes", "toxic").mapInArrow(run, _CHANGES).groupBy("block").applyInArrow(mean, _CHANGES)
+    means = packed.select("part", "buckets", "places", "sizes", "toxic").mapInArrow(run, _CHANGES).groupBy("block").applyInArrow(mean, _CHANGES)
     for row in means.collect():  # a network's size at most
         places = np.frombuffer(row.places, np.int64)
         apply(net, row.block, places, np.frombuffer(row.values, np.float32).reshape(len(places), -1))
@@ -483,7 +499,7 @@ def _logits(net: Network, packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for row, rows, _ in _unpacked(batches):
-            words = row["words"].to_pylist()
+            words = row["words"]
             logits = np.fromiter(scorer.logits([words[w] for w in own.tolist()] for own in rows), np.float64, len(rows))
             levels = np.rint(np.clip(logits, -LIMIT, LIMIT) / FINENESS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(row["langs"], pa.string()), pa.array(levels), pa.array(row["toxic"], pa.int32())], ["lang", "level", "toxic"])

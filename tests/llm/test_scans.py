@@ -494,6 +494,48 @@ def test_scorer_holds_little():
     assert found == pytest.approx([next(scorer.logits([t])) for t in texts], abs=1e-5)
 
 
+def test_logits_are_the_same_to_the_bit_beside_other_texts():
+    rng = np.random.default_rng(4)
+    texts = [[f"w{k}" for k in rng.integers(0, 900, rng.integers(0, 60))] for _ in range(300)]
+    whole = list(toxicity.Scorer(toxicity.Network()).logits(texts))
+    scorer = toxicity.Scorer(toxicity.Network())
+    assert [next(scorer.logits([t])) for t in texts] == whole
+
+
+def test_scorer_holds_no_answers_of_all_buckets():
+    net, texts = toxicity.Network(), [[f"word{k}of{i}" for k in range(400)] for i in range(100)]
+    tracemalloc.start()
+    list(toxicity.Scorer(net).logits(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+
+
+def test_words_are_those_of_the_pattern():
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    rng = random.Random(8)
+    mixed = ["".join(rng.choices(everything, k=50)) + "aΣ Σa\x00_1\u0301İ\u200b\x85x\u2028 \u00a0y" for _ in range(300)]
+    for text in (None, "", " ", "a\ud800b", everything, " ".join(everything), *mixed):
+        assert toxicity._text_words(text) == re.findall(r"\w+", (text or "").lower())
+
+
+def test_parts_that_train_carry_their_buckets(spark, toxic_tables, monkeypatch):
+    docs, labels, _ = toxic_tables
+    monkeypatch.setattr(toxicity, "VISITS", 1_000)
+    monkeypatch.setattr(toxicity, "PART", 200)
+    found, written = [], shared.written
+
+    def spy(table):
+        found.append(written(table))
+        return found[-1]
+
+    monkeypatch.setattr(shared, "written", spy)
+    toxicity.fit(docs, labels, F.lit(True))
+    parts = next(t for t in found if "places" in t.columns).collect()
+    assert {p.held for p in parts} == {True, False}
+    assert all(p.buckets is None if p.held else bytes(p.buckets) == toxicity.word_buckets(p.words).tobytes() for p in parts)
+
+
 def test_threshold_by_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(50):
